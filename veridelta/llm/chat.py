@@ -1,7 +1,7 @@
 r"""Chat formatting with a grammar round trip (DataFrame functions only).
 
-conversation = turn* ; turn = "<s>" role "[INST" level "]" body "[/INST]</s>" ; level = "" | ":1" | ":2".
-A body is first written as it is. A deterministic parser reads the turn back. If role and text differ from the source,
+conversation = turn* ; turn = "<s>" role "[INST" level "]" body "[/INST]</s>" ; level = "" | ":1" | ":2" ; bodies and
+roles hold no control string. A body is first written as it is. A deterministic parser reads the turn back. If role and text differ from the source,
 control strings in the body are escaped (level 1), and if they still differ, all characters that could begin one and the
 escape character itself (level 2), which always reads back. Roles are always escaped fully. The whole conversation is
 parsed and compared as well, with level 2 for all its turns as the way out.
@@ -41,7 +41,7 @@ def parse_turn(piece: Column) -> Column:
     """role and text of what stands before a closing mark; null where it isn't a turn."""
     level, raw = F.regexp_extract(piece, TURN, 2), F.regexp_extract(piece, TURN, 3)
     text = F.when(level == "", raw).when(level == ":1", F.regexp_replace(raw, MARKED, "$1$2")).otherwise(unescape_all(raw))
-    return F.when(piece.rlike(TURN), F.struct(unescape_all(F.regexp_extract(piece, TURN, 1)).alias("role"), text.alias("text")))
+    return F.when(piece.rlike(TURN) & ~raw.rlike(CONTROL), F.struct(unescape_all(F.regexp_extract(piece, TURN, 1)).alias("role"), text.alias("text")))
 
 
 def pieces(formatted: Column) -> Column:
