@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,3 +99,8 @@ def in_order(found: Column, kinds: list[str]) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(module: str) -> None:
+    """Send the functions of a module with the tasks that call them, so that executors need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
