@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, near_dedup, pii, quality_rules, secrets
+from . import chat, html_text, media, mixing, near_dedup, pii, quality_rules, secrets
 from .common import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), near_dedup.Near(words=3, percent=85))
 
@@ -35,6 +39,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *secrets.digest("pii", pii.BASE, [f"n_{k}" for k in pii.BASE]))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.media_column(table(spark, sf_dir, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_minhash, op5_chat, op6_secrets, op7_pii, op9_quality_rules, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html, op3_minhash, op5_chat, op6_secrets, op7_pii, op8_media, op9_quality_rules, op10_mixing)}
 
 ORACLE: dict[str, str] = {}
