@@ -29,6 +29,15 @@ def words(col: str | Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WORD_SEP))
 
 
+def settled(c: Column) -> Column:
+    """The same value, computed once for each row where it stands.
+
+    The optimizer would copy a costly expression into the filters above it, even into the body of a lambda function,
+    where it runs for each element. It does not move expressions that aren't deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def word_count(col: str | Column) -> Column:
     t = F.btrim(text_of(col), F.lit(WHITE))
     return F.when(t == "", 0).otherwise(F.size(F.split(t, WORD_SEP))).cast("long")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, join_small, text_of, words
+from .common import WHITE, cut, join_small, settled, text_of, words
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -69,7 +69,7 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         shingles.alias("__s"),
     )
     third = second.select(*[c for c in second.columns if c not in ("__w", "__s")], sorted_windows("__s").alias("__p"))
-    return third.select(*[c for c in third.columns if c != "__p"], repeat_words("__p").cast("long").alias("n_repeat_words"))
+    return third.select(*[c for c in third.columns if c != "__p"], settled(repeat_words("__p").cast("long")).alias("n_repeat_words"))
 
 
 def base_failed(r: Rules) -> Column:
