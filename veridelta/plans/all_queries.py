@@ -1,4 +1,4 @@
 """Importing this module registers all queries."""
 
-from . import table_queries  # noqa: F401
+from . import evidence_queries, graph_queries, table_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
