@@ -89,7 +89,7 @@ def decay(evidence: DataFrame, now: Column, recurring: int = 2, stale_days: int
         F.min("family").alias("family"), F.count("*").alias("occurrences"), F.max("receipt_day").alias("last_seen"), F.max("risk_score").alias("max_risk"),
         F.max(lookup(F.col("business_severity"), BUSINESS_RANK, 0)).alias("business_rank"), F.count_if(F.col("business_severity").isin(HIGH_BUSINESS)).alias("critical"),
         F.count_if("replay_ran").alias("replays"), F.count_if(F.col("replay_status") == "drift_detected").alias("drifts"),
-        (F.sum(F.when(F.col("fidelity_score") > 0, F.col("fidelity_score")).cast("decimal(10,4)")) / F.count_if(F.col("fidelity_score") > 0)).cast("double").alias("fidelity"),
+        (F.sum(F.when(F.col("fidelity_score") > 0, F.col("fidelity_score")).cast("decimal(10,4)")).cast("double") / F.count_if(F.col("fidelity_score") > 0)).alias("fidelity"),
         *[F.sum(c).alias(c) for c in ("feedback", "agree", "fixed", "false_positive", "accepted_risk", "active", "expired")],
     )
     age = F.datediff(now, F.col("last_seen"))
