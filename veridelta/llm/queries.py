@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, html_text, media, mixing, near_dedup, pieces, pii, quality_model, quality_rules, secrets
 from .common import table
+from .oracles import ORACLE  # noqa: F401
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html, op2_quality, op3_minhash, op4_pieces, op5_chat, op6_secrets, op7_pii, op8_media, op9_quality_rules, op10_mixing)}
 
-ORACLE: dict[str, str] = {}
