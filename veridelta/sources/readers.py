@@ -42,7 +42,7 @@ def read_query_history(spark: SparkSession, paths: str | list[str], fmt: str = "
         return _history(spark.read.option("header", True).csv(paths))
     row = "struct<" + ",".join(f"{a}:string" for a in ALL_ALIASES) + ">"
     text = spark.read.text(paths, wholetext=True)
-    lists = [F.from_json("value", f"array<{row}>")] + [F.from_json(F.get_json_object("value", f"$.{k}"), f"array<{row}>") for k in ("rows", "results", "history", "queries", "jobs", "runs")]
+    lists = [F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{row}>"))] + [F.from_json(F.get_json_object("value", f"$.{k}"), f"array<{row}>") for k in ("rows", "results", "history", "queries", "jobs", "runs")]
     listed = text.select(F.coalesce(*lists).alias("l"), F.from_json("value", f"map<string,{row}>").alias("m"))
     rows = listed.where("l is not null").select(F.inline("l"))
     mapped = listed.where("l is null").select(F.explode("m").alias("k", "v")).select("v.*", "k").withColumn("model_name", F.coalesce("model_name", "k")).drop("k")
@@ -59,7 +59,7 @@ def read_workload(spark: SparkSession, paths: str | list[str], fmt: str = "json"
 def read_sql_texts(spark: SparkSession, path: str) -> DataFrame:
     """path and statement of .sql files, split at semicolons."""
     df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", ";")).alias("pos", "statement"))
-    return df.withColumn("statement", F.trim("statement")).where("statement <> ''")
+    return df.withColumn("statement", F.btrim("statement", F.lit(" \t\r\n"))).where("statement <> ''")
 
 
 def read_receipts(spark: SparkSession, path: str) -> DataFrame:
@@ -71,7 +71,8 @@ def read_receipts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Lines of a ledger; unreadable ones are left out, dispositions are normalised."""
-    df = spark.read.schema(LEDGERS[kind]).json(path).where("_corrupt_record is null").drop("_corrupt_record")
+    line = F.from_json("value", LEDGERS[kind], {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    df = spark.read.text(path).where(F.trim("value") != "").select(line.alias("l")).where("l._corrupt_record is null").select("l.*").drop("_corrupt_record")
     return df.withColumn("disposition", normalize_disposition(F.col("disposition"))) if kind == "feedback" else df
 
 
