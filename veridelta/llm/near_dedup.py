@@ -4,14 +4,20 @@ A sketch of t coordinates places every shingle in one hashed bin a round; a bin
 round is the leading part. After t rounds each further round fills one bin by force, so no coordinate stays empty, and
 agreement of coordinates is concentrated as for as many independent hashes. Rounds end once all bins are filled.
 
-Equal shingle sets form one class, and only classes are compared. Rows of a band with one value form a bucket. First the
-most central class of each bucket is compared with its others. Then the classes of a bucket that are not yet in one
-component are compared in pairs, so that no link between components is lost and large groups of copies don't give all
-their pairs. Similarity is checked on the full sets of shingle hashes (64 bits).
+Equal shingle sets form one class, and only classes are compared. Classes that agree in a band form a bucket. A small
+bucket is compared in pairs. In a larger one the most central class, its hub, is compared with the others, which links
+most of a group of copies. Two classes of the bucket that are still apart can only be similar in one of two ways:
+
+- They share a shingle that the hub doesn't have. Classes that share one form a bucket of the next round.
+- All they share is in the hub. Then each one's overlap with the hub bounds the size of the other, and few pairs fit.
+
+So no link between components is lost, and large groups don't give all their pairs. Similarity is checked on the full
+sets of shingle hashes (64 bits).
 """
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,18 +33,19 @@ ship(__name__)
 
 #: A bucket's or a document's key is a long; tables of so many are broadcast.
 BROADCAST_KEYS = 500_000
+LINKS_A_TASK = 100_000
 
 
 @dataclass(frozen=True)
 class Near:
     """words a shingle has; percent: least Jaccard similarity of a link; rows in a band; miss: the chance that a pair at
-    just that similarity shares no bucket, which sets the number of bands; stars: rounds of comparing with centres."""
+    just that similarity shares no bucket, which sets the number of bands; small: buckets of so many are compared in pairs."""
 
     words: int = 5
     percent: int = 80
     rows: int = 5
     miss: float = 1e-6
-    stars: int = 2
+    small: int = 16
 
     @property
     def bands(self) -> int:
@@ -129,19 +136,30 @@ def shingle_sets(docs: DataFrame, near: Near) -> DataFrame:
     return docs.select("text").mapInArrow(each, "sig long, set array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    sized = sets.select("sig", F.size("set").alias("n"))
-    near_size = lambda x, y: 100 * F.least(x, y) >= near.percent * F.greatest(x, y)
-    fit = pairs.join(sized.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b").where(near_size(F.col("na"), F.col("nb")))
-    both = fit.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("set").alias("sb")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.col("na") + F.col("nb")).alias("n"))
-    return shared.where(100 * F.col("i") >= near.percent * (F.col("n") - F.col("i"))).select("a", "b")
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their sizes na and nb, and what they share."""
+    one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("sa")), "a")
+    both = one.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("sb")), "b")
+    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+
+
+def similar(sims: DataFrame, near: Near) -> DataFrame:
+    return sims.where(100 * F.col("shared") >= near.percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+
+
+def tidy(df: DataFrame) -> None:
+    """Lets Spark's cleaner remove the shuffle files and broadcasts of rounds that are over; it follows the driver's garbage collection."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp: the smallest node reachable. Labels go to neighbours and then jump to their label's label."""
+    """node, comp: the smallest node reachable. Labels go to neighbours and then jump to their label's label.
+
+    Links are few against documents, and counted: each LINKS_A_TASK of them make a partition.
+    """
     both = cut(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct())
+    both = both.coalesce(1 + both.count() // LINKS_A_TASK)
     labels = cut(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("comp")))
     while True:
         seen = both.join(labels.select(F.col("node").alias("other"), F.col("comp").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
@@ -149,6 +167,7 @@ def components(links: DataFrame) -> DataFrame:
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         new = cut(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp")))
         labels = new.select("node", "comp")
+        tidy(links)
         if new.where("old <> comp").isEmpty():
             return labels
 
@@ -166,6 +185,7 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
     shared = cut(entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("key"))
     members = cut(join_small(entries.withColumn("__key", F.col("key")), shared, ["key"], "inner", BROADCAST_KEYS).select(F.col("__key").alias("key"), "sig").distinct())
     classes = sk.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    tidy(sk)
     comp = linked(docs, sk, members, near)
     named = classes.join(comp.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     tops = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("rows"))
@@ -187,20 +207,69 @@ def linked(docs: DataFrame, sk: DataFrame, members: DataFrame, near: Near) -> Da
     size = members.groupBy("key").agg(F.count("*").alias("n"))
     central = cut(members.join(size, "key").groupBy("sig").agg(F.sum("n").alias("central")))
     links = spark.createDataFrame([], "a long, b long")
-    comp = spark.createDataFrame([], "node long, comp long")
-    for star in [True] * near.stars + [False]:
-        now = members.join(comp.select(F.col("node").alias("sig"), "comp"), "sig", "left").select("key", "sig", F.coalesce("comp", "sig").alias("comp"))
-        open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        live = cut(now.join(open_keys, "key"))
-        if live.isEmpty():
-            break
-        if star:
-            hub = live.join(central, "sig").groupBy("key").agg(F.max(F.struct("central", "sig")).alias("h")).select("key", F.col("h.sig").alias("hub"), F.col("h.central").alias("c"))
-            pairs = live.join(hub, "key").select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b"))
-        else:
-            x, y = live.select("key", F.col("sig").alias("a"), F.col("comp").alias("ca")), live.select("key", F.col("sig").alias("b"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = cut(pairs.where("a < b").distinct())
-        links = cut(links.union(verified(pairs, sets, near)))
-        comp = components(links)
-    return comp
+    comp = spark.createDataFrame([], "sig long, comp long")
+    buckets, most = members, 4
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    while True:
+        now = labelled(buckets, comp)
+        apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+        live = cut(now.join(apart, "key"))
+        rows, big = live.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("n") > near.small, F.col("n"))), F.lit(0))).first()
+        if not rows:
+            return comp.select(F.col("sig").alias("node"), "comp")
+        # where all pairs of the larger buckets are few against the rows, they are compared like the small ones; the
+        # buckets beyond a hub are small or mostly in one component, so that more is allowed for them
+        hubbed = big > most * rows
+        most = 16 * near.small
+        few = live.where(F.col("n") <= near.small) if hubbed else live
+        left = few.select("key", F.col("sig").alias("x"), F.col("comp").alias("cx"))
+        pairs = left.join(few.select("key", "sig", "comp"), "key").where("cx < comp").select(*ordered("x", "sig"))
+        if hubbed:
+            large = live.where(F.col("n") > near.small)
+            hubs = large.join(central, "sig").groupBy("key").agg(F.max(F.struct("central", "sig")).alias("h")).select("key", F.col("h.sig").alias("hub"))
+            star = cut(large.join(hubs, "key").where("sig <> hub").select("hub", "sig", "comp").distinct())
+            pairs = pairs.union(star.select(*ordered("hub", "sig")))
+        sims = cut(compared(pairs.distinct(), sets))
+        found = similar(sims, near)
+        if hubbed:
+            star = star.join(sims, (F.least("hub", "sig") == F.col("a")) & (F.greatest("hub", "sig") == F.col("b")))
+            star = cut(star.join(comp.select(F.col("sig").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub")))
+            found = found.union(similar(compared(within_hub(star, near), sets), near))
+        links = cut(links.union(found).distinct())
+        tidy(links)
+        comp = components(links).select(F.col("node").alias("sig"), "comp")
+        if not hubbed:
+            return comp.select(F.col("sig").alias("node"), "comp")
+        buckets = cut(beyond_hub(star.select("hub", "sig"), sets, comp))
+
+
+def labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows with the component of their sig, which is its own if it has no links."""
+    return rows.drop("comp").join(comp, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+
+
+def within_hub(star: DataFrame, near: Near) -> DataFrame:
+    """Pairs compared with one hub, not known to be in one component, that could be similar by what is in the hub alone.
+
+    Similar sets share at least p / (100 + p) of the sum of their sizes. What x shares with the hub hence bounds the
+    size of its partner by `room`. Sets similar to the hub count as of its component, so that one side lies outside it.
+    """
+    n = F.when(F.col("sig") == F.col("a"), F.col("na")).otherwise(F.col("nb"))
+    close = 100 * F.col("shared") >= near.percent * (F.col("na") + F.col("nb") - F.col("shared"))
+    m = star.select("hub", "sig", "hub_comp", F.when(close, F.col("hub_comp")).otherwise(F.col("comp")).alias("comp"), "shared", n.alias("n"))
+    m = m.withColumn("room", F.floor(F.col("shared") * (100 + near.percent) / near.percent) - F.col("n"))
+    out = m.where("comp <> hub_comp")
+    limits = m.groupBy("hub").agg(F.min("n").alias("least")).join(out.groupBy("hub").agg(F.max("room").alias("most")), "hub")
+    x = out.join(limits, "hub").where("room >= least").select("hub", F.col("sig").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("room").alias("rx"))
+    y = m.join(limits, "hub").where("n <= most").select("hub", "sig", "comp", "n", "room")
+    return x.join(y, "hub").where("cx <> comp and n <= rx and nx <= room").select(F.least("x", "sig").alias("a"), F.greatest("x", "sig").alias("b")).distinct()
+
+
+def beyond_hub(star: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
+    """Buckets (key, sig) of classes that share a shingle which the hub they were compared with doesn't have."""
+    named = labelled(star, comp)
+    apart = named.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub")
+    own = star.join(apart, "hub").join(sets, "sig").join(sets.select(F.col("sig").alias("hub"), F.col("set").alias("of_hub")), "hub")
+    more = own.select("sig", "hub", F.explode(F.array_except("set", "of_hub")).alias("shingle")).select(F.xxhash64("hub", "shingle").alias("key"), "sig")
+    lone = more.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("key")
+    return more.join(lone, "key").distinct()
