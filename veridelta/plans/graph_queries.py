@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import compare as D
 from ..operators import graph as G
 from ..operators import profile as R
@@ -120,7 +121,8 @@ def _profiles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     def full(df: DataFrame) -> DataFrame:
         return R.profile_table(df, "orders", exact=True).join(D.schema_table(df, "orders").select("column_name", "dtype", "nullable"), "column_name")
 
-    return full(before), full(after).withColumn("nullable", F.lit(True))
+    # a profile has one row per column of the table, and the difference reads it several times
+    return cut(full(before)), cut(full(after).withColumn("nullable", F.lit(True)))
 
 
 _EVENTS = "SELECT * FROM (VALUES ('o_custkey', 'TYPE_CHANGED'), ('o_orderstatus', 'STATS_DRIFTED'), ('o_totalprice', 'COLUMN_RENAMED'), ('o_orderpriority', 'COLUMN_REMOVED'), ('o_note', 'COLUMN_ADDED')) v(column_name, change_type) WHERE (SELECT count(*) FROM orders) > 0"
