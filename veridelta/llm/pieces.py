@@ -24,7 +24,7 @@ ship(__name__)
 
 SPACE = "▁"
 #: Segments whose ids a task remembers at most; then it starts afresh, which costs time only.
-MEMO = 400_000
+MEMO = 100_000
 
 
 def load(path: str) -> tuple[list[str], list[float], list[int]]:
@@ -188,8 +188,8 @@ def encoded(docs: DataFrame, vocabulary: tuple[list[str], list[float], list[int]
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(vocabulary)
         for b in batches:
-            for k in range(0, b.num_rows, 500):  # ids take more room than texts
-                part = b.slice(k, 500)
+            for k in range(0, b.num_rows, 200):  # ids take more room than texts
+                part = b.slice(k, 200)
                 cols: list[list] = [[] for _ in range(5)]
                 texts = [t.as_py() or "" for t in part.column(1)]
                 for text, found in zip(texts, codec.encode_all(texts)):
