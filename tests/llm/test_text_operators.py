@@ -329,3 +329,36 @@ def test_pipeline_against_plain_stages(spark):
         text = codec.decode(r.ids)
         spans = [] if not base(model_free[r.doc_id], BASE_PII) else base(model_free[r.doc_id], BASE_PII).split(",")
         assert text == model_free[r.doc_id] if not spans and "[MAYBE" not in text else all(model_free[r.doc_id][int(a) : int(b)] not in text for _, a, b in (s.split(":") for s in spans))
+
+
+def test_distinct_keeps_one_row_a_group(spark):
+    """Null and repeated ids: one row of each group stays, and every row without a group."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(1, text(1), "a"), (None, text(1), "a"), (None, text(2), "a")]  # an unnamed copy of 1, and an unnamed unique one
+    rows += [(2, text(3), "a"), (5, text(3), "a"), (5, text(4), "a")]  # 5 has a copy and a text of its own
+    rows += [(6, text(5), "a"), (6, text(5), "a"), (7, text(6), "b"), (7, text(6), "a")]  # equal rows; one id, two sources
+    rows += [(None, text(7), "a"), (None, text(7) + " more", "b"), (None, text(8), None), (None, text(8), None)]  # copies without ids
+    rows += [(8, "", "a"), (8, "", "a"), (None, None, "a"), (None, None, "a")]  # without words
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = corpus_pipeline.distinct(spark, docs, SF)
+    got = Counter(tuple(r) for r in out.collect())
+    assert out.columns == docs.columns and not got - Counter(rows)
+    group = lambda t: (t or "").removesuffix(" more")
+    assert Counter((d, group(t)) for d, t, _ in got.elements()) == Counter([(1, text(1)), (None, text(2)), (2, text(3)), (5, text(4)), (6, text(5)), (7, text(6)), (None, text(7)), (None, text(8)), (8, ""), (8, ""), (None, ""), (None, "")])
+
+
+def test_pipeline_gives_all_copies(spark):
+    """The ids of the last stage, with their copies, are those of the plain stages, and of mixing over them."""
+    import corpus_pipeline
+
+    out = Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect())
+    good = quality_rules.keep_good(spark.read.parquet(f"{SF}/documents.parquet"))
+    groups = brute_groups([(r.doc_id, r.text) for r in good.collect()], 5, 80)
+    left = {d for d, _, top in groups if d == top}
+    assert max(groups.values()) == 1 and None not in left  # ids of this table are unique
+    rows = mixing.mix(pii.redact(good.where(good.doc_id.isin(sorted(left))))).select("doc_id", "copies").collect()
+    assert {r.doc_id for r in rows} == left
+    want = Counter({r.doc_id: r.copies for r in rows if r.copies})
+    assert sum(want.values()) > 0 and out == want

@@ -108,9 +108,10 @@ def fold(x: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(x.tobytes())).view(np.int64))
 
 
-def sketched(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, n_shingles, sig (hash of the set; null for an empty one) and bands."""
+def sketched(docs: DataFrame, near: Near, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, sig (hash of the set; null for an empty one) and bands; and the column `row`, a long, if it's named."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    more = [row] if row else []
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,9 +121,9 @@ def sketched(docs: DataFrame, near: Near) -> DataFrame:
                 n.append(len(x))
                 sig.append(fold(x) if len(x) else None)
                 keys.append(bands(x, near) if len(x) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *b.columns[2:]], ["doc_id", "n_shingles", "sig", "bands", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, n_shingles long, sig long, bands array<long>")
+    return docs.select("doc_id", "text", *more).mapInArrow(each, f"doc_id {kind}, n_shingles long, sig long, bands array<long>" + (f", {row} long" if row else ""))
 
 
 def shingle_sets(docs: DataFrame, near: Near) -> DataFrame:
@@ -172,28 +173,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text).
+def near_groups(docs: DataFrame, near: Near = Near(), row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text); and the column `row`, if it's named.
 
     component_id is the smallest doc_id that links of similar shingle sets reach, kept whether it is the row's own.
+    With a `row`, a long that tells rows of one doc_id apart, kept is true for one row of a component only: that with the
+    smallest doc_id (null last), and of these with the smallest `row`.
     Nulls: a text without words has no shingles and no links. A row without doc_id takes part, but its component is
-    named by other rows; if there is none, component_id is null and the row kept. Rows that repeat a doc_id are one
-    document: they are all kept or not. An empty table gives an empty result. Other columns are ignored.
+    named by other rows; if there is none, component_id is null. Rows are judged one by one: without `row`, all rows of
+    a component that have its doc_id are kept, and all rows of a component without any. An empty table gives an empty
+    result. Other columns are ignored.
     """
-    sk = cut(sketched(docs, near))
+    sk = cut(sketched(docs, near, row))
+    more = [row] if row else []
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row) if row else F.col("doc_id")
     entries = sk.select("sig", F.explode("bands").alias("key"))
     shared = cut(entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("key"))
     members = cut(join_small(entries.withColumn("__key", F.col("key")), shared, ["key"], "inner", BROADCAST_KEYS).select(F.col("__key").alias("key"), "sig").distinct())
-    classes = sk.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    classes = sk.where("sig is not null").groupBy("sig").agg(F.min(who).alias("rep"), F.count("*").alias("rows"))
     tidy(sk)
     comp = linked(docs, sk, members, near)
     named = classes.join(comp.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    tops = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("rows"))
+    tops = named.groupBy("comp").agg(F.min("rep").alias("top"), F.sum("rows").alias("rows"))
     # a group of one row needs no name, and most groups are such
-    groups = cut(named.select("sig", "comp").join(tops.where("rows > 1"), "comp").select("sig", "component_id"))
-    out = join_small(sk.select("doc_id", "n_shingles", "sig"), groups, ["sig"], limit=BROADCAST_KEYS)
-    top = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", top.alias("component_id"), F.coalesce(F.col("doc_id") == top, top.isNull()).alias("kept"))
+    groups = cut(named.select("sig", "comp").join(tops.where("rows > 1"), "comp").select("sig", "top"))
+    out = join_small(sk.select("doc_id", "n_shingles", "sig", *more), groups, ["sig"], limit=BROADCAST_KEYS)
+    top = F.coalesce("top", who)
+    named_by = top["doc_id"] if row else top
+    kept = who.eqNullSafe(top)
+    return out.select("doc_id", "n_shingles", named_by.alias("component_id"), kept.alias("kept"), *more)
 
 
 def linked(docs: DataFrame, sk: DataFrame, members: DataFrame, near: Near) -> DataFrame:
