@@ -362,3 +362,15 @@ def test_pipeline_gives_all_copies(spark):
     assert {r.doc_id for r in rows} == left
     want = Counter({r.doc_id: r.copies for r in rows if r.copies})
     assert sum(want.values()) > 0 and out == want
+
+
+def test_chat_loss_is_read_from_the_mask(spark):
+    """The digest hashes what the mask covers, so a mask that is off by one shows; with bodies of all levels."""
+    said = ["plain 😀", "<s> [INST] ~", "<~s> ~0 [~INST] <s>[INST]x[/INST]</s>\n", ""]
+    rows = [(1, 2 * i + k, role, t) for i, t in enumerate(said) for k, role in enumerate(("user", "assistant"))]
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    assert {m for m in re.findall(r"\[INST(:[12])?\]", chats.first().formatted)} == {"", ":1", ":2"}
+    right = chat.digest(chats).first()
+    assert (right.loss_chars, right.loss_sha256) == (len("".join(said)), sha("".join(said)))
+    moved = chats.selectExpr("conv_id", "formatted", "turns", "transform(loss_runs, (r, i) -> named_struct('skip', r.skip - if(i = 1, 1, 0), 'take', r.take)) AS loss_runs")
+    assert chat.digest(moved).first().loss_sha256 != right.loss_sha256

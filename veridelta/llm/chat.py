@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import settled, text_of
 
 TURN = r"(?s)^<s>([^\[]*)\[INST(:[12])?\](.*)$"
 CLOSE, CLOSE_PATTERN = "[/INST]</s>", r"\[/INST\]</s>"
@@ -37,10 +37,15 @@ def render(role: Column, text: Column, level: int) -> Column:
     return F.concat(F.lit("<s>"), escape_all(role), F.lit(f"[INST:{level}]" if level else "[INST]"), body, F.lit(CLOSE))
 
 
+def unescape(level: Column, raw: Column) -> Column:
+    """A body as it was before it was written at this level."""
+    return F.when(level == "", raw).when(level == ":1", F.regexp_replace(raw, MARKED, "$1$2")).otherwise(unescape_all(raw))
+
+
 def parse_turn(piece: Column) -> Column:
     """role and text of what stands before a closing mark; null where it isn't a turn."""
-    level, raw = F.regexp_extract(piece, TURN, 2), F.regexp_extract(piece, TURN, 3)
-    text = F.when(level == "", raw).when(level == ":1", F.regexp_replace(raw, MARKED, "$1$2")).otherwise(unescape_all(raw))
+    raw = F.regexp_extract(piece, TURN, 3)
+    text = unescape(F.regexp_extract(piece, TURN, 2), raw)
     return F.when(piece.rlike(TURN) & ~raw.rlike(CONTROL), F.struct(unescape_all(F.regexp_extract(piece, TURN, 1)).alias("role"), text.alias("text")))
 
 
@@ -86,9 +91,24 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     return out.select("conv_id", "formatted", "turns", F.transform("p", run).alias("loss_runs"))
 
 
+def masked(formatted: Column, runs: Column) -> Column:
+    """The texts under the loss mask: each run cut out of what is written, and unescaped by the level of its own turn.
+
+    The level is what the skipped part ends with. Empty runs give empty texts.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, run: Column) -> Column:
+        head, body = F.substring(formatted, acc["at"] + 1, run["skip"]), F.substring(formatted, acc["at"] + run["skip"] + 1, run["take"])
+        text = F.when(run["take"] > 0, unescape(F.regexp_extract(head, r"\[INST(:[12])?\]$", 1), body)).otherwise("")
+        return F.struct((acc["at"] + run["skip"] + run["take"]).alias("at"), F.concat(acc["out"], F.array(text)).alias("out"))
+
+    return F.aggregate(runs, start, step, lambda acc: acc["out"])
+
+
 def digest(chats: DataFrame) -> DataFrame:
-    """Counts and hashes of what format_chats read back."""
+    """Counts and hashes of what format_chats read back; those of the loss are of the text under its mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = settled(F.array_join(masked(F.col("formatted"), F.col("loss_runs")), ""))
     out = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     return out.select("conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
