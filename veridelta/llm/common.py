@@ -58,7 +58,7 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left"
     """Null-safe join with a table that was already cut: broadcast if counting shows at most `limit` rows.
 
     A larger one is joined by shuffling, where adaptive execution splits skewed partitions. `small` has one row a key;
-    its key columns are left out of the result.
+    its own key columns are left out of the result.
     """
     renamed = small.select(*[F.col(c).alias(f"__k_{c}") for c in on], *[c for c in small.columns if c not in on])
     if small.count() <= limit:

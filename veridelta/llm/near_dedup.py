@@ -4,15 +4,19 @@ A sketch of t coordinates places every shingle in one hashed bin a round; a bin
 round is the leading part. After t rounds each further round fills one bin by force, so no coordinate stays empty, and
 agreement of coordinates is concentrated as for as many independent hashes. Rounds end once all bins are filled.
 
-Equal shingle sets form one class, and only classes are compared. Classes that agree in a band form a bucket. A small
-bucket is compared in pairs. In a larger one the most central class, its hub, is compared with the others, which links
-most of a group of copies. Two classes of the bucket that are still apart can only be similar in one of two ways:
-
-- They share a shingle that the hub doesn't have. Classes that share one form a bucket of the next round.
-- All they share is in the hub. Then each one's overlap with the hub bounds the size of the other, and few pairs fit.
-
-So no link between components is lost, and large groups don't give all their pairs. Similarity is checked on the full
-sets of shingle hashes (64 bits).
+Equal shingle sets form one class, and only classes are compared. Classes that agree in a band form a bucket. A few
+classes of each bucket, its pivots, are compared with all others of it: those of the smallest components first, then the
+most central. Pivots are at most `late` a bucket, so pairs grow with the rows. A bucket of no more classes is done then.
+In a larger one, two classes that are still apart and aren't pivots can only be similar in one of two ways:
+
+- They share a shingle that the first pivot doesn't have. Of these shingles, in order of their hashes, each class needs
+  only as many as a similar one can't miss all of. Classes that share one of them form a bucket of the next round.
+- All they share is in the pivot. Then both lie in it to `percent`, and what they share with it bounds the other's size.
+  Those of similar size form a bucket of the next round.
+
+So no link between components is lost, and large groups don't give all their pairs. What two classes share with their
+last pivot, and what they don't, bounds what they share with each other; pairs that can't reach the threshold are left
+out. Similarity is checked on the full sets of shingle hashes (64 bits).
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, join_small, ship
@@ -39,13 +44,16 @@ LINKS_A_TASK = 100_000
 @dataclass(frozen=True)
 class Near:
     """words a shingle has; percent: least Jaccard similarity of a link; rows in a band; miss: the chance that a pair at
-    just that similarity shares no bucket, which sets the number of bands; small: buckets of so many are compared in pairs."""
+    just that similarity shares no bucket, which sets the number of bands; small: band buckets of so many are compared in
+    pairs; pivots: of larger ones, so many are compared with all others; late: as many in buckets of later rounds."""
 
     words: int = 5
     percent: int = 80
     rows: int = 5
     miss: float = 1e-6
     small: int = 16
+    pivots: int = 2
+    late: int = 64
 
     @property
     def bands(self) -> int:
@@ -137,11 +145,24 @@ def shingle_sets(docs: DataFrame, near: Near) -> DataFrame:
     return docs.select("text").mapInArrow(each, "sig long, set array<long>")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with their sizes na and nb, and what they share."""
-    one = pairs.join(sets.select(F.col("sig").alias("a"), F.col("set").alias("sa")), "a")
-    both = one.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("sb")), "b")
-    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+def compared(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """The pairs (a, b) with their sizes na and nb, what they share, and pre_a and pre_b where want_a and want_b ask for them.
+
+    pre_x is the part of x beyond the other side that any third set similar to x, if it shares some of x's rest, shares
+    at least one of. Only sets that occur in pairs are shuffled, where their keys are few enough to broadcast.
+    """
+    need = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().withColumn("__hit", F.lit(1)))
+    used = join_small(sets.withColumn("__sig", F.col("sig")), need, ["sig"], "inner", BROADCAST_KEYS).select("__sig", "set")
+    one = pairs.join(used.select(F.col("__sig").alias("a"), F.col("set").alias("sa")), "a")
+    both = one.join(used.select(F.col("__sig").alias("b"), F.col("set").alias("sb")), "b")
+
+    def pre(x: str, y: str) -> Column:
+        rest = F.array_except(x, y)
+        must = F.greatest(F.ceil(F.size(x) * F.lit(near.percent) / 100).cast("int") - F.size(x) + F.size(rest), F.lit(1))
+        return F.slice(rest, F.lit(1), F.greatest(F.size(rest) - must + 1, F.lit(0)))
+
+    out = [F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared")]
+    return both.select("a", "b", *out, F.when(F.col("want_a"), pre("sa", "sb")).alias("pre_a"), F.when(F.col("want_b"), pre("sb", "sa")).alias("pre_b"))
 
 
 def similar(sims: DataFrame, near: Near) -> DataFrame:
@@ -173,6 +194,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (sig, comp) with the new links (a, b) taken in. Only links between components are followed."""
+    ends = labelled(links.select("b", F.col("a").alias("sig")), comp).select("b", F.col("comp").alias("x"))
+    ends = labelled(ends.select("x", F.col("b").alias("sig")), comp).select("x", F.col("comp").alias("y"))
+    new = cut(components(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+    nodes = links.select(F.explode(F.array("a", "b")).alias("sig"))
+    known = comp.union(nodes.select("sig", F.col("sig").alias("comp"))).groupBy("sig").agg(F.min("comp").alias("comp"))
+    step = join_small(known, new.select(F.col("node").alias("comp"), F.col("comp").alias("top")), ["comp"], limit=BROADCAST_KEYS)
+    return cut(step.select("sig", F.coalesce("top", "comp").alias("comp")))
+
+
 def near_groups(docs: DataFrame, near: Near = Near(), row: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text); and the column `row`, if it's named.
 
@@ -187,13 +219,13 @@ def near_groups(docs: DataFrame, near: Near = Near(), row: str | None = None) ->
     sk = cut(sketched(docs, near, row))
     more = [row] if row else []
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row) if row else F.col("doc_id")
-    entries = sk.select("sig", F.explode("bands").alias("key"))
+    entries = sk.select("sig", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = cut(entries.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("key"))
-    members = cut(join_small(entries.withColumn("__key", F.col("key")), shared, ["key"], "inner", BROADCAST_KEYS).select(F.col("__key").alias("key"), "sig").distinct())
+    members = cut(join_small(entries.withColumn("__key", F.col("key")), shared, ["key"], "inner", BROADCAST_KEYS).select(F.col("__key").alias("key"), "sig", "n").distinct())
     classes = sk.where("sig is not null").groupBy("sig").agg(F.min(who).alias("rep"), F.count("*").alias("rows"))
     tidy(sk)
     comp = linked(docs, sk, members, near)
-    named = classes.join(comp.select(F.col("node").alias("sig"), "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    named = classes.join(comp, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     tops = named.groupBy("comp").agg(F.min("rep").alias("top"), F.sum("rows").alias("rows"))
     # a group of one row needs no name, and most groups are such
     groups = cut(named.select("sig", "comp").join(tops.where("rows > 1"), "comp").select("sig", "top"))
@@ -205,50 +237,30 @@ def near_groups(docs: DataFrame, near: Near = Near(), row: str | None = None) ->
 
 
 def linked(docs: DataFrame, sk: DataFrame, members: DataFrame, near: Near) -> DataFrame:
-    """Components of classes, from buckets (key, sig)."""
-    spark = docs.sparkSession
+    """Components (sig, comp) of classes, from buckets (key, sig, n: its size). Classes without links have no row."""
     first = sk.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     # one row of each class that shares a bucket; its text is read again, which is less than storing all sets
     ids = cut(first)
     texts = join_small(docs.select("doc_id", "text"), cut(ids.select("doc_id").distinct().withColumn("__hit", F.lit(1))), ["doc_id"], "inner", BROADCAST_KEYS)
     sets = cut(shingle_sets(texts, near).dropDuplicates(["sig"]))
-    size = members.groupBy("key").agg(F.count("*").alias("n"))
-    central = cut(members.join(size, "key").groupBy("sig").agg(F.sum("n").alias("central")))
-    links = spark.createDataFrame([], "a long, b long")
-    comp = spark.createDataFrame([], "sig long, comp long")
-    buckets, most = members, 4
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    size = members.groupBy("key").agg(F.count("*").alias("of"))
+    central = members.join(size, "key").groupBy("sig").agg(F.sum("of").alias("central"))
+    buckets = members.join(central, "sig").select("key", "sig", "n", F.lit(0).alias("held"), F.col("n").alias("more"), "central")
+    comp = docs.sparkSession.createDataFrame([], "sig long, comp long")
+    round_no = 0
     while True:
-        now = labelled(buckets, comp)
-        apart = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-        live = cut(now.join(apart, "key"))
-        rows, big = live.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("n") > near.small, F.col("n"))), F.lit(0))).first()
-        if not rows:
-            return comp.select(F.col("sig").alias("node"), "comp")
-        # where all pairs of the larger buckets are few against the rows, they are compared like the small ones; the
-        # buckets beyond a hub are small or mostly in one component, so that more is allowed for them
-        hubbed = big > most * rows
-        most = 16 * near.small
-        few = live.where(F.col("n") <= near.small) if hubbed else live
-        left = few.select("key", F.col("sig").alias("x"), F.col("comp").alias("cx"))
-        pairs = left.join(few.select("key", "sig", "comp"), "key").where("cx < comp").select(*ordered("x", "sig"))
-        if hubbed:
-            large = live.where(F.col("n") > near.small)
-            hubs = large.join(central, "sig").groupBy("key").agg(F.max(F.struct("central", "sig")).alias("h")).select("key", F.col("h.sig").alias("hub"))
-            star = cut(large.join(hubs, "key").where("sig <> hub").select("hub", "sig", "comp").distinct())
-            pairs = pairs.union(star.select(*ordered("hub", "sig")))
-        sims = cut(compared(pairs.distinct(), sets))
-        found = similar(sims, near)
-        if hubbed:
-            star = star.join(sims, (F.least("hub", "sig") == F.col("a")) & (F.greatest("hub", "sig") == F.col("b")))
-            star = cut(star.join(comp.select(F.col("sig").alias("hub"), F.col("comp").alias("hub_comp")), "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub")))
-            found = found.union(similar(compared(within_hub(star, near), sets), near))
-        links = cut(links.union(found).distinct())
-        tidy(links)
-        comp = components(links).select(F.col("node").alias("sig"), "comp")
-        if not hubbed:
-            return comp.select(F.col("sig").alias("node"), "comp")
-        buckets = cut(beyond_hub(star.select("hub", "sig"), sets, comp))
+        live = live_buckets(buckets, comp)
+        if live.isEmpty():
+            return comp
+        pivots = chosen(live, *((near.small, near.pivots) if round_no == 0 else (near.late, near.late)))
+        star = cut(stars(live, pivots, F.col("hub") if round_no == 0 else F.xxhash64("key", "hub")))
+        sims = cut(compared(candidates(live, pivots, star, near), sets, near))
+        comp = merged(comp, similar(sims, near))
+        tidy(docs)
+        if star.isEmpty():
+            return comp
+        buckets = cut(apart(star, sims, comp, near))
+        round_no += 1
 
 
 def labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -256,28 +268,71 @@ def labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.drop("comp").join(comp, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
 
 
-def within_hub(star: DataFrame, near: Near) -> DataFrame:
-    """Pairs compared with one hub, not known to be in one component, that could be similar by what is in the hub alone.
+def live_buckets(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components; `same`: rows of its component there, `of`: rows of the bucket."""
+    now = labelled(buckets, comp)
+    per = now.groupBy("key", "comp").agg(F.count("*").alias("same"))
+    several = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("same").alias("of")).where("comps > 1").select("key", "of")
+    return cut(join_small(now, cut(per.join(several, "key")), ["key", "comp"], "inner", BROADCAST_KEYS))
+
+
+def chosen(live: DataFrame, small: int, most: int) -> DataFrame:
+    """The pivots of each bucket, in order: all of a bucket of up to `small`, `most` of a larger one.
 
-    Similar sets share at least p / (100 + p) of the sum of their sizes. What x shares with the hub hence bounds the
-    size of its partner by `room`. Sets similar to the hub count as of its component, so that one side lies outside it.
+    The limit on the rank reaches the rows before they are shuffled, so a hot bucket doesn't meet in one task.
     """
-    n = F.when(F.col("sig") == F.col("a"), F.col("na")).otherwise(F.col("nb"))
-    close = 100 * F.col("shared") >= near.percent * (F.col("na") + F.col("nb") - F.col("shared"))
-    m = star.select("hub", "sig", "hub_comp", F.when(close, F.col("hub_comp")).otherwise(F.col("comp")).alias("comp"), "shared", n.alias("n"))
-    m = m.withColumn("room", F.floor(F.col("shared") * (100 + near.percent) / near.percent) - F.col("n"))
-    out = m.where("comp <> hub_comp")
-    limits = m.groupBy("hub").agg(F.min("n").alias("least")).join(out.groupBy("hub").agg(F.max("room").alias("most")), "hub")
-    x = out.join(limits, "hub").where("room >= least").select("hub", F.col("sig").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("room").alias("rx"))
-    y = m.join(limits, "hub").where("n <= most").select("hub", "sig", "comp", "n", "room")
-    return x.join(y, "hub").where("cx <> comp and n <= rx and nx <= room").select(F.least("x", "sig").alias("a"), F.greatest("x", "sig").alias("b")).distinct()
-
-
-def beyond_hub(star: DataFrame, sets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Buckets (key, sig) of classes that share a shingle which the hub they were compared with doesn't have."""
-    named = labelled(star, comp)
-    apart = named.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub")
-    own = star.join(apart, "hub").join(sets, "sig").join(sets.select(F.col("sig").alias("hub"), F.col("set").alias("of_hub")), "hub")
-    more = own.select("sig", "hub", F.explode(F.array_except("set", "of_hub")).alias("shingle")).select(F.xxhash64("hub", "shingle").alias("key"), "sig")
-    lone = more.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("key")
-    return more.join(lone, "key").distinct()
+    rank = F.row_number().over(W.partitionBy("key").orderBy("same", F.desc("central"), "sig"))
+    top = live.withColumn("rank", rank).where(F.col("rank") <= max(small, most)).where((F.col("of") <= small) | (F.col("rank") <= most))
+    return cut(top.select("key", "rank", F.col("sig").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"), F.col("held").alias("hub_held"), F.col("more").alias("hub_more")))
+
+
+def by_key(live: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Rows of buckets beside the pivots of their bucket, which are broadcast where they are few."""
+    return live.join(F.broadcast(pivots) if pivots.count() <= BROADCAST_KEYS else pivots, "key")
+
+
+def stars(live: DataFrame, pivots: DataFrame, group: Column) -> DataFrame:
+    """g, hub, sig, n, central: rows of large buckets that aren't pivots, beside the first pivot."""
+    own = pivots.select("key", F.col("hub").alias("sig"), "rank")
+    rest = join_small(live.where("`of` > 2"), own, ["key", "sig"], limit=BROADCAST_KEYS).where("rank is null").drop("rank")
+    return by_key(rest, pivots.where("rank = 1")).where("sig <> hub").select(group.alias("g"), "hub", "sig", "n", "central").distinct()
+
+
+def candidates(live: DataFrame, pivots: DataFrame, star: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b) to compare: pivots with rows of other components that can be similar, and all of a star."""
+    bound = F.least("held", "hub_held") + F.least("more", "hub_more")
+    fit = (100 + near.percent) * bound >= near.percent * (F.col("n") + F.col("hub_n"))
+    new = by_key(live, pivots).where((F.col("comp") != F.col("hub_comp")) & fit).select("hub", "sig", F.lit(False).alias("want"))
+    both = new.union(star.select("hub", "sig", F.lit(True)))
+    small_first = F.col("hub") < F.col("sig")
+    pairs = both.select(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b"), (F.col("want") & ~small_first).alias("want_a"), (F.col("want") & small_first).alias("want_b"))
+    return cut(pairs.groupBy("a", "b").agg(F.bool_or("want_a").alias("want_a"), F.bool_or("want_b").alias("want_b")))
+
+
+def apart(star: DataFrame, sims: DataFrame, comp: DataFrame, near: Near) -> DataFrame:
+    """Buckets of the next round: rows of a star that aren't in its largest component, and what they could be similar to."""
+    seen = star.withColumn("a", F.least("hub", "sig")).withColumn("b", F.greatest("hub", "sig")).join(sims.select("a", "b", "shared", "pre_a", "pre_b"), ["a", "b"])
+    seen = labelled(seen.select("g", "sig", "n", "central", "shared", F.when(F.col("sig") == F.col("a"), F.col("pre_a")).otherwise(F.col("pre_b")).alias("pre")), comp)
+    per = seen.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("main")).where("comps > 1")
+    rows = cut(join_small(seen, cut(per.select("g", "main")), ["g"], "inner", BROADCAST_KEYS).withColumn("out", F.col("comp") != F.col("main")))
+    shape = ["key", "g", "sig", "n", "shared", "central"]
+
+    # they share a shingle beyond the hub
+    from_out = rows.where("out").select("*", F.explode("pre").alias("q")).withColumn("key", F.xxhash64("g", "q")).select(*shape)
+    from_main = rows.where("not out").select("*", F.explode("pre").alias("q")).withColumn("key", F.xxhash64("g", "q")).select(*shape)
+    beyond = from_out.union(from_main.join(from_out.select("key").distinct(), "key", "left_semi").select(*shape))
+
+    # all they share is in the hub
+    room = F.floor(F.col("shared") * (100 + near.percent) / near.percent) - F.col("n")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / near.percent) + 1e-9)
+    inside = rows.where(100 * F.col("shared") >= near.percent * F.col("n")).withColumn("room", room)
+    inside = inside.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("key", F.xxhash64("g", F.lit("inside"), "band"))
+    inside = inside.join(inside.groupBy("key").agg(F.min("n").alias("least")), "key").withColumn("open", F.col("out") & (F.col("room") >= F.col("least")))
+    limits = inside.where("open").groupBy("key").agg(F.min("n").alias("open_n"), F.max("room").alias("open_room"))
+    inside = inside.join(limits, "key").where("open or not out and n <= open_room and room >= open_n").select(*shape)
+
+    # equal buckets of a star become one, named by their rows
+    new = beyond.union(inside).distinct()
+    named = new.groupBy("key", "g").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("sig")).alias("x")).where("c > 1").select(F.col("key").alias("old"), F.xxhash64("g", "c", "x").alias("key"))
+    both = new.withColumnRenamed("key", "old").join(named, "old")
+    return both.select("key", "sig", "n", F.col("shared").alias("held"), (F.col("n") - F.col("shared")).alias("more"), "central").distinct()
