@@ -37,7 +37,9 @@ from .common import cut, join_small, ship
 ship(__name__)
 
 #: A bucket's or a document's key is a long; tables of so many are broadcast.
-BROADCAST_KEYS = 500_000
+BROADCAST_KEYS = 300_000
+#: Tables of buckets and pivots have several numbers a row.
+BROADCAST_BUCKETS = 50_000
 LINKS_A_TASK = 100_000
 
 
@@ -201,7 +203,7 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     new = cut(components(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
     nodes = links.select(F.explode(F.array("a", "b")).alias("sig"))
     known = comp.union(nodes.select("sig", F.col("sig").alias("comp"))).groupBy("sig").agg(F.min("comp").alias("comp"))
-    step = join_small(known, new.select(F.col("node").alias("comp"), F.col("comp").alias("top")), ["comp"], limit=BROADCAST_KEYS)
+    step = join_small(known, new.select(F.col("node").alias("comp"), F.col("comp").alias("top")), ["comp"], limit=BROADCAST_BUCKETS)
     return cut(step.select("sig", F.coalesce("top", "comp").alias("comp")))
 
 
@@ -253,6 +255,7 @@ def linked(docs: DataFrame, sk: DataFrame, members: DataFrame, near: Near) -> Da
         if live.isEmpty():
             return comp
         pivots = chosen(live, *((near.small, near.pivots) if round_no == 0 else (near.late, near.late)))
+        tidy(docs)
         star = cut(stars(live, pivots, F.col("hub") if round_no == 0 else F.xxhash64("key", "hub")))
         sims = cut(compared(candidates(live, pivots, star, near), sets, near))
         comp = merged(comp, similar(sims, near))
@@ -273,7 +276,7 @@ def live_buckets(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     now = labelled(buckets, comp)
     per = now.groupBy("key", "comp").agg(F.count("*").alias("same"))
     several = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("same").alias("of")).where("comps > 1").select("key", "of")
-    return cut(join_small(now, cut(per.join(several, "key")), ["key", "comp"], "inner", BROADCAST_KEYS))
+    return cut(join_small(now, cut(per.join(several, "key")), ["key", "comp"], "inner", BROADCAST_BUCKETS))
 
 
 def chosen(live: DataFrame, small: int, most: int) -> DataFrame:
@@ -288,13 +291,13 @@ def chosen(live: DataFrame, small: int, most: int) -> DataFrame:
 
 def by_key(live: DataFrame, pivots: DataFrame) -> DataFrame:
     """Rows of buckets beside the pivots of their bucket, which are broadcast where they are few."""
-    return live.join(F.broadcast(pivots) if pivots.count() <= BROADCAST_KEYS else pivots, "key")
+    return live.join(F.broadcast(pivots) if pivots.count() <= BROADCAST_BUCKETS else pivots, "key")
 
 
 def stars(live: DataFrame, pivots: DataFrame, group: Column) -> DataFrame:
     """g, hub, sig, n, central: rows of large buckets that aren't pivots, beside the first pivot."""
     own = pivots.select("key", F.col("hub").alias("sig"), "rank")
-    rest = join_small(live.where("`of` > 2"), own, ["key", "sig"], limit=BROADCAST_KEYS).where("rank is null").drop("rank")
+    rest = join_small(live.where("`of` > 2"), own, ["key", "sig"], limit=BROADCAST_BUCKETS).where("rank is null").drop("rank")
     return by_key(rest, pivots.where("rank = 1")).where("sig <> hub").select(group.alias("g"), "hub", "sig", "n", "central").distinct()
 
 
@@ -314,7 +317,7 @@ def apart(star: DataFrame, sims: DataFrame, comp: DataFrame, near: Near) -> Data
     seen = star.withColumn("a", F.least("hub", "sig")).withColumn("b", F.greatest("hub", "sig")).join(sims.select("a", "b", "shared", "pre_a", "pre_b"), ["a", "b"])
     seen = labelled(seen.select("g", "sig", "n", "central", "shared", F.when(F.col("sig") == F.col("a"), F.col("pre_a")).otherwise(F.col("pre_b")).alias("pre")), comp)
     per = seen.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("main")).where("comps > 1")
-    rows = cut(join_small(seen, cut(per.select("g", "main")), ["g"], "inner", BROADCAST_KEYS).withColumn("out", F.col("comp") != F.col("main")))
+    rows = cut(join_small(seen, cut(per.select("g", "main")), ["g"], "inner", BROADCAST_BUCKETS).withColumn("out", F.col("comp") != F.col("main")))
     shape = ["key", "g", "sig", "n", "shared", "central"]
 
     # they share a shingle beyond the hub
