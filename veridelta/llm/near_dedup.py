@@ -38,8 +38,6 @@ ship(__name__)
 
 #: A bucket's or a document's key is a long; tables of so many are broadcast.
 BROADCAST_KEYS = 300_000
-#: Tables of buckets and pivots have several numbers a row.
-BROADCAST_BUCKETS = 50_000
 LINKS_A_TASK = 100_000
 
 
@@ -147,14 +145,16 @@ def shingle_sets(docs: DataFrame, near: Near) -> DataFrame:
     return docs.select("text").mapInArrow(each, "sig long, set array<long>")
 
 
-def compared(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame, near: Near, few: bool = False) -> DataFrame:
     """The pairs (a, b) with their sizes na and nb, what they share, and pre_a and pre_b where want_a and want_b ask for them.
 
     pre_x is the part of x beyond the other side that any third set similar to x, if it shares some of x's rest, shares
-    at least one of. Only sets that occur in pairs are shuffled, where their keys are few enough to broadcast.
+    at least one of. With `few`, sets that don't occur in pairs are left out before the shuffle.
     """
-    need = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().withColumn("__hit", F.lit(1)))
-    used = join_small(sets.withColumn("__sig", F.col("sig")), need, ["sig"], "inner", BROADCAST_KEYS).select("__sig", "set")
+    used = sets.withColumn("__sig", F.col("sig"))
+    if few:
+        need = cut(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().withColumn("__hit", F.lit(1)))
+        used = join_small(used, need, ["sig"], "inner", BROADCAST_KEYS)
     one = pairs.join(used.select(F.col("__sig").alias("a"), F.col("set").alias("sa")), "a")
     both = one.join(used.select(F.col("__sig").alias("b"), F.col("set").alias("sb")), "b")
 
@@ -196,15 +196,19 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (sig, comp) with the new links (a, b) taken in. Only links between components are followed."""
+    if comp is None:
+        return components(links).select(F.col("node").alias("sig"), "comp")
     ends = labelled(links.select("b", F.col("a").alias("sig")), comp).select("b", F.col("comp").alias("x"))
     ends = labelled(ends.select("x", F.col("b").alias("sig")), comp).select("x", F.col("comp").alias("y"))
-    new = cut(components(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
-    nodes = links.select(F.explode(F.array("a", "b")).alias("sig"))
+    between = cut(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if between.isEmpty():
+        return comp
+    new = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    nodes = between.select(F.explode(F.array("a", "b")).alias("sig"))
     known = comp.union(nodes.select("sig", F.col("sig").alias("comp"))).groupBy("sig").agg(F.min("comp").alias("comp"))
-    step = join_small(known, new.select(F.col("node").alias("comp"), F.col("comp").alias("top")), ["comp"], limit=BROADCAST_BUCKETS)
-    return cut(step.select("sig", F.coalesce("top", "comp").alias("comp")))
+    return cut(known.join(new, "comp", "left").select("sig", F.coalesce("top", "comp").alias("comp")))
 
 
 def near_groups(docs: DataFrame, near: Near = Near(), row: str | None = None) -> DataFrame:
@@ -245,25 +249,22 @@ def linked(docs: DataFrame, sk: DataFrame, members: DataFrame, near: Near) -> Da
     ids = cut(first)
     texts = join_small(docs.select("doc_id", "text"), cut(ids.select("doc_id").distinct().withColumn("__hit", F.lit(1))), ["doc_id"], "inner", BROADCAST_KEYS)
     sets = cut(shingle_sets(texts, near).dropDuplicates(["sig"]))
-    size = members.groupBy("key").agg(F.count("*").alias("of"))
-    central = members.join(size, "key").groupBy("sig").agg(F.sum("of").alias("central"))
-    buckets = members.join(central, "sig").select("key", "sig", "n", F.lit(0).alias("held"), F.col("n").alias("more"), "central")
-    comp = docs.sparkSession.createDataFrame([], "sig long, comp long")
-    round_no = 0
-    while True:
-        live = live_buckets(buckets, comp)
-        if live.isEmpty():
-            return comp
-        pivots = chosen(live, *((near.small, near.pivots) if round_no == 0 else (near.late, near.late)))
-        tidy(docs)
-        star = cut(stars(live, pivots, F.col("hub") if round_no == 0 else F.xxhash64("key", "hub")))
-        sims = cut(compared(candidates(live, pivots, star, near), sets, near))
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("of")), "key")
+    central = sized.groupBy("sig").agg(F.sum("of").alias("central"))
+    live = cut(sized.join(central, "sig").select("key", "sig", "n", F.lit(0).alias("held"), F.col("n").alias("more"), "central", F.col("sig").alias("comp"), F.lit(1).alias("same"), "of"))
+    comp = None
+    limits, group = (near.small, near.pivots), F.col("hub")
+    while not live.isEmpty():
+        pivots = chosen(live, *limits)
+        star = cut(stars(live, pivots, group))
+        sims = cut(compared(candidates(live, pivots, star, near), sets, near, few=comp is not None))
         comp = merged(comp, similar(sims, near))
         tidy(docs)
         if star.isEmpty():
-            return comp
-        buckets = cut(apart(star, sims, comp, near))
-        round_no += 1
+            break
+        live = live_buckets(cut(apart(star, sims, comp, near)), comp)
+        limits, group = (near.late, near.late), F.xxhash64("key", "hub")
+    return comp if comp is not None else docs.sparkSession.createDataFrame([], "sig long, comp long")
 
 
 def labelled(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -276,7 +277,7 @@ def live_buckets(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     now = labelled(buckets, comp)
     per = now.groupBy("key", "comp").agg(F.count("*").alias("same"))
     several = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("same").alias("of")).where("comps > 1").select("key", "of")
-    return cut(join_small(now, cut(per.join(several, "key")), ["key", "comp"], "inner", BROADCAST_BUCKETS))
+    return cut(now.join(per.join(several, "key"), ["key", "comp"]))
 
 
 def chosen(live: DataFrame, small: int, most: int) -> DataFrame:
@@ -289,23 +290,18 @@ def chosen(live: DataFrame, small: int, most: int) -> DataFrame:
     return cut(top.select("key", "rank", F.col("sig").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"), F.col("held").alias("hub_held"), F.col("more").alias("hub_more")))
 
 
-def by_key(live: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Rows of buckets beside the pivots of their bucket, which are broadcast where they are few."""
-    return live.join(F.broadcast(pivots) if pivots.count() <= BROADCAST_BUCKETS else pivots, "key")
-
-
 def stars(live: DataFrame, pivots: DataFrame, group: Column) -> DataFrame:
     """g, hub, sig, n, central: rows of large buckets that aren't pivots, beside the first pivot."""
-    own = pivots.select("key", F.col("hub").alias("sig"), "rank")
-    rest = join_small(live.where("`of` > 2"), own, ["key", "sig"], limit=BROADCAST_BUCKETS).where("rank is null").drop("rank")
-    return by_key(rest, pivots.where("rank = 1")).where("sig <> hub").select(group.alias("g"), "hub", "sig", "n", "central").distinct()
+    own = pivots.select("key", F.col("hub").alias("sig"))
+    rest = live.join(own, ["key", "sig"], "left_anti")
+    return rest.join(pivots.where("rank = 1"), "key").where("sig <> hub").select(group.alias("g"), "hub", "sig", "n", "central").distinct()
 
 
 def candidates(live: DataFrame, pivots: DataFrame, star: DataFrame, near: Near) -> DataFrame:
     """Pairs (a, b) to compare: pivots with rows of other components that can be similar, and all of a star."""
     bound = F.least("held", "hub_held") + F.least("more", "hub_more")
     fit = (100 + near.percent) * bound >= near.percent * (F.col("n") + F.col("hub_n"))
-    new = by_key(live, pivots).where((F.col("comp") != F.col("hub_comp")) & fit).select("hub", "sig", F.lit(False).alias("want"))
+    new = live.join(pivots, "key").where((F.col("comp") != F.col("hub_comp")) & fit).select("hub", "sig", F.lit(False).alias("want"))
     both = new.union(star.select("hub", "sig", F.lit(True)))
     small_first = F.col("hub") < F.col("sig")
     pairs = both.select(F.least("hub", "sig").alias("a"), F.greatest("hub", "sig").alias("b"), (F.col("want") & ~small_first).alias("want_a"), (F.col("want") & small_first).alias("want_b"))
@@ -317,7 +313,7 @@ def apart(star: DataFrame, sims: DataFrame, comp: DataFrame, near: Near) -> Data
     seen = star.withColumn("a", F.least("hub", "sig")).withColumn("b", F.greatest("hub", "sig")).join(sims.select("a", "b", "shared", "pre_a", "pre_b"), ["a", "b"])
     seen = labelled(seen.select("g", "sig", "n", "central", "shared", F.when(F.col("sig") == F.col("a"), F.col("pre_a")).otherwise(F.col("pre_b")).alias("pre")), comp)
     per = seen.groupBy("g", "comp").agg(F.count("*").alias("c")).groupBy("g").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp"))["comp"].alias("main")).where("comps > 1")
-    rows = cut(join_small(seen, cut(per.select("g", "main")), ["g"], "inner", BROADCAST_BUCKETS).withColumn("out", F.col("comp") != F.col("main")))
+    rows = cut(seen.join(per.select("g", "main"), "g").withColumn("out", F.col("comp") != F.col("main")))
     shape = ["key", "g", "sig", "n", "shared", "central"]
 
     # they share a shingle beyond the hub
