@@ -47,6 +47,20 @@ def test_quality_keeps_clean_and_drops_symbols(spark):
     assert kept == {i for i, *_ in clean}
 
 
+def test_fences_come_from_the_sketches(spark):
+    """A source's own words set its fences; one that is mostly junk can't widen them; rules fixed beforehand would not tell."""
+    doc = lambda i, n, s, tail="": (i, " ".join(f"{j:0{n}d}" + tail for j in range(1000, 1080)), "en", s)
+    short, long = [doc(i, 4 + i % 2, "short") for i in range(60)], [doc(100 + i, 7 + i % 2, "long") for i in range(60)]
+    stray = [doc(200, 9, "short"), doc(201, 9, "long")]  # usual in one source only
+    junk = [doc(300 + i, 5 + i % 4, "bad", "#") for i in range(30)] + [doc(400 + i, 5 + i % 4, "bad") for i in range(10)]
+    rows = spark.createDataFrame(short + long + stray + junk, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules.quality_rules(rows, quality_rules.Rules(spread=2)).where("kept").collect()}
+    assert kept == {d[0] for d in short + long} | {201} | set(range(400, 410))
+    limits = {r.source: r for r in quality_rules.fences(quality_rules.sketch(quality_rules.measure(rows), quality_rules.Rules()), quality_rules.Rules()).collect()}
+    assert limits["short"].word_length_high < limits["long"].word_length_high
+    assert limits["bad"].symbol_rate_high == limits["long"].symbol_rate_high == 30
+
+
 def test_keep_good_keeps_columns(docs):
     out = quality_rules.keep_good(docs)
     assert out.columns == docs.columns and all(r.kept == "mine" for r in out.collect())

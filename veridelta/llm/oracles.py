@@ -22,12 +22,13 @@ OP9 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source,
  v AS (SELECT lang, source, unnest(['symbol_rate', 'dup_line_rate', 'word_length']) AS measure, unnest([symbol_rate, dup_line_rate, word_length])::BIGINT AS v FROM b WHERE NOT base_failed),
  s AS (SELECT lang, source, measure, {_BUCKET} AS bucket, count(*) AS n FROM v GROUP BY ALL),
  q AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM s),
- own AS (SELECT lang, source, measure, max(total) AS total, min(bucket) FILTER (cum * 4 >= total) AS q1, min(bucket) FILTER (cum * 4 >= total * 3) AS q3 FROM q GROUP BY ALL),
+ own AS (SELECT lang, source, measure, min(bucket) FILTER (cum * 4 >= total) AS q1, min(bucket) FILTER (cum * 4 >= total * 3) AS q3 FROM q GROUP BY ALL),
  sa AS (SELECT measure, bucket, sum(n) AS n FROM s GROUP BY ALL),
  qa AS (SELECT *, sum(n) OVER (PARTITION BY measure ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY measure) AS total FROM sa),
  every AS (SELECT measure, min(bucket) FILTER (cum * 4 >= total) AS a1, min(bucket) FILTER (cum * 4 >= total * 3) AS a3 FROM qa GROUP BY 1),
- k AS (SELECT lang, source, measure, CASE WHEN total < 50 THEN a1 ELSE q1 END AS q1, CASE WHEN total < 50 THEN a3 ELSE q3 END AS q3 FROM own JOIN every USING (measure)),
- f AS (SELECT lang, source, max(greatest(150, q3 + 6 * (q3 - q1))) FILTER (measure = 'symbol_rate') AS s_high, max(greatest(300, q3 + 6 * (q3 - q1))) FILTER (measure = 'dup_line_rate') AS d_high, max(greatest(1200, q3 + 6 * (q3 - q1))) FILTER (measure = 'word_length') AS w_high, max(least(250, q1 - 6 * (q3 - q1))) FILTER (measure = 'word_length') AS w_low FROM k GROUP BY ALL)
+ k AS (SELECT lang, source, measure, q1, q3, a1, a3, a3 - a1 AS wide, CASE WHEN q3 > q1 THEN q3 - q1 ELSE a3 - a1 END AS spread, CASE measure WHEN 'symbol_rate' THEN 30 WHEN 'dup_line_rate' THEN 200 ELSE 150 END AS slack FROM own JOIN every USING (measure)),
+ e AS (SELECT *, least(q3 + 6 * spread, a3 + 6 * wide) + slack AS high, greatest(q1 - 6 * spread, a1 - 6 * wide) - slack AS low FROM k),
+ f AS (SELECT lang, source, max(high) FILTER (measure = 'symbol_rate') AS s_high, max(high) FILTER (measure = 'dup_line_rate') AS d_high, max(high) FILTER (measure = 'word_length') AS w_high, max(low) FILTER (measure = 'word_length') AS w_low FROM e GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND symbol_rate <= coalesce(s_high, symbol_rate) AND dup_line_rate <= coalesce(d_high, dup_line_rate) AND word_length <= coalesce(w_high, word_length) AND word_length >= coalesce(w_low, word_length) AS kept
 FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source"""
 

@@ -21,15 +21,14 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 @dataclass(frozen=True)
 class Rules:
     """min_words, max_repeat_percent: the base rules. spread: interquartile ranges beyond the quartiles that are still
-    usual. ceilings: an upper fence is never below these, floors: a lower one never above; they keep fences wide where
-    nearly all documents of a source are alike. min_docs: sketches of fewer documents use those of all documents."""
+    usual. slack: what a measure may lie beyond that, in its own unit, since most documents of a source can have one
+    and the same value. lower: measures that have a lower fence as well."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     spread: int = 6
-    min_docs: int = 50
-    ceilings: dict[str, int] = field(default_factory=lambda: {"symbol_rate": 150, "dup_line_rate": 300, "word_length": 1200})
-    floors: dict[str, int] = field(default_factory=lambda: {"word_length": 250})
+    slack: dict[str, int] = field(default_factory=lambda: {"symbol_rate": 30, "dup_line_rate": 200, "word_length": 150})
+    lower: tuple[str, ...] = ("word_length",)
 
 
 def sorted_windows(shingles: str) -> Column:
@@ -99,24 +98,28 @@ def sketch(measured: DataFrame, r: Rules, lang: str = "lang", source: str = "sou
 
 
 def fences(sketches: DataFrame, r: Rules) -> DataFrame:
-    """One row per language and source: <measure>_low and <measure>_high, from the quartiles of its sketches."""
+    """One row per language and source: <measure>_low and <measure>_high, from the quartiles of its sketches.
+
+    A group's own quartiles set its fences; if they are equal, the range of all documents stands for theirs. No fence is
+    wider than that of all documents, so a group that is mostly junk can't excuse itself.
+    """
 
     def quartiles(s: DataFrame, keys: list[str]) -> DataFrame:
         w = W.partitionBy(*keys, "measure")
         cum = s.withColumn("cum", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-        return cum.groupBy(*keys, "measure").agg(F.max("total").alias("total"), *[F.min(F.when(F.col("cum") * 4 >= F.col("total") * q, F.col("bucket"))).alias(f"q{q}") for q in (1, 3)])
+        return cum.groupBy(*keys, "measure").agg(*[F.min(F.when(F.col("cum") * 4 >= F.col("total") * q, F.col("bucket"))).alias(f"q{q}") for q in (1, 3)])
 
     own = quartiles(sketches, ["lang", "source"])
     every = quartiles(sketches.groupBy("measure", "bucket").agg(F.sum("n").alias("n")), []).select("measure", F.col("q1").alias("a1"), F.col("q3").alias("a3"))
-    few = F.col("total") < r.min_docs
-    both = own.join(F.broadcast(every), "measure").select("lang", "source", "measure", F.when(few, F.col("a1")).otherwise(F.col("q1")).alias("q1"), F.when(few, F.col("a3")).otherwise(F.col("q3")).alias("q3"))
-    wide = r.spread * (F.col("q3") - F.col("q1"))
+    both = own.join(F.broadcast(every), "measure")  # one row a measure
+    wide = r.spread * (F.col("a3") - F.col("a1"))
+    near = F.when(F.col("q3") > F.col("q1"), r.spread * (F.col("q3") - F.col("q1"))).otherwise(wide)
     out = []
     for k in rates():
         mine = F.col("measure") == k
-        out.append(F.max(F.when(mine, F.greatest(F.lit(r.ceilings[k]), F.col("q3") + wide))).alias(f"{k}_high"))
-        if k in r.floors:
-            out.append(F.max(F.when(mine, F.least(F.lit(r.floors[k]), F.col("q1") - wide))).alias(f"{k}_low"))
+        out.append(F.max(F.when(mine, F.least(F.col("q3") + near, F.col("a3") + wide) + r.slack[k])).alias(f"{k}_high"))
+        if k in r.lower:
+            out.append(F.max(F.when(mine, F.greatest(F.col("q1") - near, F.col("a1") - wide) - r.slack[k])).alias(f"{k}_low"))
     return both.groupBy("lang", "source").agg(*out)
 
 
@@ -126,7 +129,7 @@ def judge(measured: DataFrame, limits: DataFrame, r: Rules) -> DataFrame:
     usual = F.lit(True)
     for k, v in rates().items():
         usual = usual & (v <= F.coalesce(F.col(f"{k}_high"), v))
-        if k in r.floors:
+        if k in r.lower:
             usual = usual & (v >= F.coalesce(F.col(f"{k}_low"), v))
     failed = base_failed(r)
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & usual).drop(*[c for c in limits.columns if c not in ("lang", "source")], "__n_lines")
@@ -145,9 +148,10 @@ def quality_rules(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns.
+    """The rows of docs that the rules keep, with all their columns, whatever their names.
 
-    Texts are measured a second time instead of being shuffled or stored with their counts.
+    Rows are judged one by one: a null text is dropped for want of words, null languages and sources are groups of their
+    own, repeated rows have equal verdicts, and an empty table gives an empty result. Texts are measured a second time instead of being shuffled or stored with their counts.
     """
     r = rules or Rules()
     limits = cut(fences(sketch(measure(docs, keep=["lang", "source"]), r), r))
