@@ -128,6 +128,34 @@ def test_extra_secrets_and_redaction(docs, spark):
     assert pii.redact(one).first().text == "no digits here"
 
 
+def test_added_spans_on_planted_texts(spark):
+    """Precision and recall of spans beyond the validated ones, on texts and values that the fit hasn't seen."""
+    rng = np.random.default_rng(5)
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    w = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    h = lambda: "".join(rng.choice(list("0123456789abcdef"), 4))
+    good = [lambda: f"call ({d(3)}) {d(3)}-{d(4)}", lambda: f"phone: {d(3)}-{d(3)}-{d(4)}", lambda: f"write to {w(6)} at {w(7)} dot com", lambda: f"contact {w(4)} (at) {w(8)} (dot) org", lambda: f"host {':'.join(h() for _ in range(8))}", lambda: f"tel. {d(3)}.{d(3)}.{d(4)}"]
+    plain = [lambda: f"order {d(9)}", lambda: f"on 20{d(2)}-0{d(1)}-1{d(1)} 12:{d(2)}:{d(2)}", lambda: f"total {d(1)},{d(3)},{d(3)}.{d(2)}", lambda: f"look at {w(6)}. {w(5).title()}", lambda: f"version {d(1)}.{d(1)}.{d(1)}.{d(2)}.{d(1)}", lambda: f"key = {h()}{h()}{d(8)}{h()}{h()}"]
+    rows = []
+    for i in range(240):
+        make = (good if i % 2 else plain)[(i // 2) % 6]
+        rows.append((i, " ".join(w(int(n)) for n in rng.integers(2, 9, 30)) + " " + make() + " " + " ".join(w(int(n)) for n in rng.integers(2, 9, 30))))
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert set(model.thresholds) == set(pii.ADDED)
+    found = {r.doc_id: [s for s in r.pii if s.kind in pii.ADDED] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    hit = {i for i, s in found.items() if s}
+    want = {i for i, _ in rows if i % 2}
+    assert len(hit & want) >= 0.85 * len(want), (len(hit & want), Counter((i // 2) % 6 for i in want - hit))
+    assert len(hit & want) >= 0.95 * len(hit), Counter((i // 2) % 6 for i in hit - want)
+    assert pii.Model(model.trees, {k: 1.1 for k in pii.ADDED}) and not [s for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), pii.Model(model.trees, {k: 1.1 for k in pii.ADDED})).collect() for s in r.pii if s.kind in pii.ADDED]
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    """Columns named like spans and working columns stay as they are."""
+    one = spark.createDataFrame([(1, "a.b@c.dd", "mine", "base", "found")], "doc_id long, text string, pii string, __base string, __found string")
+    assert tuple(pii.redact(one).first()) == (1, "[EMAIL]", "mine", "base", "found")
+
+
 def brute_groups(rows, k, percent):
     sets = [(d, set(near_dedup.shingles(t, k).tolist())) for d, t in rows]
     top = list(range(len(sets)))

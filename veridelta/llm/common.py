@@ -18,6 +18,15 @@ WHITE = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 100_000
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a working column that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_of(col: str | Column) -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
