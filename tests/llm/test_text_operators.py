@@ -316,11 +316,21 @@ def brute_pieces(vocabulary, codec, text):
 def test_pieces(spark, docs):
     vocabulary = pieces.load(pieces.tokenizer_path())
     codec, plain = pieces.Codec(vocabulary), pieces.Codec(vocabulary)
-    plain.segments = re.compile("(?s).+")  # everything streams
+    plain.runs = None  # everything streams in one window
     odd = [" ", "  a  b ", "\n\n", "x\n\ny", "😀 ü\t\x01", "a" * 300, "ab" * 200 + " " * 50 + "!" * 100, "<s> </s><0x0A>"]
     for t in odd + [r.text[:1500] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]:
         ids = codec.encode(t)
         assert ids == brute_pieces(vocabulary, codec, t) == plain.encode(t) and codec.decode(ids) == t
+    # all ids are given out because paths met: at the end of each run, and early in runs that are long
+    for t in ("▁hello", "▁▁▁", "\n", "x" * 500, "▁" + "ab" * 400):
+        w = codec.window()
+        w.push(t + "\n")
+        assert w.meet() >= len(t) and sum(codec.stream(t), []) == w.path(len(t), codec.byte_id)
+    assert len(list(codec.stream("▁" + "ab" * 400))) > 5
+    small, pieces.MEMO = pieces.Codec(vocabulary), 3
+    text = "a b c d e f a b c d e f g a" * 3
+    assert small.encode(text) == codec.encode(text) and len(small.memo) <= 12
+    pieces.MEMO = 100_000
     rows = pieces.encoded(docs, vocabulary).collect()
     assert len(rows) == docs.count() and all(r.round_trip for r in rows) and {r.n_ids for r in rows if r.doc_id in (2, 3)} == {0}
 

@@ -1,11 +1,11 @@
 """SentencePiece encoding by streaming Viterbi, and decoding.
 
 A text is segmented into vocabulary pieces with the greatest sum of scores, characters without a piece becoming their
-UTF-8 bytes. Only positions at which a piece can still begin are open. Once the back pointers of all open positions
-meet at one boundary, the ids before it are certain: they are given out, and the window starts there. Before a space
-mark, and around line ends, no piece of the vocabulary goes on, so paths meet there in any text: such segments are
-segmented once and looked up from then on, in sorted order, so that one starts from the window of the one before as far
-as their beginnings agree.
+UTF-8 bytes. Only positions at which a piece can still begin are open, at most as many as the longest piece has
+characters. Once the back pointers of all open positions meet at one boundary, the ids before it are certain: they are
+given out, and the window starts there. Before a space mark, and around line ends, no piece of the vocabulary goes on,
+so paths meet there in any text and leave the window empty. The ids of such a run are remembered once the window gave
+them out, and looked up when the run comes again.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from .common import ship
 ship(__name__)
 
 SPACE = "▁"
-#: Segments whose ids a task remembers at most; then it starts afresh, which costs time only.
-MEMO = 100_000
+#: Runs that a task remembers: the last MEMO new ones and up to as many before; longer ones than LONG are not. This bounds
+#: memory and changes no ids.
+MEMO, LONG = 100_000, 200
 
 
 def load(path: str) -> tuple[list[str], list[float], list[int]]:
@@ -46,8 +47,8 @@ def load(path: str) -> tuple[list[str], list[float], list[int]]:
 class Window:
     """The open part of the lattice: characters after the last certain boundary, and the best path to each end."""
 
-    def __init__(self, ends: list, unknown: float) -> None:
-        self.ends, self.unknown = ends, unknown
+    def __init__(self, ends: list, going: set[str], lasts: set[str], longest: int, unknown: float) -> None:
+        self.ends, self.going, self.lasts, self.longest, self.unknown = ends, going, lasts, longest, unknown
         self.chars: list[str] = []
         self.best, self.start, self.piece = [0.0], [0], [-1]
 
@@ -75,9 +76,15 @@ class Window:
         """Forgets all but the first n characters."""
         del self.chars[n:], self.best[n + 1 :], self.start[n + 1 :], self.piece[n + 1 :]
 
-    def meet(self, longest: int) -> int:
-        """The last boundary that the best paths to all open ends share; a piece can begin at the last `longest` ends only."""
-        live = set(range(max(0, len(self.chars) - longest), len(self.chars) + 1))
+    def meet(self) -> int:
+        """The last boundary that the best paths to all open positions share: the end, and where a piece may have begun
+        that goes on."""
+        n, going = len(self.chars), self.going
+        if not n or self.chars[-1] not in self.lasts:
+            return n
+        tail = "".join(self.chars[-self.longest :])
+        live = {n - k for k in range(1, len(tail) + 1) if tail[-k:] in going}
+        live.add(n)
         while len(live) > 1:
             last = max(live)
             live.remove(last)
@@ -116,54 +123,71 @@ class Codec:
                 node = node[0].setdefault(c, [{}, None, -1])
             node[1:] = s, i
         self.ends = root[0]
+        self.going = {p[:k] for p, _, _ in normal for k in range(1, len(p))}  # what can go on to be a piece
+        self.lasts = {p[-1] for p in self.going}
         self.unknown = min(s for _, s, _ in normal) - 10
         self.byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == 1}
         self.out = [bytes([int(p[3:5], 16)]) if k == 1 else b"" if k == 2 else p.replace(SPACE, " ").encode() for p, k in zip(pieces, kinds)]
         # boundaries that no piece spans, whatever the text: before a space mark that doesn't follow one, and around line ends
         long = [p for p, _, _ in normal if len(p) > 1]
-        if any(SPACE in p.lstrip(SPACE) for p in long) or any("\n" in p for p in long):
-            self.segments = re.compile(r"(?s).+")
-        else:
-            self.segments = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        free = any(SPACE in p.lstrip(SPACE) for p in long) or any("\n" in p for p in long)
+        self.runs = None if free else re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+
+    def window(self) -> Window:
+        return Window(self.ends, self.going, self.lasts, self.longest, self.unknown)
 
     def stream(self, text: str) -> Iterator[list[int]]:
-        """Ids in parts, each given out once it is certain."""
-        w, step = Window(self.ends, self.unknown), 4 * self.longest
+        """Ids of text in parts, each given out once it is certain."""
+        w, step = self.window(), 4 * self.longest
         for k in range(0, len(text), step):
             w.push(text[k : k + step])
-            meet = w.meet(self.longest)
-            if meet:
+            if meet := w.meet():
                 yield w.path(meet, self.byte_id)
                 w.drop(meet)
         yield w.path(len(w.chars), self.byte_id)
 
-    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text. Segments that weren't seen before are segmented first; those of over 64 characters stream."""
-        cut = [self.segments.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        memo = self.memo
-        if len(memo) >= MEMO:
-            memo.clear()
-        w, last = Window(self.ends, self.unknown), ""
-        for s in sorted({s for c in cut for s in c if s not in memo and len(s) <= 64}):
+    def learn(self, runs: list[str]) -> None:
+        """Remembers the ids of runs. In sorted order, a run's window starts from that of the one before as far as their
+        beginnings agree. A line end pushed behind it closes all pieces, so that the paths must meet at its end."""
+        if len(self.memo) + len(runs) > MEMO:
+            self.memo, self.older = {}, self.memo
+        w, last = self.window(), ""
+        for s in sorted(runs):
             n = 0
             for x, y in zip(s, last):
                 if x != y:
                     break
                 n += 1
             w.keep(n)
-            w.push(s[n:])
-            memo[s] = w.path(len(s), self.byte_id)
+            w.push(s[n:] + "\n")
+            if w.meet() < len(s):
+                raise AssertionError("a piece goes on beyond the run")
+            self.memo[s] = w.path(len(s), self.byte_id)
             last = s
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text. Runs that were not seen are learned first; those beyond LONG characters stream each time."""
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        if self.runs is None:
+            return [[i for part in self.stream(m) for i in part] for m in marked]
+        cut = [self.runs.findall(m) for m in marked]
+        new = {s for c in cut for s in c if s not in self.memo and len(s) <= LONG}
+        known = {s: self.older[s] for s in new if s in self.older}
+        self.learn([s for s in new if s not in known])
+        memo = self.memo
+        memo.update(known)
+        older = self.older
         out = []
         for c in cut:
             ids: list[int] = []
             for s in c:
-                if (found := memo.get(s)) is not None:
-                    ids += found
-                else:
+                if (found := memo.get(s)) is None and (found := older.get(s)) is None:
                     for part in self.stream(s):
                         ids += part
+                else:
+                    ids += found
             out.append(ids)
         return out
 
