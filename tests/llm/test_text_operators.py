@@ -331,7 +331,7 @@ def test_pieces(spark, docs):
     small, pieces.MEMO = pieces.Codec(vocabulary), 3
     text = "a b c d e f a b c d e f g a" * 3
     assert small.encode(text) == codec.encode(text) and len(small.memo) <= 12
-    pieces.MEMO = 100_000
+    pieces.MEMO = 60_000
     rows = pieces.encoded(docs, vocabulary).collect()
     assert len(rows) == docs.count() and all(r.round_trip for r in rows) and {r.n_ids for r in rows if r.doc_id in (2, 3)} == {0}
 

@@ -51,7 +51,7 @@ class Near:
     percent: int = 80
     rows: int = 5
     miss: float = 1e-6
-    small: int = 16
+    small: int = 64
     pivots: int = 2
     late: int = 64
 

@@ -25,7 +25,7 @@ ship(__name__)
 SPACE = "▁"
 #: Runs that a task remembers: the last MEMO new ones and up to as many before; longer ones than LONG are not. This bounds
 #: memory and changes no ids.
-MEMO, LONG = 100_000, 200
+MEMO, LONG = 60_000, 200
 
 
 def load(path: str) -> tuple[list[str], list[float], list[int]]:
