@@ -52,8 +52,9 @@ def schema_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """rows and a sum of row hashes: equal for equal rows in any order."""
-    h = F.xxhash64(*[F.col(c) for c in cols or df.columns])
+    """rows and a sum of row hashes: equal for equal rows in any order. Hashes pass over nulls, so their places go in too."""
+    own = cols or df.columns
+    h = F.xxhash64(*[F.col(c) for c in own], *[F.col(c).isNull() for c in own])
     return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("fingerprint"))
 
 

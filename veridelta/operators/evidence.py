@@ -66,13 +66,38 @@ def match_exceptions(findings: DataFrame, exceptions: DataFrame, now: Column) ->
     return own.join(ex, ["scope", "value"]).select("occurrence_id", "exception_id", "status").distinct()
 
 
+COUNTED = ("agree", "fixed", "disagree", "false_positive", "accepted_risk")
+
+
+def feedback_counts(feedback: DataFrame) -> DataFrame:
+    """Per stable_finding_id: rows of feedback (each once) and how many of them have each disposition."""
+    once = feedback.select("feedback_id", "disposition", "stable_finding_id").distinct()
+    return once.groupBy("stable_finding_id").agg(F.count("*").alias("feedback"), *[F.count_if(F.col("disposition") == d).alias(d) for d in COUNTED])
+
+
+def exception_counts(exceptions: DataFrame, now: Column) -> DataFrame:
+    """Per scope and value: active and expired exceptions, each once; invalid ones don't count."""
+    status = exception_status(F.col("reason"), F.col("expires_on"), now)
+    once = exceptions.select("exception_id", "scope", F.when(F.col("scope") == "global", "*").otherwise(F.col("value")).alias("value"), status.alias("status")).where("status <> 'invalid'").distinct()
+    return once.groupBy("scope", "value").agg(F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") == "expired").alias("expired"))
+
+
 def with_evidence(findings: DataFrame, feedback: DataFrame, exceptions: DataFrame, now: Column) -> DataFrame:
-    """findings with counts of dispositions and exceptions, each summed per occurrence before it is joined."""
-    f = match_feedback(findings, feedback, ["stable_id"]).groupBy("occurrence_id").agg(F.count("*").alias("feedback"), *[F.count_if(F.col("disposition") == d).alias(d) for d in ("agree", "fixed", "disagree", "false_positive", "accepted_risk")])
-    e = match_exceptions(findings, exceptions, now).groupBy("occurrence_id").agg(F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") == "expired").alias("expired"))
-    counts = [c for d in (f, e) for c in d.columns if c != "occurrence_id"]
-    out = findings.join(f, "occurrence_id", "left").join(e, "occurrence_id", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    """findings with counts of dispositions and exceptions.
+
+    Both are counted per key before they are joined, so that each join has one row for a finding, however much feedback
+    a stable id has gathered.
+    """
+    out = findings.join(feedback_counts(feedback).withColumnRenamed("stable_finding_id", "stable_id"), "stable_id", "left")
+    per = exception_counts(exceptions, now)
+    parts = []
+    for scope, value in (("global", F.lit("*")), ("stable_id", F.col("stable_id")), ("family", F.col("family")), ("source", F.col("source_id")), ("receipt", F.col("receipt_day"))):
+        own = per.where(F.col("scope") == scope).select(F.col("value").alias(f"__v_{scope}"), F.col("active").alias(f"__a_{scope}"), F.col("expired").alias(f"__e_{scope}"))
+        out = out.join(own, value.cast("string") == F.col(f"__v_{scope}"), "left")
+        parts.append(scope)
+    total = lambda k: sum((F.coalesce(f"__{k}_{s}", F.lit(0)) for s in parts), F.lit(0))
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("feedback", *COUNTED)} | {"active": total("a"), "expired": total("e")}
+    return out.withColumns(counts).drop(*[f"__{k}_{s}" for k in "vae" for s in parts])
 
 
 def review_state(evidence: DataFrame, ts: Column, now: Column) -> DataFrame:
@@ -219,13 +244,21 @@ def positional_compare(current: DataFrame, baseline: DataFrame, by: str, order:
     return j.withColumn("matches", F.coalesce(same, F.lit(False)))
 
 
-def rank_hypotheses(scored: DataFrame, by: str) -> DataFrame:
-    """Order of a receipt's findings by weighted parts; the first is primary, then secondary, advisory, suppressed."""
+def rank_hypotheses(scored: DataFrame, by: str, floor: float = 0.34) -> DataFrame:
+    """score, rank and role of a receipt's findings.
+
+    Eligible are those with a change event, some specificity and a score of at least `floor`. The first of them is
+    primary, the others secondary; of the rest, scores from 0.12 are advisory. Without an eligible one all of the
+    receipt are suppressed.
+    """
     s = 0.35 * F.col("specificity") + 0.25 * F.col("dependency") + 0.2 * F.col("fidelity_score") + 0.2 * F.col("actionability")
-    out = scored.withColumn("score", F.when(F.col("has_event"), s).otherwise(F.least(s, F.lit(0.34))))
+    out = scored.withColumn("score", F.round(F.when(F.col("has_event"), s).otherwise(F.least(s, F.lit(floor))), 9))
+    eligible = F.col("has_event") & (F.col("specificity") > 0) & (F.col("score") >= floor)
+    first = out.where(eligible).groupBy(by).agg(F.min(F.struct(-F.col("score"), F.col("occurrence_id").alias("id")))["id"].alias("__first"))
+    out = out.join(first, by, "left")
+    role = F.when(F.col("__first").isNull(), "suppressed").when(F.col("occurrence_id") == F.col("__first"), "primary").when(eligible, "secondary").when(F.col("score") >= 0.12, "advisory").otherwise("suppressed")
     r = F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "occurrence_id"))
-    role = F.when(F.col("rank") == 1, "primary").when(F.col("score") >= 0.34, "secondary").when(F.col("score") >= 0.12, "advisory").otherwise("suppressed")
-    return out.withColumn("rank", r).withColumn("role", role)
+    return out.withColumn("role", role).withColumn("rank", r).drop("__first")
 
 
 def recent_n(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:

@@ -37,8 +37,9 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(ev_sql(" SELECT disposition, count(*) AS n, count(DISTINCT occurrence_id) AS occurrences FROM mf GROUP BY 1"))
 def c10_match_feedback(spark: SparkSession, sf: str) -> DataFrame:
-    m = E.match_feedback(findings(spark, sf), view(spark, sf, "feedback"), ["stable_id"])
-    return m.groupBy("disposition").agg(F.count("*").alias("n"), F.count_distinct("occurrence_id").alias("occurrences"))
+    per = view(spark, sf, "feedback").select("feedback_id", "disposition", F.col("stable_finding_id").alias("stable_id")).distinct()
+    per = per.groupBy("stable_id", "disposition").agg(F.count("*").alias("c"))
+    return findings(spark, sf).join(per, "stable_id").groupBy("disposition").agg(F.sum("c").alias("n"), F.count_distinct("occurrence_id").alias("occurrences"))
 
 
 @query(ev_sql(" SELECT occurrence_id, exception_id, status FROM me"))
@@ -174,10 +175,10 @@ def e3_positional_compare(spark: SparkSession, sf: str) -> DataFrame:
     return E.positional_compare(f.where("occurrence_id % 3 <> 0"), f.where("occurrence_id % 5 <> 0"), "receipt_day", "occurrence_id")
 
 
-@query(with_views("""WITH s AS (SELECT occurrence_id, receipt_day, CASE WHEN replay_ran THEN 0.35 * (risk_score / 100.0) + 0.25 * 0.5 + 0.2 * fidelity_score + 0.2 * 0.5 ELSE least(0.34, 0.35 * (risk_score / 100.0) + 0.25 * 0.5 + 0.2 * fidelity_score + 0.2 * 0.5) END AS score FROM findings), r AS (SELECT *, row_number() OVER (PARTITION BY receipt_day ORDER BY round(score, 9) DESC, occurrence_id) AS rank FROM s) SELECT occurrence_id, rank FROM r WHERE rank <= 3""", "findings"))
+@query(with_views("""WITH s AS (SELECT occurrence_id, receipt_day, replay_ran AS ev, risk_score, CASE WHEN replay_ran THEN 0.35 * (risk_score / 100.0) + 0.25 * 0.5 + 0.2 * fidelity_score + 0.2 * 0.5 ELSE least(0.34, 0.35 * (risk_score / 100.0) + 0.25 * 0.5 + 0.2 * fidelity_score + 0.2 * 0.5) END AS score FROM findings), t AS (SELECT *, ev AND risk_score > 0 AND round(score, 9) >= 0.34 AS ok FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY receipt_day, ok ORDER BY round(score, 9) DESC, occurrence_id) AS k, bool_or(ok) OVER (PARTITION BY receipt_day) AS found FROM t) SELECT occurrence_id, round(score, 6) AS score, CASE WHEN NOT found THEN 'suppressed' WHEN ok AND k = 1 THEN 'primary' WHEN ok THEN 'secondary' WHEN round(score, 9) >= 0.12 THEN 'advisory' ELSE 'suppressed' END AS role FROM r""", "findings"))
 def e4_rank_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
     s = findings(spark, sf).select("occurrence_id", "receipt_day", (F.col("risk_score") / 100).alias("specificity"), F.lit(0.5).alias("dependency"), "fidelity_score", F.lit(0.5).alias("actionability"), F.col("replay_ran").alias("has_event"))
-    return E.rank_hypotheses(s, "receipt_day").where("rank <= 3").select("occurrence_id", "rank")
+    return E.rank_hypotheses(s, "receipt_day").select("occurrence_id", F.round("score", 6).alias("score"), "role")
 
 
 @query(with_views("SELECT stable_id, occurrence_id, recency FROM (SELECT *, row_number() OVER (PARTITION BY stable_id ORDER BY receipt_day DESC, occurrence_id DESC) AS recency FROM findings) WHERE recency <= 4", "findings"))
