@@ -24,7 +24,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 8, paths: bool =
     """root, node, depth (and path): what each root reaches within max_depth steps, at its shortest distance.
 
     Roots (one column, root) are left out of their own reach. Each level joins the frontier with the edges, drops what was
-    seen and is cut; it ends when the frontier is empty. Of equally short paths the smallest counts. Self-loops, cycles
+    seen and is written once; what was seen is the union of the levels. It ends when the frontier is empty. Of equally short paths the smallest counts. Self-loops, cycles
     and repeated edges change nothing.
     """
     e = edges.select(F.col("source").alias("__s"), F.col("target").alias("__t")).where("__s is not null and __t is not null").distinct()
@@ -36,7 +36,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int = 8, paths: bool =
         frontier = cut(new.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
 

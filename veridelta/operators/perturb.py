@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that one task may sort.
+FEW = 10_000
+
 
 def first_k_by_key(df: DataFrame, pk: str, share: float, pred: Column | None = None) -> Column:
     """A condition on pk that holds for the ceil(n * share) smallest keys among rows that satisfy pred (at least one).
 
-    Two passes without a sort to one task: rows by range partition are counted, and within the partition in which the
-    k-th key lies a window finds it. Keys are unique. No rows: the condition never holds.
+    No sort to one task: rows by range partition are counted, and the range in which the k-th key lies is split again
+    until it holds few rows (`FEW`), whatever the size of the table. Keys are unique. No rows: the condition never holds.
     """
     rows = (df if pred is None else df.where(pred)).select(F.col(pk).alias("k")).where("k is not null")
     n = rows.count()
     if n == 0:
         return F.lit(False)
     k = max(1, -int(-n * share // 1))
-    parts = max(1, min(200, n // 10_000))
-    edges = rows.repartitionByRange(parts, "k").withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("low").collect()  # at most 200 rows
-    for e in edges:
-        if k <= e.n:
-            inside = rows.where((F.col("k") >= F.lit(e.low)) & (F.col("k") <= F.lit(e.high)))
-            cutoff = inside.orderBy("k").limit(k).agg(F.max("k")).first()[0]
-            return (F.col(pk) <= F.lit(cutoff)) & (F.lit(True) if pred is None else F.coalesce(pred, F.lit(False)))
-        k -= e.n
-    return F.lit(True)
+    while n > FEW:
+        ranges = rows.repartitionByRange(min(200, n // FEW + 1), "k").withColumn("p", F.spark_partition_id()).groupBy("p")
+        edges = ranges.agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("low").collect()  # at most 200 rows
+        if len(edges) == 1:  # one key, repeated
+            break
+        for e in edges:
+            if k <= e.n:
+                break
+            k -= e.n
+        n, rows = e.n, rows.where((F.col("k") >= F.lit(e.low)) & (F.col("k") <= F.lit(e.high)))
+    cutoff = rows.orderBy("k").limit(k).agg(F.max("k")).first()[0]
+    return (F.col(pk) <= F.lit(cutoff)) & (F.lit(True) if pred is None else F.coalesce(pred, F.lit(False)))
 
 
 def null_flood(df: DataFrame, c: str, pk: str, share: float = 0.15) -> DataFrame:

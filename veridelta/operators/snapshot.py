@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .checks import crosses_time_zone, numeric_precision, varchar_length
+from .graph import lookup
 
 NODE = "struct<dtype:string,family:string,nullable:boolean,null_rate:double,cardinality:double>"
 #: Pairs of type families (fixed values).
@@ -14,6 +15,9 @@ NARROWINGS = ["BIGINT>INTEGER", "BIGINT>SMALLINT", "INTEGER>SMALLINT", "TEXT>VAR
 CROSSES = ["VARCHAR>NUMERIC", "VARCHAR>BOOLEAN", "TIMESTAMP>VARCHAR", "TIMESTAMP>NUMERIC", "NUMERIC>BOOLEAN"]
 ALIASES = {"INT": "INTEGER", "INT4": "INTEGER", "INT8": "BIGINT", "LONG": "BIGINT", "SHORT": "SMALLINT", "STRING": "VARCHAR", "DECIMAL": "NUMERIC", "REAL": "FLOAT", "BOOL": "BOOLEAN", "TIMESTAMP_NTZ": "TIMESTAMP", "TIMESTAMPTZ": "TIMESTAMP", "DATETIME": "TIMESTAMP"}
 GROUPS = {"INTEGER": "NUMERIC", "BIGINT": "NUMERIC", "SMALLINT": "NUMERIC", "FLOAT": "NUMERIC", "DOUBLE": "NUMERIC", "TEXT": "VARCHAR", "CHAR": "VARCHAR", "DATE": "TIMESTAMP"}
+#: Families of types, and changes of family that lose something (fixed values).
+FAMILIES = {"INTEGER": "INTEGER", "INT": "INTEGER", "SMALLINT": "INTEGER", "TINYINT": "INTEGER", "BIGINT": "INTEGER", "FLOAT": "FLOAT", "DOUBLE": "FLOAT", "REAL": "FLOAT", "NUMERIC": "FLOAT", "DECIMAL": "FLOAT", "VARCHAR": "STRING", "TEXT": "STRING", "CHAR": "STRING", "NVARCHAR": "STRING", "STRING": "STRING", "TIMESTAMP": "TEMPORAL", "DATE": "TEMPORAL", "DATETIME": "TEMPORAL", "TIMESTAMPTZ": "TEMPORAL", "TIME": "TEMPORAL"}
+FAMILY_NARROWINGS = ["INTEGER>FLOAT", "STRING>INTEGER", "STRING>FLOAT", "TEMPORAL>STRING", "TEMPORAL>INTEGER", "FLOAT>INTEGER"]
 BLOCKING, REVIEW = ["DESTRUCTIVE_DELETE", "TYPE_NARROWING", "NULLABLE_HARDENING", "SEMANTIC_BREAKING", "ADDITIVE_BREAKING"], ["RENAME_LOW_CONFIDENCE", "RENAME_HIGH_CONFIDENCE", "DATA_REGRESSION"]
 
 
@@ -120,6 +124,12 @@ def is_narrowing(before: Column, after: Column) -> Column:
     return pair.isin(NARROWINGS) | F.coalesce(shorter, F.lit(False)) | F.coalesce(less, F.lit(False))
 
 
+def is_family_narrowing(before: Column, after: Column) -> Column:
+    """The coarser rule, which looks at families of types only: widths within a family never count."""
+    family = lambda c: lookup(F.upper(F.trim(F.regexp_replace(c, r"\(.*$", ""))), FAMILIES, "")
+    return F.concat_ws(">", family(before), family(after)).isin(FAMILY_NARROWINGS)
+
+
 def classify(events: DataFrame, blast: str = "blast_count", null_step: float = 0.05, card_step: float = 0.35) -> DataFrame:
     """events with compatibility, one of ten classes. Needs change_type, before, after, detail and a count of what is hit."""
     b, a, kind = F.col("before"), F.col("after"), F.col("change_type")

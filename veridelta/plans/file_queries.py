@@ -41,22 +41,22 @@ def a3_read_workload(spark: SparkSession, sf: str) -> DataFrame:
     return R.read_workload(spark, path).select("query_id", "query_text", "calls")
 
 
-@query(with_views("SELECT DISTINCT query_text AS statement FROM history WHERE run_id <= 200", "history"))
+@query(with_views("SELECT query_text AS statement, count(*) AS n FROM history GROUP BY 1", "history"))
 def a4_read_sql_texts(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark)
-    view(spark, sf, "history").where("run_id <= 200").select(F.concat("query_text", F.lit(";\n"))).write.text(path)
-    return R.read_sql_texts(spark, path).select("statement").distinct()
+    view(spark, sf, "history").select(F.concat("query_text", F.lit(";\n"))).write.text(path)
+    return R.read_sql_texts(spark, path).groupBy("statement").agg(F.count("*").alias("n"))
 
 
 @query(with_views("SELECT receipt_day, stable_id, risk_score, replay_status, fidelity_score FROM findings", "findings"))
 def a6_read_receipts(spark: SparkSession, sf: str) -> DataFrame:
-    """One receipt a day; each is one line of JSON here, which the reader takes like a file of its own."""
+    """Receipts of a day hold at most 1,000 findings each, one receipt a line."""
     path = scratch(spark)
     f = view(spark, sf, "findings")
     item = F.struct("stable_id", "family", "severity", "risk_score", F.struct(F.col("business_severity").alias("highest_business_severity")).alias("business_impact"), F.struct("replay_ran", F.col("replay_status").alias("status")).alias("validation_replay"), F.struct(F.col("fidelity_score").alias("score")).alias("replay_fidelity"))
-    days = f.groupBy("receipt_day").agg(F.collect_list(item).alias("findings"))  # a day's findings are one receipt
-    days.select(F.col("receipt_day").cast("timestamp").cast("string").alias("generated_at"), F.lit("REVIEW").alias("verdict"), "findings", F.col("receipt_day").alias("day")).repartition(F.col("day")).write.partitionBy("day").json(path)
-    return R.read_receipts(spark, path).select(F.to_date("generated_at").alias("receipt_day"), "stable_id", "risk_score", "replay_status", "fidelity_score")
+    parts = f.groupBy("receipt_day", F.floor(F.col("occurrence_id") / 1000)).agg(F.collect_list(item).alias("findings"))
+    parts.select(F.col("receipt_day").cast("timestamp").cast("string").alias("generated_at"), F.lit("REVIEW").alias("verdict"), "findings").write.json(path)
+    return R.read_receipts(spark, path, lines=True).select(F.to_date("generated_at").alias("receipt_day"), "stable_id", "risk_score", "replay_status", "fidelity_score")
 
 
 @query(with_views("SELECT stable_finding_id, disposition, count(*) AS n FROM feedback GROUP BY ALL", "feedback"))

@@ -13,15 +13,16 @@ from ..operators import snapshot as S
 from .registry import query, table
 from .views import view, with_views
 
-_REACH = "WITH RECURSIVE r(root, node, depth) AS (SELECT x, x, 0 FROM (VALUES (1::BIGINT), (2), (3)) v(x) UNION ALL SELECT r.root, e.target, r.depth + 1 FROM r JOIN edges e ON e.source = r.node WHERE r.depth < 8)"
+_REACH = "WITH RECURSIVE r(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT r.root, e.target, r.depth + 1 FROM r JOIN edges e ON e.source = r.node WHERE r.depth < 8)"
 
 
 def recursive(sql: str, *views: str) -> str:
     return with_views(sql.replace("WITH RECURSIVE ", "WITH ", 1), *views).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _roots(spark: SparkSession) -> DataFrame:
-    return spark.range(1, 4).withColumnRenamed("id", "root")
+def _roots(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer."""
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("root"))
 
 
 def _nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,7 +32,7 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(recursive(_REACH + " SELECT root, node, depth FROM r WHERE depth > 0", "edges"))
 def h1_reach(spark: SparkSession, sf: str) -> DataFrame:
-    return G.reach(view(spark, sf, "edges"), _roots(spark))
+    return G.reach(view(spark, sf, "edges"), _roots(spark, sf))
 
 
 _BLAST = _REACH + """, b AS (SELECT root, node, depth, CASE node % 3 WHEN 0 THEN 10 WHEN 1 THEN 6 ELSE 4 END * pow(0.8, depth - 1) AS severity FROM r WHERE depth > 0),
@@ -40,43 +41,43 @@ _BLAST = _REACH + """, b AS (SELECT root, node, depth, CASE node % 3 WHEN 0 THEN
 
 @query(recursive(_BLAST + " SELECT root, node, depth, round(severity, 6) AS severity, round(cascade, 6) AS cascade, CASE WHEN severity >= 8 THEN 'CRITICAL' WHEN severity >= 6 THEN 'HIGH' WHEN severity >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS severity_label FROM k", "edges"))
 def h2_blast_radius(spark: SparkSession, sf: str) -> DataFrame:
-    out = G.blast_radius(view(spark, sf, "edges"), _nodes(spark, sf), _roots(spark))
+    out = G.blast_radius(view(spark, sf, "edges"), _nodes(spark, sf), _roots(spark, sf))
     return out.withColumn("severity", F.round("severity", 6)).withColumn("cascade", F.round("cascade", 6))
 
 
-@query(recursive(_BLAST + " SELECT root, count(*) AS impacted, round(max(severity), 6) AS worst, round(least(1.0, sum((cascade * pow(0.8, depth - 1))::DECIMAL(20,10))::DOUBLE / 1000), 6) AS overall FROM k GROUP BY root", "edges"))
+@query(recursive(_BLAST + " SELECT root, count(*) AS impacted, round(max(severity), 6) AS worst, round(least(1.0, sum((cascade * pow(0.8, depth - 1))::DECIMAL(20,10))::DOUBLE / (SELECT count(*) FROM customer)), 6) AS overall FROM k GROUP BY root", "edges"))
 def h2_blast_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = G.blast_summary(G.blast_radius(view(spark, sf, "edges"), _nodes(spark, sf), _roots(spark)), 1000)
+    nodes = _nodes(spark, sf)
+    out = G.blast_summary(G.blast_radius(view(spark, sf, "edges"), nodes, _roots(spark, sf)), nodes.count())
     return out.withColumn("worst", F.round("worst", 6)).withColumn("overall", F.round("overall", 6))
 
 
-_ALL = "WITH RECURSIVE r(root, node, depth) AS (SELECT source, source, 0 FROM (SELECT DISTINCT source FROM edges) UNION ALL SELECT r.root, e.target, r.depth + 1 FROM r JOIN edges e ON e.source = r.node WHERE r.depth < 3), d AS (SELECT root AS node, count(*) FILTER (depth > 0 AND node <> root) AS descendants FROM r GROUP BY 1)"
+_ALL = "WITH RECURSIVE r(root, node, depth) AS (SELECT source, source, 0 FROM (SELECT DISTINCT source FROM edges) UNION ALL SELECT r.root, e.target, r.depth + 1 FROM r JOIN edges e ON e.source = r.node WHERE r.depth < 8), d AS (SELECT root AS node, count(*) FILTER (depth > 0 AND node <> root) AS descendants FROM r GROUP BY 1)"
 
 
 @query(recursive(_ALL + " SELECT node, descendants FROM d WHERE descendants > 0", "edges"))
 def h3_descendant_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return G.descendant_counts(view(spark, sf, "edges"), 3)
+    return G.descendant_counts(view(spark, sf, "edges"))
 
 
 @query(recursive(_ALL + " SELECT node, descendants, descendants::DOUBLE AS score FROM d ORDER BY descendants DESC, node LIMIT 10", "edges"))
 def f6_bottlenecks(spark: SparkSession, sf: str) -> DataFrame:
-    return G.bottlenecks(view(spark, sf, "edges"), 10, max_depth=3)
+    return G.bottlenecks(view(spark, sf, "edges"), 10)
 
 
 @query(recursive(_ALL + """, n AS (SELECT c_custkey AS node, coalesce(descendants, 0) AS descendants, CASE WHEN c_custkey > 1 THEN 1 ELSE 0 END AS in_degree, (SELECT count(*) FROM edges WHERE source = c_custkey) AS out_degree FROM customer LEFT JOIN d ON node = c_custkey)
  SELECT node, descendants, in_degree, out_degree, round(0.26 * descendants / (SELECT max(descendants) FROM n) + 0.08 * in_degree + 0.07 * out_degree / (SELECT max(out_degree) FROM n), 6) AS risk FROM n""", "edges"))
 def h4_graph_risk(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
-    return G.graph_risk(nodes, view(spark, sf, "edges"), 3).withColumn("risk", F.round("risk", 6))
+    return G.graph_risk(nodes, view(spark, sf, "edges")).withColumn("risk", F.round("risk", 6))
 
 
-@query(recursive("WITH RECURSIVE u(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 100 = 0 UNION ALL SELECT u.root, e.source, u.depth + 1 FROM u JOIN edges e ON e.target = u.node WHERE u.depth < 8) SELECT root, node, depth FROM u WHERE depth > 0", "edges"))
+@query(recursive("WITH RECURSIVE u(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT u.root, e.source, u.depth + 1 FROM u JOIN edges e ON e.target = u.node WHERE u.depth < 8) SELECT root, node, depth FROM u WHERE depth > 0", "edges"))
 def h5_upstream(spark: SparkSession, sf: str) -> DataFrame:
-    roots = table(spark, sf, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("root"))
-    return G.upstream(view(spark, sf, "edges").withColumn("relation", F.lit("PART_OF")), roots)
+    return G.upstream(view(spark, sf, "edges").withColumn("relation", F.lit("PART_OF")), _roots(spark, sf))
 
 
-_UP = "WITH RECURSIVE u(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey % 100 = 0 UNION ALL SELECT u.root, e.source, u.depth + 1 FROM u JOIN edges e ON e.target = u.node WHERE u.depth < 8), up AS (SELECT root, node, depth FROM u WHERE depth > 0), ev AS (SELECT event_id, user_id AS node, user_id + 1 AS table_name, CASE event_id % 3 WHEN 0 THEN 'COLUMN_REMOVED' WHEN 1 THEN 'TYPE_CHANGED' ELSE 'STATS_DRIFTED' END AS change_type, ts AS changed_at FROM events), c AS (SELECT root, event_id, node, change_type, changed_at, min(hops) AS hops FROM (SELECT root, event_id, ev.node, change_type, changed_at, depth AS hops FROM ev JOIN up ON up.node = ev.node UNION ALL SELECT root, event_id, ev.node, change_type, changed_at, depth + 1 FROM ev JOIN up ON up.node = ev.table_name) GROUP BY ALL)"
+_UP = "WITH RECURSIVE u(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT u.root, e.source, u.depth + 1 FROM u JOIN edges e ON e.target = u.node WHERE u.depth < 8), up AS (SELECT root, node, depth FROM u WHERE depth > 0), ev AS (SELECT event_id, user_id AS node, user_id + 1 AS table_name, CASE event_id % 3 WHEN 0 THEN 'COLUMN_REMOVED' WHEN 1 THEN 'TYPE_CHANGED' ELSE 'STATS_DRIFTED' END AS change_type, ts AS changed_at FROM events), c AS (SELECT root, event_id, node, change_type, changed_at, min(hops) AS hops FROM (SELECT root, event_id, ev.node, change_type, changed_at, depth AS hops FROM ev JOIN up ON up.node = ev.node UNION ALL SELECT root, event_id, ev.node, change_type, changed_at, depth + 1 FROM ev JOIN up ON up.node = ev.table_name) GROUP BY ALL)"
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,9 +98,9 @@ def h6_root_causes(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("root", "node", "change_type", F.round("confidence", 6).alias("confidence"), "rank")
 
 
-@query(recursive("WITH RECURSIVE u(target, node, path, depth) AS (SELECT c_custkey, c_custkey, CAST(c_custkey AS VARCHAR), 0 FROM customer WHERE c_custkey BETWEEN 2 AND 255 UNION ALL SELECT u.target, e.source, concat(CAST(e.source AS VARCHAR), '>', u.path), u.depth + 1 FROM u JOIN edges e ON e.target = u.node WHERE u.depth < 8) SELECT 1::BIGINT AS source, target, path FROM u WHERE node = 1", "edges"))
+@query(recursive("WITH RECURSIVE u(target, node, path, depth) AS (SELECT c_custkey, c_custkey, CAST(c_custkey AS VARCHAR), 0 FROM customer UNION ALL SELECT u.target, e.source, concat(CAST(e.source AS VARCHAR), '>', u.path), u.depth + 1 FROM u JOIN edges e ON e.target = u.node WHERE u.depth < 8), p AS (SELECT target, path FROM u WHERE node = 1 AND depth > 0) SELECT 1::BIGINT AS source, c_custkey AS target, coalesce(path, concat('1>', CAST(c_custkey AS VARCHAR))) AS path FROM customer LEFT JOIN p ON target = c_custkey", "edges"))
 def h7_shortest_path(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = table(spark, sf, "customer").where("c_custkey between 2 and 255").select(F.lit(1).cast("long").alias("source"), F.col("c_custkey").alias("target"))
+    pairs = table(spark, sf, "customer").select(F.lit(1).cast("long").alias("source"), F.col("c_custkey").alias("target"))
     return G.shortest_path(view(spark, sf, "edges"), pairs).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
@@ -156,10 +157,15 @@ def g7_g9_classify_and_cost(spark: SparkSession, sf: str) -> DataFrame:
     return _assessed(spark, sf).select("column_name", "compatibility", "backfill_cost")
 
 
-@query("SELECT * FROM (VALUES ('bigint', 'int', true), ('varchar(20)', 'varchar(10)', true), ('int', 'bigint', false), ('numeric(10,2)', 'numeric(12,2)', false)) v(before, after, narrowing), (SELECT 1 AS one FROM region LIMIT 1)")
+#: Declared types of a part before and after a change, as SQL that both engines read.
+_BEFORE = "CASE p_partkey % 4 WHEN 0 THEN concat('varchar(', CAST(length(p_name) AS VARCHAR(9)), ')') WHEN 1 THEN concat('numeric(', CAST(p_size + 10 AS VARCHAR(9)), ',', CAST(p_size % 3 AS VARCHAR(9)), ')') WHEN 2 THEN 'bigint' ELSE 'timestamp' END"
+_AFTER = "CASE p_partkey % 4 WHEN 0 THEN concat('varchar(', CAST(length(p_type) AS VARCHAR(9)), ')') WHEN 1 THEN concat('numeric(', CAST(p_size + 8 + p_partkey % 5 AS VARCHAR(9)), ',', CAST(p_size % 3 AS VARCHAR(9)), ')') WHEN 2 THEN CASE WHEN p_size % 2 = 0 THEN 'int' ELSE 'double' END ELSE CASE WHEN p_size % 2 = 0 THEN 'varchar(30)' ELSE 'date' END END"
+
+
+@query(f'SELECT p_partkey, {_BEFORE} AS "before", {_AFTER} AS "after", CASE p_partkey % 4 WHEN 0 THEN length(p_type) < length(p_name) WHEN 1 THEN p_partkey % 5 < 2 WHEN 2 THEN p_size % 2 = 0 ELSE true END AS strict_rule, CASE p_partkey % 4 WHEN 2 THEN p_size % 2 = 1 WHEN 3 THEN p_size % 2 = 0 ELSE false END AS family_rule FROM part')
 def g8_type_narrowing(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("after")) for a, b in (("bigint", "int"), ("varchar(20)", "varchar(10)"), ("int", "bigint"), ("numeric(10,2)", "numeric(12,2)"))])
-    return table(spark, sf, "region").limit(1).select(F.lit(1).alias("one"), F.inline(pairs)).select("before", "after", S.is_narrowing(F.col("before"), F.col("after")).alias("narrowing"), "one")
+    t = table(spark, sf, "part").selectExpr("p_partkey", f"{_BEFORE} AS before", f"{_AFTER} AS after")
+    return t.withColumns({"strict_rule": S.is_narrowing(F.col("before"), F.col("after")), "family_rule": S.is_family_narrowing(F.col("before"), F.col("after"))})
 
 
 @query("SELECT 'orders' AS change_set, 'BLOCK' AS verdict, 2 AS blocking, 2 AS review, 0.0 AS score, 'high' AS oncall_risk FROM (SELECT count(*) FROM orders)")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import checks as C
 from ..operators import contracts as K
@@ -13,6 +12,7 @@ from ..operators import matching as M
 from ..operators import workload as L
 from ..sources import readers as R
 from ..streaming import jobs as J
+from .file_queries import scratch
 from .registry import query, table
 from .views import view, with_views
 
@@ -222,13 +222,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """What a stream has written once all its input is read; the folders lie where the session's checkpoints do."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        base = f"{base}/stream-{uuid.uuid4().hex}"
-    else:
-        base = tempfile.mkdtemp(prefix="veridelta-stream-")
+    base = scratch(spark)
     J.run_to_table(stream, f"{base}/out", f"{base}/state")
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -251,7 +245,7 @@ def j4_dedupe_drift(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, J.dedupe_drift(_stream(spark, sf), "ts", ["event_type", "user_id"], "60 days")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query('WITH RECURSIVE e AS (SELECT DISTINCT event_type AS key, epoch_ms(ts) AS t FROM events), n AS (SELECT a.key, a.t, b.t AS nx FROM e a ASOF JOIN e b ON a.key = b.key AND a.t + 1800000 <= b.t), r(key, t) AS (SELECT key, min(t) FROM e GROUP BY 1 UNION ALL SELECT n.key, n.nx FROM r JOIN n ON n.key = r.key AND n.t = r.t) SELECT key, t AS "at" FROM r')
 def j5_cooldown_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, J.cooldown_alerts(_stream(spark, sf), "event_type", "ts"))
 
@@ -267,10 +261,30 @@ def j7_windowed_checks(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, J.windowed_checks(_stream(spark, sf), "ts", "1 day", {"types": C.unhandled_domain("event_type", ["click", "view"])}))
 
 
-@query("SELECT count(*) AS n, sum(event_id) AS ids FROM events")
+@query("SELECT event_type, count(*) FILTER (event_id % 10 <> 0) AS n, sum(event_id) FILTER (event_id % 10 <> 0) AS ids, count(*) FILTER (event_id % 10 = 0) AS unread FROM events GROUP BY 1")
 def j1_stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    out = _run(spark, _stream(spark, sf).select("event_id", "event_type"))
-    return out.agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    """Events as lines of JSON, every tenth cut short; those are kept apart by their text."""
+    path = scratch(spark)
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    line = F.to_json(F.struct("event_type", "event_id"))
+    e.select(F.when(F.col("event_id") % 10 == 0, F.substring_index(line, '"event_id"', 1)).otherwise(line).alias("value")).write.text(path)
+    out = _run(spark, J.stream_ledger(spark, path, T.StructType.fromDDL("event_id long, event_type string, _corrupt_record string")))
+    kind = F.coalesce("event_type", F.regexp_extract("_corrupt_record", '"event_type":"([^"]*)"', 1))
+    bad = F.col("_corrupt_record").isNotNull()
+    return out.groupBy(kind.alias("event_type")).agg(F.count_if(~bad).alias("n"), F.sum(F.when(~bad, F.col("event_id"))).alias("ids"), F.count_if(bad).alias("unread"))
+
+
+@query(f"WITH w AS (SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) FILTER (event_id % 3 = 0 OR value IS NULL)::DOUBLE / count(*) AS r, min(ts) AS t FROM (SELECT * REPLACE (CASE WHEN day(ts) % 2 = 0 THEN event_id ELSE 1 END AS event_id) FROM events) GROUP BY 1) SELECT window_start, 'value' AS column_name, round(r, 9) AS null_rate_now, 0.0::DOUBLE AS null_rate FROM w WHERE r > 0.15 AND date_trunc('day', t) < {_OPEN}")
+def j2_profile_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second day a third of the values is missing; the windows are held against a baseline without nulls."""
+    s = _stream(spark, sf).withColumn("value", F.when((F.day("ts") % 2 == 0) & (F.col("event_id") % 3 == 0), None).otherwise(F.col("value")))
+    base = table(spark, sf, "events").agg((F.count_if(F.col("event_id").isNull()) / F.count("*")).alias("null_rate"))
+    return J.profile_drift(_run(spark, J.windowed_profile(s, "ts", "1 day", ["value"])), base, "value").withColumn("null_rate_now", F.round("null_rate_now", 9))
+
+
+@query(f"SELECT strftime(ts, '%Y-%m') AS month, count(*) AS row_count FROM events WHERE date_trunc('day', ts) < {_OPEN} GROUP BY 1")
+def j3_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    return J.monthly(_run(spark, J.windowed_profile(_stream(spark, sf), "ts", "1 day", [])))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 3 = 0")

@@ -146,11 +146,14 @@ def c9_stale_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return C.stale_rollup_rows(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), view(spark, sf, "orders_after"), "o_orderkey")
 
 
-@query("SELECT t AS kind, n AS length, p, s, z AS crosses FROM (VALUES ('varchar(20)', 20, NULL, NULL, false), ('NUMERIC(10, 2)', NULL, 10, 2, false), ('timestamp with time zone', NULL, NULL, NULL, true), ('timestamp', NULL, NULL, NULL, false)) v(t, n, p, s, z), (SELECT 1 FROM region LIMIT 1)")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'varchar(' || length(p_name) || ')' WHEN 1 THEN 'NUMERIC(' || p_size || ', ' || p_size % 5 || ')' WHEN 2 THEN 'timestamp with time zone' ELSE 'timestamp' END AS kind, CASE WHEN p_partkey % 4 = 0 THEN length(p_name) END AS length, CASE WHEN p_partkey % 4 = 1 THEN p_size END AS p, CASE WHEN p_partkey % 4 = 1 THEN p_size % 5 END AS s, p_partkey % 4 = 2 AS crosses FROM part")
 def b17_declared_types(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = table(spark, sf, "region").limit(1).select(F.explode(F.array(*[F.lit(x) for x in ("varchar(20)", "NUMERIC(10, 2)", "timestamp with time zone", "timestamp")])).alias("kind"))
+    """A declared type a part: text as wide as its name, numbers of its size, times with and without a zone."""
+    k = F.col("p_partkey") % 4
+    kind = F.when(k == 0, F.format_string("varchar(%d)", F.length("p_name"))).when(k == 1, F.format_string("NUMERIC(%d, %d)", "p_size", F.col("p_size") % 5)).when(k == 2, "timestamp with time zone").otherwise("timestamp")
+    kinds = table(spark, sf, "part").select("p_partkey", kind.alias("kind"))
     ps = C.numeric_precision(F.col("kind"))
-    return kinds.select("kind", C.varchar_length(F.col("kind")).alias("length"), ps["p"].alias("p"), ps["s"].alias("s"), C.crosses_time_zone(F.lit("timestamp"), F.col("kind")).alias("crosses"))
+    return kinds.select("p_partkey", "kind", C.varchar_length(F.col("kind")).alias("length"), ps["p"].alias("p"), ps["s"].alias("s"), C.crosses_time_zone(F.lit("timestamp"), F.col("kind")).alias("crosses"))
 
 
 @query(with_views("SELECT o_orderkey, 'champion_only' AS side FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders_after)", "orders_after"))

@@ -57,14 +57,14 @@ def read_workload(spark: SparkSession, paths: str | list[str], fmt: str = "json"
 
 
 def read_sql_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path and statement of .sql files, split at semicolons."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", ";")).alias("pos", "statement"))
-    return df.withColumn("statement", F.btrim("statement", F.lit(" \t\r\n"))).where("statement <> ''")
+    """path and statement of .sql files, split at semicolons; a file of any size is read in splits."""
+    df = spark.read.text(path, lineSep=";").select(F.col("_metadata.file_path").alias("path"), F.btrim("value", F.lit(" \t\r\n")).alias("statement"))
+    return df.where("statement <> ''")
 
 
-def read_receipts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per finding, with its receipt; receipts without findings give none."""
-    df = spark.read.schema(RECEIPT).option("multiLine", True).json(path).select("*", F.col("_metadata.file_path").alias("receipt"))
+def read_receipts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per finding, with the file of its receipt; receipts without findings give none. A file is one receipt, or one a line."""
+    df = spark.read.schema(RECEIPT).option("multiLine", not lines).json(path).select("*", F.col("_metadata.file_path").alias("receipt"))
     f = df.select("receipt", F.try_to_timestamp("generated_at").alias("generated_at"), "verdict", F.explode("findings").alias("f"))
     return f.select("receipt", "generated_at", "verdict", F.coalesce("f.stable_id", "f.id").alias("stable_id"), "f.family", "f.severity", "f.risk_score", F.coalesce("f.business_impact.highest_business_severity", F.lit("UNKNOWN")).alias("business_severity"), F.coalesce("f.validation_replay.replay_ran", F.lit(False)).alias("replay_ran"), F.coalesce("f.validation_replay.status", F.lit("not_run")).alias("replay_status"), F.col("f.replay_fidelity.score").alias("fidelity_score"), F.col("f.source.unique_id").alias("source_id"), F.coalesce(F.size("f.blast_radius"), F.lit(0)).alias("blast"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import cut
 from ..operators.checks import Check, run_checks
 
 
@@ -54,7 +55,12 @@ def dedupe_drift(df: DataFrame, ts: str, keys: list[str], ttl: str) -> DataFrame
 
 
 def cooldown_alerts(df: DataFrame, key: str, ts: str, minutes: int = 30) -> DataFrame:
-    """Events of each key that come at least `minutes` after its last alert. The state is one time per key, which a timer clears."""
+    """Events of each key that come at least `minutes` after its last alert. The state is one time per key, which a timer clears.
+
+    A task keeps eight bytes for each distinct time of a key in one batch; the source's maxBytesPerTrigger bounds a batch.
+    Events without a time are left out; events of one time count once.
+    """
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -65,27 +71,38 @@ def cooldown_alerts(df: DataFrame, key: str, ts: str, minutes: int = 30) -> Data
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        out = []
-        for t in pd.concat(list(parts))["at"].sort_values():
-            if last is None or t - last >= span:
-                last = int(t)
-                out.append(last)
+        out: list[int] = []
+        times = np.unique(np.concatenate([p["at"].unique() for p in parts]))
+        i = 0 if last is None else np.searchsorted(times, last + span)
+        while i < len(times):
+            last = int(times[i])
+            out.append(last)
+            i = np.searchsorted(times, last + span)
         state.update((last,))
         state.setTimeoutTimestamp(max(last + span, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [k[0]] * len(out), "at": out})
 
-    rows = timed(df, ts, f"{minutes} minutes").select(F.col(key).cast("string").alias("key"), F.col(ts), F.unix_millis(ts).alias("at"))
+    rows = timed(df, ts, f"{minutes} minutes").select(F.col(key).cast("string").alias("key"), F.col(ts), F.unix_millis(ts).alias("at")).where("at is not null")
     return rows.groupBy("key").applyInPandasWithState(each, "key string, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def late_events(df: DataFrame, ts: str, arrival: str, key: str, minutes: Column | int) -> DataFrame:
-    """Rows that arrive after their key's newest event time by more than the tolerance, in order of arrival."""
+    """Rows that arrive after their key's newest event time by more than the tolerance, in order of arrival.
+
+    Rows are dealt by ranges of key and arrival, so that a hot key lies in many; each range starts from the newest time of
+    the key's earlier ranges. Rows without a time are never late; a null key is a key.
+    """
     from pyspark.sql import Window as W
 
-    before = W.partitionBy(key).orderBy(arrival).rowsBetween(W.unboundedPreceding, -1)
-    newest = F.max(F.unix_micros(F.col(ts).cast("timestamp"))).over(before)
-    lag = (newest - F.unix_micros(F.col(ts).cast("timestamp"))) / 60e6
-    return df.withColumn("lag_minutes", lag).where(F.col("lag_minutes") > minutes)
+    # written once, since the ranges are read twice and must not be dealt anew
+    rows = cut(df.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp"))).repartitionByRange(key, arrival).withColumn("__p", F.spark_partition_id()))
+    ranges = rows.groupBy(F.struct(key).alias("__k"), "__p").agg(F.max("__t").alias("__m"))
+    earlier = F.max("__m").over(W.partitionBy("__k").orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
+    j = rows.withColumn("__k", F.struct(key)).join(ranges.select("__k", "__p", earlier.alias("__e")), ["__k", "__p"])
+    within = W.partitionBy("__k", "__p").orderBy(arrival).rowsBetween(W.unboundedPreceding, -1)
+    newest = F.greatest(F.max("__t").over(within), "__e")
+    late = j.withColumn("lag_minutes", (newest - F.col("__t")) / 60e6).where(F.col("lag_minutes") > minutes)
+    return late.select(*df.columns, "lag_minutes")
 
 
 def windowed_checks(df: DataFrame, ts: str, size: str, plan: dict[str, Check], late: str = "1 hour") -> DataFrame:
