@@ -66,7 +66,7 @@ def match_exceptions(findings: DataFrame, exceptions: DataFrame, now: Column) ->
     return own.join(ex, ["scope", "value"]).select("occurrence_id", "exception_id", "status").distinct()
 
 
-COUNTED = ("agree", "fixed", "disagree", "false_positive", "accepted_risk")
+COUNTED = ("agree", "fixed", "disagree", "false_positive", "accepted_risk", "needs_context")
 
 
 def feedback_counts(feedback: DataFrame) -> DataFrame:
@@ -137,30 +137,111 @@ def decay_families(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("family").agg(F.count("*").alias("stable_ids"), F.sum("occurrences").alias("occurrences"), F.max("score").alias("max_score"), F.sum("drifts").alias("drifts"), F.sum("false_positive").alias("false_positive"), F.sum("accepted_risk").alias("accepted_risk"))
 
 
+#: Patterns that belong on the watchlist.
+WATCHED = ["validated_recurring_drift", "recurring_drift_needs_feedback", "expired_risk_memory", "accepted_risk_memory", "noisy_pattern", "high_risk_unvalidated"]
+
+
 def memory(evidence: DataFrame, k: int = 25) -> DataFrame:
-    """kind, key and counters at four grains (all, family, source, business severity), the k highest scores of each."""
+    """kind, key, counters, score, pattern and rank at five grains, the k highest scores of each.
+
+    Grains: organization, family, source, business severity, and owner where evidence has an array `owners` (without one,
+    or where it is empty, the owner is unknown). Spark ranks within each task before it shuffles, so a grain of many keys
+    sends k rows a task.
+    """
+    owners = F.filter(F.array_distinct(F.transform("owners", lambda o: F.trim(o))), lambda o: o != "") if "owners" in evidence.columns else F.array().cast("array<string>")
+    named = F.when(F.size(owners) > 0, owners).otherwise(F.array(F.lit("unknown")))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
     parts = None
-    for kind, key in (("organization", F.lit("all")), ("family", F.col("family")), ("source", F.col("source_id")), ("business", F.col("business_severity"))):
-        g = evidence.groupBy(F.lit(kind).alias("kind"), key.alias("key")).agg(F.count("*").alias("occurrences"), F.count_if(F.col("replay_status") == "drift_detected").alias("drifts"), F.sum("false_positive").alias("false_positive"), F.max("risk_score").alias("max_risk"))
+    for kind, key in (("organization", F.lit("all")), ("family", F.col("family")), ("source_resource", F.col("source_id")), ("business_severity", F.col("business_severity")), ("owner_or_team", F.explode(named))):
+        g = evidence.select("*", F.lit(kind).alias("kind"), key.alias("key")).groupBy("kind", "key").agg(
+            F.count("*").alias("occurrences"), F.count_if(F.col("replay_status") == "drift_detected").alias("drifts"), F.max("risk_score").alias("max_risk"), F.count_if(F.col("business_severity").isin(HIGH_BUSINESS)).alias("critical"),
+            count("monthly_cost").alias("cost"), count("feedback").alias("feedback"), count(F.col("agree") + F.col("fixed")).alias("validated"), *[count(c).alias(c) for c in ("false_positive", "accepted_risk", "expired")],
+        )
         parts = g if parts is None else parts.unionByName(g)
-    score = F.greatest(F.lit(0), F.least(F.lit(100), F.least(F.col("occurrences") * 4, F.lit(40)) + F.least(F.col("drifts") * 8, F.lit(40)) + F.when(F.col("max_risk") >= 80, 20).otherwise(0) - F.least(F.col("false_positive") * 6, F.lit(30))))
-    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("score"), F.desc("occurrences"), "key"))
-    return parts.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= k)
+    cap = lambda c, step, most: F.least(F.col(c) * step, F.lit(most))
+    flag = lambda c, v: F.when(F.col(c) > 0, v).otherwise(0)
+    score = cap("occurrences", 5, 25) + cap("drifts", 8, 32) + flag("critical", 14) + flag("cost", 12) + cap("validated", 8, 24) + cap("accepted_risk", 5, 15) + cap("expired", 10, 20) - cap("false_positive", 12, 30)
+    drifting = F.col("drifts") / F.col("occurrences") >= 0.5
+    noisy = (F.col("feedback") >= 2) & (F.col("false_positive") / F.col("feedback") >= 0.5)
+    pattern = F.when(noisy, "noisy_pattern").when(F.col("expired") > 0, "expired_risk_memory").when(drifting & (F.col("validated") > 0), "validated_recurring_drift").when(drifting, "recurring_drift_needs_feedback")
+    pattern = pattern.when(F.col("accepted_risk") >= 2, "accepted_risk_memory").when((F.col("feedback") == 0) & (F.col("max_risk") >= 80), "high_risk_unvalidated").otherwise("watch")
+    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("score"), F.desc("occurrences"), F.desc("drifts"), "key"))
+    return parts.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), score))).withColumn("pattern", pattern).withColumn("rank", rank).where(F.col("rank") <= k)
+
 
+def memory_watchlist(rows: DataFrame, k: int = 25) -> DataFrame:
+    """The k rows of memory that deserve a look, by score."""
+    return rows.where(F.col("kind").isin("family", "source_resource", "owner_or_team") & F.col("pattern").isin(WATCHED)).orderBy(F.desc("score"), F.desc("occurrences"), "kind", "key").limit(k)
 
-def precision_eval(evidence: DataFrame) -> DataFrame:
-    """Per family: how findings fared, agreement and false-positive rates, and the action that follows."""
-    g = evidence.groupBy("family").agg(F.count("*").alias("findings"), F.count_if("replay_ran").alias("replayed"), F.count_if(F.col("replay_status") == "drift_detected").alias("drifts"), *[F.sum(c).alias(c) for c in ("feedback", "agree", "fixed", "false_positive", "accepted_risk")])
-    rate = lambda c: F.when(F.col("feedback") > 0, c / F.col("feedback"))
-    g = g.withColumn("agree_rate", rate(F.col("agree") + F.col("fixed"))).withColumn("fp_rate", rate(F.col("false_positive")))
-    action = F.when((F.col("fp_rate") >= 0.4) & (F.col("false_positive") >= 2), "tighten_or_suppress").when((F.col("fixed") >= 1) & (F.col("feedback") >= 3) & (F.col("fp_rate") <= 0.25), "candidate_for_enforcement").when((F.col("agree_rate") >= 0.7) & (F.col("feedback") >= 3), "promote_to_advisory").when(F.col("feedback") == 0, "collect_feedback").otherwise("keep_in_shadow")
-    return g.withColumn("action", action)
+
+def precision_flags(evidence: DataFrame, most_nodes: int = 12) -> DataFrame:
+    """evidence with flags, precision_state and exception_state of each finding.
+
+    Besides the counts of with_evidence it needs trigger_count, blast_count, control_status and cost (null: none known).
+    """
+    noisy, useful = F.col("disagree") + F.col("false_positive") > 0, F.col("agree") + F.col("fixed") > 0
+    drift, low, active = F.col("replay_status") == "drift_detected", F.col("fidelity_score") < 0.5, F.col("active") > 0
+    minor = F.coalesce(F.col("business_severity").isin("UNKNOWN", "INTERNAL_LOW"), F.lit(True))
+    untriggered, unreached, broad = F.col("trigger_count") < 1, F.col("blast_count") == 0, (F.col("blast_count") > most_nodes) & minor
+    flags = {
+        "missing_trigger_evidence": untriggered, "no_blast_radius": unreached, "overbroad_blast_radius": broad, "negative_developer_feedback": noisy, "active_exception_do_not_enforce": active, "developer_validated": useful,
+        "cost_evidence_present": F.col("cost").isNotNull() | F.col("monthly_cost").isNotNull(), "business_critical": ~minor, "weak_control_coverage": F.col("control_status") == "weak",
+        "replay_validated": F.col("replay_ran"), "inferred_only_no_replay": ~F.col("replay_ran"), "replay_drift_detected": drift, "low_replay_fidelity": low,
+    }
+    state = F.when(active | (F.col("accepted_risk") > 0), "accepted_risk_review").when(noisy, "needs_noise_review").when(untriggered | unreached, "insufficient_evidence").when(broad, "overbroad").when(drift & useful, "replay_validated_developer_validated")
+    state = state.when(drift, "replay_validated_shadow").when(low, "low_fidelity_review").when(useful, "developer_validated").when(F.col("risk_score") >= 80, "high_signal_shadow").otherwise("shadow_unvalidated")
+    exception = F.when(active, "active_exception").when(F.col("expired") > 0, "expired_exception").otherwise("none")
+    return evidence.withColumns({"flags": F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in flags.items()])), "precision_state": state, "exception_state": exception})
 
 
-def dashboard(findings: DataFrame, dims: list[str]) -> DataFrame:
-    """dimension, key, findings, receipts, cost of each value of each dimension, in one grouping-sets pass."""
+def precision_eval(flagged: DataFrame) -> DataFrame:
+    """Per family: findings, with feedback, one counter a flag, and the action that follows. flagged: see precision_flags."""
+    counted = {
+        "validated": "developer_validated", "negative": "negative_developer_feedback", "untriggered": "missing_trigger_evidence", "unreached": "no_blast_radius", "broad": "overbroad_blast_radius", "excepted": "active_exception_do_not_enforce",
+        "costed": "cost_evidence_present", "critical": "business_critical", "replayed": "replay_validated", "drifts": "replay_drift_detected", "inferred": "inferred_only_no_replay", "low": "low_replay_fidelity",
+    }
+    g = flagged.groupBy("family").agg(F.count("*").alias("findings"), F.count_if(F.col("feedback") > 0).alias("with_feedback"), *[F.count_if(F.array_contains("flags", f)).alias(c) for c, f in counted.items()])
+    n = {c: F.col(c) > 0 for c in counted}
+    action = F.when(n["drifts"] & n["validated"] & ~n["negative"], "advisory_candidate_replay_validated").when((F.col("inferred") == F.col("findings")) & (F.col("findings") >= 2), "add_replay_fixtures_before_policy").when(n["low"], "improve_replay_fidelity_before_policy")
+    action = action.when(n["negative"] & (F.col("negative") / F.col("findings") >= 0.3), "tune_or_suppress_before_advisory").when(n["untriggered"] | n["unreached"], "improve_evidence_before_policy").when(n["broad"], "tighten_blast_radius_scope").when(n["excepted"], "keep_advisory_with_exception_review")
+    return g.withColumn("action", action.when(n["validated"] & (n["costed"] | n["critical"]), "advisory_candidate_not_blocking").otherwise("continue_shadow_collect_feedback"))
+
+
+def policy_calibration(evidence: DataFrame, run_count: int) -> DataFrame:
+    """Per family: findings by disposition (each finding once a disposition), agreement and false-positive rates, action."""
+    dispositions = ("agree", "fixed", "disagree", "false_positive", "accepted_risk", "needs_context")
+    g = evidence.groupBy("family").agg(F.count("*").alias("findings"), F.sum("monthly_cost").alias("cost"), *[F.count_if(F.col(d) > 0).alias(d) for d in dispositions])
+    total = sum((F.col(d) for d in dispositions), F.lit(0))
+    g = g.withColumn("feedback", total)
+    rate = lambda c: F.when(F.col("feedback") > 0, F.round(c / F.col("feedback"), 4))
+    g = g.withColumns({"agree_rate": rate(F.col("agree") + F.col("fixed")), "fp_rate": rate(F.col("false_positive"))})
+    paid = (F.col("fixed") >= 1) & (F.coalesce("cost", F.lit(0)) > 0)
+    few = (F.col("feedback") < 2) | (F.lit(run_count) < 10)
+    action = F.when((F.col("fp_rate") >= 0.4) & (F.col("feedback") >= 2), "lower_severity_or_suppress_candidate").when(paid & (F.col("feedback") >= 3) & (F.coalesce("fp_rate", F.lit(0)) <= 0.25), "require_review_candidate").when(paid, "advisory_candidate").when(few, "keep_shadow_collect_feedback")
+    action = action.when((F.col("accepted_risk") >= 2) & (F.col("accepted_risk") >= F.col("agree") + F.col("fixed")), "accepted_risk_policy_review_candidate").when((F.col("agree_rate") >= 0.7) & (F.col("findings") >= 3), "advisory_candidate")
+    return g.withColumn("action", action.otherwise("keep_shadow_collect_feedback"))
+
+
+def calibration_readiness(calibration: DataFrame, stable: DataFrame, feedback: DataFrame, run_count: int) -> DataFrame:
+    """One row: how far the evidence allows stricter modes. stable: stable_id, feedback."""
+    once = feedback.select("feedback_id", "disposition").distinct()
+    f = once.agg(F.count("*").alias("feedback"), F.count_if(F.col("disposition") == "agree").alias("agreed"), F.count_if(F.col("disposition") == "false_positive").alias("false_positive"))
+    s = stable.agg(F.count_if(F.col("feedback") > 0).alias("recurring"))
+    c = calibration.agg(F.count_if(F.col("action") == "require_review_candidate").alias("require"), F.count_if(F.col("action") == "advisory_candidate").alias("advisory"))
+    j = f.crossJoin(s).crossJoin(c)  # one row each
+    agreement = F.when(F.col("feedback") > 0, F.round(F.col("agreed") / F.col("feedback"), 4))
+    noise = F.col("false_positive") >= F.greatest(F.lit(2), F.floor(F.col("feedback") / 3))
+    state = F.when((F.lit(run_count) < 20) | (F.col("feedback") < 5), "shadow_only").when(noise, "tune_noise_before_enforcement").when((F.col("require") > 0) & (F.col("recurring") >= 2) & (agreement >= 0.7), "require_review_candidate_human_review_required")
+    return j.withColumn("agreement_rate", agreement).withColumn("state", state.when((F.col("advisory") > 0) | (agreement >= 0.6), "advisory_candidate").otherwise("continue_shadow_calibration"))
+
+
+def dashboard(evidence: DataFrame, dims: list[str]) -> DataFrame:
+    """dimension, key, and per value of each dimension: findings, receipts, cost, and the cost of what was validated, fixed
+    (avoided) and accepted as a risk. A finding counts once under each."""
     spread = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key")) for d in dims])
-    return findings.select("receipt_day", "monthly_cost", F.inline(spread)).groupBy("dimension", "key").agg(F.count("*").alias("findings"), F.count_distinct("receipt_day").alias("receipts"), F.sum("monthly_cost").alias("cost"))
+    costs = {"validated_cost": F.col("agree") + F.col("fixed") > 0, "avoided_cost": F.col("fixed") > 0, "accepted_cost": F.col("accepted_risk") > 0}
+    rows = evidence.select("receipt_day", "monthly_cost", *[F.when(v, F.col("monthly_cost")).alias(k) for k, v in costs.items()], F.inline(spread))
+    return rows.groupBy("dimension", "key").agg(F.count("*").alias("findings"), F.count_distinct("receipt_day").alias("receipts"), F.sum("monthly_cost").alias("cost"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in costs])
 
 
 def replay_rollup(findings: DataFrame, low: float = 0.5) -> DataFrame:
@@ -169,14 +250,26 @@ def replay_rollup(findings: DataFrame, low: float = 0.5) -> DataFrame:
     return g.withColumn("coverage", F.col("ran") / F.col("findings")).withColumn("drift_rate", F.when(F.col("ran") > 0, F.col("drifts") / F.col("ran")))
 
 
+def counted_map(counts: dict[str, Column]) -> Column:
+    """Names and counts, without those that are zero."""
+    return F.map_filter(F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), v)]), lambda k, v: v > 0)
+
+
 def stable_findings(evidence: DataFrame) -> DataFrame:
-    return evidence.groupBy("stable_id").agg(F.count("*").alias("occurrences"), F.count_distinct("receipt_day").alias("receipts"), F.max("risk_score").alias("max_risk"), F.max(lookup(F.col("severity"), SEVERITY_RANK, 0)).alias("severity_rank"), F.sum("monthly_cost").alias("cost"))
+    """Per stable id: counters, and maps of its findings by disposition (each once a disposition) and by confidence."""
+    confidence = F.lower(F.col("confidence")) if "confidence" in evidence.columns else F.lit(None).cast("string")
+    levels = ("high", "medium", "low")
+    other = F.count_if(~F.coalesce(confidence.isin(*levels), F.lit(False)))
+    return evidence.groupBy("stable_id").agg(
+        F.count("*").alias("occurrences"), F.count_distinct("receipt_day").alias("receipts"), F.max("risk_score").alias("max_risk"), F.max(lookup(F.col("severity"), SEVERITY_RANK, 0)).alias("severity_rank"), F.sum("monthly_cost").alias("cost"), F.sum("feedback").alias("feedback"),
+        counted_map({d: F.count_if(F.col(d) > 0) for d in COUNTED}).alias("dispositions"), counted_map({c: F.count_if(confidence == c) for c in levels} | {"unknown": other}).alias("confidences"),
+    )
 
 
 def blast_node_rollup(hits: DataFrame) -> DataFrame:
-    """Per node that is hit: findings, families, cost. hits: node, family, monthly_cost."""
-    per = hits.groupBy("node", "family").agg(F.count("*").alias("n"), F.sum("monthly_cost").alias("c"))
-    return per.groupBy("node").agg(F.sum("n").alias("findings"), F.count("*").alias("families"), F.sum("c").alias("cost"))
+    """Per node that is hit: findings, a map of findings by family (families are few), cost. hits: node, family, monthly_cost."""
+    per = hits.groupBy("node", F.coalesce("family", F.lit("unknown")).alias("family")).agg(F.count("*").alias("n"), F.sum("monthly_cost").alias("c"))
+    return per.groupBy("node").agg(F.sum("n").alias("findings"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("family", "n")))).alias("families"), F.sum("c").alias("cost"))
 
 
 def business_rollup(findings: DataFrame, by: str) -> DataFrame:
@@ -299,11 +392,59 @@ def risk_score(severity: Column, blast: Column, critical: Column, costed: Column
     return F.least(F.lit(100), lookup(severity, SEVERITY_RANK, 1) * 25 + F.least(blast, F.lit(5)) * 5 + F.when(critical, 15).otherwise(0) + F.when(costed, 10).otherwise(0))
 
 
-def review_priority(blast: Column, business: Column, fidelity: Column, replayed: Column) -> Column:
-    """0 to 100: how far a finding reaches and matters, times how well it is supported; half-even rounding."""
+#: Weights of business classes, of confidence and of replay states (fixed values).
+REVIEW_BUSINESS = {"REVENUE_CRITICAL": 1.0, "FINANCE_CRITICAL": 1.0, "CUSTOMER_FACING": 0.8, "CUSTOMER_CRITICAL": 0.8, "OPERATIONAL": 0.6, "INTERNAL_ONLY": 0.4, "UNKNOWN_CONFIRMED": 0.35, "UNKNOWN": 0.3, "NONE": 0.3, "": 0.3}
+REVIEW_CONFIDENCE = {"high": 1.0, "medium": 0.65, "low": 0.35}
+REPLAY_WEIGHT = {"passed": 1.0, "validated": 1.0, "drift_detected": 1.0, "failed": 0.6, "failed_to_confirm": 0.6, "error": 0.75, "unavailable": 0.75}
+
+
+def review_priority(findings: DataFrame) -> DataFrame:
+    """findings with score (0 to 100), band, tier, caps and floors: how far a finding reaches and matters, times how well
+    it is supported; half-even rounding.
+
+    Needs blast_count, business_severity, confidence, replay_ran, replay_status, fidelity_score and has_diff (whether
+    before and after were compared).
+    """
+    blast, business, sure = F.coalesce("blast_count", F.lit(0)), F.upper(F.coalesce("business_severity", F.lit(""))), F.lower(F.coalesce("confidence", F.lit("")))
+    status, ran = F.lower(F.coalesce("replay_status", F.lit(""))), F.coalesce("replay_ran", F.lit(False))
+    proven = status.isin("passed", "validated", "drift_detected") | ran
+    tier = F.when(proven, 3).when(F.coalesce("has_diff", F.lit(False)), 2).when(F.col("fidelity_score").isNotNull(), 1).otherwise(0)
+    fidelity = F.element_at(F.array(*[F.lit(x) for x in (0.4, 0.65, 0.8, 1.0)]), tier + 1)
     reach = F.when(blast <= 0, 0.10).otherwise(F.least(F.lit(1.0), F.log10(blast + 1) / F.log10(F.lit(51.0))))
-    raw = F.rint(100 * F.greatest(reach, lookup(business, SENSITIVITY, 0.3)) * F.greatest(fidelity, F.lit(0.2)) * F.when(replayed, 1.0).otherwise(0.7))
-    return F.when(~replayed, F.least(raw, F.lit(60.0))).otherwise(raw).cast("int")
+    impact = reach * lookup(business, REVIEW_BUSINESS, 0.6)
+    support = fidelity * lookup(sure, REVIEW_CONFIDENCE, 0.5) * F.when(proven, 1.0).otherwise(lookup(status, REPLAY_WEIGHT, 0.85))
+    out = findings.withColumns({"tier": tier, "score": F.rint(100 * impact * support)})
+    tier, low, local = F.col("tier"), sure == "low", blast == 0
+    limits, caps = [F.col("score")], []
+    for name, when, most in (("tier_below_2_cap_80", tier < 2, 80.0), ("no_confirmed_blast_cap_60", local, 60.0), ("low_confidence_cap_50", low, 50.0), ("low_confidence_no_blast_cap_35", low & local, 35.0)):
+        caps.append(F.when(when & (F.least(F.lit(100.0), *limits) > most), F.lit(name)))
+        limits.append(F.when(when, most))
+    out = out.withColumns({"caps": F.array_compact(F.array(*caps)), "score": F.least(F.lit(100.0), *limits)})
+    score = F.col("score")
+    money, people, high = business.isin("REVENUE_CRITICAL", "FINANCE_CRITICAL"), business.isin("CUSTOMER_FACING", "CUSTOMER_CRITICAL"), sure == "high"
+    floor = F.when(money & high & (blast > 0) & (score < 45), F.struct(F.lit("revenue_high_confidence_blast_floor_45").alias("name"), F.lit(45.0).alias("least")))
+    floor = floor.when(people & high & (blast > 0) & (score < 35), F.struct(F.lit("customer_high_confidence_blast_floor_35").alias("name"), F.lit(35.0).alias("least")))
+    floor = floor.when(money & high & (score < 35), F.struct(F.lit("revenue_high_confidence_floor_35").alias("name"), F.lit(35.0).alias("least")))
+    out = out.withColumns({"floor": floor["name"], "score": F.coalesce(floor["least"], score).cast("int")})
+    band = F.when(score >= 80, "block candidate").when(score >= 65, "review strongly recommended").when(score >= 45, "review recommended").when(score >= 25, "advisory").otherwise("informational")
+    return out.withColumn("band", band)
+
+
+def fidelity(replayed: Column, text: Column, cataloged: Column, timed: Column, reached: Column, costed: Column, triggered: Column, detailed: Column) -> Column:
+    """struct(score, level) of the evidence there is. text: compiled, raw or null; costed: history, estimate or null."""
+    add = lambda cond, v: F.when(cond, v).otherwise(0.0)
+    s = 0.20 + add(replayed, 0.18) + F.when(text == "compiled", 0.16).when(text == "raw", 0.08).otherwise(0.0) + add(cataloged, 0.10) + add(timed, 0.10) + add(reached, 0.12) + F.when(costed == "history", 0.14).when(costed == "estimate", 0.08).otherwise(0.0) + add(triggered, 0.10) + add(detailed, 0.06)
+    s = F.round(F.least(F.lit(0.95), s), 2)
+    return F.struct(s.alias("score"), F.when(s >= 0.78, "high_static_history_fidelity").when(s >= 0.55, "medium_static_fidelity").otherwise("low_static_fidelity").alias("level"))
+
+
+def control_coverage(family: Column, tested: Column, costed: Column, dedup: Column, has_else: Column) -> Column:
+    """struct(status, present, missing): the controls that a finding's resource has, and those its family asks for."""
+    pick = lambda d: F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in d.items()]))
+    present = pick({"test_or_uniqueness_hint": tested, "cost_profile": costed, "dedup_hint": dedup})
+    missing = pick({"grain_test": ~tested & (family == "join_cardinality"), "cost_profile": ~costed & family.isin("incremental_filter", "materialization_cost"), "else_branch": ~has_else & (family == "enum_domain_closure"), "null_rate_check": family == "null_default_fallback", "bucket_comparison": family == "temporal_bucket"})
+    status = F.when((F.size(present) > 0) & (F.size(missing) == 0), "covered").when(F.size(present) > 0, "partial").otherwise("weak")
+    return F.struct(status.alias("status"), present.alias("present"), missing.alias("missing"))
 
 
 def scenario_report(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -121,13 +121,29 @@ def root_causes(candidates: DataFrame, now: Column, window_hours: int = 72, k: i
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def provenance_graph(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes (id, kind, label) and edges (source, target, relation) from source to assumption to receipt.
+def provenance_graph(evidence: DataFrame, exposed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, kind, label) and edges (source, target, relation) about assumptions: the sources that contain them, the
+    receipts that give evidence, the replays, exceptions and feedback about them, and the nodes they expose.
 
-    findings: stable_id, family, source_id, receipt. Of several labels the last by receipt counts.
+    evidence: stable_id, family, source_id, receipt, replay_ran, replay_status, active, expired, feedback; exposed:
+    stable_id, node. Of several labels of a node the last by receipt counts, empty ones never. Rows without a stable id
+    give nothing.
     """
-    parts = F.array(*[F.struct(a.alias("source"), b.alias("target"), F.lit(r).alias("relation")) for a, b, r in ((F.concat(F.lit("source:"), "source_id"), F.concat(F.lit("assumption:"), "stable_id"), "asserts"), (F.concat(F.lit("assumption:"), "stable_id"), F.concat(F.lit("receipt:"), F.col("receipt").cast("string")), "recorded_in"))])
-    edges = findings.select(F.inline(parts)).where("source is not null and target is not null").distinct()
-    ids = F.array(F.struct(F.concat(F.lit("source:"), "source_id").alias("id"), F.lit("source").alias("kind"), F.col("source_id").alias("label")), F.struct(F.concat(F.lit("assumption:"), "stable_id").alias("id"), F.lit("assumption").alias("kind"), F.col("family").alias("label")), F.struct(F.concat(F.lit("receipt:"), F.col("receipt").cast("string")).alias("id"), F.lit("receipt").alias("kind"), F.col("receipt").cast("string").alias("label")))
-    nodes = findings.select("receipt", F.inline(ids)).where("id is not null").groupBy("id", "kind").agg(F.max_by("label", F.struct("receipt", "label")).alias("label"))
-    return nodes, edges
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    known = evidence.where("stable_id is not null")
+    own = name("assumption", "stable_id")
+    state = F.when(F.col("active") > 0, "active_exception").when(F.col("expired") > 0, "expired_exception")
+    replay = F.when(F.coalesce("replay_ran", F.lit(False)), F.coalesce("replay_status", F.lit("unknown")))
+    told = F.when(F.col("feedback") > 0, F.col("feedback").cast("string"))
+    about = (("replay", replay, "validated_by"), ("exception", state, "annotated_by_exception"), ("feedback", told, "calibrated_by_feedback"))
+    links = [(name("source", "source_id"), own, "contains_assumption"), (own, name("receipt", "receipt"), "evidenced_by")] + [(own, F.when(label.isNotNull(), name(kind, "stable_id")), rel) for kind, label, rel in about]
+    labels = [("source", name("source", "source_id"), F.col("source_id")), ("assumption", own, F.col("family")), ("receipt", name("receipt", "receipt"), F.col("receipt").cast("string"))] + [(kind, F.when(label.isNotNull(), name(kind, "stable_id")), label) for kind, label, _ in about]
+    edges = known.select(F.inline(F.array(*[F.struct(a.alias("source"), b.alias("target"), F.lit(r).alias("relation")) for a, b, r in links])))
+    ids = known.select("receipt", F.inline(F.array(*[F.struct(i.alias("id"), F.lit(k).alias("kind"), v.alias("label")) for k, i, v in labels])))
+    if exposed is not None:
+        hits = exposed.where("stable_id is not null and node is not null")
+        edges = edges.unionByName(hits.select(own.alias("source"), name("blast", "node").alias("target"), F.lit("exposes").alias("relation")))
+        ids = ids.unionByName(hits.select(F.lit(None).cast(evidence.schema["receipt"].dataType).alias("receipt"), name("blast", "node").alias("id"), F.lit("blast").alias("kind"), F.col("node").cast("string").alias("label")))
+    filled = F.col("label").isNotNull() & (F.col("label") != "")
+    nodes = ids.where("id is not null").groupBy("id", "kind").agg(F.max_by(F.when(filled, F.col("label")), F.when(filled, F.struct("receipt", "label"))).alias("label"))
+    return nodes, edges.where("source is not null and target is not null").distinct()

@@ -12,11 +12,11 @@ from .views import view, with_views
 ALL = ("findings", "feedback", "exceptions")
 #: Evidence by occurrence, as SQL; now is 1 February 2024.
 EV = """mf AS (SELECT DISTINCT occurrence_id, feedback_id, disposition FROM findings JOIN feedback ON stable_finding_id = stable_id),
- f AS (SELECT occurrence_id, count(*) AS feedback, count(*) FILTER (disposition = 'agree') AS agree, count(*) FILTER (disposition = 'fixed') AS fixed, count(*) FILTER (disposition = 'false_positive') AS false_positive, count(*) FILTER (disposition = 'accepted_risk') AS accepted_risk FROM mf GROUP BY 1),
+ f AS (SELECT occurrence_id, count(*) AS feedback, count(*) FILTER (disposition = 'agree') AS agree, count(*) FILTER (disposition = 'fixed') AS fixed, count(*) FILTER (disposition = 'false_positive') AS false_positive, count(*) FILTER (disposition = 'accepted_risk') AS accepted_risk, count(*) FILTER (disposition = 'disagree') AS disagree, count(*) FILTER (disposition = 'needs_context') AS needs_context FROM mf GROUP BY 1),
  ex AS (SELECT *, CASE WHEN expires_on < DATE '2024-02-01' THEN 'expired' ELSE 'active' END AS status FROM exceptions WHERE reason IS NOT NULL),
  me AS (SELECT DISTINCT occurrence_id, exception_id, status FROM findings JOIN ex ON (scope = 'stable_id' AND value = stable_id) OR (scope = 'family' AND value = family) OR (scope = 'source' AND value = source_id)),
  e AS (SELECT occurrence_id, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'expired') AS expired FROM me GROUP BY 1),
- ev AS (SELECT findings.*, coalesce(feedback, 0) AS feedback, coalesce(agree, 0) AS agree, coalesce(fixed, 0) AS fixed, coalesce(false_positive, 0) AS false_positive, coalesce(accepted_risk, 0) AS accepted_risk, coalesce(active, 0) AS active, coalesce(expired, 0) AS expired FROM findings LEFT JOIN f USING (occurrence_id) LEFT JOIN e USING (occurrence_id))"""
+ ev AS (SELECT findings.*, coalesce(feedback, 0) AS feedback, coalesce(agree, 0) AS agree, coalesce(fixed, 0) AS fixed, coalesce(false_positive, 0) AS false_positive, coalesce(accepted_risk, 0) AS accepted_risk, coalesce(disagree, 0) AS disagree, coalesce(needs_context, 0) AS needs_context, coalesce(active, 0) AS active, coalesce(expired, 0) AS expired FROM findings LEFT JOIN f USING (occurrence_id) LEFT JOIN e USING (occurrence_id))"""
 
 
 def ev_sql(sql: str) -> str:
@@ -61,12 +61,14 @@ def c19_compare_receipts(spark: SparkSession, sf: str) -> DataFrame:
     return E.compare_receipts(side(2), side(3), "receipt_day", ["n", "risk"])
 
 
-_DIMS = ["family", "severity", "business_severity", "replay_status"]
+_DIMS = ["family", "severity", "business_severity", "replay_status", "exception_state", "freshness", "receipt_day"]
+_STATES = "SELECT *, CASE WHEN active > 0 THEN 'active_exception' WHEN expired > 0 THEN 'expired_exception' ELSE 'none' END AS exception_state, CASE WHEN DATE '2024-02-01' - receipt_day > 30 THEN 'stale' WHEN DATE '2024-02-01' - receipt_day > 14 THEN 'review_due' ELSE 'fresh' END AS freshness FROM ev"
 
 
-@query(with_views(" UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS key, count(*) AS findings, count(DISTINCT receipt_day) AS receipts, sum(monthly_cost) AS cost FROM findings GROUP BY {d}" for d in _DIMS), "findings"))
+@query(ev_sql(f", x AS ({_STATES}) " + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d}::VARCHAR AS key, count(*) AS findings, count(DISTINCT receipt_day) AS receipts, sum(monthly_cost) AS cost, coalesce(sum(monthly_cost) FILTER (agree + fixed > 0), 0) AS validated_cost, coalesce(sum(monthly_cost) FILTER (fixed > 0), 0) AS avoided_cost, coalesce(sum(monthly_cost) FILTER (accepted_risk > 0), 0) AS accepted_cost FROM x GROUP BY {d}" for d in _DIMS)))
 def d16_dashboard(spark: SparkSession, sf: str) -> DataFrame:
-    return E.dashboard(findings(spark, sf), _DIMS)
+    state = F.when(F.col("active") > 0, "active_exception").when(F.col("expired") > 0, "expired_exception").otherwise("none")
+    return E.dashboard(evidence(spark, sf).withColumns({"exception_state": state, "freshness": E.freshness_state(F.col("receipt_day"), now())}), _DIMS)
 
 
 @query(with_views("SELECT family, count(*) AS findings, count(*) FILTER (replay_ran) AS ran, count(*) FILTER (replay_status = 'drift_detected') AS drifts, count(*) FILTER (replay_ran AND replay_status <> 'drift_detected') AS ran_without_drift, count(*) FILTER (NOT replay_ran) AS not_run, count(*) FILTER (fidelity_score < 0.5) AS low_fidelity, count(*) FILTER (replay_ran)::DOUBLE / count(*) AS coverage, count(*) FILTER (replay_status = 'drift_detected')::DOUBLE / count(*) FILTER (replay_ran) AS drift_rate FROM findings GROUP BY 1", "findings"))
@@ -74,14 +76,30 @@ def d17_replay_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return E.replay_rollup(findings(spark, sf))
 
 
-@query(with_views("SELECT stable_id, count(*) AS occurrences, count(DISTINCT receipt_day) AS receipts, max(risk_score) AS max_risk, max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END) AS severity_rank, sum(monthly_cost) AS cost FROM findings GROUP BY 1", "findings"))
+def _named(**columns: str) -> str:
+    """SQL that joins names and counts above zero, by name."""
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {v} > 0 THEN '{k}:' || ({v})::VARCHAR END" for k, v in sorted(columns.items())) + ")"
+
+
+def joined(c: str):
+    """A map of counts as text, by name."""
+    return F.array_join(F.transform(F.sort_array(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+
+
+def assured(df: DataFrame) -> DataFrame:
+    """Every third finding is of high, medium and low confidence."""
+    n = F.col("occurrence_id") % 3
+    return df.withColumn("confidence", F.when(n == 0, "high").when(n == 1, "medium").otherwise("low"))
+
+
+@query(ev_sql(" SELECT stable_id, count(*) AS occurrences, count(DISTINCT receipt_day) AS receipts, max(risk_score) AS max_risk, max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END) AS severity_rank, sum(monthly_cost) AS cost, sum(feedback) AS feedback, " + _named(**{d: f"count(*) FILTER ({d} > 0)" for d in E.COUNTED}) + " AS dispositions, " + _named(high="count(*) FILTER (occurrence_id % 3 = 0)", medium="count(*) FILTER (occurrence_id % 3 = 1)", low="count(*) FILTER (occurrence_id % 3 = 2)") + " AS confidences FROM ev GROUP BY 1"))
 def d18_stable_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return E.stable_findings(findings(spark, sf))
+    return E.stable_findings(assured(evidence(spark, sf))).withColumns({c: joined(c) for c in ("dispositions", "confidences")})
 
 
-@query(with_views("SELECT source_id AS node, count(*) AS findings, count(DISTINCT family) AS families, sum(monthly_cost) AS cost FROM findings GROUP BY 1", "findings"))
+@query(with_views("SELECT node, sum(n) AS findings, string_agg(family || ':' || n::VARCHAR, ',' ORDER BY family) AS families, sum(c) AS cost FROM (SELECT source_id AS node, family, count(*) AS n, sum(monthly_cost) AS c FROM findings GROUP BY 1, 2) GROUP BY 1", "findings"))
 def d19_blast_node_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return E.blast_node_rollup(findings(spark, sf).withColumnRenamed("source_id", "node"))
+    return E.blast_node_rollup(findings(spark, sf).withColumnRenamed("source_id", "node")).withColumn("families", joined("families"))
 
 
 _DECAY = """, g AS (SELECT stable_id, min(family) AS family, count(*) AS n, max(receipt_day) AS seen, max(risk_score) AS risk, count(*) FILTER (business_severity IN ('BOARD_CRITICAL','EXEC_CRITICAL','REVENUE_CRITICAL')) AS crit, count(*) FILTER (replay_status = 'drift_detected') AS d, sum(feedback) AS feedback, sum(false_positive) AS fp, sum(accepted_risk) AS acc, sum(active) AS active, sum(expired) AS expired FROM ev GROUP BY 1),
@@ -105,19 +123,74 @@ def f3_decay_top(spark: SparkSession, sf: str) -> DataFrame:
     return d.orderBy(F.desc("score"), F.desc("occurrences"), F.desc("drifts"), "stable_id").limit(25).select("stable_id", "score")
 
 
-@query(ev_sql(""", g AS (SELECT 'organization' AS kind, 'all' AS key, * FROM (SELECT count(*) AS occurrences, count(*) FILTER (replay_status = 'drift_detected') AS drifts, sum(false_positive) AS fp, max(risk_score) AS max_risk FROM ev) UNION ALL SELECT 'family', family, count(*), count(*) FILTER (replay_status = 'drift_detected'), sum(false_positive), max(risk_score) FROM ev GROUP BY family UNION ALL SELECT 'source', source_id, count(*), count(*) FILTER (replay_status = 'drift_detected'), sum(false_positive), max(risk_score) FROM ev GROUP BY source_id UNION ALL SELECT 'business', business_severity, count(*), count(*) FILTER (replay_status = 'drift_detected'), sum(false_positive), max(risk_score) FROM ev GROUP BY business_severity),
- s AS (SELECT *, greatest(0, least(100, least(occurrences * 4, 40) + least(drifts * 8, 40) + CASE WHEN max_risk >= 80 THEN 20 ELSE 0 END - least(fp * 6, 30))) AS score FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, occurrences DESC, key) AS rank FROM s) SELECT kind, key, occurrences, drifts, score, rank FROM r WHERE rank <= 25"""))
+_BUCKET = "count(*) AS occurrences, count(*) FILTER (replay_status = 'drift_detected') AS drifts, max(risk_score) AS risk, count(*) FILTER (business_severity IN ('BOARD_CRITICAL','EXEC_CRITICAL','REVENUE_CRITICAL')) AS crit, sum(monthly_cost) AS cost, sum(feedback) AS feedback, sum(agree) + sum(fixed) AS good, sum(false_positive) AS fp, sum(accepted_risk) AS acc, sum(expired) AS expired"
+_MEMORY = ", o AS (SELECT *, CASE occurrence_id % 4 WHEN 0 THEN ['unknown'] WHEN 1 THEN ['team_' || family] ELSE ['team_' || family, source_id] END AS owners FROM ev), g AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, {key} AS key, {_BUCKET} FROM {t} GROUP BY 2" for kind, key, t in (("organization", "'all'", "o"), ("family", "family", "o"), ("source_resource", "source_id", "o"), ("business_severity", "business_severity", "o"), ("owner_or_team", "owner", "(SELECT *, unnest(owners) AS owner FROM o)"))) + """),
+ s AS (SELECT *, greatest(0, least(100, least(occurrences * 5, 25) + least(drifts * 8, 32) + CASE WHEN crit > 0 THEN 14 ELSE 0 END + CASE WHEN cost > 0 THEN 12 ELSE 0 END + least(good * 8, 24) + least(acc * 5, 15) + least(expired * 10, 20) - least(fp * 12, 30))) AS score,
+ CASE WHEN feedback >= 2 AND fp / feedback >= 0.5 THEN 'noisy_pattern' WHEN expired > 0 THEN 'expired_risk_memory' WHEN drifts / occurrences >= 0.5 AND good > 0 THEN 'validated_recurring_drift' WHEN drifts / occurrences >= 0.5 THEN 'recurring_drift_needs_feedback' WHEN acc >= 2 THEN 'accepted_risk_memory' WHEN feedback = 0 AND risk >= 80 THEN 'high_risk_unvalidated' ELSE 'watch' END AS pattern FROM g),
+ r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, occurrences DESC, drifts DESC, key) AS rank FROM s)"""
+
+
+def _memory(spark: SparkSession, sf: str) -> DataFrame:
+    team, n = F.concat(F.lit("team_"), "family"), F.col("occurrence_id") % 4
+    owners = F.when(n == 0, F.array(F.lit(" "))).when(n == 1, F.array(team, team)).otherwise(F.array(team, "source_id"))
+    return E.memory(evidence(spark, sf).withColumn("owners", owners))
+
+
+@query(ev_sql(_MEMORY + " SELECT kind, key, occurrences, drifts, score, pattern, rank FROM r WHERE rank <= 25"))
 def d21_memory(spark: SparkSession, sf: str) -> DataFrame:
-    return E.memory(evidence(spark, sf)).select("kind", "key", "occurrences", "drifts", "score", "rank")
+    return _memory(spark, sf).select("kind", "key", "occurrences", "drifts", "score", "pattern", "rank")
+
+
+@query(ev_sql(_MEMORY + " SELECT kind, key, score, pattern FROM r WHERE rank <= 25 AND kind IN ('family', 'source_resource', 'owner_or_team') AND pattern <> 'watch' ORDER BY score DESC, occurrences DESC, kind, key LIMIT 25"))
+def d21_watchlist(spark: SparkSession, sf: str) -> DataFrame:
+    return E.memory_watchlist(_memory(spark, sf)).select("kind", "key", "score", "pattern")
+
+
+_FLAGS = {
+    "missing_trigger_evidence": "trig < 1", "no_blast_radius": "blast = 0", "overbroad_blast_radius": "blast > 12 AND minor", "negative_developer_feedback": "disagree + false_positive > 0", "active_exception_do_not_enforce": "active > 0", "developer_validated": "agree + fixed > 0", "cost_evidence_present": "true",
+    "business_critical": "NOT minor", "weak_control_coverage": "occurrence_id % 5 = 0", "replay_validated": "replay_ran", "inferred_only_no_replay": "NOT replay_ran", "replay_drift_detected": "replay_status = 'drift_detected'", "low_replay_fidelity": "fidelity_score < 0.5",
+}
+_FLAGGED = """, b AS (SELECT *, occurrence_id % 7 AS trig, occurrence_id % 17 AS blast, business_severity IN ('UNKNOWN', 'INTERNAL_LOW') AS minor FROM ev),
+ fl AS (SELECT *, CASE WHEN active > 0 OR accepted_risk > 0 THEN 'accepted_risk_review' WHEN disagree + false_positive > 0 THEN 'needs_noise_review' WHEN trig < 1 OR blast = 0 THEN 'insufficient_evidence' WHEN blast > 12 AND minor THEN 'overbroad' WHEN replay_status = 'drift_detected' AND agree + fixed > 0 THEN 'replay_validated_developer_validated' WHEN replay_status = 'drift_detected' THEN 'replay_validated_shadow' WHEN fidelity_score < 0.5 THEN 'low_fidelity_review' WHEN agree + fixed > 0 THEN 'developer_validated' WHEN risk_score >= 80 THEN 'high_signal_shadow' ELSE 'shadow_unvalidated' END AS precision_state, concat_ws(',', """ + ", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in _FLAGS.items()) + ") AS flags FROM b)"
 
 
-_PREC = """, g AS (SELECT family, count(*) AS findings, sum(feedback) AS feedback, sum(agree) + sum(fixed) AS good, sum(fixed) AS fixed, sum(false_positive) AS fp FROM ev GROUP BY 1)
- SELECT family, findings, feedback, good::DOUBLE / nullif(feedback, 0) AS agree_rate, fp::DOUBLE / nullif(feedback, 0) AS fp_rate, CASE WHEN fp::DOUBLE / nullif(feedback, 0) >= 0.4 AND fp >= 2 THEN 'tighten_or_suppress' WHEN fixed >= 1 AND feedback >= 3 AND fp::DOUBLE / nullif(feedback, 0) <= 0.25 THEN 'candidate_for_enforcement' WHEN good::DOUBLE / nullif(feedback, 0) >= 0.7 AND feedback >= 3 THEN 'promote_to_advisory' WHEN feedback = 0 THEN 'collect_feedback' ELSE 'keep_in_shadow' END AS action FROM g"""
+def _flagged(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("occurrence_id")
+    e = evidence(spark, sf).withColumns({"trigger_count": n % 7, "blast_count": n % 17, "control_status": F.when(n % 5 == 0, "weak").otherwise("covered"), "cost": F.lit(None).cast("double")})
+    return E.precision_flags(e)
 
 
-@query(ev_sql(_PREC))
+@query(ev_sql(_FLAGGED + " SELECT occurrence_id, flags, precision_state FROM fl"))
+def d22_precision_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return _flagged(spark, sf).select("occurrence_id", F.array_join("flags", ",").alias("flags"), "precision_state")
+
+
+_COUNTS = ", ".join(f"count(*) FILTER ({_FLAGS[f]}) AS {c}" for c, f in (("validated", "developer_validated"), ("negative", "negative_developer_feedback"), ("untriggered", "missing_trigger_evidence"), ("unreached", "no_blast_radius"), ("broad", "overbroad_blast_radius"), ("excepted", "active_exception_do_not_enforce"), ("costed", "cost_evidence_present"), ("critical", "business_critical"), ("replayed", "replay_validated"), ("drifts", "replay_drift_detected"), ("inferred", "inferred_only_no_replay"), ("low", "low_replay_fidelity")))
+
+
+@query(ev_sql(_FLAGGED + f", g AS (SELECT family, count(*) AS findings, count(*) FILTER (feedback > 0) AS with_feedback, {_COUNTS} FROM fl GROUP BY 1) SELECT *, CASE WHEN drifts > 0 AND validated > 0 AND negative = 0 THEN 'advisory_candidate_replay_validated' WHEN inferred = findings AND findings >= 2 THEN 'add_replay_fixtures_before_policy' WHEN low > 0 THEN 'improve_replay_fidelity_before_policy' WHEN negative > 0 AND negative / findings >= 0.3 THEN 'tune_or_suppress_before_advisory' WHEN untriggered > 0 OR unreached > 0 THEN 'improve_evidence_before_policy' WHEN broad > 0 THEN 'tighten_blast_radius_scope' WHEN excepted > 0 THEN 'keep_advisory_with_exception_review' WHEN validated > 0 AND (costed > 0 OR critical > 0) THEN 'advisory_candidate_not_blocking' ELSE 'continue_shadow_collect_feedback' END AS action FROM g"))
 def d22_d23_precision_and_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    return E.precision_eval(evidence(spark, sf)).select("family", "findings", "feedback", "agree_rate", "fp_rate", "action")
+    return E.precision_eval(_flagged(spark, sf))
+
+
+_DAYS = "(SELECT count(DISTINCT receipt_day) FROM findings)"
+_POLICY = ", g AS (SELECT family, count(*) AS findings, sum(monthly_cost) AS cost, " + ", ".join(f"count(*) FILTER ({d} > 0) AS {d}" for d in E.COUNTED) + " FROM ev GROUP BY 1), p AS (SELECT *, " + " + ".join(E.COUNTED) + " AS feedback FROM g), q AS (SELECT *, round((agree + fixed) / feedback, 4) AS agree_rate, round(false_positive / feedback, 4) AS fp_rate FROM p), c AS (SELECT *, CASE WHEN fp_rate >= 0.4 AND feedback >= 2 THEN 'lower_severity_or_suppress_candidate' WHEN fixed >= 1 AND cost > 0 AND feedback >= 3 AND coalesce(fp_rate, 0) <= 0.25 THEN 'require_review_candidate' WHEN fixed >= 1 AND cost > 0 THEN 'advisory_candidate' WHEN feedback < 2 OR " + _DAYS + " < 10 THEN 'keep_shadow_collect_feedback' WHEN accepted_risk >= 2 AND accepted_risk >= agree + fixed THEN 'accepted_risk_policy_review_candidate' WHEN agree_rate >= 0.7 AND findings >= 3 THEN 'advisory_candidate' ELSE 'keep_shadow_collect_feedback' END AS action FROM q)"
+
+
+def _days(spark: SparkSession, sf: str) -> int:
+    return findings(spark, sf).select("receipt_day").distinct().count()
+
+
+@query(ev_sql(_POLICY + " SELECT family, findings, feedback, agree_rate, fp_rate, action FROM c"))
+def d23_policy_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    return E.policy_calibration(evidence(spark, sf), _days(spark, sf)).select("family", "findings", "feedback", "agree_rate", "fp_rate", "action")
+
+
+@query(ev_sql(_POLICY + f""", fb AS (SELECT count(*) AS feedback, count(*) FILTER (disposition = 'agree') AS agreed, count(*) FILTER (disposition = 'false_positive') AS false_positive FROM feedback), st AS (SELECT count(*) AS recurring FROM (SELECT stable_id FROM ev GROUP BY 1 HAVING sum(feedback) > 0)), cc AS (SELECT count(*) FILTER (action = 'require_review_candidate') AS require, count(*) FILTER (action = 'advisory_candidate') AS advisory FROM c), j AS (SELECT *, round(agreed / feedback, 4) AS agreement_rate FROM fb, st, cc)
+ SELECT *, CASE WHEN {_DAYS} < 20 OR feedback < 5 THEN 'shadow_only' WHEN false_positive >= greatest(2, feedback // 3) THEN 'tune_noise_before_enforcement' WHEN require > 0 AND recurring >= 2 AND agreement_rate >= 0.7 THEN 'require_review_candidate_human_review_required' WHEN advisory > 0 OR agreement_rate >= 0.6 THEN 'advisory_candidate' ELSE 'continue_shadow_calibration' END AS state FROM j"""))
+def d23_calibration_readiness(spark: SparkSession, sf: str) -> DataFrame:
+    e, days = evidence(spark, sf), _days(spark, sf)
+    return E.calibration_readiness(E.policy_calibration(e, days), E.stable_findings(e), view(spark, sf, "feedback"), days)
 
 
 @query(with_views("""SELECT *, blocked::DOUBLE / runs AS block_rate, confirmed::DOUBLE / (confirmed + noisy) AS precision, CASE WHEN runs >= 20 AND confirmed::DOUBLE / (confirmed + noisy) >= 0.9 THEN 'enforce' WHEN runs >= 10 AND confirmed::DOUBLE / (confirmed + noisy) >= 0.75 THEN 'advise' WHEN runs >= 5 THEN 'observe' ELSE 'collect' END AS tier FROM (SELECT family, count(*) AS runs, count(*) FILTER (severity = 'critical') AS blocked, count(*) FILTER (severity = 'high') AS reviewed, sum(monthly_cost) AS weekly_cost FROM findings GROUP BY 1) JOIN (SELECT split_part(stable_finding_id, '-', 2) AS family, count(*) FILTER (disposition IN ('agree','fixed')) AS confirmed, count(*) FILTER (disposition IN ('disagree','false_positive')) AS noisy FROM feedback GROUP BY 1) USING (family)""", *ALL))
@@ -237,7 +310,31 @@ def g16_causality(spark: SparkSession, sf: str) -> DataFrame:
     return E.causality(findings(spark, sf)).select("occurrence_id", F.round("causality", 6).alias("causality"))
 
 
-@query()
+_BLAST = "CASE WHEN blast <= 0 THEN 0.1::DOUBLE ELSE least(1.0::DOUBLE, log10(blast + 1) / log10(51.0::DOUBLE)) END"
+_PRIORITY = f"""WITH f AS (SELECT *, occurrence_id % 60 * CASE WHEN occurrence_id % 9 = 0 THEN 0 ELSE 1 END AS blast, CASE occurrence_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS sure, occurrence_id % 8 = 0 AS diff, CASE WHEN occurrence_id % 16 = 4 THEN NULL ELSE fidelity_score END AS known FROM findings),
+ t AS (SELECT *, CASE WHEN replay_ran OR replay_status = 'drift_detected' THEN 3 WHEN diff THEN 2 WHEN known IS NOT NULL THEN 1 ELSE 0 END AS tier FROM f),
+ r AS (SELECT *, round_even(100 * ({_BLAST} * CASE business_severity WHEN 'REVENUE_CRITICAL' THEN 1.0::DOUBLE WHEN 'CUSTOMER_FACING' THEN 0.8::DOUBLE WHEN 'UNKNOWN' THEN 0.3::DOUBLE ELSE 0.6::DOUBLE END) * (CASE tier WHEN 3 THEN 1.0::DOUBLE WHEN 2 THEN 0.8::DOUBLE WHEN 1 THEN 0.65::DOUBLE ELSE 0.4::DOUBLE END * CASE sure WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.65::DOUBLE ELSE 0.35::DOUBLE END * CASE WHEN tier = 3 THEN 1.0::DOUBLE ELSE 0.85::DOUBLE END), 0) AS raw FROM t),
+ c AS (SELECT *, least(raw, CASE WHEN tier < 2 THEN 80 ELSE 100 END, CASE WHEN blast = 0 THEN 60 ELSE 100 END, CASE WHEN sure = 'low' THEN CASE WHEN blast = 0 THEN 35 ELSE 50 END ELSE 100 END) AS capped FROM r),
+ k AS (SELECT *, CASE WHEN sure <> 'high' THEN capped WHEN business_severity = 'REVENUE_CRITICAL' THEN greatest(capped, CASE WHEN blast > 0 THEN 45 ELSE 35 END) WHEN business_severity = 'CUSTOMER_FACING' AND blast > 0 THEN greatest(capped, 35) ELSE capped END AS s FROM c)
+ SELECT occurrence_id, s::INT AS score, tier, CASE WHEN s >= 80 THEN 'block candidate' WHEN s >= 65 THEN 'review strongly recommended' WHEN s >= 45 THEN 'review recommended' WHEN s >= 25 THEN 'advisory' ELSE 'informational' END AS band FROM k"""
+
+
+@query(with_views(_PRIORITY, "findings"))
 def g24_review_priority(spark: SparkSession, sf: str) -> DataFrame:
-    """No SQL: engines differ in the last bit of a logarithm, which may turn the rounding."""
-    return findings(spark, sf).select("occurrence_id", E.review_priority(F.col("occurrence_id") % 8, F.col("business_severity"), F.col("fidelity_score"), F.col("replay_ran")).alias("priority"))
+    n = F.col("occurrence_id")
+    f = assured(findings(spark, sf)).withColumns({"blast_count": F.when(n % 9 == 0, 0).otherwise(n % 60), "has_diff": n % 8 == 0, "fidelity_score": F.when(n % 16 != 4, F.col("fidelity_score"))})
+    return E.review_priority(f).select("occurrence_id", "score", "tier", "band")
+
+
+@query(with_views("""WITH s AS (SELECT occurrence_id, family, occurrence_id % 2 = 0 AS a, occurrence_id % 3 = 0 AS b, occurrence_id % 5 = 0 AS c, round(least(0.95, 0.20 + CASE WHEN replay_ran THEN 0.18 ELSE 0 END + CASE occurrence_id % 3 WHEN 0 THEN 0.16 WHEN 1 THEN 0.08 ELSE 0 END + CASE WHEN occurrence_id % 2 = 0 THEN 0.10 ELSE 0 END + CASE WHEN occurrence_id % 3 = 0 THEN 0.10 ELSE 0 END + CASE WHEN occurrence_id % 5 = 0 THEN 0.12 ELSE 0 END + CASE occurrence_id % 4 WHEN 0 THEN 0.14 WHEN 1 THEN 0.08 ELSE 0 END + CASE WHEN occurrence_id % 2 = 0 THEN 0.10 ELSE 0 END + CASE WHEN occurrence_id % 5 = 0 THEN 0.06 ELSE 0 END), 2)::DOUBLE AS score FROM findings)
+ SELECT occurrence_id, score, CASE WHEN score >= 0.78 THEN 'high_static_history_fidelity' WHEN score >= 0.55 THEN 'medium_static_fidelity' ELSE 'low_static_fidelity' END AS level, CASE WHEN (a OR b OR c) AND NOT ((family = 'view' AND NOT a) OR (family = 'click' AND NOT b) OR (family = 'purchase' AND NOT c) OR family IN ('signup', 'error')) THEN 'covered' WHEN a OR b OR c THEN 'partial' ELSE 'weak' END AS coverage FROM s""", "findings"))
+def g15_fidelity_and_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("occurrence_id")
+    even, third, fifth = n % 2 == 0, n % 3 == 0, n % 5 == 0
+    text = F.when(third, "compiled").when(n % 3 == 1, "raw")
+    costed = F.when(n % 4 == 0, "history").when(n % 4 == 1, "estimate")
+    kinds = {"view": "join_cardinality", "click": "incremental_filter", "purchase": "enum_domain_closure", "signup": "null_default_fallback", "error": "temporal_bucket"}
+    family = E.lookup(F.col("family"), kinds, "other")
+    fid = E.fidelity(F.col("replay_ran"), text, even, third, fifth, costed, even, fifth)
+    cov = E.control_coverage(family, even, third, fifth, fifth)
+    return findings(spark, sf).select("occurrence_id", fid["score"].alias("score"), fid["level"].alias("level"), cov["status"].alias("coverage"))

@@ -10,6 +10,7 @@ from ..operators import compare as D
 from ..operators import graph as G
 from ..operators import profile as R
 from ..operators import snapshot as S
+from .evidence_queries import ev_sql, evidence
 from .registry import query, table
 from .views import view, with_views
 
@@ -104,14 +105,31 @@ def h7_shortest_path(spark: SparkSession, sf: str) -> DataFrame:
     return G.shortest_path(view(spark, sf, "edges"), pairs).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
-@query(with_views("SELECT DISTINCT concat('source:', source_id) AS source, concat('assumption:', stable_id) AS target, 'asserts' AS relation FROM findings UNION SELECT DISTINCT concat('assumption:', stable_id), concat('receipt:', CAST(receipt_day AS VARCHAR)), 'recorded_in' FROM findings", "findings"))
+_ABOUT = """, x AS (SELECT *, CASE WHEN active > 0 THEN 'active_exception' WHEN expired > 0 THEN 'expired_exception' END AS exc FROM ev)"""
+_EDGES = {
+    "contains_assumption": ("'source:' || source_id", "'assumption:' || stable_id", "true"), "evidenced_by": ("'assumption:' || stable_id", "'receipt:' || receipt_day::VARCHAR", "true"), "validated_by": ("'assumption:' || stable_id", "'replay:' || stable_id", "replay_ran"),
+    "annotated_by_exception": ("'assumption:' || stable_id", "'exception:' || stable_id", "exc IS NOT NULL"), "calibrated_by_feedback": ("'assumption:' || stable_id", "'feedback:' || stable_id", "feedback > 0"), "exposes": ("'assumption:' || stable_id", "'blast:mart.' || source_id", "occurrence_id % 3 = 0"),
+}
+_NODES = {
+    "source": ("'source:' || source_id", "source_id", "true"), "assumption": ("'assumption:' || stable_id", "family", "true"), "receipt": ("'receipt:' || receipt_day::VARCHAR", "receipt_day::VARCHAR", "true"), "replay": ("'replay:' || stable_id", "arg_max(replay_status, (receipt_day, replay_status))", "replay_ran"),
+    "exception": ("'exception:' || stable_id", "arg_max(exc, (receipt_day, exc))", "exc IS NOT NULL"), "feedback": ("'feedback:' || stable_id", "arg_max(feedback::VARCHAR, (receipt_day, feedback::VARCHAR))", "feedback > 0"), "blast": ("'blast:mart.' || source_id", "'mart.' || source_id", "occurrence_id % 3 = 0"),
+}
+
+
+def _provenance(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every third finding exposes the mart of its source."""
+    e = evidence(spark, sf).withColumnRenamed("receipt_day", "receipt")
+    return G.provenance_graph(e, e.where("occurrence_id % 3 = 0").select("stable_id", F.concat(F.lit("mart."), "source_id").alias("node")))
+
+
+@query(ev_sql(_ABOUT + " UNION ".join(f" SELECT {a} AS source, {b} AS target, '{r}' AS relation FROM x WHERE {w}" for r, (a, b, w) in _EDGES.items())))
 def h8_provenance_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return G.provenance_graph(view(spark, sf, "findings").withColumnRenamed("receipt_day", "receipt"))[1]
+    return _provenance(spark, sf)[1]
 
 
-@query(with_views("SELECT concat('source:', source_id) AS id, 'source' AS kind, source_id AS label FROM findings GROUP BY ALL UNION SELECT concat('assumption:', stable_id), 'assumption', family FROM findings GROUP BY ALL UNION SELECT concat('receipt:', CAST(receipt_day AS VARCHAR)), 'receipt', CAST(receipt_day AS VARCHAR) FROM findings GROUP BY ALL", "findings"))
+@query(ev_sql(_ABOUT + " UNION ALL ".join(f" SELECT {i} AS id, '{k}' AS kind, {v if 'arg_max' in v else f'max({v})'} AS label FROM x WHERE {w} GROUP BY 1" for k, (i, v, w) in _NODES.items())))
 def h8_provenance_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return G.provenance_graph(view(spark, sf, "findings").withColumnRenamed("receipt_day", "receipt"))[0]
+    return _provenance(spark, sf)[0]
 
 
 def _profiles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -60,15 +60,42 @@ def g11_query_cost(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("run_id", L.query_cost(F.col("query_text"), L.query_complexity(F.col("query_text")), F.col("calls"), F.lit(True))["run_cost"].alias("run_cost"))
 
 
-@query(with_views("SELECT signal, count(*) AS n FROM (SELECT unnest(CASE WHEN run_id % 2 = 0 THEN ['select_star', 'cross_join'] ELSE ['select_star', 'global_sort'] END) AS signal FROM history) GROUP BY 1", "history"))
+#: A text for each remainder of the run, and the signals it shows with the cost of a run.
+_TEXTS = [
+    ("select * from a", {"SELECT_STAR": 21.0}),
+    ("select x.id from a x cross join b", {"CARTESIAN_JOIN": 55.0}),
+    ("select a.id from a join b on a.i = b.i join c on a.i = c.i join d on a.i = d.i join e on a.i = e.i where a.i > 0", {"FANOUT_JOIN": 22.0}),
+    ("select count(1) from a group by b", {"UNBOUNDED_AGGREGATION": 14.0}),
+    ("create or replace table t as select id from a where id > 0", {"FULL_REFRESH_PATH": 42.0}),
+    ("select id from {{ ref('a') }} where id > 0", {"MISSING_INCREMENTAL_FILTER": 28.0}),
+    ("select v from a, unnest(a.vs) v", {"UNBOUNDED_FLATTEN": 20.0}),
+    ("select row_number() over () from a", {"UNPARTITIONED_WINDOW": 16.0}),
+    ("merge into t using s on t.i = s.i when matched then update when not matched then insert", {"UNBOUNDED_MERGE": 38.0, "MISSING_INCREMENTAL_FILTER": 28.0}),
+    ("select a from x union all select a from y union all select a from z", {"UNION_ALL_FANIN": 22.0}),
+    ("with a as (select 1), b as (select 2), c as (select 3), d as (select 4), e as (select 5) select 1 from e", {"DEEP_CTE_STACK": 29.5}),
+    ("select distinct a.id from a join b on a.i = b.i where a.id > 0", {"JOIN_THEN_DEDUP": 24.0}),
+    ("select id from a tablesample (5 percent)", {"EXPENSIVE_SAMPLING": 18.0}),
+    ("select regexp_extract(a.s, 'x') from a join b on a.i = b.i join c on a.i = c.i where a.i > 0", {"HEAVY_REGEX_PIPELINE": 16.0}),
+    ("select id from a where id > 0", {}),
+]
+_SHOWN = ", ".join(f"({i}, '{k}', {c}, '{L.LINT[k][0]}')" for i, (_, signals) in enumerate(_TEXTS) for k, c in signals.items())
+_LINTED = f"SELECT run_id, engine, signal, cost, severity FROM history JOIN (VALUES {_SHOWN}) v(r, signal, cost, severity) ON r = run_id % {len(_TEXTS)}"
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in _TEXTS]), (F.col("run_id") % len(_TEXTS) + 1).cast("int"))
+    return history(spark, sf).select(F.col("run_id").alias("query_id"), "engine", text.alias("query_text"))
+
+
+@query(with_views(f"SELECT run_id AS query_id, signal, severity, cost::DOUBLE AS run_cost, cost::DOUBLE * 7 AS weekly_cost FROM ({_LINTED})", "history"))
 def g13_sql_lint(spark: SparkSession, sf: str) -> DataFrame:
-    return L.sql_lint(queries(spark, sf)).groupBy("signal").agg(F.count("*").alias("n"))
+    return L.sql_lint(_texts(spark, sf))
 
 
-@query(with_views("SELECT engine, sum(n) AS signals, sum(c)::DECIMAL(18,2) AS run_cost, (sum(c) * 7)::DECIMAL(18,2) AS weekly_cost FROM (SELECT engine, 2 AS n, CASE WHEN run_id % 2 = 0 THEN 30 ELSE 11 END AS c FROM history) GROUP BY 1", "history"))
+@query(with_views(f"SELECT *, round(weekly_cost * 4.3, 2)::DOUBLE AS monthly_cost, round(weekly_cost::DOUBLE / 0.55, 2) AS dbu, round(weekly_cost::DOUBLE * 2 / 7, 2) AS weekend_cost FROM (SELECT engine, count(*) AS signals, sum(cost)::DECIMAL(18,2) AS run_cost, (sum(cost) * 7)::DECIMAL(18,2) AS weekly_cost, CASE WHEN bool_or(severity = 'high') THEN 'high' ELSE 'medium' END AS confidence FROM ({_LINTED}) GROUP BY 1)", "history"))
 def d36_finops_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    lint = L.sql_lint(queries(spark, sf)).join(history(spark, sf).select(F.col("run_id").alias("query_id"), "engine"), "query_id")
-    return L.finops_rollup(lint, ["engine"]).select("engine", "signals", "run_cost", "weekly_cost")
+    q = _texts(spark, sf)
+    return L.finops_rollup(L.sql_lint(q).join(q.select("query_id", "engine"), "query_id"), ["engine"])
 
 
 @query(with_views("SELECT 'join_cardinality' AS family, count(*) AS n FROM history WHERE run_id % 2 = 0", "history"))
@@ -245,7 +272,7 @@ def j4_dedupe_drift(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, J.dedupe_drift(_stream(spark, sf), "ts", ["event_type", "user_id"], "60 days")).agg(F.count("*").alias("n"))
 
 
-@query('WITH RECURSIVE e AS (SELECT DISTINCT event_type AS key, epoch_ms(ts) AS t FROM events), n AS (SELECT a.key, a.t, b.t AS nx FROM e a ASOF JOIN e b ON a.key = b.key AND a.t + 1800000 <= b.t), r(key, t) AS (SELECT key, min(t) FROM e GROUP BY 1 UNION ALL SELECT n.key, n.nx FROM r JOIN n ON n.key = r.key AND n.t = r.t) SELECT key, t AS "at" FROM r')
+@query('WITH RECURSIVE n AS (SELECT key, t, min(t) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 1800000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM (SELECT DISTINCT event_type AS key, epoch_us(ts) // 1000 AS t FROM events)), r(key, t) AS (SELECT key, min(t) FROM n GROUP BY 1 UNION ALL SELECT n.key, n.nx FROM r JOIN n ON n.key = r.key AND n.t = r.t WHERE n.nx IS NOT NULL) SELECT key, t AS "at" FROM r')
 def j5_cooldown_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, J.cooldown_alerts(_stream(spark, sf), "event_type", "ts"))
 
