@@ -56,11 +56,21 @@ def test_lineage_artifacts(spark, tmp_path):
     nodes, deps = readers.read_dbt_manifest(spark, put(tmp_path / "manifest.json", json.dumps(man)))
     assert nodes.first().materialized == "table" and deps.collect() == [("model.p.n", "model.p.m")]
     res = put(tmp_path / "run.json", json.dumps({"results": [{"unique_id": "model.p.m", "status": "error", "execution_time": 2.5}]}))
-    assert readers.read_dbt_run_results(spark, res).collect() == [("model.p.m", "error", 2.5)]
+    assert readers.read_dbt_run_results(spark, res).collect() == [("model.p.m", "error", 2.5, True)]
     dag = put(tmp_path / "dag.json", json.dumps({"tasks": [{"task_id": "a", "downstream_task_ids": ["b", "c"]}]}))
     assert {tuple(r) for r in readers.read_orchestration(spark, dag, "airflow").collect()} == {("a", "b"), ("a", "c")}
     mon = put(tmp_path / "mc.json", json.dumps({"monitors": [{"table": "t"}]}))
-    assert readers.read_orchestration(spark, mon, "montecarlo").collect() == [("t", "montecarlo")]
+    assert readers.read_orchestration(spark, mon, "montecarlo").select("asset", "kind").collect() == [("t", "montecarlo")]
+    named = put(tmp_path / "dags.json", json.dumps({"dags": [{"dag_id": "d", "tasks": [{"task_id": "a"}, {"task_id": "b", "upstream_task_ids": ["a"]}], "downstream_map": {"b": ["c"]}}]}))
+    assert {tuple(r) for r in readers.read_orchestration(spark, named, "airflow").collect()} == {("d.a", "d.b"), ("d.b", "d.c")}
+    checks_file = put(tmp_path / "dg.json", json.dumps([{"asset_key": "x", "passed": False}, {"asset": "y", "passed": True, "severity": "WARN"}, {"asset": "z", "passed": True}]))
+    assert {(r.asset, r.failing) for r in readers.read_orchestration(spark, checks_file, "dagster").collect()} == {("x", True), ("y", True), ("z", False)}
+    view = put(tmp_path / "v.lkml", "sql_table_name: mart.orders ;; sql: ${orders.id} ;;")
+    assert {r.asset for r in readers.read_orchestration(spark, view, "looker").collect()} == {"mart.orders", "orders.id"}
+    fresh = put(tmp_path / "sources.json", json.dumps({"results": [{"unique_id": "s", "status": "warn"}, {"node": "t"}]}))
+    assert {tuple(r) for r in readers.read_source_freshness(spark, fresh).collect()} == {("s", "warn"), ("t", "unknown")}
+    hot = readers.hot_nodes(spark.createDataFrame([("model.p.m",), ("other",)], "node string"), readers.read_dbt_run_results(spark, res))
+    assert {(r.node, r.hot) for r in hot.collect()} == {("model.p.m", True), ("other", False)}
     reg = put(tmp_path / "reg.json", json.dumps({"models": {"m": {"severity": "BOARD_CRITICAL"}}}))
     assert readers.read_registry(spark, reg, "struct<severity:string>").collect() == [("m", "BOARD_CRITICAL")]
 
@@ -77,6 +87,15 @@ def test_topic_contracts(spark, tmp_path):
     assert contracts.streaming_verdict(found).first().verdict == "BLOCK"
 
 
+def test_topics_as_lists_and_maps(spark, tmp_path):
+    file = {"streams": [{"name": "t", "value_schema": {"fields": {"a": {"type": "int", "required": True}, "b": {"type": ["null", "string"]}}}}, {"topic_config": {"partition_key": "k"}}], "consumer_contracts": [{"name": "c", "source_topic": "t", "required_fields": ["a"]}]}
+    path = put(tmp_path / "streams.json", json.dumps(file))
+    topics, fields = readers.read_topics(spark, path)
+    assert {(r.topic, r.partition_key) for r in topics.collect()} == {("t", None), ("topic_1", "k")}
+    assert {(r.field, r.type, r.required) for r in fields.collect()} == {("a", "int", True), ("b", "null|string", False)}
+    assert [(r.consumer, r.topic, r.required_fields) for r in readers.read_consumers(spark, path).collect()] == [("c", "t", ["a"])]
+
+
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "snap")
     p = profile_table(spark.range(5), "t")

@@ -25,13 +25,14 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
     return history(spark, sf).withColumn("query_id", F.col("run_id")).withColumn("source", F.concat(F.lit("history:"), "engine")).withColumn("calls", F.col("run_id") % 150)
 
 
-@query(with_views("""WITH r AS (SELECT engine, runtime_seconds, cost_usd, unnest(list_distinct([model_name, 'mart.' || model_name])) AS key FROM history UNION ALL SELECT engine, runtime_seconds, cost_usd, unnest(['dim.nation', 'nation']) FROM history WHERE run_id % 2 = 0),
- g AS (SELECT key, count(*) AS runs, sum(runtime_seconds::DECIMAL(18,4))::DOUBLE / count(*) AS avg_runtime, sum(cost_usd::DECIMAL(18,4))::DOUBLE / count(cost_usd) AS avg_cost FROM r GROUP BY 1),
+@query(with_views("""WITH h AS (SELECT *, run_id * 1000 AS bytes, CASE WHEN run_id % 4 = 0 THEN run_id % 7 END AS credits FROM history), r AS (SELECT engine, runtime_seconds, cost_usd, bytes, credits, unnest(list_distinct([model_name, 'mart.' || model_name])) AS key FROM h UNION ALL SELECT engine, runtime_seconds, cost_usd, bytes, credits, unnest(['dim.nation', 'nation']) FROM h WHERE run_id % 2 = 0),
+ g AS (SELECT key, count(*) AS runs, sum(runtime_seconds::DECIMAL(18,4))::DOUBLE / count(*) AS avg_runtime, sum(cost_usd::DECIMAL(18,4))::DOUBLE / count(cost_usd) AS avg_cost, sum(bytes::DECIMAL(18,4))::DOUBLE / count(*) AS avg_bytes, sum(credits)::DOUBLE / count(credits) AS avg_credits FROM r GROUP BY 1),
  e AS (SELECT key, engine FROM (SELECT key, engine, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, engine) AS k FROM r GROUP BY key, engine) WHERE k = 1),
  p AS (SELECT key, runtime_seconds AS p95_runtime FROM (SELECT key, runtime_seconds, row_number() OVER (PARTITION BY key ORDER BY runtime_seconds) AS i, count(*) OVER (PARTITION BY key) AS n FROM r) WHERE i - 1 = least(n - 1, round_even((n - 1) * 0.95, 0)))
- SELECT key, runs, avg_runtime, avg_cost, engine, p95_runtime, CASE WHEN runs >= 10 THEN 'high' WHEN runs >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM g JOIN e USING (key) JOIN p USING (key)""", "history"))
+ SELECT key, runs, avg_runtime, avg_cost, avg_bytes, avg_credits, engine, p95_runtime, CASE WHEN runs >= 10 THEN 'high' WHEN runs >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM g JOIN e USING (key) JOIN p USING (key)""", "history"))
 def d15_history_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return L.history_profile(history(spark, sf))
+    n = F.col("run_id")
+    return L.history_profile(history(spark, sf).withColumns({"bytes_scanned": n * 1000, "credits_used": F.when(n % 4 == 0, n % 7)}))
 
 
 @query(with_views("SELECT model_name, runtime_seconds AS percentile FROM (SELECT model_name, runtime_seconds, row_number() OVER (PARTITION BY model_name ORDER BY runtime_seconds) AS i, count(*) OVER (PARTITION BY model_name) AS n FROM history) WHERE i - 1 = least(n - 1, round_even((n - 1) * 0.95, 0))", "history"))

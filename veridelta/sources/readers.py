@@ -104,29 +104,99 @@ def read_dbt_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def read_dbt_run_results(spark: SparkSession, path: str) -> DataFrame:
-    """node, status, seconds of executed nodes."""
+    """node, status, seconds, failing of executed nodes: failing are those with failures, or without a status of success."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.inline(F.from_json(F.get_json_object("value", "$.results"), "array<struct<unique_id:string,status:string,execution_time:double>>"))).select(F.col("unique_id").alias("node"), "status", F.col("execution_time").alias("seconds"))
+    rows = text.select(F.inline(F.from_json(F.get_json_object("value", "$.results"), "array<struct<unique_id:string,status:string,execution_time:double,failures:bigint>>"))).where("unique_id <> ''")
+    bad = ~F.coalesce(F.lower("status").isin("success", "pass", "ok"), F.lit(False)) | (F.coalesce("failures", F.lit(0)) > 0)
+    return rows.select(F.col("unique_id").alias("node"), "status", F.col("execution_time").alias("seconds"), bad.alias("failing"))
+
+
+def read_source_freshness(spark: SparkSession, path: str) -> DataFrame:
+    """node and freshness of sources, the last entry of a node; unknown where it has none."""
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.posexplode(F.from_json(F.get_json_object("value", "$.results"), "array<struct<unique_id:string,node:string,status:string,freshness:string>>")).alias("at", "r"))
+    named = rows.select("at", F.coalesce("r.unique_id", "r.node").alias("node"), F.coalesce("r.status", "r.freshness", F.lit("unknown")).alias("freshness"))
+    return named.where("node <> ''").groupBy("node").agg(F.max_by("freshness", "at").alias("freshness"))
+
+
+def hot_nodes(nodes: DataFrame, results: DataFrame) -> DataFrame:
+    """nodes with hot: the failing ones, or, if none fails, all that were executed."""
+    ran = results.groupBy("node").agg(F.bool_or("failing").alias("failing"))
+    any_fails = results.agg(F.coalesce(F.bool_or("failing"), F.lit(False)).alias("any"))  # one row
+    j = nodes.join(ran, "node", "left").crossJoin(F.broadcast(any_fails))
+    return j.withColumn("hot", F.when(F.col("any"), F.coalesce("failing", F.lit(False))).otherwise(F.col("failing").isNotNull())).drop("failing", "any")
 
 
 def read_orchestration(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Edges (source, target) of an Airflow DAG's tasks, or assets (asset, kind) of the other tools' JSON."""
+    """Edges (source, target) between tasks for kind airflow; else asset, kind, status, severity, failing.
+
+    Tasks are named by their DAG and id, by the id alone where a file holds one DAG without a name. Failing are checks
+    that did not pass, or warn. Looker files are text: the tables and fields they name are their assets.
+    """
     text = spark.read.text(path, wholetext=True)
+
+    def listed(kind: str, *keys: str) -> Column:
+        """The first list there is: the file itself, or one under a key."""
+        own = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{kind}>"))
+        return F.coalesce(own, *[F.from_json(F.get_json_object("value", f"$.{k}"), f"array<{kind}>") for k in keys])
+
     if kind == "airflow":
-        tasks = text.select(F.inline(F.from_json(F.get_json_object("value", "$.tasks"), "array<struct<task_id:string,downstream_task_ids:array<string>>>")))
-        return tasks.select(F.col("task_id").alias("source"), F.explode("downstream_task_ids").alias("target"))
-    key, name = {"dagster": ("asset_checks", "asset_key"), "looker": ("explores", "name"), "montecarlo": ("monitors", "table")}[kind]
-    return text.select(F.inline(F.from_json(F.get_json_object("value", f"$.{key}"), f"array<struct<{name}:string>>"))).select(F.col(name).alias("asset"), F.lit(kind).alias("kind"))
+        task = "struct<task_id:string,id:string,upstream_task_ids:array<string>,upstream:array<string>,downstream_task_ids:array<string>>"
+        dag = f"struct<dag_id:string,id:string,tasks:array<{task}>,downstream_map:map<string,array<string>>>"
+        dags = text.select(F.explode(F.coalesce(listed(dag, "dags", "data"), F.array(F.from_json("value", dag)))).alias("d"))
+        prefix = F.coalesce(F.concat(F.coalesce("d.dag_id", "d.id"), F.lit(".")), F.lit(""))
+        tasks = dags.select(prefix.alias("p"), F.explode("d.tasks").alias("t")).select("p", F.coalesce("t.task_id", "t.id").alias("own"), "t.*")
+        up = tasks.select("p", F.explode(F.coalesce("upstream_task_ids", "upstream")).alias("a"), F.col("own").alias("b"))
+        down = tasks.select("p", F.col("own").alias("a"), F.explode("downstream_task_ids").alias("b"))
+        mapped = dags.select(prefix.alias("p"), F.explode("d.downstream_map").alias("a", "bs")).select("p", "a", F.explode("bs").alias("b"))
+        return up.unionByName(down).unionByName(mapped).where("a <> '' and b <> ''").select(F.concat("p", "a").alias("source"), F.concat("p", "b").alias("target")).distinct()
+    if kind == "looker":
+        tables = F.regexp_extract_all("value", F.lit(r"(?i)(?:sql_table_name|from)\s*:\s*([\w.\-]+)"), F.lit(1))
+        fields = F.transform(F.regexp_extract_all("value", F.lit(r"\$\{([^}]+)\}"), F.lit(1)), lambda f: F.trim(f))
+        rows = text.select(F.explode(F.concat(tables, fields)).alias("asset"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("severity"), F.lit(False).alias("failing"))
+    elif kind == "dagster":
+        rows = text.select(F.inline(listed("struct<asset_key:string,asset:string,asset_name:string,passed:boolean,severity:string,level:string>", "asset_checks", "checks")))
+        severity = F.lower(F.coalesce("severity", "level"))
+        bad = F.coalesce(~F.col("passed"), F.lit(False)) | F.coalesce(severity.isin("warn", "warning", "error", "critical"), F.lit(False))
+        rows = rows.select(F.coalesce("asset_key", "asset", "asset_name").alias("asset"), F.when(F.col("passed"), "passed").when(~F.col("passed"), "failed").alias("status"), severity.alias("severity"), bad.alias("failing"))
+    elif kind == "montecarlo":
+        rows = text.select(F.inline(listed("struct<dataset:string,table:string,asset:string,full_table_name:string,name:string,status:string,severity:string,upstream_assets:array<string>,downstream_assets:array<string>>", "monitors", "alerts", "data")))
+        names = F.array_compact(F.concat(F.array("dataset", "table", "asset", "full_table_name", "name"), *[F.coalesce(c, F.array().cast("array<string>")) for c in ("upstream_assets", "downstream_assets")]))
+        rows = rows.select(F.explode(F.array_distinct(names)).alias("asset"), "status", F.lower("severity").alias("severity"), F.coalesce(F.lower("status").isin("firing", "failed", "alert", "error"), F.lit(False)).alias("failing"))
+    else:
+        raise ValueError(kind)
+    return rows.where("asset <> ''").select("asset", F.lit(kind).alias("kind"), "status", "severity", "failing")
 
 
 def read_topics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Topics and fields of a contract file, whose topics are a map by name; see contracts.topic_diff for the columns."""
+    """Topics and fields of a contract file; see contracts.topic_diff for the columns.
+
+    Topics are a map by name or a list with names, under topics or streams; so are the fields of a topic. Lists of types
+    (with null for optional ones) are joined by a bar.
+    """
     field = "struct<name:string,type:string,required:boolean,symbols:array<string>>"
-    topic = f"struct<schema:struct<fields:array<{field}>>,config:struct<partition_key:string,retention_ms:bigint,idempotent:boolean>,semantics:struct<event_time_field:string,lateness_tolerance_minutes:int>,compatibility:string>"
-    t = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", "$.topics"), f"map<string,{topic}>")).alias("topic", "v"))
-    topics = t.select("topic", F.col("v.semantics.event_time_field").alias("event_time"), F.col("v.semantics.lateness_tolerance_minutes").alias("lateness_min"), F.col("v.config.partition_key").alias("partition_key"), F.col("v.config.retention_ms").alias("retention_ms"), F.upper("v.compatibility").alias("compatibility"), F.coalesce("v.config.idempotent", F.lit(False)).alias("idempotent"))
-    fields = t.select("topic", F.explode("v.schema.fields").alias("f")).select("topic", F.col("f.name").alias("field"), F.col("f.type").alias("type"), F.coalesce("f.required", F.lit(False)).alias("required"), "f.symbols")
-    return topics, fields
+    config, semantics = "struct<partition_key:string,retention_ms:bigint,idempotent:boolean>", "struct<event_time_field:string,lateness_tolerance_minutes:int>"
+    topic = f"struct<name:string,topic:string,schema:struct<fields:string>,value_schema:struct<fields:string>,config:{config},topic_config:{config},semantics:{semantics},stream_semantics:{semantics},compatibility:string>"
+    raw = spark.read.text(path, wholetext=True).select(F.coalesce(F.get_json_object("value", "$.topics"), F.get_json_object("value", "$.streams")).alias("j"))
+    is_list = F.startswith(F.ltrim("j"), F.lit("["))
+    named = raw.where(~is_list).select(F.explode(F.from_json("j", f"map<string,{topic}>")).alias("topic", "v"))
+    listed = raw.where(is_list).select(F.posexplode(F.from_json("j", f"array<{topic}>")).alias("at", "v")).select(F.coalesce("v.name", "v.topic", F.concat(F.lit("topic_"), "at")).alias("topic"), "v")
+    t = named.unionByName(listed).select("topic", "v.compatibility", F.coalesce("v.config", "v.topic_config").alias("c"), F.coalesce("v.semantics", "v.stream_semantics").alias("s"), F.coalesce("v.schema.fields", "v.value_schema.fields").alias("f"))
+    topics = t.select("topic", F.col("s.event_time_field").alias("event_time"), F.col("s.lateness_tolerance_minutes").alias("lateness_min"), F.col("c.partition_key").alias("partition_key"), F.col("c.retention_ms").alias("retention_ms"), F.upper("compatibility").alias("compatibility"), F.coalesce("c.idempotent", F.lit(False)).alias("idempotent"))
+    as_list = F.from_json("f", f"array<{field}>")
+    as_map = F.transform(F.map_entries(F.from_json("f", f"map<string,{field}>")), lambda e: F.struct(e["key"].alias("name"), e["value"]["type"].alias("type"), e["value"]["required"].alias("required"), e["value"]["symbols"].alias("symbols")))
+    fields = t.where("f is not null").select("topic", F.explode(F.when(F.startswith(F.ltrim("f"), F.lit("[")), as_list).otherwise(as_map)).alias("f")).where("f.name <> ''")
+    kinds = F.from_json("f.type", "array<string>")
+    kind = F.when(F.startswith("f.type", F.lit("[")), F.array_join(F.sort_array(kinds), "|")).otherwise(F.col("f.type"))
+    return topics, fields.select("topic", F.col("f.name").alias("field"), kind.alias("type"), F.coalesce("f.required", F.lit(False)).alias("required"), "f.symbols")
+
+
+def read_consumers(spark: SparkSession, path: str) -> DataFrame:
+    """consumer, topic, required_fields, field_types, partition_key, event_time of the consumer contracts of a file."""
+    row = "struct<consumer:string,name:string,topic:string,source_topic:string,required_fields:array<string>,field_types:map<string,string>,partition_key:string,event_time_field:string>"
+    both = [F.from_json(F.get_json_object("value", f"$.{k}"), f"array<{row}>") for k in ("consumers", "consumer_contracts")]
+    rows = spark.read.text(path, wholetext=True).select(F.inline(F.coalesce(*both)))
+    return rows.select(F.coalesce("consumer", "name").alias("consumer"), F.coalesce("topic", "source_topic").alias("topic"), "required_fields", "field_types", "partition_key", F.col("event_time_field").alias("event_time")).where("topic is not null")
 
 
 def read_registry(spark: SparkSession, path: str, value: T.StructType | str) -> DataFrame:
