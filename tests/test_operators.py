@@ -1,6 +1,7 @@
 """Cases that the queries over the given tables don't reach."""
 
-from veridelta.operators import compare, evidence, matching
+from veridelta.operators import compare, evidence, matching, perturb, workload
+from veridelta.streaming import jobs
 
 
 def test_fingerprint_sees_where_nulls_are(spark):
@@ -38,3 +39,56 @@ def test_evidence_counts_each_row_once(spark):
     assert got == {1: (2, 1, 1, 2, 1), 2: (2, 1, 1, 2, 0), 3: (0, 0, 0, 1, 0)}
     slow = {(r.occurrence_id, r.n) for r in evidence.match_exceptions(f, ex, now).groupBy("occurrence_id").agg(F.count("*").alias("n")).collect()}
     assert slow == {(1, 3), (2, 2), (3, 1)}
+
+
+def test_nearest_rank_equals_sorting(spark):
+    """Few and many rows a key, ties, null keys and values, an empty table; equal to sorting each key whole."""
+    rows = [(k, float((i * 37) % m) if i % 13 else None) for k, n, m in (("a", 1, 5), ("b", 2, 50), ("c", 12, 3), (None, 40, 1000), ("d", 3000, 997), ("e", 2000, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {}
+    for p in (0.0, 0.5, 0.95, 1.0):
+        for key in {k for k, _ in rows}:
+            values = sorted(v for k, v in rows if k == key and v is not None)
+            if values:
+                want[p, key] = values[min(len(values) - 1, round((len(values) - 1) * p))]
+    got = {(p, r.k): r.percentile for p in (0.0, 0.5, 0.95, 1.0) for r in workload.nearest_rank(df, ["k"], "v", p).collect()}
+    assert got == want
+    assert workload.nearest_rank(df.limit(0), ["k"], "v").count() == 0
+
+
+def test_late_events_equal_one_pass(spark):
+    """A hot key over many ranges, ties in time, null keys and times; equal to one pass in order of arrival."""
+    from pyspark.sql import functions as F
+
+    rows = [("hot" if i % 3 else None, (i * 7919) % 5003 if i % 17 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t long, a int").withColumn("ts", F.timestamp_seconds(F.col("t") * 60))
+    newest, want = {}, set()
+    for k, t, a in rows:
+        if t is not None:
+            if k in newest and newest[k] - t > 100:
+                want.add((a, float(newest[k] - t)))
+            newest[k] = max(newest.get(k, t), t)
+    assert {(r.a, r.lag_minutes) for r in jobs.late_events(df, "ts", "a", "k", 100).collect()} == want
+
+
+def test_first_keys_of_repeated_splits(spark, monkeypatch):
+    """Ranges are split again until few rows are left; nulls, predicates and empty tables."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(perturb, "FEW", 7)
+    df = spark.range(5000).select((F.col("id") * 3).alias("k"), (F.col("id") % 2 == 0).alias("even"))
+    for share in (0.0001, 0.15, 0.5, 1.0):
+        n = max(1, -int(-5000 * share // 1))
+        assert df.where(perturb.first_k_by_key(df, "k", share)).agg(F.count("*"), F.max("k")).first() == (n, 3 * (n - 1))
+    assert df.where(perturb.first_k_by_key(df, "k", 0.1, F.col("even"))).count() == 250
+    assert df.where(perturb.first_k_by_key(df.limit(0), "k", 0.1)).count() == 0
+
+
+def test_review_priority_limits(spark):
+    shape = "id int, blast_count int, business_severity string, confidence string, replay_ran boolean, replay_status string, fidelity_score double, has_diff boolean"
+    rows = [(1, 60, "REVENUE_CRITICAL", "high", True, "passed", 0.9, False), (2, 0, "REVENUE_CRITICAL", "high", False, "not_run", None, False), (3, 60, "REVENUE_CRITICAL", "low", True, "passed", 0.9, False), (4, 1, "CUSTOMER_FACING", "high", False, "not_run", 0.2, False), (5, None, None, None, None, None, None, None)]
+    got = {r.id: (r.score, r.band, r.tier, list(r.caps), r.floor) for r in evidence.review_priority(spark.createDataFrame(rows, shape)).collect()}
+    assert got[1] == (100, "block candidate", 3, [], None)
+    assert got[2] == (35, "advisory", 0, [], "revenue_high_confidence_floor_35")
+    assert got[3][0] == 35 and got[4] == (35, "advisory", 1, [], "customer_high_confidence_blast_floor_35")
+    assert got[5] == (1, "informational", 0, [], None)

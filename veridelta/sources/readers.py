@@ -57,9 +57,9 @@ def read_workload(spark: SparkSession, paths: str | list[str], fmt: str = "json"
 
 
 def read_sql_texts(spark: SparkSession, path: str) -> DataFrame:
-    """path and statement of .sql files, split at semicolons; a file of any size is read in splits."""
-    df = spark.read.text(path, lineSep=";").select(F.col("_metadata.file_path").alias("path"), F.btrim("value", F.lit(" \t\r\n")).alias("statement"))
-    return df.where("statement <> ''")
+    """path, pos and statement of .sql files, split at semicolons. A file is read whole, since pos counts from its start."""
+    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", ";")).alias("pos", "statement"))
+    return df.withColumn("statement", F.btrim("statement", F.lit(" \t\r\n"))).where("statement <> ''")
 
 
 def read_receipts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
