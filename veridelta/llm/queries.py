@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, clustering, html_text, media, mixing, near_dedup, pieces, pii, quality_model, quality_rules, secrets, spelling
+from . import chat, clustering, html_text, media, metric_join, mixing, near_dedup, pieces, pii, quality_model, quality_rules, secrets, spelling
 from .common import table
 from .oracles import ORACLE  # noqa: F401
 
@@ -69,5 +69,9 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), spelling.Variants(drop=97))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html, op2_quality, op3_minhash, op4_pieces, op5_chat, op6_secrets, op7_pii, op8_media, op9_quality_rules, op10_mixing, op11_clusters, op12_spelling)}
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html, op2_quality, op3_minhash, op4_pieces, op5_chat, op6_secrets, op7_pii, op8_media, op9_quality_rules, op10_mixing, op11_clusters, op12_spelling, op13_vectors)}
 
