@@ -98,7 +98,7 @@ class Tree:
         """Number of the nearest point of each row (the smaller one of equals), its squared distance, and how many distances were measured."""
         n = len(v)
         best, who = np.full(n, np.iinfo(np.int64).max), np.full(n, len(self.points), np.int64)
-        bounds = np.full((n, len(self.nodes)), np.inf)
+        bounds = np.full((n, max(len(self.nodes), 1)), np.inf)
         bounds[:, 0] = 0
         measured = 0
         active = np.arange(n)

@@ -45,4 +45,46 @@ OP10 = rf"""WITH d AS (SELECT doc_id, source, len({WORDS.format(t="coalesce(text
  y AS (SELECT source, h, left_over > 0 AND (below + n <= left_over OR (below <= left_over AND n - (left_over - below) < left_over - below)) AS more FROM c)
 SELECT doc_id, size::BIGINT AS size, source_size, target, (size * (whole + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN y ON d.source IS NOT DISTINCT FROM y.source AND d.h = y.h"""
 
-ORACLE = {"op5_chat": OP5, "op9_quality_rules": OP9, "op10_mixing": OP10}
+
+
+def _clusters(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    """One step a round: all vectors against all centroids."""
+    near = """(SELECT vec_id, v, c, d FROM (SELECT e.vec_id, e.v, k.c, list_sum(list_transform(range(1, {size} + 1), lambda i: (e.v[i] - k.m[i]) * (e.v[i] - k.m[i]))) AS d FROM e, {k} k)
+      QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+    steps = [f"""e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT sha256('2:' || vec_id) AS h, v FROM e ORDER BY h LIMIT {k}))"""]
+    for r in range(rounds):
+        steps.append(f"a{r} AS MATERIALIZED {near.format(size=size, k=f'k{r}')}")
+        mean = f"SELECT c, list(floor(s::DOUBLE / n)::BIGINT ORDER BY i) AS m FROM (SELECT c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, {size + 1}) t(i) GROUP BY ALL) GROUP BY c"
+        steps.append(f"k{r + 1} AS MATERIALIZED (SELECT c, coalesce(x.m, k.m) AS m FROM k{r} k LEFT JOIN ({mean}) x USING (c))")
+    steps.append(f"z AS MATERIALIZED {near.format(size=size, k=f'k{rounds}')}")
+    return "WITH " + ",\n ".join(steps) + f"""
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM z JOIN k{rounds} USING (c)"""
+
+
+OP11 = _clusters()
+
+_LETTERS = "àáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞß"
+_PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}"
+
+# crc32 by its rule, a byte at a time over a table of 256; then one stand-in of one byte for each letter, since levenshtein counts bytes
+OP12 = rf"""WITH RECURSIVE crc(i, k, x) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END FROM crc WHERE k < 8),
+ tab AS MATERIALIZED (SELECT list(x ORDER BY i) AS t FROM crc WHERE k = 8),
+ runs AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL),
+ hashed AS (SELECT w, n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)), '..'), lambda b: ('0x' || b)::BIGINT)),
+   lambda h, b: xor(h // 256, t[xor(h % 256, b) + 1]))) AS h FROM runs, tab),
+ kept AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM hashed),
+ v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n, translate(word, '{_LETTERS}', '{_PLAIN}') AS p FROM kept WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+ near AS MATERIALIZED (SELECT a.word, a.n, b.word AS other, b.n AS m FROM v a JOIN v b ON abs(length(a.p) - length(b.p)) <= 1 AND levenshtein(a.p, b.p) = 1),
+ best AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS o, max(m) AS om FROM near GROUP BY ALL),
+ f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN om >= 2 * v.n THEN o END AS form, CASE WHEN om >= 2 * v.n THEN om END AS form_n FROM v LEFT JOIN best USING (word)),
+ walk(word, pos, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN f ON f.word = walk.pos WHERE f.form IS NOT NULL)
+SELECT f.word, form, arg_max(walk.pos, step) AS root, n, n_near, form_n FROM f JOIN walk ON walk.word = f.word GROUP BY ALL"""
+
+OP13 = """WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v, len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings),
+ links AS MATERIALIZED (SELECT a.r, b.r AS s FROM e a JOIN e b ON a.ok AND b.ok AND a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+ reach(r, s) AS (SELECT r, r FROM e UNION SELECT reach.r, links.s FROM reach JOIN links ON links.r = reach.s),
+ top AS (SELECT reach.r, min(e.vec_id) AS component_id FROM reach JOIN e ON e.r = reach.s GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.r = e.r) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM e JOIN top USING (r)"""
+
+ORACLE = {"op11_clusters": OP11, "op12_spelling": OP12, "op13_vectors": OP13, "op5_chat": OP5, "op9_quality_rules": OP9, "op10_mixing": OP10}
