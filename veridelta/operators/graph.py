@@ -62,33 +62,108 @@ def blast_summary(blast: DataFrame, node_count: int) -> DataFrame:
     return blast.groupBy("root").agg(F.count("*").alias("impacted"), F.max("severity").alias("worst"), F.least(F.lit(1.0), F.sum(part).cast("double") / max(1, node_count)).alias("overall"))
 
 
-def descendant_counts(edges: DataFrame, max_depth: int = 8) -> DataFrame:
-    """node and how many nodes it reaches. The intermediate rows number nodes times reach, which max_depth bounds."""
-    roots = edges.select(F.col("source").alias("root")).distinct()
-    return reach(edges, roots, max_depth).groupBy(F.col("root").alias("node")).agg(F.count("*").alias("descendants"))
+def descendant_sketches(edges: DataFrame, max_depth: int | None = 8, lg: int = 12) -> DataFrame:
+    """node, descendants: about how many nodes each reaches within max_depth steps (None: any number), itself left out.
+
+    Every node keeps one sketch of 2**lg registers, so state grows with the nodes, not with their reach. A round merges
+    into each node the sketches of those children that changed in the round before, and rounds end when none does, so
+    what is shuffled is edges times sketch a round at most. Cycles, self-loops and repeated edges change nothing. The
+    relative standard error is `sketch_error(lg)`.
+    """
+    e = cut(edges.select(F.col("source").alias("__s"), F.col("target").alias("__t")).where("__s is not null and __t is not null and __s <> __t").distinct())
+    nodes = e.select(F.col("__s").alias("node")).union(e.select("__t")).distinct()
+    state = cut(nodes.groupBy("node").agg(F.hll_sketch_agg(F.col("node").cast("string"), lg).alias("sketch")).withColumn("changed", F.lit(True)))
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        news = e.join(state.where("changed").select(F.col("node").alias("__t"), "sketch"), "__t").groupBy(F.col("__s").alias("node")).agg(F.hll_union_agg("sketch").alias("news"))
+        merged = F.when(F.col("news").isNotNull(), F.hll_union("sketch", "news")).otherwise(F.col("sketch"))
+        state = cut(state.join(news, "node", "left").select("node", merged.alias("sketch"), (merged != F.col("sketch")).alias("changed")))
+        if state.where("changed").isEmpty():
+            break
+    return state.select("node", F.greatest(F.hll_sketch_estimate("sketch") - 1, F.lit(0)).alias("descendants"))
 
 
-def bottlenecks(edges: DataFrame, k: int = 10, centrality: DataFrame | None = None, max_depth: int = 8) -> DataFrame:
-    """The k nodes with most descendants, weighted by a given centrality (node, centrality) if there is one."""
-    d = descendant_counts(edges, max_depth)
-    d = d.join(centrality, "node", "left").withColumn("score", F.coalesce("centrality", F.lit(0.0)) * F.col("descendants")).drop("centrality") if centrality is not None else d.withColumn("score", F.col("descendants").cast("double"))
-    return d.orderBy(F.desc("score"), "node").limit(k)
+def sketch_error(lg: int) -> float:
+    """Relative standard error of estimates from 2**lg registers."""
+    return 1.04 / 2 ** (lg / 2)
 
 
-def graph_risk(nodes: DataFrame, edges: DataFrame, max_depth: int = 8) -> DataFrame:
-    """node, descendants, in_degree, out_degree, risk: shares of the largest value of each, weighted.
+def descendant_counts(edges: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
+    """node and how many nodes it reaches, exactly, for the given roots (root). The intermediate rows number roots times reach."""
+    return reach(edges, roots, max_depth).groupBy(F.col("root").alias("node")).agg(F.count("*").alias("descendants"))
+
 
-    nodes: node, and optionally centrality, fk_count, null_rate.
+def bottlenecks(edges: DataFrame, k: int = 10, centrality: DataFrame | None = None, max_depth: int = 8, lg: int = 12, margin: float = 4) -> DataFrame:
+    """node, descendants, score: the k nodes with most descendants, weighted by a given centrality (node, centrality) if there is one.
+
+    Sketches of all nodes leave those that may be among the k, a margin of so many standard errors included; only these
+    are walked from, so counts are exact.
+    """
+    weigh = lambda d: (d.join(centrality, "node", "left").withColumn("score", F.coalesce("centrality", F.lit(0.0)) * F.col("descendants")).drop("centrality") if centrality is not None else d.withColumn("score", F.col("descendants").cast("double")))
+    guess = cut(weigh(descendant_sketches(edges, max_depth, lg)))
+    last = guess.orderBy(F.desc("score")).limit(k).agg(F.min("score")).first()[0]
+    off = min(margin * sketch_error(lg), 0.5)
+    maybe = guess.where(F.col("score") * (1 + off) >= F.lit(last or 0.0) * (1 - off))
+    d = descendant_counts(edges, maybe.select(F.col("node").alias("root")), max_depth)
+    return weigh(d).orderBy(F.desc("score"), "node").limit(k)
+
+
+#: What a column's name adds to its risk, and what it says (fixed values).
+NAME_BONUSES = [
+    (r"^id$|_id$", 0.12, "identity"),
+    (r"status|state|type|category|segment", 0.08, "domain"),
+    (r"date|time|_at|ts|created|updated", 0.08, "temporal"),
+    (r"amount|revenue|price|cost|total|qty|quantity", 0.07, "metric"),
+]
+
+
+def graph_risk(nodes: DataFrame, edges: DataFrame, max_depth: int = 8, exact: int | None = None, lg: int = 12, margin: float = 4) -> DataFrame:
+    """node, descendants, in_degree, out_degree, risk, reasons of tables and columns.
+
+    nodes: node, and optionally name, label (only Table and Column are rated), centrality, null_rate. edges: source,
+    target, and optionally relation, where REFERENCES marks foreign keys. Descendants count as a share of the most that
+    any node has; degrees as a share of 6. All nodes are rated from sketches, within their error; with `exact`, only so
+    many of the highest risk are given, of which no sketch is left in the result: those that may be among them, a margin
+    of so many standard errors included, are walked from.
     """
-    deg_in = edges.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("in_degree"))
-    deg_out = edges.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("out_degree"))
-    n = nodes.join(descendant_counts(edges, max_depth), "node", "left").join(deg_in, "node", "left").join(deg_out, "node", "left")
-    for c in ("centrality", "fk_count", "null_rate", "descendants", "in_degree", "out_degree"):
-        n = n.withColumn(c, F.coalesce(c, F.lit(0)) if c in n.columns else F.lit(0))
-    top = n.agg(*[F.greatest(F.max(c), F.lit(1)).alias(f"top_{c}") for c in ("descendants", "in_degree", "out_degree", "fk_count")])  # one row
-    share = lambda c: F.col(c) / F.col(f"top_{c}")
-    risk = 0.32 * F.col("centrality") + 0.26 * share("descendants") + 0.08 * share("in_degree") + 0.07 * share("out_degree") + 0.18 * share("fk_count") + F.when(F.col("null_rate") > 0.2, 0.05).otherwise(0.0)
-    return n.crossJoin(top).select("node", "descendants", "in_degree", "out_degree", F.least(F.lit(1.0), risk).alias("risk"))
+    n = nodes.where(F.col("label").isin("Table", "Column")) if "label" in nodes.columns else nodes
+    for c, other in (("name", F.element_at(F.split(F.col("node").cast("string"), r"\."), -1)), ("centrality", F.lit(0.0)), ("null_rate", F.lit(0.0))):
+        n = n.withColumn(c, F.coalesce(c, other) if c in n.columns else other)
+    guess = cut(descendant_sketches(edges, max_depth, lg))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("node"), *([F.col("relation") == "REFERENCES"] if "relation" in edges.columns else [F.lit(False)]))
+    ends = ends.toDF("node", "fk").where("fk").select("node").distinct().withColumn("fk", F.lit(True))
+    deg = lambda c, name: edges.groupBy(F.col(c).alias("node")).agg(F.count("*").alias(name))
+    n = n.select("node", F.lower("name").alias("name"), "centrality", "null_rate")
+    for part in (deg("target", "in_degree"), deg("source", "out_degree"), ends):
+        n = n.join(part, "node", "left")
+    names = [F.when(F.col("name").rlike(p), F.lit(b)).otherwise(F.lit(0.0)) for p, b, _ in NAME_BONUSES]
+    bonus = names[0] + names[1] + names[2] + names[3]
+    share = lambda c: F.least(F.lit(1.0), F.coalesce(c, F.lit(0)) / 6.0)
+    fixed = 0.32 * F.col("centrality") + 0.08 * share("in_degree") + 0.07 * share("out_degree") + F.when(F.col("fk"), 0.18).otherwise(0.0) + F.least(F.lit(0.12), 1.8 * F.col("null_rate")) + bonus
+    n = n.withColumn("fixed", fixed)
+
+    def rated(rows: DataFrame, counts: DataFrame, most: float) -> DataFrame:
+        j = rows.join(counts, "node", "left").withColumn("descendants", F.coalesce("descendants", F.lit(0)).cast("long"))
+        part = F.least(F.lit(1.0), F.col("descendants") / F.lit(float(max(most, 1))))
+        said = [F.when(F.col("name").rlike(p), F.lit(r)) for p, _, r in NAME_BONUSES]
+        said += [F.when(F.col("centrality") > 0.05, "bridge"), F.when(part > 0.25, "blast"), F.when(F.col("fk"), "reference")]
+        reasons = F.slice(F.array_compact(F.array(*said)), 1, 5)
+        deg = [F.coalesce(c, F.lit(0)).alias(c) for c in ("in_degree", "out_degree")]
+        return j.select("node", "descendants", *deg, F.least(F.lit(1.0), F.col("fixed") + 0.26 * part).alias("risk"), reasons.alias("reasons"))
+
+    if exact is None:
+        return rated(n, guess, guess.agg(F.max("descendants")).first()[0] or 1)
+    n = cut(n)
+    off = min(margin * sketch_error(lg), 0.5)
+    top = bottlenecks(edges, 1, None, max_depth, lg, margin).first()
+    most = top.descendants if top else 1
+    near = cut(rated(n, guess, most))
+    last = near.orderBy(F.desc("risk")).limit(exact).agg(F.min("risk")).first()[0]
+    maybe = near.where(F.col("risk") + 2 * off * 0.26 >= F.lit(last or 0.0)).select("node")
+    rows = cut(n.join(maybe, "node", "left_semi"))
+    counts = descendant_counts(edges, rows.select(F.col("node").alias("root")), max_depth)
+    return rated(rows, counts, most).orderBy(F.desc(F.round("risk", 9)), "node").limit(exact)
 
 
 def upstream(edges: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:

@@ -56,9 +56,16 @@ def h2_blast_summary(spark: SparkSession, sf: str) -> DataFrame:
 _ALL = "WITH RECURSIVE r(root, node, depth) AS (SELECT source, source, 0 FROM (SELECT DISTINCT source FROM edges) UNION ALL SELECT r.root, e.target, r.depth + 1 FROM r JOIN edges e ON e.source = r.node WHERE r.depth < 8), d AS (SELECT root AS node, count(*) FILTER (depth > 0 AND node <> root) AS descendants FROM r GROUP BY 1)"
 
 
-@query(recursive(_ALL + " SELECT node, descendants FROM d WHERE descendants > 0", "edges"))
+@query(recursive(_ALL + " SELECT node, descendants FROM d WHERE descendants > 0 ORDER BY descendants DESC, node LIMIT 100", "edges"))
 def h3_descendant_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return G.descendant_counts(view(spark, sf, "edges"))
+    """The hundred with most, exactly."""
+    return G.bottlenecks(view(spark, sf, "edges"), 100).select("node", "descendants")
+
+
+@query()
+def h3_descendant_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """All nodes, within the error of their sketches; tests hold it against exact counts."""
+    return G.descendant_sketches(view(spark, sf, "edges"), None)
 
 
 @query(recursive(_ALL + " SELECT node, descendants, descendants::DOUBLE AS score FROM d ORDER BY descendants DESC, node LIMIT 10", "edges"))
@@ -66,11 +73,21 @@ def f6_bottlenecks(spark: SparkSession, sf: str) -> DataFrame:
     return G.bottlenecks(view(spark, sf, "edges"), 10)
 
 
-@query(recursive(_ALL + """, n AS (SELECT c_custkey AS node, coalesce(descendants, 0) AS descendants, CASE WHEN c_custkey > 1 THEN 1 ELSE 0 END AS in_degree, (SELECT count(*) FROM edges WHERE source = c_custkey) AS out_degree FROM customer LEFT JOIN d ON node = c_custkey)
- SELECT node, descendants, in_degree, out_degree, round(0.26 * descendants / (SELECT max(descendants) FROM n) + 0.08 * in_degree + 0.07 * out_degree / (SELECT max(out_degree) FROM n), 6) AS risk FROM n""", "edges"))
+_NAMED = "SELECT c_custkey AS node, CASE c_custkey % 8 WHEN 0 THEN 'id' WHEN 1 THEN 'order_status' WHEN 2 THEN 'created_at' WHEN 3 THEN 'total_amount' WHEN 4 THEN 'region_id' WHEN 5 THEN 'note' WHEN 6 THEN 'update_cost' ELSE 'label' END AS name, CASE c_custkey % 11 WHEN 0 THEN 'Dashboard' WHEN 1 THEN 'Table' ELSE 'Column' END AS label, (c_custkey % 13) / 200.0 AS null_rate FROM {customer}"
+
+
+@query(recursive(_ALL + f""", c AS ({_NAMED.format(customer='customer')}), deg_in AS (SELECT target AS node, count(*) AS n FROM edges GROUP BY 1), deg_out AS (SELECT source AS node, count(*) AS n FROM edges GROUP BY 1),
+ fk AS (SELECT DISTINCT node FROM (SELECT source AS node FROM edges WHERE target % 3 = 0 UNION ALL SELECT target FROM edges WHERE target % 3 = 0)),
+ n AS (SELECT c.*, coalesce(descendants, 0) AS descendants, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, fk.node IS NOT NULL AS fk, greatest(1, (SELECT max(descendants) FROM d)) AS most FROM c LEFT JOIN d ON d.node = c.node LEFT JOIN deg_in i ON i.node = c.node LEFT JOIN deg_out o ON o.node = c.node LEFT JOIN fk ON fk.node = c.node WHERE label <> 'Dashboard'),
+ k AS (SELECT *, 0.26 * descendants / most + 0.08 * least(1, in_degree / 6) + 0.07 * least(1, out_degree / 6) + CASE WHEN fk THEN 0.18 ELSE 0 END + least(0.12, 1.8 * null_rate)
+  + CASE WHEN name IN ('id', 'region_id') THEN 0.12 ELSE 0 END + CASE WHEN name = 'order_status' THEN 0.08 ELSE 0 END + CASE WHEN name IN ('created_at', 'update_cost', 'order_status') AND regexp_matches(name, 'date|time|_at|ts|created|updated') THEN 0.08 ELSE 0 END + CASE WHEN name IN ('total_amount', 'update_cost') THEN 0.07 ELSE 0 END AS risk FROM n)
+ SELECT node, descendants, in_degree, out_degree, round(risk::DOUBLE, 6) AS risk, concat_ws(',', CASE WHEN name IN ('id', 'region_id') THEN 'identity' END, CASE WHEN name = 'order_status' THEN 'domain' END, CASE WHEN regexp_matches(name, 'date|time|_at|ts|created|updated') THEN 'temporal' END, CASE WHEN name IN ('total_amount', 'update_cost') THEN 'metric' END, CASE WHEN descendants > 0.25 * most THEN 'blast' END, CASE WHEN fk THEN 'reference' END) AS reasons
+ FROM k ORDER BY round(risk::DOUBLE, 9) DESC, node LIMIT 100""", "edges"))
 def h4_graph_risk(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("node"))
-    return G.graph_risk(nodes, view(spark, sf, "edges")).withColumn("risk", F.round("risk", 6))
+    """The hundred of highest risk, exactly. Every third edge is a foreign key."""
+    nodes = spark.sql(_NAMED, customer=table(spark, sf, "customer"))
+    edges = view(spark, sf, "edges").withColumn("relation", F.when(F.col("target") % 3 == 0, "REFERENCES").otherwise("PART_OF"))
+    return G.graph_risk(nodes, edges, exact=100).select("node", "descendants", "in_degree", "out_degree", F.round("risk", 6).alias("risk"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query(recursive("WITH RECURSIVE u(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT u.root, e.source, u.depth + 1 FROM u JOIN edges e ON e.target = u.node WHERE u.depth < 8) SELECT root, node, depth FROM u WHERE depth > 0", "edges"))
