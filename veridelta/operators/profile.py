@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import cut
+
 FAMILIES = {
     T.ByteType: "INTEGER", T.ShortType: "INTEGER", T.IntegerType: "INTEGER", T.LongType: "INTEGER", T.FloatType: "FLOAT", T.DoubleType: "FLOAT",
     T.DecimalType: "FLOAT", T.StringType: "STRING", T.DateType: "TEMPORAL", T.TimestampType: "TEMPORAL", T.TimestampNTZType: "TEMPORAL",
@@ -76,12 +78,14 @@ def pii_tag(name: Column) -> Column:
 
 
 def contract_rules(profile: DataFrame, max_null_rate: float = 0.02, min_cardinality: float = 0.99, in_degree: DataFrame | None = None) -> DataFrame:
-    """Rules that a profile suggests: not_null, unique, criticality (by name, then by how many foreign keys point there), strict."""
+    """Rules that a profile suggests: not_null, unique, criticality (by name, then by how many foreign keys point there), strict,
+    and sla, how fresh the table must be, by name."""
     p = profile.withColumn("not_null", (F.col("row_count") > 0) & (F.col("null_rate") <= max_null_rate)).withColumn("is_unique", (F.col("row_count") > 0) & (F.col("null_count") == 0) & (F.col("cardinality") >= min_cardinality))
     p = p.join(in_degree, ["table_name"], "left") if in_degree is not None else p.withColumn("in_degree", F.lit(0))
     low, deg = F.lower("table_name"), F.coalesce("in_degree", F.lit(0))
     crit = F.when(low.rlike("payment|billing|revenue|order|invoice"), "critical").when(low.rlike("customer|user|account"), "high").when(deg >= 3, "high").when(deg >= 1, "medium").otherwise("low")
-    return p.withColumn("pii", pii_tag(F.col("column_name"))).withColumn("criticality", crit).withColumn("strict", crit.isin("critical", "high"))
+    sla = F.when(low.rlike("event|log|stream|realtime"), "1 hour").when(low.rlike("daily|revenue|order|payment"), "1 day").otherwise("7 days")
+    return p.withColumn("pii", pii_tag(F.col("column_name"))).withColumn("criticality", crit).withColumn("strict", crit.isin("critical", "high")).withColumn("sla", sla)
 
 
 def check_contracts(df: DataFrame, not_null: list[str], unique: list[str]) -> DataFrame:
@@ -93,16 +97,54 @@ def check_contracts(df: DataFrame, not_null: list[str], unique: list[str]) -> Da
     return nulls
 
 
-def catalog_audit(columns: DataFrame, fks: DataFrame, wide: int = 30, max_fk_nulls: float = 0.05) -> DataFrame:
-    """Findings about a catalog: wide tables, nullable foreign keys, their null rates, isolated tables.
+def key_chains(fks: DataFrame) -> DataFrame:
+    """table_name, depth, cyclic of each table in fks (child, parent): the longest chain of foreign keys from it.
 
-    columns: table_name, column_name, null_count, null_rate; fks: child, fk, parent.
+    Tables without keys have depth 0. A round settles the tables all of whose parents are settled: each keeps how many of
+    its parents are open, and only those settled last are joined with the keys, so there is one row a table and as
+    many rounds as the longest chain has keys. Tables that are never settled lie on a cycle or lead into one: cyclic,
+    without depth. Repeated keys count once.
+    """
+    e = cut(fks.select("child", "parent").where("child is not null and parent is not null").distinct())
+    open_ = e.groupBy("child").agg(F.count("*").alias("open"))
+    all_ = e.select("child").union(e.select("parent")).distinct().join(open_, "child", "left")
+    state = cut(all_.select(F.col("child").alias("table_name"), F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("depth"), F.lit(True).alias("last")))
+    while True:
+        settled = state.where("last and open = 0").select(F.col("table_name").alias("parent"), F.col("depth").alias("d"))
+        news = e.join(settled, "parent").groupBy(F.col("child").alias("table_name")).agg(F.count("*").alias("n"), F.max("d").alias("d"))
+        if news.isEmpty():
+            break
+        left = F.col("open") - F.coalesce("n", F.lit(0))
+        state = cut(state.join(news, "table_name", "left").select("table_name", left.alias("open"), F.greatest("depth", F.col("d") + 1).alias("depth"), ((F.col("open") > 0) & (left == 0)).alias("last")))
+    cyclic = F.col("open") > 0
+    return state.select("table_name", F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
+
+
+def catalog_audit(columns: DataFrame, fks: DataFrame, wide: int = 30, max_fk_nulls: float = 0.05, hops: int = 3) -> DataFrame:
+    """Findings (finding, table_name, detail) about a catalog: wide tables, nullable foreign keys, their null rates, chains and
+    cycles of keys, isolated tables.
+
+    columns: table_name, column_name, nullable, null_rate, and optionally is_key; fks: child, fk, parent.
     """
     tables = columns.groupBy("table_name").agg(F.count("*").alias("n"))
     linked = fks.select(F.col("child").alias("table_name")).union(fks.select("parent")).distinct()
     on_fk = columns.join(fks.select(F.col("child").alias("table_name"), F.col("fk").alias("column_name")).distinct(), ["table_name", "column_name"])
+    key = F.coalesce("is_key", F.lit(False)) if "is_key" in columns.columns else F.lit(False)
+    chains = key_chains(fks)
     item = lambda kind, detail: (F.lit(kind).alias("finding"), "table_name", detail.alias("detail"))
     out = tables.where(F.col("n") > wide).select(*item("wide_table", F.col("n").cast("string")))
-    out = out.union(on_fk.where("null_count > 0").select(*item("nullable_fk", F.col("column_name"))))
+    out = out.union(on_fk.where(F.coalesce("nullable", F.lit(True)) & ~key).select(*item("nullable_fk", F.col("column_name"))))
     out = out.union(on_fk.where(F.col("null_rate") > max_fk_nulls).select(*item("fk_null_rate", F.col("column_name"))))
-    return out.union(tables.join(linked, "table_name", "left_anti").select(*item("isolated_table", F.lit(""))))
+    out = out.union(chains.where(F.col("depth") >= hops).select(*item("deep_fk_chain", F.col("depth").cast("string"))))
+    out = out.union(chains.where("cyclic").select(*item("cyclic_fks", F.lit(""))))
+    return out.union(tables.where("n > 2").join(linked, "table_name", "left_anti").select(*item("isolated_table", F.lit(""))))
+
+
+def audit_score(findings: DataFrame, tables: int, central: int = 0) -> DataFrame:
+    """One row: how many findings of each kind, and the score, 0 to 100 (higher: more fragile). Each kind counts up to a bound of its own."""
+    kinds = ("wide_table", "nullable_fk", "deep_fk_chain", "fk_null_rate", "isolated_table", "cyclic_fks")
+    n = findings.agg(*[F.count_if(F.col("finding") == k).alias(k) for k in kinds])
+    capped = lambda c, each, most: F.least(F.lit(most), F.col(c) * each)
+    isolated = F.least(F.lit(5), F.floor(F.col("isolated_table") / max(1, tables) * 10))
+    score = capped("wide_table", 6, 30) + capped("nullable_fk", 4, 20) + capped("deep_fk_chain", 5, 20) + min(15, 3 * central) + capped("fk_null_rate", 3, 10) + isolated
+    return n.withColumn("score", F.least(F.lit(100), score).cast("long"))

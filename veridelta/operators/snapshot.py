@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .checks import crosses_time_zone, numeric_precision, varchar_length
 from .graph import lookup
 
-NODE = "struct<dtype:string,family:string,nullable:boolean,null_rate:double,cardinality:double>"
+#: What is known about a column; what a profile lacks is null.
+NODE = {"dtype": "string", "family": "string", "nullable": "boolean", "null_rate": "double", "cardinality": "double", "samples": "array<string>", "has_default": "boolean", "is_key": "boolean"}
 #: Pairs of type families (fixed values).
 WIDENINGS = ["INTEGER>BIGINT", "INT>BIGINT", "SMALLINT>INTEGER", "SMALLINT>BIGINT", "VARCHAR>TEXT", "FLOAT>DOUBLE", "FLOAT>NUMERIC", "NUMERIC>DOUBLE", "CHAR>VARCHAR", "CHAR>TEXT"]
 NARROWINGS = ["BIGINT>INTEGER", "BIGINT>SMALLINT", "INTEGER>SMALLINT", "TEXT>VARCHAR", "VARCHAR>DATE", "VARCHAR>TIMESTAMP", "VARCHAR>INTEGER", "DOUBLE>FLOAT", "NUMERIC>INTEGER", "TIMESTAMP>DATE", "TIMESTAMP>VARCHAR"]
@@ -62,15 +63,38 @@ def fingerprint_diff(before: DataFrame, after: DataFrame, fp: str = "structure_f
     return j.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def table_renames(before: DataFrame, after: DataFrame, least: int = 3, percent: int = 80) -> DataFrame:
+    """table_name, new_name of tables that are gone and of whose columns (`least` at least) a table of `after` has `percent` or more.
+
+    Columns are the same if name, type and nullability are. The two sides are joined on columns through an inverted index:
+    of a table with n columns a similar one must have one of any n - ceil(n * percent / 100) + 1, so only its rarest ones
+    are looked up and usual columns such as ids don't bring all tables together. Of several the one with most
+    columns in common counts, then the first by name.
+    """
+    columns = lambda df: fingerprints(df).select("table_name", F.col("structure_fp").alias("fp")).distinct()
+    gone = before.select("table_name").distinct().join(after.select("table_name").distinct(), "table_name", "left_anti")
+    old = columns(before).join(gone, "table_name").withColumnRenamed("table_name", "old")
+    new = columns(after).withColumnRenamed("table_name", "new")
+    ranked = old.join(new.groupBy("fp").agg(F.count("*").alias("usual")), "fp", "left")
+    per = ranked.groupBy("old").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("usual", F.lit(0)).alias("usual"), "fp"))).alias("fps")).where(F.col("n") >= least)
+    must = F.ceil(F.col("n") * percent / 100).cast("int")
+    rare = per.select("old", "n", F.explode(F.slice("fps", 1, F.col("n").cast("int") - must + 1)["fp"]).alias("fp"))
+    pairs = rare.join(new, "fp").select("old", "n", "new").distinct()
+    shared = pairs.join(old, "old").join(new, ["new", "fp"]).groupBy("old", "new", "n").agg(F.count("*").alias("shared"))
+    best = shared.where(100 * F.col("shared") >= percent * F.col("n")).groupBy("old").agg(F.min(F.struct((-F.col("shared")).alias("s"), "new"))["new"].alias("new_name"))
+    return best.select(F.col("old").alias("table_name"), "new_name")
+
+
 def snapshot_diff(before: DataFrame, after: DataFrame, stats_step: float = 0.15, rename_step: float = 0.05) -> DataFrame:
     """Events (table_name, column_name, change_type, before, after, detail) between two profiles.
 
-    Profiles: table_name, column_name, dtype, family, nullable, null_rate, cardinality. A removed column counts as renamed
-    to a column added to the same table with its family and nearly its cardinality: the nearest, then the last by name.
+    Profiles: table_name, column_name, dtype, family, nullable, null_rate, cardinality, and optionally samples, has_default
+    and is_key. A removed column counts as renamed to a column added to the same table with its type, nullability and
+    nearly its cardinality, if neither is a key: the nearest, then the last by name. For tables see table_renames.
     """
     k = ["table_name", "column_name"]
-    node = lambda p: F.struct("dtype", "family", "nullable", "null_rate", "cardinality").alias(p)
-    j = before.select(*k, node("before")).join(after.select(*k, node("after")), k, "full_outer")
+    node = lambda df, p: F.struct(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in NODE.items()]).alias(p)
+    j = before.select(*k, node(before, "before")).join(after.select(*k, node(after, "after")), k, "full_outer")
     b, a = F.col("before"), F.col("after")
     both = b.isNotNull() & a.isNotNull()
     event = lambda cond, kind, detail: F.when(cond, F.struct(F.lit(kind).alias("change_type"), detail.cast("string").alias("detail")))
@@ -82,19 +106,23 @@ def snapshot_diff(before: DataFrame, after: DataFrame, stats_step: float = 0.15,
     ))
     changed = j.where(both).select(*k, "before", "after", F.explode(found).alias("e")).select(*k, "e.change_type", "before", "after", "e.detail")
     tables_b, tables_a = before.select("table_name").distinct(), after.select("table_name").distinct()
-    none = F.lit(None).cast(NODE)
+    none = F.lit(None).cast(f"struct<{','.join(f'{c}:{t}' for c, t in NODE.items())}>")
     whole = lambda t, kind: t.select("table_name", F.lit(None).cast("string").alias("column_name"), F.lit(kind).alias("change_type"), none.alias("before"), none.alias("after"), F.col("table_name").alias("detail"))
     gone_tables, new_tables = tables_b.join(tables_a, "table_name", "left_anti"), tables_a.join(tables_b, "table_name", "left_anti")
     common = tables_b.join(tables_a, "table_name", "left_semi")
     removed = j.where(a.isNull()).join(common, "table_name", "left_semi").select(*k, "before")
     added = j.where(b.isNull()).join(common, "table_name", "left_semi").select("table_name", F.col("column_name").alias("new_name"), "after")
     gap = F.abs(F.col("before.cardinality") - F.col("after.cardinality"))
-    pairs = removed.join(added, "table_name").where((F.col("before.family") == F.col("after.family")) & (gap <= rename_step))
+    same = F.col("before.dtype").eqNullSafe(F.col("after.dtype")) & F.col("before.nullable").eqNullSafe(F.col("after.nullable"))
+    keyed = F.coalesce("before.is_key", F.lit(False)) | F.coalesce("after.is_key", F.lit(False))
+    pairs = removed.join(added, "table_name").where(same & ~keyed & (gap <= rename_step))
     renamed = pairs.groupBy(*k).agg(F.max_by(F.struct("before", "after", "new_name"), F.struct(-gap, "new_name")).alias("r")).select(*k, F.lit("COLUMN_RENAMED").alias("change_type"), "r.before", "r.after", F.concat(F.lit("renamed to "), "r.new_name").alias("detail"), F.col("r.new_name").alias("new_name"))
     dropped = removed.join(renamed.select(*k), k, "left_anti").select(*k, F.lit("COLUMN_REMOVED").alias("change_type"), "before", none.alias("after"), F.col("column_name").alias("detail"))
     fresh = added.join(renamed.select("table_name", "new_name"), ["table_name", "new_name"], "left_anti").select("table_name", F.col("new_name").alias("column_name"), F.lit("COLUMN_ADDED").alias("change_type"), none.alias("before"), "after", F.col("new_name").alias("detail"))
     out = changed
-    for part in (renamed.drop("new_name"), dropped, fresh, whole(gone_tables, "TABLE_REMOVED"), whole(new_tables, "TABLE_ADDED")):
+    moved = table_renames(before, after)
+    named = moved.select("table_name", F.lit(None).cast("string").alias("column_name"), F.lit("TABLE_RENAMED").alias("change_type"), none.alias("before"), none.alias("after"), F.concat(F.lit("renamed to "), "new_name").alias("detail"))
+    for part in (renamed.drop("new_name"), dropped, fresh, named, whole(gone_tables.join(moved, "table_name", "left_anti"), "TABLE_REMOVED"), whole(new_tables, "TABLE_ADDED")):
         out = out.unionByName(part)
     return out
 
@@ -115,13 +143,17 @@ def type_group(c: Column) -> Column:
     return out
 
 
-def is_narrowing(before: Column, after: Column) -> Column:
-    """A listed pair of types, a shorter varchar, or a numeric with fewer digits before or after the point."""
-    pair = F.concat_ws(">", normal_type(before), normal_type(after))
+def is_shorter(before: Column, after: Column) -> Column:
+    """A shorter varchar, or a numeric with fewer digits before or after the point."""
     x, y = numeric_precision(before), numeric_precision(after)
     shorter = varchar_length(after) < varchar_length(before)
     less = (y["p"] - y["s"] < x["p"] - x["s"]) | (y["s"] < x["s"])
-    return pair.isin(NARROWINGS) | F.coalesce(shorter, F.lit(False)) | F.coalesce(less, F.lit(False))
+    return F.coalesce(shorter, F.lit(False)) | F.coalesce(less, F.lit(False))
+
+
+def is_narrowing(before: Column, after: Column) -> Column:
+    """A listed pair of types, or a shorter one."""
+    return F.concat_ws(">", normal_type(before), normal_type(after)).isin(NARROWINGS) | is_shorter(before, after)
 
 
 def is_family_narrowing(before: Column, after: Column) -> Column:
@@ -130,21 +162,39 @@ def is_family_narrowing(before: Column, after: Column) -> Column:
     return F.concat_ws(">", family(before), family(after)).isin(FAMILY_NARROWINGS)
 
 
+def sample_set(c: Column) -> Column:
+    """Distinct samples in lower case; null counts as none."""
+    return F.array_distinct(F.transform(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull()), F.lower))
+
+
 def classify(events: DataFrame, blast: str = "blast_count", null_step: float = 0.05, card_step: float = 0.35) -> DataFrame:
-    """events with compatibility, one of ten classes. Needs change_type, before, after, detail and a count of what is hit."""
+    """events with compatibility, one of ten classes. Needs change_type, before, after, detail and a count of what is hit.
+
+    Samples count where both sides have some: values that all changed, or two or more of few short ones, or any
+    of points in time, break the meaning of a changed type; values that all changed, or were only added to, are a
+    regression of a column whose statistics drifted. A default makes a column that was added or hardened safe.
+    """
     b, a, kind = F.col("before"), F.col("after"), F.col("change_type")
     card = lambda x: F.coalesce(x["cardinality"], F.lit(0.0))
     nulls = lambda x: F.coalesce(x["null_rate"], F.lit(0.0))
     times = card(a) / F.greatest(card(b), F.lit(1e-9))
     old, new = normal_type(b["dtype"]), normal_type(a["dtype"])
-    pair, groups = F.concat_ws(">", old, new), F.concat_ws(">", type_group(old), type_group(new))
-    semantic = ((card(b) > 0.5) & (card(a) < 0.1)) | ((card(b) > 0) & (card(a) > 0) & ((times >= 2.2) | (times <= 0.35))) | ((nulls(b) <= 0.05) & (nulls(a) >= 0.3)) | groups.isin(CROSSES)
-    narrower = is_narrowing(b["dtype"], a["dtype"])
-    typed = F.when(crosses_time_zone(b["dtype"], a["dtype"]), "SEMANTIC_BREAKING").when(narrower & (old == new), "TYPE_NARROWING").when(semantic, "SEMANTIC_BREAKING").when(old == new, "ADDITIVE_SAFE").when(pair.isin(WIDENINGS), "TYPE_WIDENING").when(pair.isin(NARROWINGS), "TYPE_NARROWING").when(type_group(old) != type_group(new), "SEMANTIC_BREAKING").otherwise("TYPE_NARROWING")
-    hardened = b["nullable"] & ~a["nullable"] & ~((b["null_rate"] == 0) & (F.col(blast) <= 1))
-    worse = (nulls(a) - nulls(b) >= null_step) | (card(b) - card(a) >= card_step)
+    old_group, new_group = type_group(old), type_group(new)
+    pair, groups = F.concat_ws(">", old, new), F.concat_ws(">", old_group, new_group)
+    was, now = sample_set(b["samples"]), sample_set(a["samples"])
+    both = (F.size(was) > 0) & (F.size(now) > 0)
+    apart = both & ~F.arrays_overlap(was, now)
+    gone, come = F.size(F.array_except(was, now)), F.size(F.array_except(now, was))
+    few = (F.greatest(F.size(was), F.size(now)) <= 8) & F.exists(F.array_union(was, now), lambda v: F.length(v) <= 32)
+    timed = F.exists(F.array_union(was, now), lambda v: v.contains("t") & v.contains(":")) | (old_group == "TIMESTAMP") | (new_group == "TIMESTAMP")
+    by_samples = (apart & (old_group == new_group)) | (both & few & (gone + come >= 2)) | (both & timed & (gone + come > 0) & (old_group == new_group))
+    semantic = ((card(b) > 0.5) & (card(a) < 0.1)) | ((card(b) > 0) & (card(a) > 0) & ((times >= 2.2) | (times <= 0.35))) | ((nulls(b) <= 0.05) & (nulls(a) >= 0.3)) | groups.isin(CROSSES) | by_samples
+    typed = F.when(crosses_time_zone(b["dtype"], a["dtype"]), "SEMANTIC_BREAKING").when(is_shorter(b["dtype"], a["dtype"]), "TYPE_NARROWING").when(semantic, "SEMANTIC_BREAKING").when(old == new, "ADDITIVE_SAFE").when(pair.isin(WIDENINGS), "TYPE_WIDENING").when(pair.isin(NARROWINGS), "TYPE_NARROWING").when(old_group != new_group, "SEMANTIC_BREAKING").otherwise("TYPE_NARROWING")
+    default = F.coalesce(a["has_default"], F.lit(False))
+    hardened = b["nullable"] & ~a["nullable"] & ~(F.coalesce(b["null_rate"] == 0, F.lit(False)) & (F.col(blast) <= 1)) & ~default
+    worse = (nulls(a) - nulls(b) >= null_step) | (card(b) - card(a) >= card_step) | apart | (both & (gone == 0) & (come > 0))
     out = F.when(kind.isin("COLUMN_REMOVED", "TABLE_REMOVED"), "DESTRUCTIVE_DELETE").when(kind == "TYPE_NARROWING", "TYPE_NARROWING")
-    out = out.when((kind == "COLUMN_ADDED") & ~F.coalesce(a["nullable"], F.lit(True)), "ADDITIVE_BREAKING")
+    out = out.when((kind == "COLUMN_ADDED") & ~F.coalesce(a["nullable"], F.lit(True)) & ~default, "ADDITIVE_BREAKING")
     out = out.when(kind.isin("COLUMN_RENAMED", "TABLE_RENAMED"), F.when((F.col(blast) <= 3) | F.lower("detail").contains("renamed to"), "RENAME_HIGH_CONFIDENCE").otherwise("RENAME_LOW_CONFIDENCE"))
     out = out.when(kind == "TYPE_CHANGED", typed).when((kind == "NULLABLE_CHANGED") & F.coalesce(hardened, F.lit(False)), "NULLABLE_HARDENING").when((kind == "STATS_DRIFTED") & worse, "DATA_REGRESSION")
     return events.withColumn("compatibility", out.otherwise("ADDITIVE_SAFE"))
@@ -176,7 +226,7 @@ def drift_velocity(events: DataFrame, now: Column | None = None, at: str | None
     """Changes per table, within 7 and 30 days if events have times, and the column that changed most."""
     per = events.groupBy("table_name", "column_name").agg(F.count("*").alias("n"), *([F.count_if(F.datediff(now, F.col(at)).between(0, d - 1)).alias(f"n{d}") for d in (7, 30)] if at else []))
     sums = [F.sum(f"n{d}").alias(f"changes_{d}d") for d in (7, 30)] if at else []
-    return per.groupBy("table_name").agg(F.sum("n").alias("changes"), *sums, F.max_by("column_name", F.struct("n", "column_name")).alias("hottest"))
+    return per.groupBy("table_name").agg(F.sum("n").alias("changes"), *sums, F.max_by("column_name", F.when(F.col("column_name").isNotNull(), F.struct("n", "column_name"))).alias("hottest"))
 
 
 def contract_violations(assessments: DataFrame, rules: DataFrame, most: int = 5) -> DataFrame:

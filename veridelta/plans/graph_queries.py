@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import compare as D
 from ..operators import graph as G
 from ..operators import profile as R
 from ..operators import snapshot as S
@@ -149,47 +148,78 @@ def h8_provenance_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return _provenance(spark, sf)[0]
 
 
-def _profiles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Profiles of orders and of a changed copy: one column renamed, one dropped, one added, one nulled in most rows."""
-    before = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    after = before.select("o_orderkey", F.col("o_custkey").cast("int").alias("o_custkey"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("o_orderstatus"), F.col("o_totalprice").alias("o_total"), F.lit(1).alias("o_note"))
-
-    def full(df: DataFrame) -> DataFrame:
-        return R.profile_table(df, "orders", exact=True).join(D.schema_table(df, "orders").select("column_name", "dtype", "nullable"), "column_name")
-
-    # a profile has one row per column of the table, and the difference reads it several times
-    return cut(full(before)), cut(full(after).withColumn("nullable", F.lit(True)))
-
-
-_EVENTS = "SELECT * FROM (VALUES ('o_custkey', 'TYPE_CHANGED'), ('o_orderstatus', 'STATS_DRIFTED'), ('o_totalprice', 'COLUMN_RENAMED'), ('o_orderpriority', 'COLUMN_REMOVED'), ('o_note', 'COLUMN_ADDED')) v(column_name, change_type) WHERE (SELECT count(*) FROM orders) > 0"
+def _catalogs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A catalog before and after a change, a row a column, made from parts."""
+    full = lambda name: view(spark, sf, name).withColumn("samples", F.split("samples", r"\|"))
+    return cut(full("catalog_before")), cut(full("catalog_after"))
+
+
+CATALOGS = ("catalog_before", "catalog_after")
+_EVENTS = """WITH b AS (SELECT * FROM catalog_before), a AS (SELECT * FROM catalog_after), tb AS (SELECT DISTINCT table_name FROM b), ta AS (SELECT DISTINCT table_name FROM a),
+ gone AS (SELECT * FROM tb EXCEPT SELECT * FROM ta), come AS (SELECT * FROM ta EXCEPT SELECT * FROM tb),
+ removed AS (SELECT b.* FROM b SEMI JOIN ta USING (table_name) ANTI JOIN a ON a.table_name = b.table_name AND a.column_name = b.column_name),
+ added AS (SELECT a.* FROM a SEMI JOIN tb USING (table_name) ANTI JOIN b ON a.table_name = b.table_name AND a.column_name = b.column_name),
+ ren AS (SELECT r.table_name, r.column_name, arg_max(n.column_name, (-abs(r.cardinality - n.cardinality), n.column_name)) AS new_name FROM removed r JOIN added n USING (table_name) WHERE r.dtype = n.dtype AND r.nullable = n.nullable AND abs(r.cardinality - n.cardinality) <= 0.05 GROUP BY ALL),
+ shared AS (SELECT b.table_name, a.table_name AS new_name, count(*) AS c FROM b SEMI JOIN gone USING (table_name) JOIN a ON b.column_name = a.column_name AND b.dtype = a.dtype AND b.nullable = a.nullable GROUP BY ALL),
+ moved AS (SELECT table_name, arg_min(new_name, (-c, new_name)) AS new_name FROM shared JOIN (SELECT table_name, count(*) AS n FROM b GROUP BY 1) USING (table_name) WHERE n >= 3 AND 100 * c >= 80 * n GROUP BY 1),
+ pair AS (SELECT b.table_name, b.column_name, b AS bef, a AS aft FROM b JOIN a ON a.table_name = b.table_name AND a.column_name = b.column_name),
+ ev AS (SELECT *, 'TYPE_CHANGED' AS change_type, concat(bef.dtype, ' -> ', aft.dtype) AS detail FROM pair WHERE bef.dtype <> aft.dtype
+  UNION ALL SELECT *, 'NULLABLE_CHANGED', concat(bef.nullable, ' -> ', aft.nullable) FROM pair WHERE bef.nullable <> aft.nullable
+  UNION ALL SELECT *, 'STATS_DRIFTED', 'null_rate or cardinality' FROM pair WHERE abs(aft.null_rate - bef.null_rate) > 0.15 OR abs(aft.cardinality - bef.cardinality) > 0.15
+  UNION ALL SELECT r.table_name, r.column_name, b, a, 'COLUMN_RENAMED', 'renamed to ' || new_name FROM ren r JOIN b ON b.table_name = r.table_name AND b.column_name = r.column_name JOIN a ON a.table_name = r.table_name AND a.column_name = r.new_name
+  UNION ALL SELECT table_name, column_name, removed, NULL, 'COLUMN_REMOVED', column_name FROM removed ANTI JOIN ren USING (table_name, column_name)
+  UNION ALL SELECT n.table_name, n.column_name, NULL, n, 'COLUMN_ADDED', n.column_name FROM added n ANTI JOIN ren ON ren.table_name = n.table_name AND ren.new_name = n.column_name
+  UNION ALL SELECT table_name, NULL, NULL, NULL, 'TABLE_RENAMED', 'renamed to ' || new_name FROM moved
+  UNION ALL SELECT table_name, NULL, NULL, NULL, 'TABLE_REMOVED', table_name FROM gone ANTI JOIN moved USING (table_name)
+  UNION ALL SELECT table_name, NULL, NULL, NULL, 'TABLE_ADDED', table_name FROM come)"""
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    before, after = _profiles(spark, sf)
-    return S.snapshot_diff(before.where("column_name <> 'o_note'"), after)
+    return S.snapshot_diff(*_catalogs(spark, sf))
 
 
-_CLASSES = "SELECT * FROM (VALUES ('o_custkey', 'TYPE_CHANGED', 'TYPE_NARROWING', 125.0), ('o_orderstatus', 'STATS_DRIFTED', 'DATA_REGRESSION', NULL), ('o_totalprice', 'COLUMN_RENAMED', 'RENAME_HIGH_CONFIDENCE', 100.0), ('o_orderpriority', 'COLUMN_REMOVED', 'DESTRUCTIVE_DELETE', 170.0), ('o_note', 'COLUMN_ADDED', 'ADDITIVE_SAFE', 100.0)) v(column_name, change_type, compatibility, cost)"
-
-
-@query(_EVENTS)
+@query(with_views(_EVENTS + " SELECT table_name, column_name, change_type, detail FROM ev", *CATALOGS))
 def c4_snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return _events(spark, sf).select("column_name", "change_type")
+    return _events(spark, sf).select("table_name", "column_name", "change_type", "detail")
 
 
-@query("SELECT 'o_custkey' AS column_name FROM (SELECT count(*) FROM orders) UNION ALL SELECT unnest(['o_totalprice', 'o_orderpriority', 'o_total', 'o_note'])")
+@query(with_views("SELECT coalesce(b.table_name, a.table_name) AS table_name, coalesce(b.column_name, a.column_name) AS column_name, CASE WHEN a.dtype IS NULL THEN 'removed' WHEN b.dtype IS NULL THEN 'added' ELSE 'changed' END AS state FROM catalog_before b FULL JOIN catalog_after a ON a.table_name = b.table_name AND a.column_name = b.column_name WHERE (a.dtype, a.nullable) IS DISTINCT FROM (b.dtype, b.nullable)", *CATALOGS))
 def c5_fingerprint_diff(spark: SparkSession, sf: str) -> DataFrame:
-    before, after = _profiles(spark, sf)
-    return S.fingerprint_diff(S.fingerprints(before), S.fingerprints(after)).select("column_name")
+    before, after = _catalogs(spark, sf)
+    state = F.when(F.col("after").isNull(), "removed").when(F.col("before").isNull(), "added").otherwise("changed")
+    return S.fingerprint_diff(S.fingerprints(before), S.fingerprints(after)).select("table_name", "column_name", state.alias("state"))
 
 
-def _assessed(spark: SparkSession, sf: str) -> DataFrame:
-    return S.backfill_cost(S.classify(_events(spark, sf).withColumn("blast_count", F.lit(6.8)))).withColumn("change_set", F.col("table_name"))
+def _blast() -> F.Column:
+    """How much a change hits, from its table."""
+    return (F.regexp_extract("table_name", "[0-9]+", 0).cast("int") % 9).alias("blast_count")
 
 
-@query(f"SELECT column_name, compatibility, CASE WHEN column_name = 'o_orderstatus' THEN 1.5 * 100 * (1 + least(0.5, (SELECT count(*) FILTER (o_orderkey % 2 <> 0)::DOUBLE / count(*) FROM orders))) ELSE cost END::DOUBLE AS backfill_cost FROM ({_CLASSES})")
+def _assessed(spark: SparkSession, sf: str) -> DataFrame:
+    return S.backfill_cost(S.classify(_events(spark, sf).withColumn("blast_count", _blast())))
+
+
+_NORM = "CASE upper(regexp_replace({x}, '\\(.*', '')) WHEN 'INT' THEN 'INTEGER' WHEN 'TIMESTAMPTZ' THEN 'TIMESTAMP' ELSE upper(regexp_replace({x}, '\\(.*', '')) END"
+_GROUP = "CASE WHEN {x} IN ('INTEGER', 'BIGINT', 'NUMERIC') THEN 'NUMERIC' WHEN {x} IN ('VARCHAR', 'TEXT') THEN 'VARCHAR' WHEN {x} IN ('TIMESTAMP', 'DATE') THEN 'TIMESTAMP' ELSE {x} END"
+_NUM = "try_cast(regexp_extract({x}, '{p}', {i}) AS INT)"
+_WIDTHS = ", ".join(f"{_NUM.format(x=f'{side}.dtype', p=p, i=i)} AS {side[0]}_{name}" for side in ("bef", "aft") for name, p, i in (("len", "varchar.([0-9]+)", 1), ("p", "numeric.([0-9]+),([0-9]+)", 1), ("s", "numeric.([0-9]+),([0-9]+)", 2)))
+_ASSESSED = _EVENTS + f""",
+ typed AS (SELECT *, regexp_extract(table_name, '[0-9]+')::INT % 9 AS blast, {_NORM.format(x='bef.dtype')} AS b_type, {_NORM.format(x='aft.dtype')} AS a_type, {_WIDTHS}, list_distinct(string_split(lower(bef.samples), '|')) AS bs, list_distinct(string_split(lower(aft.samples), '|')) AS sa FROM ev),
+ grouped AS (SELECT *, {_GROUP.format(x='b_type')} AS b_group, {_GROUP.format(x='a_type')} AS a_group, coalesce(len(bs) > 0 AND len(sa) > 0, false) AS both_sides, len(list_filter(bs, lambda v: NOT list_contains(sa, v))) AS lost, len(list_filter(sa, lambda v: NOT list_contains(bs, v))) AS won,
+  coalesce(a_len < b_len, false) OR coalesce(a_p - a_s < b_p - b_s OR a_s < b_s, false) AS shorter, (bef.dtype = 'timestamptz') <> (aft.dtype = 'timestamptz') AND bef.dtype LIKE 'timestamp%' AND aft.dtype LIKE 'timestamp%' AS zone, b_type || '>' || a_type AS change FROM typed),
+ judged AS (SELECT *, (bef.cardinality > 0.5 AND aft.cardinality < 0.1) OR (bef.cardinality > 0 AND aft.cardinality > 0 AND (aft.cardinality / bef.cardinality >= 2.2 OR aft.cardinality / bef.cardinality <= 0.35)) OR (bef.null_rate <= 0.05 AND aft.null_rate >= 0.3)
+   OR (b_group, a_group) IN (('VARCHAR', 'NUMERIC'), ('VARCHAR', 'BOOLEAN'), ('TIMESTAMP', 'VARCHAR'), ('TIMESTAMP', 'NUMERIC'), ('NUMERIC', 'BOOLEAN'))
+   OR both_sides AND ((lost = len(bs) AND b_group = a_group) OR (greatest(len(bs), len(sa)) <= 8 AND lost + won >= 2) OR (lost + won > 0 AND b_group = a_group AND (b_group = 'TIMESTAMP' OR len(list_filter(list_concat(bs, sa), lambda v: contains(v, 't') AND contains(v, ':'))) > 0))) AS semantic FROM grouped),
+ assessed AS (SELECT *, CASE WHEN change_type IN ('COLUMN_REMOVED', 'TABLE_REMOVED') THEN 'DESTRUCTIVE_DELETE' WHEN change_type = 'COLUMN_ADDED' AND NOT aft.nullable AND NOT aft.has_default THEN 'ADDITIVE_BREAKING' WHEN change_type LIKE '%_RENAMED' THEN 'RENAME_HIGH_CONFIDENCE'
+   WHEN change_type = 'TYPE_CHANGED' THEN CASE WHEN zone THEN 'SEMANTIC_BREAKING' WHEN shorter THEN 'TYPE_NARROWING' WHEN semantic THEN 'SEMANTIC_BREAKING' WHEN b_type = a_type THEN 'ADDITIVE_SAFE' WHEN change IN ('VARCHAR>TEXT') THEN 'TYPE_WIDENING' WHEN change IN ('BIGINT>INTEGER', 'TEXT>VARCHAR', 'TIMESTAMP>DATE') THEN 'TYPE_NARROWING' WHEN b_group <> a_group THEN 'SEMANTIC_BREAKING' ELSE 'TYPE_NARROWING' END
+   WHEN change_type = 'NULLABLE_CHANGED' AND bef.nullable AND NOT aft.nullable AND NOT (bef.null_rate = 0 AND blast <= 1) AND NOT aft.has_default THEN 'NULLABLE_HARDENING'
+   WHEN change_type = 'STATS_DRIFTED' AND (aft.null_rate - bef.null_rate >= 0.05 OR bef.cardinality - aft.cardinality >= 0.35 OR (both_sides AND (lost = len(bs) OR (lost = 0 AND won > 0)))) THEN 'DATA_REGRESSION' ELSE 'ADDITIVE_SAFE' END AS compatibility FROM judged),
+ costed AS (SELECT *, (15 + 12.5 * blast) * CASE compatibility WHEN 'DESTRUCTIVE_DELETE' THEN 1.7 WHEN 'SEMANTIC_BREAKING' THEN 1.6 WHEN 'TYPE_NARROWING' THEN 1.25 WHEN 'DATA_REGRESSION' THEN 1.5 WHEN 'NULLABLE_HARDENING' THEN 1.25 ELSE 1 END * (1 + least(0.5, greatest(0.0, coalesce(aft.null_rate, 0) - coalesce(bef.null_rate, 0)))) AS cost FROM assessed)"""
+
+
+@query(with_views(_ASSESSED + " SELECT table_name, column_name, change_type, compatibility, round(cost::DOUBLE, 6) AS backfill_cost FROM costed", *CATALOGS))
 def g7_g9_classify_and_cost(spark: SparkSession, sf: str) -> DataFrame:
-    return _assessed(spark, sf).select("column_name", "compatibility", "backfill_cost")
+    return _assessed(spark, sf).select("table_name", "column_name", "change_type", "compatibility", F.round("backfill_cost", 6).alias("backfill_cost"))
 
 
 #: Declared types of a part before and after a change, as SQL that both engines read.
@@ -203,23 +233,83 @@ def g8_type_narrowing(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumns({"strict_rule": S.is_narrowing(F.col("before"), F.col("after")), "family_rule": S.is_family_narrowing(F.col("before"), F.col("after"))})
 
 
-@query("SELECT 'orders' AS change_set, 'BLOCK' AS verdict, 2 AS blocking, 2 AS review, 0.0 AS score, 'high' AS oncall_risk FROM (SELECT count(*) FROM orders)")
+@query(with_views(_ASSESSED + """, v AS (SELECT table_name, count(*) FILTER (compatibility IN ('DESTRUCTIVE_DELETE', 'TYPE_NARROWING', 'NULLABLE_HARDENING', 'SEMANTIC_BREAKING', 'ADDITIVE_BREAKING')) AS blocking, count(*) FILTER (compatibility IN ('RENAME_HIGH_CONFIDENCE', 'RENAME_LOW_CONFIDENCE', 'DATA_REGRESSION')) AS review, sum(blast) AS hit, sum(cost::DECIMAL(18, 2))::DOUBLE AS cost FROM costed GROUP BY 1),
+ s AS (SELECT *, greatest(0, least(100, 100 - 28 * blocking - 10 * review - least(20, 2.5 * hit) - least(18, cost / 35) - CASE WHEN blocking > 0 THEN 8 WHEN review > 0 THEN 4 ELSE 0 END))::DOUBLE AS score FROM v)
+ SELECT table_name, CASE WHEN blocking > 0 THEN 'BLOCK' WHEN review > 0 THEN 'NEEDS_REVIEW' ELSE 'SAFE' END AS verdict, blocking, review, round(score, 2) AS score, CASE WHEN blocking > 0 OR score < 45 THEN 'high' WHEN review > 0 OR score < 75 THEN 'medium' ELSE 'low' END AS oncall_risk FROM s""", *CATALOGS))
 def d28_d29_verdict_and_score(spark: SparkSession, sf: str) -> DataFrame:
-    return S.reliability_score(_assessed(spark, sf)).drop("blast", "cost")
+    """A change set for each table."""
+    return S.reliability_score(_assessed(spark, sf), "table_name").drop("blast", "cost").withColumn("score", F.round("score", 2))
+
 
+_CHANGED = "CASE WHEN column_name LIKE 'row_id%' THEN DATE '2024-01-30' WHEN column_name LIKE 'status%' THEN DATE '2024-01-26' WHEN column_name LIKE 'created%' THEN DATE '2024-01-20' WHEN column_name IS NULL THEN NULL ELSE DATE '2023-12-15' END"
 
-@query("SELECT 'orders' AS table_name, 5 AS changes, 'o_totalprice' AS hottest FROM (SELECT count(*) FROM orders)")
+
+@query(with_views(_EVENTS + f""", e AS (SELECT *, {_CHANGED} AS changed_on FROM ev), p AS (SELECT table_name, column_name, count(*) AS n FROM e GROUP BY ALL)
+ SELECT table_name, count(*) AS changes, count(*) FILTER (changed_on > DATE '2024-01-24') AS changes_7d, count(*) FILTER (changed_on > DATE '2024-01-01') AS changes_30d, (SELECT arg_max(p.column_name, (p.n, p.column_name)) FROM p WHERE p.table_name = e.table_name AND p.column_name IS NOT NULL) AS hottest FROM e GROUP BY 1""", *CATALOGS))
 def d31_drift_velocity(spark: SparkSession, sf: str) -> DataFrame:
-    return S.drift_velocity(_events(spark, sf))
+    return S.drift_velocity(_events(spark, sf).withColumn("changed_on", F.expr(_CHANGED)), F.lit("2024-01-31").cast("date"), "changed_on")
 
 
-@query("SELECT * FROM (VALUES ('o_custkey', 'narrowed_type'), ('o_custkey', 'strict_table'), ('o_orderstatus', 'not_null'), ('o_orderstatus', 'strict_table'), ('o_totalprice', 'strict_table'), ('o_orderpriority', 'deleted_column'), ('o_orderpriority', 'strict_table')) v(column_name, violation), (SELECT 1 AS one FROM orders LIMIT 1)")
+_BROKEN = {
+    "deleted_column": "compatibility = 'DESTRUCTIVE_DELETE'", "narrowed_type": "compatibility = 'TYPE_NARROWING'", "not_null": "compatibility IN ('DATA_REGRESSION', 'NULLABLE_HARDENING') AND not_null", "unique": "compatibility IN ('DATA_REGRESSION', 'SEMANTIC_BREAKING') AND is_unique",
+    "pii": "compatibility <> 'ADDITIVE_SAFE' AND pii", "strict_table": "compatibility <> 'ADDITIVE_SAFE' AND strict",
+}
+
+
+@query(with_views(_ASSESSED + ", r AS (SELECT table_name, column_name, null_rate <= 0.02 AS not_null, null_rate = 0 AND cardinality >= 0.99 AS is_unique, column_name LIKE 'email%' AS pii, table_name LIKE 'order%' OR table_name LIKE 'customer%' AS strict FROM b)" + " UNION ALL".join(f" SELECT table_name, column_name, change_type, '{k}' AS violation FROM assessed JOIN r USING (table_name, column_name) WHERE {w}" for k, w in _BROKEN.items()), *CATALOGS))
 def c20_contract_violations(spark: SparkSession, sf: str) -> DataFrame:
-    rules = R.contract_rules(_profiles(spark, sf)[0]).select("table_name", "column_name", "not_null", "is_unique", "pii", "strict")
-    return S.contract_violations(_assessed(spark, sf), rules).select("column_name", "violation", F.lit(1).alias("one"))
+    """No column breaks more than five rules here."""
+    before = _catalogs(spark, sf)[0].withColumn("row_count", F.lit(1000)).withColumn("null_count", F.col("null_rate") * 1000)
+    return S.contract_violations(_assessed(spark, sf), R.contract_rules(before).select("table_name", "column_name", "not_null", "is_unique", "pii", "strict"), 6)
+
 
+@query(with_views("""SELECT table_name, column_name, null_rate <= 0.02 AS not_null, null_rate = 0 AND cardinality >= 0.99 AS is_unique, CASE WHEN regexp_matches(column_name, 'e_?mail') THEN 'email' END AS pii,
+ CASE WHEN table_name LIKE 'order%' THEN 'critical' WHEN table_name LIKE 'customer%' THEN 'high' WHEN n >= 3 THEN 'high' WHEN n >= 1 THEN 'medium' ELSE 'low' END AS criticality, table_name LIKE 'order%' OR table_name LIKE 'customer%' OR n >= 3 AS strict, CASE WHEN table_name LIKE 'event%' THEN '1 hour' WHEN table_name LIKE 'order%' THEN '1 day' ELSE '7 days' END AS sla
+ FROM (SELECT b.*, coalesce(in_degree, 0) AS n FROM catalog_before b LEFT JOIN (SELECT table_name, count(*) % 4 AS in_degree FROM catalog_before WHERE column_name LIKE '%!_3' ESCAPE '!' OR column_name LIKE 'note%' GROUP BY 1) USING (table_name))""", *CATALOGS))
+def g19_contract_rules(spark: SparkSession, sf: str) -> DataFrame:
+    before = _catalogs(spark, sf)[0].withColumn("row_count", F.lit(1000)).withColumn("null_count", F.col("null_rate") * 1000)
+    linked = before.where(F.col("column_name").endswith("_3") | F.col("column_name").startswith("note")).groupBy("table_name").agg((F.count("*") % 4).alias("in_degree"))
+    return R.contract_rules(before, in_degree=linked).select("table_name", "column_name", "not_null", "is_unique", "pii", "criticality", "strict", "sla")
 
-@query("SELECT 'nullable_fk' AS finding, 'orders' AS table_name, 'o_orderstatus' AS detail FROM (SELECT count(*) FROM orders) UNION ALL SELECT 'fk_null_rate', 'orders', 'o_orderstatus'")
+
+_ROLE = ", ".join(f"CASE WHEN regexp_matches(column_name, '{p}') THEN '{r}' END" for r, p in R.ROLES)
+
+
+@query(with_views(f"SELECT table_name, column_name, concat_ws(',', {_ROLE}) AS roles, CASE WHEN column_name LIKE '%email%' OR column_name LIKE '%e_mail%' THEN 'email' END AS pii FROM (SELECT table_name, column_name FROM catalog_before UNION ALL SELECT table_name, column_name FROM catalog_after)", *CATALOGS))
+def b10_semantic_roles(spark: SparkSession, sf: str) -> DataFrame:
+    before, after = _catalogs(spark, sf)
+    names = before.select("table_name", "column_name").union(after.select("table_name", "column_name"))
+    return names.select("*", F.array_join(R.semantic_roles(F.col("column_name")), ",").alias("roles"), R.pii_tag(F.col("column_name")).alias("pii"))
+
+
+#: A catalog of customers as tables and orders as their columns; each refers to the customers of half and of a third of its number, some to each other.
+_KEYS = """WITH col AS (SELECT o_custkey AS t, o_orderkey AS c, o_orderkey % 2 = 0 AS nullable, (o_orderkey % 20) / 100.0 AS null_rate FROM orders), first AS (SELECT t, min(c) AS fk FROM col GROUP BY 1),
+ fk AS (SELECT DISTINCT t AS child, fk, parent FROM (SELECT t, fk, CAST(floor(t / 2) AS BIGINT) AS parent FROM first UNION ALL SELECT t, fk, CAST(floor(t / 3) AS BIGINT) FROM first UNION ALL SELECT t, fk, t + 1 FROM first WHERE t % 211 = 205) x WHERE parent > 0 AND t % 10 <> 9 OR t % 211 = 205
+  UNION SELECT t, fk, t - 1 FROM first WHERE t % 211 = 206)"""
+_AUDIT = _KEYS.replace("WITH ", "WITH RECURSIVE ", 1) + """, hop(root, node) AS (SELECT child, parent FROM fk UNION SELECT hop.root, fk.parent FROM hop JOIN fk ON fk.child = hop.node),
+ cyc AS (SELECT DISTINCT root AS t FROM hop WHERE node IN (SELECT root FROM hop WHERE root = node)),
+ far(root, node, depth) AS (SELECT child, parent, 1 FROM fk WHERE child NOT IN (FROM cyc) UNION SELECT far.root, fk.parent, far.depth + 1 FROM far JOIN fk ON fk.child = far.node),
+ deep AS (SELECT root AS t, max(depth) AS depth FROM far GROUP BY 1 HAVING max(depth) >= 3), tab AS (SELECT t, count(*) AS n FROM col GROUP BY 1),
+ key AS (SELECT DISTINCT col.* FROM col JOIN fk ON fk.child = col.t AND fk.fk = col.c),
+ found AS (SELECT 'wide_table' AS finding, t, n::VARCHAR AS detail FROM tab WHERE n > 20 UNION ALL SELECT 'nullable_fk', t, c::VARCHAR FROM key WHERE nullable UNION ALL SELECT 'fk_null_rate', t, c::VARCHAR FROM key WHERE null_rate > 0.05
+  UNION ALL SELECT 'deep_fk_chain', t, depth::VARCHAR FROM deep UNION ALL SELECT 'cyclic_fks', t, '' FROM cyc UNION ALL SELECT 'isolated_table', t, '' FROM tab WHERE n > 2 AND t NOT IN (SELECT child FROM fk) AND t NOT IN (SELECT parent FROM fk))"""
+
+
+def _audit(spark: SparkSession, sf: str) -> DataFrame:
+    of = lambda sql: spark.sql(_KEYS.replace("FROM orders", "FROM {orders}") + sql, orders=table(spark, sf, "orders"))
+    columns = of(" SELECT CAST(t AS STRING) AS table_name, CAST(c AS STRING) AS column_name, nullable, CAST(null_rate AS DOUBLE) AS null_rate FROM col")
+    return R.catalog_audit(columns, of(" SELECT CAST(child AS STRING) AS child, CAST(fk AS STRING) AS fk, CAST(parent AS STRING) AS parent FROM fk"), wide=20)
+
+
+@query(_AUDIT + " SELECT finding, t::VARCHAR AS table_name, detail FROM found")
 def g21_catalog_audit(spark: SparkSession, sf: str) -> DataFrame:
-    fks = spark.createDataFrame([("orders", "o_orderstatus", "status")], "child string, fk string, parent string")
-    return R.catalog_audit(_profiles(spark, sf)[1], fks)
+    return _audit(spark, sf)
+
+
+_COUNT = ", ".join(f"count(*) FILTER (finding = '{k}') AS {k}" for k in ("wide_table", "nullable_fk", "deep_fk_chain", "fk_null_rate", "isolated_table", "cyclic_fks"))
+
+
+@query(_AUDIT + f", k AS (SELECT {_COUNT} FROM found) SELECT *, least(100, least(30, 6 * wide_table) + least(20, 4 * nullable_fk) + least(20, 5 * deep_fk_chain) + least(10, 3 * fk_null_rate) + least(5, floor(10 * isolated_table / (SELECT count(*) FROM tab))))::BIGINT AS score FROM k")
+def g21_audit_score(spark: SparkSession, sf: str) -> DataFrame:
+    tables = table(spark, sf, "orders").select("o_custkey").distinct().count()
+    return R.audit_score(_audit(spark, sf), tables)

@@ -39,16 +39,6 @@ def d3_column_samples(spark: SparkSession, sf: str) -> DataFrame:
     return R.column_samples(table(spark, sf, "orders"), "o_orderpriority", 3)
 
 
-@query(with_views("""SELECT column_name, is_unique, not_null, CASE WHEN column_name = 'c_name' THEN 'name' WHEN column_name = 'c_acctbal' THEN 'payment' END AS pii, 'high' AS criticality FROM (
-  SELECT 'c_custkey' AS column_name, count(DISTINCT c_custkey) >= 0.99 * count(*) AS is_unique, count(c_custkey) >= 0.98 * count(*) AS not_null FROM customer UNION ALL
-  SELECT 'c_name', count(DISTINCT c_name) >= 0.99 * count(*), count(c_name) >= 0.98 * count(*) FROM customer UNION ALL
-  SELECT 'c_nationkey', count(DISTINCT c_nationkey) >= 0.99 * count(*), count(c_nationkey) >= 0.98 * count(*) FROM customer UNION ALL
-  SELECT 'c_acctbal', count(DISTINCT c_acctbal) >= 0.99 * count(*), count(c_acctbal) >= 0.98 * count(*) FROM customer UNION ALL
-  SELECT 'c_mktsegment', count(DISTINCT c_mktsegment) >= 0.99 * count(*), count(c_mktsegment) >= 0.98 * count(*) FROM customer)""", "edges"))
-def g19_contract_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return R.contract_rules(R.profile_table(table(spark, sf, "customer"), "customer", exact=True)).select("column_name", "is_unique", "not_null", "pii", "criticality")
-
-
 @query("SELECT 'not_null' AS rule, 'o_custkey' AS column_name, count(*) - count(o_custkey) AS violations FROM orders UNION ALL SELECT 'unique', 'o_orderkey', count(*) - count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'unique', 'o_custkey', count(*) - count(DISTINCT o_custkey) FROM orders")
 def g20_check_contracts(spark: SparkSession, sf: str) -> DataFrame:
     return R.check_contracts(table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey", "o_custkey"])
@@ -58,13 +48,6 @@ def g20_check_contracts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-@query("""SELECT column_name, CASE column_name WHEN 'o_orderkey' THEN 'primary_key,identity' WHEN 'c_nationkey' THEN 'primary_key,identity' WHEN 'o_orderstatus' THEN 'domain' WHEN 'o_totalprice' THEN 'metric' WHEN 'o_orderdate' THEN 'temporal' ELSE '' END AS roles,
-  CASE column_name WHEN 'c_name' THEN 'name' END AS pii FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS column_name) WHERE column_name NOT IN ('o_custkey', 'o_orderpriority')""")
-def b10_semantic_roles(spark: SparkSession, sf: str) -> DataFrame:
-    p = R.profile_table(table(spark, sf, "orders"), "orders").where(~F.col("column_name").isin("o_custkey", "o_orderpriority"))
-    return p.select("column_name", F.array_join(R.semantic_roles(F.col("column_name")), ",").alias("roles"), R.pii_tag(F.col("column_name")).alias("pii"))
-
-
 def event_plan() -> dict[str, C.Check]:
     """The fused plan over events: reporting moves by five hours, a filter is loosened, values and nulls are checked."""
     return {
