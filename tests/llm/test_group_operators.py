@@ -236,3 +236,66 @@ def test_near_vectors_hot_group_is_a_core(spark):
 
 def test_near_vectors_empty(spark):
     assert metric_join.near_vectors(vectors(spark, [])).count() == 0
+
+
+# samples that don't depend on the table's size, and rows of one id
+
+
+def test_pii_sample_counts_each_text_once(spark):
+    from veridelta.llm import pii
+
+    rows = [(i, "one popular text") for i in range(3000)] + [(5000 + i, f"text number {i} of many") for i in range(500)] + [(None, None)] * 9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    how = pii.Fit(sample_docs=200)
+    got = pii.planted(df, how).collect()
+    hashes = sorted({r.o for r in df.select(F.xxhash64("text", F.lit(1)).alias("o")).collect()})
+    assert sorted(r.o for r in got) == hashes[:200]
+    assert len(pii.planted(df, pii.Fit(sample_docs=10_000)).collect()) == len(hashes)
+
+
+def test_pii_full_sample_without_candidates_is_an_error(spark, monkeypatch):
+    from veridelta.llm import pii
+
+    df = spark.createDataFrame([(i, f"plain words {i}") for i in range(50)], "doc_id long, text string")
+    monkeypatch.setattr(pii, "candidate_spans", lambda t: F.array().cast(pii.SPANS))
+    with pytest.raises(ValueError):
+        pii.fit(df, pii.Fit(sample_docs=20))
+    assert pii.fit(df, pii.Fit(sample_docs=60)).trees is None  # all there are
+
+
+def test_quality_fit_collects_one_row_an_id(spark, monkeypatch):
+    from veridelta.llm import quality_model
+
+    seen = []
+    monkeypatch.setattr(quality_model, "train", lambda texts, y, net: seen.append((texts, y.tolist())) or {})
+    docs = spark.createDataFrame([(1, f"copy {i}") for i in range(2000)] + [(i, f"text {i}") for i in range(2, 60)] + [(61, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 62)] + [(1, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    quality_model.fit(docs, labels)
+    ids = [i for i in [*range(1, 60), 61] if zlib.crc32(str(i).encode()) % 5]
+    first = min((f"copy {i}" for i in range(2000)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = sorted(((first if i == 1 else None if i == 61 else f"text {i}"), 0 if i == 1 else i % 2) for i in ids if i != 61)
+    assert sorted((t, int(q)) for t, q in zip(*seen[0]) if t is not None) == want
+
+
+def test_mix_comes_near_its_target_without_ids(spark):
+    from veridelta.llm import mixing
+
+    rows = [(None, f"word{i} " * 10, s) for s in ("a", "b", "c") for i in range(200)] + [(7, f"x{i} y{i}", "c") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    per = got.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(per) >= 2 and all(abs(r.taken - r.target) <= 10 * 3 for r in per if r.source_size != 2000)
+
+
+def test_fences_follow_the_group(spark):
+    """Each source's own marks and repeated lines set its fences; sketches of repeats leave out lines without any."""
+    from veridelta.llm import quality_rules as q
+
+    def doc(i, source, marks, same):
+        lines = [f"w{i}x{j}" + "." * (j % 10 < marks) + f" z{i}y{j}" for j in range(30)] + ["again line"] * same
+        return (i, "\n".join(lines), "en", source)
+
+    rows = [doc(i, "calm", 1 + i % 3, 2 + i % 2 if i % 9 == 0 else 0) for i in range(80)] + [doc(100 + i, "busy", 5 + i % 4, 3 + i % 3 if i % 9 == 0 else 0) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    at = {r.source: r for r in q.fences(q.sketch(q.measure(df), q.Rules(spread=1)), q.Rules(spread=1)).collect()}
+    assert 0 < at["calm"].mark_rate_high < at["busy"].mark_rate_high
+    assert 0 < at["calm"].dup_line_rate_high < at["busy"].dup_line_rate_high

@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, join_small, word_count
+from .common import cut, join_small, text_of, word_count
 
 BITS, LEVELS = 12, 3
 
 
-def doc_hash(doc_id: str) -> Column:
-    """36 bits of MD5 of the id as text (null: of the empty text), the same in every run and engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+def doc_hash(doc_id: str, text: str = "text") -> Column:
+    """36 bits of MD5 of the id and the text (null: empty), the same in every run and engine; rows of one id differ by their texts."""
+    key = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), text_of(text))
+    return F.conv(F.substring(F.md5(key), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def targets(sized: DataFrame, weights: list[int], most: int) -> DataFrame:
@@ -73,8 +74,8 @@ def thresholds(sized: DataFrame, goal: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: list[int] = [1, 2, 3], most: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken, and copies: how often the mix takes the row.
 
-    Nulls: a null text has size 0, a null source is the last source, a null doc_id hashes as the empty text. Rows with
-    the same doc_id and source are taken together. Sources without words have target 0. An empty table gives an empty
+    Nulls: a null text has size 0, a null source is the last source, a null doc_id hashes as the empty text. Only rows
+    equal in doc_id, source and text are taken together. Sources without words have target 0. An empty table gives an empty
     result.
     """
     sized = cut(docs.select("doc_id", "source", word_count("text").alias("size"), doc_hash("doc_id").alias("h")))

@@ -17,22 +17,22 @@ OP9 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source,
  win AS (SELECT rid, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS s FROM w, unnest(range(1, len(w) - 1)) u(i)),
  rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM win) WHERE c > 1),
  cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY 1),
- m AS (SELECT w.rid, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov USING (rid)),
- b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols * 1000 // greatest(n_words, 1) AS symbol_rate, n_dup_lines * 1000 // (n_lines + 5) AS dup_line_rate, word_chars * 100 // greatest(n_words, 1) AS word_length FROM m),
- v AS (SELECT lang, source, unnest(['symbol_rate', 'dup_line_rate', 'word_length']) AS measure, unnest([symbol_rate, dup_line_rate, word_length])::BIGINT AS v FROM b WHERE NOT base_failed),
- s AS (SELECT lang, source, measure, {_BUCKET} AS bucket, count(*) AS n FROM v GROUP BY ALL),
+ m AS (SELECT w.rid, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g')) AS n_marks, len(l) - len(list_distinct(l)) AS n_dup_lines, len(l) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN cov USING (rid)),
+ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_marks * 1000 // greatest(n_words, 1) AS mark_rate, n_dup_lines * 1000 // (n_lines + 5) AS dup_line_rate, word_chars * 100 // greatest(n_words, 1) AS word_length FROM m),
+ v AS (SELECT lang, source, unnest(['mark_rate', 'dup_line_rate', 'word_length']) AS measure, unnest([mark_rate, CASE WHEN dup_line_rate > 0 THEN dup_line_rate END, word_length])::BIGINT AS v FROM b WHERE NOT base_failed),
+ s AS (SELECT lang, source, measure, {_BUCKET} AS bucket, count(*) AS n FROM v WHERE v IS NOT NULL GROUP BY ALL),
  q AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM s),
  own AS (SELECT lang, source, measure, min(bucket) FILTER (cum * 4 >= total) AS q1, min(bucket) FILTER (cum * 4 >= total * 3) AS q3 FROM q GROUP BY ALL),
  sa AS (SELECT measure, bucket, sum(n) AS n FROM s GROUP BY ALL),
  qa AS (SELECT *, sum(n) OVER (PARTITION BY measure ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY measure) AS total FROM sa),
  every AS (SELECT measure, min(bucket) FILTER (cum * 4 >= total) AS a1, min(bucket) FILTER (cum * 4 >= total * 3) AS a3 FROM qa GROUP BY 1),
- k AS (SELECT lang, source, measure, q1, q3, a1, a3, a3 - a1 AS wide, CASE WHEN q3 > q1 THEN q3 - q1 ELSE a3 - a1 END AS spread, CASE measure WHEN 'symbol_rate' THEN 30 WHEN 'dup_line_rate' THEN 200 ELSE 150 END AS slack FROM own JOIN every USING (measure)),
- e AS (SELECT *, least(q3 + 6 * spread, a3 + 6 * wide) + slack AS high, greatest(q1 - 6 * spread, a1 - 6 * wide) - slack AS low FROM k),
- f AS (SELECT lang, source, max(high) FILTER (measure = 'symbol_rate') AS s_high, max(high) FILTER (measure = 'dup_line_rate') AS d_high, max(high) FILTER (measure = 'word_length') AS w_high, max(low) FILTER (measure = 'word_length') AS w_low FROM e GROUP BY ALL)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND symbol_rate <= coalesce(s_high, symbol_rate) AND dup_line_rate <= coalesce(d_high, dup_line_rate) AND word_length <= coalesce(w_high, word_length) AND word_length >= coalesce(w_low, word_length) AS kept
+ k AS (SELECT lang, source, measure, q1, q3, a1, a3, a3 - a1 AS wide, CASE WHEN q3 > q1 THEN q3 - q1 ELSE a3 - a1 END AS spread  FROM own JOIN every USING (measure)),
+ e AS (SELECT *, least(q3 + 6 * spread, a3 + 6 * wide) AS top, top + ceil(top / 32) AS high, greatest(q1 - 6 * spread, a1 - 6 * wide) AS low FROM k),
+ f AS (SELECT lang, source, max(high) FILTER (measure = 'mark_rate') AS s_high, max(high) FILTER (measure = 'dup_line_rate') AS d_high, max(high) FILTER (measure = 'word_length') AS w_high, max(low) FILTER (measure = 'word_length') AS w_low FROM e GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND mark_rate <= coalesce(s_high, mark_rate) AND dup_line_rate <= coalesce(d_high, dup_line_rate) AND word_length <= coalesce(w_high, word_length) AND word_length >= coalesce(w_low, word_length) AS kept
 FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source"""
 
-OP10 = rf"""WITH d AS (SELECT doc_id, source, len({WORDS.format(t="coalesce(text, '')")}) AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h FROM documents),
+OP10 = rf"""WITH d AS (SELECT doc_id, source, len({WORDS.format(t="coalesce(text, '')")}) AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 9))::BIGINT AS h FROM documents),
  s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
  r AS (SELECT *, [1.0::DOUBLE, 2.0, 3.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 3.0::DOUBLE * source_size AS cap FROM s),
  a AS (SELECT *, coalesce(sum(cap) OVER o, 0)::DOUBLE AS capped, coalesce(sum(w) OVER o, 0)::DOUBLE AS w_capped, (sum(source_size) OVER ())::DOUBLE AS total, sum(w) OVER () AS w_total FROM r WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

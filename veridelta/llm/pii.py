@@ -125,13 +125,23 @@ def value(form: str, seed: Column) -> Column:
     return F.concat(*parts)
 
 
+def last_hash(docs: DataFrame, how: Fit) -> int:
+    """The how.sample_docs-th smallest hash of a text, or the largest there is: up to it, texts are in the sample.
+
+    Hashes are counted once, so a text that fills much of the table is one of the sample at most, and the sample is of
+    the same size however large the table.
+    """
+    hashes = docs.select(F.xxhash64("text", F.lit(1)).alias("o")).distinct().orderBy("o").limit(how.sample_docs)
+    return hashes.agg(F.max("o")).first()[0] or 0
+
+
 def planted(docs: DataFrame, how: Fit) -> DataFrame:
     """o (a hash of the text), t (the text with a value planted after one of its spaces), start and end of the value, good.
 
-    Which documents are taken, and what is planted where, follows from hashes of the texts.
+    Which texts are taken, each once, and what is planted where, follows from hashes of the texts.
     """
-    share = min(1.0, how.sample_docs / max(1, docs.count()))
-    picked = docs.select(text_of("text").alias("t"), F.xxhash64("text", F.lit(1)).alias("o")).where(F.pmod("o", F.lit(1_000_000)) < int(share * 1_000_000))
+    hashed = docs.select(text_of("text").alias("t"), F.xxhash64("text", F.lit(1)).alias("o"))
+    picked = hashed.where(F.col("o") <= F.lit(last_hash(docs, how))).dropDuplicates(["o"])
     pick = lambda salt, of: F.pmod(F.xxhash64("t", F.lit(salt)), F.lit(of)).cast("int")
     seed = F.sha2(F.col("t"), 256)
     from_list = lambda salt, values: F.element_at(F.array(*values), pick(salt, len(values)) + 1)
@@ -146,7 +156,10 @@ def planted(docs: DataFrame, how: Fit) -> DataFrame:
 
 
 def fit(docs: DataFrame, how: Fit = Fit()) -> Model:
-    """A model from candidates in documents that were planted into; without candidates of both labels, no model.
+    """A model from candidates in documents that were planted into.
+
+    Without candidates of both labels there is no model if the table has fewer texts than the sample may have, so that
+    small tables get their validated spans; a full sample without them is an error.
 
     A candidate is personal if it holds most of a planted value of that sort. Those that hold only a part of one, or
     overlap a validated span, are left out.
@@ -159,6 +172,8 @@ def fit(docs: DataFrame, how: Fit = Fit()) -> Model:
     x, y, kind = np.array([r.x for r in got]), np.array([r.y for r in got], dtype=float), np.array([r.kind for r in got])
     held = np.array([r.o % 2 == 0 for r in got], dtype=bool)
     if len(set(y[~held])) < 2:
+        if docs.select(F.xxhash64("text", F.lit(1))).distinct().limit(how.sample_docs).count() == how.sample_docs:
+            raise ValueError(f"no model can be fitted: {len(got)} candidates in {how.sample_docs} sampled texts")
         return Model(None, {})
     trees = boost.fit(x[~held], y[~held], how.rounds, how.depth)
     p = boost.predict(trees, x)

@@ -143,11 +143,16 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, net: Net = Net()) -> dict[str, np.ndarray]:
-    """Learns from labelled rows that aren't held out; of contradicting labels of a document the lower counts."""
+    """Learns from labelled rows that aren't held out; of contradicting labels of a document the lower counts.
+
+    A doc_id gives one text, of several that with the smallest hash, so that no more than net.sample_docs of at most
+    net.sample_bytes come to the driver.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(net.sample_docs)
     short = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= net.sample_bytes)
-    got = short.join(F.broadcast(some), "doc_id").collect()
+    one = F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("hash"), "text", "quality")).alias("r")
+    got = short.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "r.text", "r.quality").collect()
     got.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text or ""))
     return train([r.text for r in got], np.array([r.quality for r in got], np.float32), net)
 

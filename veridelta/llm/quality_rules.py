@@ -7,7 +7,7 @@ read from the sketches replace fixed cutoffs, and a join with them filters the d
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,14 +21,14 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 @dataclass(frozen=True)
 class Rules:
     """min_words, max_repeat_percent: the base rules. spread: interquartile ranges beyond the quartiles that are still
-    usual. slack: what a measure may lie beyond that, in its own unit, since most documents of a source can have one
-    and the same value. lower: measures that have a lower fence as well."""
+    usual. lower: measures that have a lower fence as well. some: measures whose sketches hold only values above zero,
+    since most documents have none."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     spread: int = 6
-    slack: dict[str, int] = field(default_factory=lambda: {"symbol_rate": 30, "dup_line_rate": 200, "word_length": 150})
     lower: tuple[str, ...] = ("word_length",)
+    some: tuple[str, ...] = ("dup_line_rate",)
 
 
 def sorted_windows(shingles: str) -> Column:
@@ -64,6 +64,7 @@ def measure(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         F.char_length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.size("__l").alias("__n_lines"),
+        F.char_length(F.regexp_replace("__t", r"[^\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+", "")).cast("long").alias("__n_marks"),
         F.col("__w"),
         shingles.alias("__s"),
     )
@@ -76,10 +77,10 @@ def base_failed(r: Rules) -> Column:
 
 
 def rates() -> dict[str, Column]:
-    """Whole numbers: symbols per thousand words, repeated lines per thousand lines (with five lines more, so that one
-    repeated line doesn't decide over a short text), and hundredths of a word's mean length."""
+    """Whole numbers: marks (punctuation and symbols of ASCII) per thousand words, repeated lines per thousand lines (with
+    five lines more, so that one repeated line doesn't decide over a short text), and hundredths of a word's mean length."""
     return {
-        "symbol_rate": F.expr("n_symbols * 1000 div greatest(n_words, 1)"),
+        "mark_rate": F.expr("__n_marks * 1000 div greatest(n_words, 1)"),
         "dup_line_rate": F.expr("n_dup_lines * 1000 div (__n_lines + 5)"),
         "word_length": F.expr("word_chars * 100 div greatest(n_words, 1)"),
     }
@@ -93,15 +94,16 @@ def bucket(v: Column) -> Column:
 
 def sketch(measured: DataFrame, r: Rules, lang: str = "lang", source: str = "source") -> DataFrame:
     """Counts by language, source, measure and bucket, of documents that pass the base rules. Sketches merge by adding counts."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bucket(v).alias("bucket")) for k, v in rates().items()]))
-    return measured.where(~base_failed(r)).select(F.col(lang).alias("lang"), F.col(source).alias("source"), each.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.when((v > 0) | F.lit(k not in r.some), bucket(v)).alias("bucket")) for k, v in rates().items()]))
+    return measured.where(~base_failed(r)).select(F.col(lang).alias("lang"), F.col(source).alias("source"), each.alias("x")).where("x.bucket is not null").groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
 def fences(sketches: DataFrame, r: Rules) -> DataFrame:
     """One row per language and source: <measure>_low and <measure>_high, from the quartiles of its sketches.
 
     A group's own quartiles set its fences; if they are equal, the range of all documents stands for theirs. No fence is
-    wider than that of all documents, so a group that is mostly junk can't excuse itself.
+    wider than that of all documents, so a group that is mostly junk can't excuse itself. Nothing but the data moves a
+    fence: it lies one part in 32 further out only because a sketch's values are that coarse.
     """
 
     def quartiles(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,9 +119,10 @@ def fences(sketches: DataFrame, r: Rules) -> DataFrame:
     out = []
     for k in rates():
         mine = F.col("measure") == k
-        out.append(F.max(F.when(mine, F.least(F.col("q3") + near, F.col("a3") + wide) + r.slack[k])).alias(f"{k}_high"))
+        high, low = F.least(F.col("q3") + near, F.col("a3") + wide), F.greatest(F.col("q1") - near, F.col("a1") - wide)
+        out.append(F.max(F.when(mine, high + F.ceil(high / 32))).alias(f"{k}_high"))
         if k in r.lower:
-            out.append(F.max(F.when(mine, F.greatest(F.col("q1") - near, F.col("a1") - wide) - r.slack[k])).alias(f"{k}_low"))
+            out.append(F.max(F.when(mine, low)).alias(f"{k}_low"))
     return both.groupBy("lang", "source").agg(*out)
 
 
@@ -132,7 +135,7 @@ def judge(measured: DataFrame, limits: DataFrame, r: Rules) -> DataFrame:
         if k in r.lower:
             usual = usual & (v >= F.coalesce(F.col(f"{k}_low"), v))
     failed = base_failed(r)
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & usual).drop(*[c for c in limits.columns if c not in ("lang", "source")], "__n_lines")
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & usual).drop(*[c for c in limits.columns if c not in ("lang", "source")], "__n_lines", "__n_marks")
 
 
 def quality_rules(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
