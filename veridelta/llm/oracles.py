@@ -26,8 +26,8 @@ OP9 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source,
  sa AS (SELECT measure, bucket, sum(n) AS n FROM s GROUP BY ALL),
  qa AS (SELECT *, sum(n) OVER (PARTITION BY measure ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY measure) AS total FROM sa),
  every AS (SELECT measure, min(bucket) FILTER (cum * 4 >= total) AS a1, min(bucket) FILTER (cum * 4 >= total * 3) AS a3 FROM qa GROUP BY 1),
- k AS (SELECT lang, source, measure, q1, q3, a1, a3, a3 - a1 AS wide, CASE WHEN q3 > q1 THEN q3 - q1 ELSE a3 - a1 END AS spread  FROM own JOIN every USING (measure)),
- e AS (SELECT *, least(q3 + 6 * spread, a3 + 6 * wide) AS top, top + ceil(top / 32) AS high, greatest(q1 - 6 * spread, a1 - 6 * wide) AS low FROM k),
+ k AS (SELECT lang, source, measure, q1, q3, a1, a3, a3 - a1 + ceil(a3 / 32) AS wide, CASE WHEN q3 > q1 THEN q3 - q1 + ceil(q3 / 32) ELSE a3 - a1 + ceil(a3 / 32) END AS spread  FROM own JOIN every USING (measure)),
+ e AS (SELECT *, least(q3 + 6 * spread, a3 + 6 * wide) AS high, greatest(q1 - 6 * spread, a1 - 6 * wide) AS low FROM k),
  f AS (SELECT lang, source, max(high) FILTER (measure = 'mark_rate') AS s_high, max(high) FILTER (measure = 'dup_line_rate') AS d_high, max(high) FILTER (measure = 'word_length') AS w_high, max(low) FILTER (measure = 'word_length') AS w_low FROM e GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND mark_rate <= coalesce(s_high, mark_rate) AND dup_line_rate <= coalesce(d_high, dup_line_rate) AND word_length <= coalesce(w_high, word_length) AND word_length >= coalesce(w_low, word_length) AS kept
 FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source"""

@@ -103,7 +103,7 @@ def fences(sketches: DataFrame, r: Rules) -> DataFrame:
 
     A group's own quartiles set its fences; if they are equal, the range of all documents stands for theirs. No fence is
     wider than that of all documents, so a group that is mostly junk can't excuse itself. Nothing but the data moves a
-    fence: it lies one part in 32 further out only because a sketch's values are that coarse.
+    fence; a range counts as one part in 32 of its upper quartile more, since a sketch's values are that coarse.
     """
 
     def quartiles(s: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,13 +114,14 @@ def fences(sketches: DataFrame, r: Rules) -> DataFrame:
     own = quartiles(sketches, ["lang", "source"])
     every = quartiles(sketches.groupBy("measure", "bucket").agg(F.sum("n").alias("n")), []).select("measure", F.col("q1").alias("a1"), F.col("q3").alias("a3"))
     both = own.join(F.broadcast(every), "measure")  # one row a measure
-    wide = r.spread * (F.col("a3") - F.col("a1"))
-    near = F.when(F.col("q3") > F.col("q1"), r.spread * (F.col("q3") - F.col("q1"))).otherwise(wide)
+    between = lambda low, high: r.spread * (F.col(high) - F.col(low) + F.ceil(F.col(high) / 32))
+    wide = between("a1", "a3")
+    near = F.when(F.col("q3") > F.col("q1"), between("q1", "q3")).otherwise(wide)
     out = []
     for k in rates():
         mine = F.col("measure") == k
         high, low = F.least(F.col("q3") + near, F.col("a3") + wide), F.greatest(F.col("q1") - near, F.col("a1") - wide)
-        out.append(F.max(F.when(mine, high + F.ceil(high / 32))).alias(f"{k}_high"))
+        out.append(F.max(F.when(mine, high)).alias(f"{k}_high"))
         if k in r.lower:
             out.append(F.max(F.when(mine, low)).alias(f"{k}_low"))
     return both.groupBy("lang", "source").agg(*out)
