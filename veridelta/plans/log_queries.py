@@ -284,6 +284,12 @@ def j6_late_events(spark: SparkSession, sf: str) -> DataFrame:
     return J.late_events(e, "ts", "a", "event_type", 600).select("event_id", "lag_minutes")
 
 
+@query("SELECT event_type AS key, event_id AS rid, a AS arrival, lag_minutes FROM (SELECT event_id, event_type, a, (max(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY a, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - epoch_us(ts)) / 6e7 AS lag_minutes FROM (SELECT *, (event_id * 7919) % 100003 AS a FROM events)) WHERE lag_minutes > 600")
+def j6_late_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows as a stream job."""
+    return _run(spark, J.late_stream(_stream(spark, sf).withColumn("a", (F.col("event_id") * 7919) % 100003), "event_id", "ts", "a", "event_type", 600))
+
+
 @query(f"SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, 'types' AS \"check\", count(*) FILTER (event_type NOT IN ('click', 'view'))::DOUBLE / count(*) AS metric, CASE WHEN count(*) FILTER (event_type NOT IN ('click', 'view')) > 0 THEN 'drift_detected' ELSE 'no_drift_detected' END AS status FROM events GROUP BY 1 HAVING date_trunc('day', min(ts)) < {_OPEN}")
 def j7_windowed_checks(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, J.windowed_checks(_stream(spark, sf), "ts", "1 day", {"types": C.unhandled_domain("event_type", ["click", "view"])}))
@@ -315,11 +321,15 @@ def j3_monthly(spark: SparkSession, sf: str) -> DataFrame:
     return J.monthly(_run(spark, J.windowed_profile(_stream(spark, sf), "ts", "1 day", [])))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN o_orderkey % 3 = 0 AND month(o_orderdate) % 4 = 1 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders")
 def a14_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").withColumn("version", F.lit(1))
-    new = o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("version", F.lit(2))
-    return R.upsert(o, new.unionByName(new), ["o_orderkey"], "version").drop("version")
+    """Written once, then a third of the rows of some months replaced, twice."""
+    path = scratch(spark)
+    o = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice", F.lit(1).alias("version"))
+    new = o.where("o_orderkey % 3 = 0 and cast(right(month, 2) as int) % 4 = 1").withColumn("o_totalprice", F.col("o_totalprice") + 1).withColumn("version", F.lit(2))
+    for rows in (o, new, new.unionByName(new)):
+        R.upsert_evidence(rows, path, ["o_orderkey", "month"], "version", ["month"])
+    return R.read_evidence(spark, path, ["month"]).drop("version")
 
 
 @query("SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 97 <> 0 THEN o_orderstatus END, 'MISSING_MAPPING_CHECK_status') AS status FROM orders WHERE o_totalprice > 1000")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import cut
 from ..operators.evidence import latest_per_key, normalize_disposition
 from ..operators.workload import coalesce_aliases, to_number
 
@@ -85,6 +87,69 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str) ->
     return latest_per_key(existing.unionByName(new, allowMissingColumns=True), keys, [order])
 
 
+def upsert_evidence(new: DataFrame, path: str, keys: list[str], order: str, by: list[str]) -> None:
+    """Rows of `new` in place of stored ones of the same key, of several the newest by `order`; the same input twice changes nothing.
+
+    The table is partitioned by some of the keys, so a key never moves; only partitions that `new` touches are read,
+    merged and replaced, and all others keep their files. The merged rows are written beside the table first. Once they
+    are complete, which a count says, the partitions are replaced from them; a job lost before leaves the old rows, and one lost
+    after is completed by the next upsert or read_evidence. Of several writers one at a time may run.
+    """
+    if not set(by) <= set(keys):
+        raise ValueError(f"partition columns {by} must be among the keys {keys}")
+    spark = new.sparkSession
+    complete_upsert(spark, path, by)
+    fresh = cut(latest_per_key(new, keys, [order]))
+    stored = _stored(spark, path, fresh.schema, by)
+    if stored is not None:
+        touched = fresh.select(*by).distinct()
+        kept = stored.join(F.broadcast(touched) if touched.count() <= PARTITIONS else touched, by, "left_semi")
+        both = kept.withColumn("__new", F.lit(False)).unionByName(fresh.withColumn("__new", F.lit(True)), allowMissingColumns=True)
+        fresh = latest_per_key(both, keys, [order, "__new"]).drop("__new")
+    fresh.write.mode("overwrite").parquet(f"{path}/_pending")
+    merged = spark.read.schema(fresh.schema).parquet(f"{path}/_pending")
+    merged.agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{path}/_pending_rows")
+    complete_upsert(spark, path, by)
+
+
+#: A list of so many partitions is broadcast, so that only these are read.
+PARTITIONS = 100_000
+
+
+def complete_upsert(spark: SparkSession, path: str, by: list[str]) -> bool:
+    """Replaces partitions by those that a lost upsert had merged, if it had come that far; whether there were any."""
+    mark = _stored(spark, f"{path}/_pending_rows")
+    rows = mark.agg(F.sum("rows")).first()[0] if mark is not None else None
+    if rows is None:
+        return False
+    merged = spark.read.parquet(f"{path}/_pending")
+    if merged.count() != rows:
+        raise ValueError(f"{path}/_pending has not the {rows} rows that were merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    spark.createDataFrame([], "rows long").write.mode("overwrite").parquet(f"{path}/_pending_rows")
+    return True
+
+
+def _stored(spark: SparkSession, path: str, known: T.StructType | None = None, by: list[str] = []) -> DataFrame | None:
+    """What is stored there, its partition columns `by` of the types in `known`; None where nothing is."""
+    try:
+        df = spark.read.parquet(path)
+        kinds = {f.name: f.dataType for f in known.fields} if known else {}
+        return spark.read.schema(T.StructType([T.StructField(f.name, kinds[f.name] if f.name in by else f.dataType) for f in df.schema.fields])).parquet(path) if by else df
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def read_evidence(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """The table that upsert_evidence writes, a lost upsert completed."""
+    complete_upsert(spark, path, by)
+    last = spark.read.parquet(f"{path}/_pending").schema
+    stored = _stored(spark, path, last, by)
+    return spark.createDataFrame([], last) if stored is None else stored
+
+
 def read_openlineage(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Dataset edges (source, target, job) and column edges (source, target) of run events, one JSON object a line."""
     ds = "array<struct<namespace:string,name:string,facets:struct<columnLineage:struct<fields:map<string,struct<inputFields:array<struct<namespace:string,name:string,field:string>>>>>>>>"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from typing import Any
 
@@ -105,12 +106,90 @@ def late_events(df: DataFrame, ts: str, arrival: str, key: str, minutes: Column
     return late.select(*df.columns, "lag_minutes")
 
 
+def late_stream(df: DataFrame, rid: str, ts: str, arrival: str, key: str, minutes: int, keep_days: int = 90) -> DataFrame:
+    """key, rid, arrival, lag_minutes of a stream's rows that arrive after their key's newest event time by more than the tolerance.
+
+    The state of a key is its newest event time, beside a timer that clears it once the watermark, keep_days behind the newest
+    time of all, is keep_days past it: rows that come then are newer than what is forgotten, older ones were dropped by the
+    watermark (see run_to_table, which counts them). Within a batch rows count in order of arrival, ties by rid; a task
+    keeps three numbers for each row of a key in one batch, which the source's maxBytesPerTrigger bounds. Rows without a
+    time are never late. rid and arrival are longs, key a string. The state store is RocksDB, which this sets.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    tolerance, keep = minutes * 60_000_000, keep_days * 86_400_000
+    none = np.iinfo(np.int64).min
+
+    class Late(StatefulProcessor):
+        def init(self, handle: Any) -> None:
+            self.handle = handle
+            self.newest = handle.getValueState("newest", T.StructType([T.StructField("t", T.LongType())]))
+
+        def handleInputRows(self, k: tuple, rows: Any, timers: Any) -> Iterator[pd.DataFrame]:
+            parts = [(p["rid"].to_numpy(np.int64), p["arrival"].to_numpy(np.int64), p["t"].to_numpy(np.int64)) for p in rows]
+            rid, at, t = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((rid, at))
+            rid, at, t = rid[order], at[order], t[order]
+            first = self.newest.get()[0] if self.newest.exists() else none
+            newest = np.maximum.accumulate(np.concatenate([[first], t]))
+            known = newest[:-1] != none
+            lag = np.where(known, newest[:-1], t) - t
+            late = lag > tolerance
+            if newest[-1] > first:
+                self.newest.update((int(newest[-1]),))
+                self.handle.registerTimer(int(newest[-1]) // 1000 + keep)
+            yield pd.DataFrame({"key": [k[0]] * int(late.sum()), "rid": rid[late], "arrival": at[late], "lag_minutes": lag[late] / 60e6})
+
+        def handleExpiredTimer(self, k: tuple, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
+            if self.newest.exists() and self.newest.get()[0] // 1000 + keep <= expired.getExpiryTimeInMs():
+                self.newest.clear()
+            yield pd.DataFrame({"key": pd.Series([], dtype=str), "rid": pd.Series([], dtype="int64"), "arrival": pd.Series([], dtype="int64"), "lag_minutes": pd.Series([], dtype="float64")})
+
+        def close(self) -> None:
+            pass
+
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = timed(df, ts, f"{keep_days} days").where(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.col(rid).cast("long").alias("rid"), F.col(arrival).cast("long").alias("arrival"), F.col(ts), F.unix_micros(ts).alias("t"))
+    return rows.groupBy("key").transformWithStateInPandas(Late(), "key string, rid long, arrival long, lag_minutes double", "append", "eventTime")
+
+
 def windowed_checks(df: DataFrame, ts: str, size: str, plan: dict[str, Check], late: str = "1 hour") -> DataFrame:
     """The checks of a plan for each window."""
     out = run_checks(timed(df, ts, late), plan, [F.window(ts, size).alias("w")])
     return out.select(F.col("w.start").alias("window_start"), "check", "metric", "status")
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, **options: Any) -> None:
-    """Runs over all files there are and appends to parquet, exactly once with the checkpoint folder."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True).start().awaitTermination()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, **options: Any) -> int:
+    """Runs over all files there are and appends to parquet, exactly once with the checkpoint folder. Returns how many rows
+    came behind the watermark and were dropped, over all batches of this run."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Progress(StreamingQueryListener):
+        def __init__(self) -> None:
+            self.dropped, self.of, self.ended = 0, None, threading.Event()
+
+        def onQueryStarted(self, event: Any) -> None: ...
+
+        def onQueryProgress(self, event: Any) -> None:
+            if event.progress.runId == self.of:
+                self.dropped += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+        def onQueryIdle(self, event: Any) -> None: ...
+
+        def onQueryTerminated(self, event: Any) -> None:
+            if event.runId == self.of:
+                self.ended.set()
+
+    listener = Progress()
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True)
+    stream.sparkSession.streams.addListener(listener)
+    try:
+        query = writer.start()
+        listener.of = query.runId
+        query.awaitTermination()
+        listener.ended.wait(30)
+    finally:
+        stream.sparkSession.streams.removeListener(listener)
+    return listener.dropped
