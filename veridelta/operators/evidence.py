@@ -277,17 +277,67 @@ def business_rollup(findings: DataFrame, by: str) -> DataFrame:
     return findings.groupBy(by).agg(F.count("*").alias("nodes"), F.max_by("business_severity", rank).alias("highest"), F.count_if(F.col("business_severity").isin(HIGH_BUSINESS)).alias("critical"))
 
 
-def shadow_rollup(runs: DataFrame, feedback: DataFrame, scope: str) -> DataFrame:
-    """Per scope: runs, block and review rates, cost, precision from feedback, and how far enforcement may go.
+#: What is enforced at each tier, beside what depends on the risks seen (fixed values).
+RISK_CLASSES = ["financial_blowup", "semantic_break", "critical_assumption", "runtime_fragility"]
+LOW_CLASSES = ["low_confidence_semantic", "low_confidence_assumption", "optimization_only"]
 
-    runs: scope column, would_block, would_review, weekly_cost. feedback: scope column, disposition.
+
+def shadow_rollup(runs: DataFrame, feedback: DataFrame, scopes: tuple[str, ...] = ("repo", "team"), patterns: int = 8) -> DataFrame:
+    """Per scope (global, and each of the given columns) and value: how runs went, what recurs, and how far enforcement may go.
+
+    runs: the scope columns, verdict, confidence, primary_reason, would_block, would_review, assumptions,
+    critical_assumptions, savings, weekly_cost, monthly_cost (decimals), risk_categories and patterns (arrays). feedback:
+    the scope columns, outcome. Values without a name count as unknown_<scope>; values with feedback only are kept. Rows
+    are counted by scope, kind and key in parts before anything is gathered, so gathered are counts; of waste
+    patterns only the `patterns` most frequent of a value are, the first by name of equals.
     """
-    r = runs.groupBy(scope).agg(F.count("*").alias("runs"), F.count_if("would_block").alias("blocked"), F.count_if("would_review").alias("reviewed"), F.sum("weekly_cost").alias("weekly_cost"))
-    f = feedback.groupBy(scope).agg(F.count_if(F.col("disposition").isin("agree", "fixed")).alias("confirmed"), F.count_if(F.col("disposition").isin("disagree", "false_positive")).alias("noisy"))
-    j = r.join(f, scope, "full_outer").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("runs", "blocked", "reviewed", "confirmed", "noisy")})
-    p = F.when(F.col("confirmed") + F.col("noisy") > 0, F.col("confirmed") / (F.col("confirmed") + F.col("noisy")))
-    tier = F.when((F.col("runs") >= 20) & (p >= 0.9), "enforce").when((F.col("runs") >= 10) & (p >= 0.75), "advise").when(F.col("runs") >= 5, "observe").otherwise("collect")
-    return j.withColumn("block_rate", F.when(F.col("runs") > 0, F.col("blocked") / F.col("runs"))).withColumn("precision", p).withColumn("tier", tier)
+    named = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", f"unknown_{c}").otherwise(F.col(c))
+    spread = F.explode(F.array(F.struct(F.lit("global").alias("scope"), F.lit("all").alias("value")), *[F.struct(F.lit(c).alias("scope"), named(c).alias("value")) for c in scopes]))
+    key = ["scope", "value"]
+    r = runs.select("*", spread.alias("__s")).select("__s.*", *[c for c in runs.columns if c not in key])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = r.groupBy(*key).agg(F.count("*").alias("runs"), F.count_if("would_block").alias("blocked"), F.count_if("would_review").alias("reviewed"), F.count_if(F.lower("confidence") == "high").alias("high_confidence"), total("assumptions").alias("assumptions"), total("critical_assumptions").alias("critical_assumptions"), *[total(c).alias(c) for c in ("savings", "weekly_cost", "monthly_cost")])
+    one = lambda c, other: F.array(F.coalesce(F.col(c), F.lit(other)))
+    kinds = {"verdicts": one("verdict", "UNKNOWN"), "confidences": one("confidence", "unknown"), "reasons": one("primary_reason", "unknown"), "categories": F.col("risk_categories"), "patterns": F.col("patterns")}
+
+    def of_kind(kind: str, names: Column) -> Column:
+        return F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+
+    long = F.explode(F.flatten(F.array(*[of_kind(k, v) for k, v in kinds.items()])))
+    counts = r.select(*key, long.alias("k")).groupBy(*key, "k.kind", "k.name").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("n"), "name"))
+    top = counts.where("kind = 'patterns'").withColumn("rank", rank).where(F.col("rank") <= patterns).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", "name", "n"))).alias("__top")).select(*key, F.transform("__top", lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n"))).alias("top_patterns"))
+    others = counts.where("kind <> 'patterns'").groupBy(*key)
+    maps = others.agg(*[F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("name", "n"))))).alias(k) for k in kinds if k != "patterns"])
+    fb = feedback.select("outcome", spread.alias("__s")).select("__s.*", F.coalesce("outcome", F.lit("unknown")).alias("outcome")).groupBy(*key, "outcome").agg(F.count("*").alias("n"))
+    said = lambda *o: F.coalesce(F.sum(F.when(F.col("outcome").isin(*o), F.col("n"))), F.lit(0))
+    fb = fb.groupBy(*key).agg(F.sum("n").alias("feedback"), said("confirmed", "useful", "fixed").alias("confirmed"), said("noisy", "false_positive").alias("noisy"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("outcome", "n")))).alias("outcomes"))
+    j = sums.join(maps, key, "left").join(top, key, "left").join(fb, key, "full_outer")
+    zeros = ("runs", "blocked", "reviewed", "high_confidence", "assumptions", "critical_assumptions", "savings", "weekly_cost", "monthly_cost", "feedback", "confirmed", "noisy")
+    j = j.withColumns({c: F.coalesce(c, F.lit(0)) for c in zeros})
+    of = lambda c, digits: F.round(F.col(c) / F.greatest("runs", F.lit(1)), digits)
+    j = j.withColumns({"block_rate": of("blocked", 4), "review_rate": of("reviewed", 4), "average_assumptions": of("assumptions", 2), "average_critical": of("critical_assumptions", 2), "precision": F.round(F.col("confirmed") / F.greatest(F.col("confirmed") + F.col("noisy"), F.lit(1)), 4)})
+    return enforcement(j)
+
+
+def enforcement(rollup: DataFrame) -> DataFrame:
+    """A rollup with tier, reasons and the policy of that tier: hard_block, require_review, advisory."""
+    n, p, critical, saved = F.col("runs"), F.col("precision"), F.col("critical_assumptions"), F.col("savings")
+    blocks, reviews = F.col("blocked") / F.greatest(n, F.lit(1)), F.col("reviewed") / F.greatest(n, F.lit(1))
+    selective = (p >= 0.8) & (F.col("high_confidence") >= 2) & ((saved >= 500) | (critical >= 2)) & (blocks <= 0.8)
+    review = (p >= 0.65) & ((F.col("reviewed") >= 2) | (critical >= 1) | (saved >= 250))
+    tier = F.when((n < 3) | (p < 0.5), 0).when(selective, 3).when(review, 2).otherwise(1)
+    why = F.when(n < 3, "too_few_runs").when(p < 0.5, "precision_below_half").when(selective, "precise_and_material").when(review, "recurring_or_costly").otherwise("advisory_until_more_evidence")
+    reasons = F.array_compact(F.array(why, F.when((blocks > 0.8) & (n >= 3), "blocks_too_often"), F.when((reviews > 0.9) & (n >= 3), "reviews_too_broad")))
+    out = rollup.withColumns({"tier": tier, "enforcement_reasons": reasons})
+    t = F.col("tier")
+    seen = lambda *k: F.coalesce(F.exists(F.map_keys("categories"), lambda x: x.isin(*k)), F.lit(False))
+    texts = lambda names: F.array(*[F.lit(x) for x in names]).cast("array<string>")
+    hard = F.array_compact(F.array(F.when((t == 3) & seen("financial"), "high_confidence_financial_blowup"), F.when((t == 3) & seen("assumptions", "semantic"), "high_confidence_semantic_or_assumption_break")))
+    ask = F.when(t == 3, texts(["medium_confidence_semantic", "critical_assumption_without_runtime_proof"])).when(t == 2, texts(RISK_CLASSES)).otherwise(texts([]))
+    advise = F.when(t == 1, texts(LOW_CLASSES + RISK_CLASSES)).otherwise(texts(LOW_CLASSES))
+    names = F.array(*[F.lit(x) for x in ("TIER_0_SHADOW_ONLY", "TIER_1_ADVISORY", "TIER_2_REQUIRE_REVIEW", "TIER_3_SELECTIVE_BLOCK")])
+    return out.withColumns({"hard_block": hard, "require_review": ask, "advisory": advise}).withColumn("tier", F.element_at(names, t + 1))
 
 
 def period_trends(runs: DataFrame, ts: str) -> DataFrame:
@@ -371,14 +421,91 @@ def top_findings(findings: DataFrame, k: int = 10) -> DataFrame:
     return findings.orderBy(F.desc("risk_score"), "family", "occurrence_id").limit(k)
 
 
-def causality(findings: DataFrame) -> DataFrame:
-    """findings with causality (a product of their shares) and where it sends them."""
-    sev = lookup(F.col("family"), SEVERITY_POTENTIAL, 0.4)
-    evid = F.when(F.col("replay_status") == "drift_detected", 1.0).when(F.col("replay_ran"), 0.6).otherwise(0.35)
-    s = sev * lookup(F.col("business_severity"), SENSITIVITY, 0.3) * F.greatest("fidelity_score", F.lit(0.05)) * evid
-    out = findings.withColumn("causality", F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
+#: Families whose dependence must be on the property itself, and how far a change carries by its distance (fixed values).
+STRUCTURAL_FAMILIES = ["join_cardinality", "join_grain_or_fanout", "grain_change", "primary_key_changed"]
+PROPAGATION = {0: 0.85, 1: 1.0, 2: 0.8, 3: 0.6}
+FAR, NO_DEPENDENCY = 0.35, 0.2
+REPLAY_FACTOR = {"drift_detected": 1.2, "confirmed": 1.2, "replay_confirmed": 1.2, "no_drift": 0.5, "clean": 0.5, "failed": 0.6, "error": 0.6}
+
+
+def sensitivity_label(c: Column) -> Column:
+    """Labels in upper case, with plain grades named as what they stand for."""
+    up = F.upper(F.coalesce(c, F.lit("UNKNOWN")))
+    return F.when(up == "HIGH", "REVENUE_CRITICAL").when(up == "MEDIUM", "OPERATIONAL").when(up == "LOW", "ANALYTICAL").otherwise(up)
+
+
+def dependency_signals(reached: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """source_id, structural, label, distance, confidence, kind: what depends on a changed source, for structural families and for others.
+
+    reached: source_id, node, depth (as graph.reach gives them), sensitivity, and contract, whether the node relies on the
+    source's keys or grain: only such nodes prove anything for structural families. own: source_id, sensitivity,
+    has_contracts of sources themselves, which count where nothing is reached. The most sensitive node counts, of equals the nearest;
+    those less sensitive than unknown ones don't.
+    """
+    label = sensitivity_label(F.col("sensitivity"))
+    weight = lookup(label, SENSITIVITY, SENSITIVITY["UNKNOWN"])
+    r = reached.select("source_id", F.coalesce("contract", F.lit(False)).alias("contract"), label.alias("label"), weight.alias("weight"), F.col("depth").alias("distance")).where(F.col("weight") >= SENSITIVITY["UNKNOWN"])
+    best = F.max(F.struct("weight", (-F.col("distance")).alias("near"), "label")).alias("b")
+    structural = r.where("contract").groupBy("source_id").agg(best).withColumn("structural", F.lit(True))
+    plain = r.groupBy("source_id").agg(best).withColumn("structural", F.lit(False))
+    d = -F.col("b.near")
+    sure = F.when(F.col("structural"), F.when(d <= 1, 0.6).otherwise(0.45)).otherwise(F.when(d <= 1, 0.8).when(d <= 2, 0.65).otherwise(0.45))
+    kind = F.when(F.col("structural"), "contract").otherwise("downstream")
+    out = structural.unionByName(plain).select("source_id", "structural", "b.label", d.alias("distance"), sure.alias("confidence"), kind.alias("kind"))
+    if own is None:
+        return out
+    mine = own.select("source_id", sensitivity_label(F.col("sensitivity")).alias("label"), F.coalesce("has_contracts", F.lit(False)).alias("has"))
+    mine = mine.join(out.where("not structural").select("source_id"), "source_id", "left_anti").where(F.col("has") | (lookup(F.col("label"), SENSITIVITY, 0.3) > SENSITIVITY["UNKNOWN"]))
+    return out.unionByName(mine.select("source_id", F.lit(False).alias("structural"), "label", F.lit(0).alias("distance"), F.when(F.col("has"), 0.8).otherwise(0.55).alias("confidence"), F.when(F.col("has"), "own_contract").otherwise("own").alias("kind")))
+
+
+def change_confidence(family: Column, sure: Column, has_diff: Column, triggered: Column, excerpt: Column, structural: Column) -> Column:
+    """How surely the finding itself shows a change; null if it doesn't. Structural families must show one of keys, grain or joins."""
+    low = F.coalesce(F.lower(sure), F.lit(""))
+    grade = lambda high, medium, least: F.when(low == "high", high).when(low == "low", least).otherwise(medium)
+    known = F.when(has_diff, grade(0.85, 0.75, 0.65)).when(triggered, grade(0.7, 0.6, 0.5)).when(excerpt, grade(0.55, 0.55, 0.4))
+    return F.when(~(family.isin(STRUCTURAL_FAMILIES) & ~F.coalesce(structural, F.lit(False))), known)
+
+
+def causality(findings: DataFrame, dependencies: DataFrame | None = None, calibration: DataFrame | None = None) -> DataFrame:
+    """findings with two_signal, propagation, evidence, replay_factor, causality and where it sends them (route).
+
+    findings: family, source_id, change_confidence (see above; null: no change shown), blast_count and business_severity
+    (its own reach, which counts as one step away), replay_status. dependencies: as dependency_signals gives them; of the
+    two the more sensitive counts. calibration: family, false_positive_rate. A change shown and a dependency known make a
+    two-signal finding; one of them alone is weak evidence.
+    """
+    family = F.coalesce("family", F.lit(""))
+    f = findings.withColumn("__structural", family.isin(STRUCTURAL_FAMILIES))
+    if dependencies is not None:
+        d = dependencies.select("source_id", F.col("structural").alias("__structural"), F.struct("label", "distance", "confidence", "kind").alias("__d"))
+        f = f.join(d, ["source_id", "__structural"], "left")
+    else:
+        f = f.withColumn("__d", F.lit(None).cast("struct<label:string,distance:int,confidence:double,kind:string>"))
+    weight = lambda c: lookup(c, SENSITIVITY, SENSITIVITY["UNKNOWN"])
+    label = sensitivity_label(F.col("business_severity"))
+    blast = F.coalesce(F.col("blast_count"), F.lit(0)) > 0
+    by_blast = blast & (F.col("__d").isNull() | (weight(label) >= weight(F.col("__d.label"))))
+    found = by_blast | F.col("__d").isNotNull()
+    distance = F.when(by_blast, 1).otherwise(F.col("__d.distance"))
+    # known only from lineage, not from a contract or the finding's own reach
+    drawn = F.when(~by_blast & F.col("__d.kind").isin("downstream", "own"), 0.9).otherwise(1.0)
+    carries = F.when(found, F.when(distance <= 0, PROPAGATION[0]).otherwise(lookup(distance, {k: v for k, v in PROPAGATION.items() if k}, FAR)) * drawn).otherwise(NO_DEPENDENCY)
+    sure, change = F.when(by_blast, 0.85).otherwise(F.col("__d.confidence")), F.col("change_confidence")
+    two = change.isNotNull() & found
+    most = 0.85 if dependencies is not None else 0.7
+    least = 0.65 if dependencies is not None else 0.55
+    evidence = F.when(two, F.least(F.lit(most), F.greatest(F.lit(least), (change + sure) / 2))).when(change.isNotNull() | found, F.least(F.lit(0.45), F.greatest(change, sure, F.lit(0.25)))).otherwise(0.0)
+    replay = lookup(F.lower(F.coalesce("replay_status", F.lit(""))), REPLAY_FACTOR, 0.85)
+    sensitive = weight(F.when(by_blast, label).when(found, F.col("__d.label")).otherwise("UNKNOWN"))
+    f = f.withColumns({"two_signal": two, "propagation": carries, "evidence": evidence, "replay_factor": replay, "__raw": F.least(F.lit(1.0), carries * lookup(family, SEVERITY_POTENTIAL, 0.35) * sensitive * evidence * replay)})
+    if calibration is not None:
+        f = f.join(calibration.select("family", F.col("false_positive_rate").alias("__fp")), "family", "left")
+    wrong = F.least(F.lit(0.95), F.greatest(F.lit(0.0), F.coalesce("__fp", F.lit(0.0)))) if calibration is not None else F.lit(0.0)
+    out = f.withColumn("causality", F.col("__raw") * (1 - wrong))
     c = F.col("causality")
-    return out.withColumn("route", F.when(c >= 0.65, "block_candidate").when(c >= 0.4, "review").when(c >= 0.15, "advisory").when(c >= 0.05, "watch").otherwise("suppress"))
+    route = F.when(c < 0.05, "suppressed").when(c < 0.15, "informational").when(c < 0.4, F.when(F.col("two_signal") & (c >= 0.35), "must_review").otherwise("advisory")).when(c < 0.65, "must_review").otherwise("must_review_escalated")
+    return out.withColumn("route", route).drop("__structural", "__d", "__raw", *(["__fp"] if calibration is not None else []))
 
 
 def finding_severity(base: Column, business: Column, downstream: Column) -> Column:
@@ -464,3 +591,47 @@ def eval_metrics(records: DataFrame, expected: str, actual: str) -> DataFrame:
     g = counts.groupBy("label").agg(F.sum("e").alias("support"), F.sum("a").alias("claimed"), F.sum("hit").alias("correct"))
     share = lambda of: F.when(F.col(of) > 0, F.col("correct") / F.col(of)).otherwise(1.0)
     return g.withColumn("precision", share("claimed")).withColumn("recall", share("support"))
+
+
+#: Verdicts of a benchmark, in order of severity (fixed values).
+VERDICTS = ["ALLOW", "ADVISORY", "REQUIRE_REVIEW", "BLOCK"]
+
+
+def eval_by_class(records: DataFrame, verdicts: list[str] = VERDICTS) -> DataFrame:
+    """Per class of records, and over all (class null): records, exact and near accuracy, confidence_median, and how often
+    each verdict was expected and predicted.
+
+    records: class, expected, predicted, confidence (null counts as 0). Near are verdicts at most one step apart. The
+    median is exact: records are counted by class and confidence, and the middle is found by running counts
+    over the distinct confidences, so that no task sorts a class.
+    """
+    step = lambda c: F.array_position(F.array(*[F.lit(v) for v in verdicts]), F.col(c))
+    near = (step("expected") > 0) & (step("predicted") > 0) & (F.abs(step("expected") - step("predicted")) <= 1)
+    of = F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col("class").alias("class")), F.struct(F.lit(True).alias("all"), F.lit(None).cast("string").alias("class"))))
+    rows = records.withColumn("__near", near).select(of.alias("__g"), "expected", "predicted", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "__near").select("__g.*", "expected", "predicted", "confidence", "__near")
+    key = ["all", "class"]
+    each = [F.count_if(F.col(side) == v).alias(f"{side}_{v.lower()}") for side in ("expected", "predicted") for v in verdicts]
+    sums = rows.groupBy(*key).agg(F.count("*").alias("records"), (F.count_if(F.col("expected") == F.col("predicted")) / F.count("*")).alias("exact_accuracy"), (F.count_if("__near") / F.count("*")).alias("near_accuracy"), *each)
+    values = rows.groupBy(*key, "confidence").agg(F.count("*").alias("n"))
+    w = W.partitionBy(*key)
+    at = values.withColumn("upto", F.sum("n").over(w.orderBy("confidence"))).withColumn("of", F.sum("n").over(w))
+    low, high = F.floor((F.col("of") + 1) / 2), F.floor(F.col("of") / 2) + 1
+    half = lambda k: F.min(F.when(F.col("upto") >= k, F.col("confidence")))
+    middle = at.groupBy(*key).agg(((half(low) + half(high)) / 2).alias("confidence_median"))
+    same = F.col("a.all").eqNullSafe(F.col("b.all")) & F.col("a.class").eqNullSafe(F.col("b.class"))
+    return sums.alias("a").join(middle.alias("b"), same).select("a.*", "b.confidence_median").where("all or class is not null").drop("all")
+
+
+def confusion(records: DataFrame, verdicts: list[str] = VERDICTS) -> DataFrame:
+    """A row for each expected verdict, a column for each predicted one; verdicts that don't occur have zeros."""
+    base = records.sparkSession.createDataFrame([(v,) for v in verdicts], "expected string")
+    cells = records.groupBy("expected").pivot("predicted", verdicts).agg(F.count(F.lit(1)))
+    return F.broadcast(base).join(cells, "expected", "left").select("expected", *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in verdicts])
+
+
+def risk_metrics(records: DataFrame, risks: list[str]) -> DataFrame:
+    """risk, tp, fp, fn, precision and recall (1 where there is nothing to count). records: truth and predicted, arrays of risks."""
+    row = lambda k: F.struct(F.lit(k).alias("risk"), F.coalesce(F.array_contains("truth", k), F.lit(False)).alias("t"), F.coalesce(F.array_contains("predicted", k), F.lit(False)).alias("p"))
+    g = records.select(F.inline(F.array(*[row(k) for k in risks]))).groupBy("risk").agg(F.count_if(F.col("t") & F.col("p")).alias("tp"), F.count_if(~F.col("t") & F.col("p")).alias("fp"), F.count_if(F.col("t") & ~F.col("p")).alias("fn"))
+    share = lambda c: F.when(F.col("tp") + F.col(c) > 0, F.col("tp") / (F.col("tp") + F.col(c))).otherwise(1.0)
+    return g.withColumn("precision", share("fp")).withColumn("recall", share("fn"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
+from ..operators import graph as G
 from .registry import query, table
 from .views import view, with_views
 
@@ -193,11 +194,42 @@ def d23_calibration_readiness(spark: SparkSession, sf: str) -> DataFrame:
     return E.calibration_readiness(E.policy_calibration(e, days), E.stable_findings(e), view(spark, sf, "feedback"), days)
 
 
-@query(with_views("""SELECT *, blocked::DOUBLE / runs AS block_rate, confirmed::DOUBLE / (confirmed + noisy) AS precision, CASE WHEN runs >= 20 AND confirmed::DOUBLE / (confirmed + noisy) >= 0.9 THEN 'enforce' WHEN runs >= 10 AND confirmed::DOUBLE / (confirmed + noisy) >= 0.75 THEN 'advise' WHEN runs >= 5 THEN 'observe' ELSE 'collect' END AS tier FROM (SELECT family, count(*) AS runs, count(*) FILTER (severity = 'critical') AS blocked, count(*) FILTER (severity = 'high') AS reviewed, sum(monthly_cost) AS weekly_cost FROM findings GROUP BY 1) JOIN (SELECT split_part(stable_finding_id, '-', 2) AS family, count(*) FILTER (disposition IN ('agree','fixed')) AS confirmed, count(*) FILTER (disposition IN ('disagree','false_positive')) AS noisy FROM feedback GROUP BY 1) USING (family)""", *ALL))
+#: Every order as a shadow run; every event as feedback.
+_RUNS = """SELECT concat('repo_', CAST(CASE WHEN o_custkey % 10 = 0 THEN o_custkey ELSE o_custkey % 40 END AS VARCHAR(20))) AS repo, CASE WHEN o_custkey % 6 = 5 THEN NULL ELSE concat('team_', CAST(o_custkey % 6 AS VARCHAR(20))) END AS team,
+ CASE o_orderstatus WHEN 'F' THEN 'BLOCK' WHEN 'O' THEN 'ALLOW' ELSE NULL END AS verdict, CASE o_orderkey % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'medium' ELSE NULL END AS confidence, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE concat('reason_', CAST(o_orderkey % 4 AS VARCHAR(20))) END AS primary_reason,
+ o_orderstatus = 'F' AS would_block, o_orderkey % 5 = 0 AS would_review, CAST(o_orderkey % 7 AS INT) AS assumptions, CASE WHEN o_orderkey % 50 = 0 THEN 1 ELSE 0 END AS critical_assumptions, CAST(o_totalprice / 1000 AS DECIMAL(12, 2)) AS savings, CAST(o_totalprice AS DECIMAL(12, 2)) AS weekly_cost, CAST(o_totalprice * 4 AS DECIMAL(14, 2)) AS monthly_cost,
+ CASE o_orderkey % 8 WHEN 0 THEN 'financial|semantic' WHEN 1 THEN 'assumptions' WHEN 2 THEN 'runtime' ELSE NULL END AS risk_categories, concat('p', CAST(o_orderkey % 13 AS VARCHAR(20)), '|q', CAST(o_custkey % 9 AS VARCHAR(20))) AS patterns FROM {orders}"""
+_OUTCOMES = """SELECT concat('repo_', CAST(user_id % 45 AS VARCHAR(20))) AS repo, concat('team_', CAST(user_id % 5 AS VARCHAR(20))) AS team, CASE WHEN user_id % 45 < 15 AND event_id % 9 < 8 THEN 'confirmed' WHEN user_id % 45 < 30 AND event_id % 10 < 7 THEN 'useful' WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'fixed' WHEN event_id % 3 = 1 THEN 'noisy' ELSE 'false_positive' END AS outcome FROM {events}"""
+_SHADOW = f"""WITH runs AS ({_RUNS.format(orders='orders')}), fb AS ({_OUTCOMES.format(events='events')}),
+ r AS (SELECT 'global' AS scope, 'all' AS value, * FROM runs UNION ALL SELECT 'repo', repo, * FROM runs UNION ALL SELECT 'team', coalesce(team, 'unknown_team'), * FROM runs),
+ f AS (SELECT 'global' AS scope, 'all' AS value, outcome FROM fb UNION ALL SELECT 'repo', repo, outcome FROM fb UNION ALL SELECT 'team', team, outcome FROM fb),
+ s AS (SELECT scope, value, count(*) AS runs, count(*) FILTER (would_block) AS blocked, count(*) FILTER (would_review) AS reviewed, count(*) FILTER (lower(confidence) = 'high') AS high_confidence, sum(assumptions) AS assumptions, sum(critical_assumptions) AS critical_assumptions, sum(savings) AS savings, sum(weekly_cost) AS weekly_cost, sum(monthly_cost) AS monthly_cost FROM r GROUP BY ALL),
+ long AS (SELECT scope, value, 'verdicts' AS kind, coalesce(verdict, 'UNKNOWN') AS name FROM r UNION ALL SELECT scope, value, 'confidences', coalesce(confidence, 'unknown') FROM r UNION ALL SELECT scope, value, 'reasons', coalesce(primary_reason, 'unknown') FROM r UNION ALL SELECT scope, value, 'categories', unnest(string_split(risk_categories, '|')) FROM r UNION ALL SELECT scope, value, 'patterns', unnest(string_split(patterns, '|')) FROM r),
+ c AS (SELECT scope, value, kind, name, count(*) AS n FROM long GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY scope, value, kind ORDER BY n DESC, name) AS rank FROM c),
+ m AS (SELECT scope, value, {', '.join(f"string_agg(name || ':' || n, ',' ORDER BY name) FILTER (kind = '{k}') AS {k}" for k in ('verdicts', 'confidences', 'reasons', 'categories'))}, string_agg(name || ':' || n, ',' ORDER BY rank) FILTER (kind = 'patterns' AND rank <= 8) AS top_patterns FROM ranked GROUP BY ALL),
+ o AS (SELECT scope, value, sum(n)::BIGINT AS feedback, string_agg(outcome || ':' || n, ',' ORDER BY outcome) AS outcomes, coalesce(sum(n) FILTER (outcome IN ('confirmed', 'useful', 'fixed')), 0) AS confirmed, coalesce(sum(n) FILTER (outcome IN ('noisy', 'false_positive')), 0) AS noisy FROM (SELECT scope, value, coalesce(outcome, 'unknown') AS outcome, count(*) AS n FROM f GROUP BY ALL) GROUP BY ALL),
+ j AS (SELECT scope, value, coalesce(runs, 0) AS runs, coalesce(blocked, 0) AS blocked, coalesce(reviewed, 0) AS reviewed, coalesce(high_confidence, 0) AS high_confidence, coalesce(assumptions, 0) AS assumptions, coalesce(critical_assumptions, 0) AS critical, coalesce(savings, 0) AS savings, coalesce(weekly_cost, 0) AS weekly_cost, coalesce(monthly_cost, 0) AS monthly_cost, coalesce(feedback, 0) AS feedback, verdicts, confidences, reasons, categories, top_patterns, outcomes, round(coalesce(confirmed, 0)::DOUBLE / greatest(1, coalesce(confirmed + noisy, 0)), 4) AS precision FROM s FULL JOIN o USING (scope, value) LEFT JOIN m USING (scope, value)),
+ t AS (SELECT *, blocked::DOUBLE / greatest(1, runs) AS b, reviewed::DOUBLE / greatest(1, runs) AS v FROM j),
+ k AS (SELECT *, CASE WHEN runs < 3 OR precision < 0.5 THEN 0 WHEN precision >= 0.8 AND high_confidence >= 2 AND (savings >= 500 OR critical >= 2) AND b <= 0.8 THEN 3 WHEN precision >= 0.65 AND (reviewed >= 2 OR critical >= 1 OR savings >= 250) THEN 2 ELSE 1 END AS tier FROM t)
+ SELECT scope, value, runs, round(b, 4) AS block_rate, round(v, 4) AS review_rate, savings::DOUBLE AS savings, weekly_cost::DOUBLE AS weekly_cost, monthly_cost::DOUBLE AS monthly_cost, round(assumptions::DOUBLE / greatest(1, runs), 2) AS average_assumptions, feedback, precision, verdicts, confidences, reasons, categories, top_patterns, outcomes,
+ CASE tier WHEN 0 THEN 'TIER_0_SHADOW_ONLY' WHEN 1 THEN 'TIER_1_ADVISORY' WHEN 2 THEN 'TIER_2_REQUIRE_REVIEW' ELSE 'TIER_3_SELECTIVE_BLOCK' END AS tier,
+ concat_ws(',', CASE WHEN runs < 3 THEN 'too_few_runs' WHEN precision < 0.5 THEN 'precision_below_half' WHEN tier = 3 THEN 'precise_and_material' WHEN tier = 2 THEN 'recurring_or_costly' ELSE 'advisory_until_more_evidence' END, CASE WHEN b > 0.8 AND runs >= 3 THEN 'blocks_too_often' END, CASE WHEN v > 0.9 AND runs >= 3 THEN 'reviews_too_broad' END) AS enforcement_reasons,
+ concat_ws(',', CASE WHEN tier = 3 AND categories LIKE '%financial%' THEN 'high_confidence_financial_blowup' END, CASE WHEN tier = 3 AND (categories LIKE '%assumptions%' OR categories LIKE '%semantic%') THEN 'high_confidence_semantic_or_assumption_break' END) AS hard_block,
+ CASE tier WHEN 3 THEN 'medium_confidence_semantic,critical_assumption_without_runtime_proof' WHEN 2 THEN 'financial_blowup,semantic_break,critical_assumption,runtime_fragility' ELSE '' END AS require_review FROM k"""
+
+
+@query(_SHADOW)
 def d24_shadow_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    runs = findings(spark, sf).select("family", (F.col("severity") == "critical").alias("would_block"), (F.col("severity") == "high").alias("would_review"), F.col("monthly_cost").alias("weekly_cost"))
-    feedback = view(spark, sf, "feedback").withColumn("family", F.split_part("stable_finding_id", F.lit("-"), F.lit(2)))
-    return E.shadow_rollup(runs, feedback, "family")
+    parts = lambda c: F.split(c, r"\|")
+    runs = spark.sql(_RUNS, orders=table(spark, sf, "orders")).withColumn("risk_categories", parts("risk_categories")).withColumn("patterns", parts("patterns"))
+    out = E.shadow_rollup(runs, spark.sql(_OUTCOMES, events=table(spark, sf, "events")))
+    entries = lambda c: F.transform(F.sort_array(F.map_entries(c)), lambda x: F.struct(x["key"].alias("k"), x["value"].alias("v")))
+    flat = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["k"], x["v"].cast("string"))), ","))
+    top = F.transform("top_patterns", lambda x: F.struct(x["name"].alias("k"), x["n"].alias("v")))
+    maps = {c: flat(entries(F.col(c))) for c in ("verdicts", "confidences", "reasons", "categories", "outcomes")}
+    lists = {c: F.array_join(c, ",") for c in ("enforcement_reasons", "hard_block", "require_review")}
+    doubles = {c: F.col(c).cast("double") for c in ("savings", "weekly_cost", "monthly_cost")}
+    return out.withColumns(maps | lists | doubles | {"top_patterns": flat(top)}).select("scope", "value", "runs", "block_rate", "review_rate", *doubles, "average_assumptions", "feedback", "precision", *maps, "top_patterns", "tier", *lists)
 
 
 @query("SELECT 'week' AS kind, strftime(ts, '%G-W%V') AS period, count(*) AS runs FROM events GROUP BY 2 UNION ALL SELECT 'month', strftime(ts, '%Y-%m'), count(*) FROM events GROUP BY 2")
@@ -225,6 +257,34 @@ def d33_eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return E.eval_metrics(table(spark, sf, "labels"), "quality", "toxic")
 
 
+_RECORDS = """SELECT class, confidence, truth, guess, CASE WHEN e = 0 THEN 'ALLOW' WHEN e = 1 THEN 'ADVISORY' WHEN e = 2 THEN 'REQUIRE_REVIEW' ELSE 'BLOCK' END AS expected, CASE WHEN p = 0 THEN 'ALLOW' WHEN p = 1 THEN 'ADVISORY' WHEN p = 2 THEN 'REQUIRE_REVIEW' ELSE 'BLOCK' END AS predicted
+ FROM (SELECT *, CASE WHEN doc_id % 5 = 0 THEN e WHEN doc_id % 7 = 0 THEN (e + 2) % 4 ELSE (e + doc_id % 2) % 4 END AS p FROM (SELECT doc_id, concat('class_', CAST(doc_id % 4 AS VARCHAR(20))) AS class, CASE WHEN doc_id % 29 = 0 THEN NULL ELSE CAST(doc_id % 101 AS DOUBLE) / 100 END AS confidence, CASE WHEN toxic = 1 THEN 3 WHEN quality = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS e,
+  concat(CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END, '|', CASE WHEN quality = 0 THEN 'junk' ELSE '' END) AS truth, concat(CASE WHEN (toxic = 1) <> (doc_id % 10 = 0) THEN 'toxic' ELSE '' END, '|', CASE WHEN quality = 0 AND doc_id % 4 > 0 THEN 'junk' ELSE '' END) AS guess FROM {labels} WHERE quality IS NOT NULL AND toxic IS NOT NULL) x) y"""
+_SQL_RECORDS = _RECORDS.format(labels="labels")
+_STEP = "list_position(['ALLOW', 'ADVISORY', 'REQUIRE_REVIEW', 'BLOCK'], {c})"
+_EACH = ", ".join(f"count(*) FILTER ({side} = '{v}') AS {side}_{v.lower()}" for side in ("expected", "predicted") for v in E.VERDICTS)
+
+
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(_RECORDS, labels=table(spark, sf, "labels"))
+
+
+@query(f"WITH r AS ({_SQL_RECORDS}), g AS (SELECT class, * EXCLUDE (class) FROM r UNION ALL SELECT NULL, * EXCLUDE (class) FROM r) SELECT class, count(*) AS records, count(*) FILTER (expected = predicted)::DOUBLE / count(*) AS exact_accuracy, count(*) FILTER (abs({_STEP.format(c='expected')} - {_STEP.format(c='predicted')}) <= 1)::DOUBLE / count(*) AS near_accuracy, {_EACH}, median(coalesce(confidence, 0)) AS confidence_median FROM g GROUP BY 1")
+def d33_eval_by_class(spark: SparkSession, sf: str) -> DataFrame:
+    return E.eval_by_class(_records(spark, sf))
+
+
+@query(f"WITH r AS ({_SQL_RECORDS}) SELECT v AS expected, " + ", ".join(f"count(*) FILTER (predicted = '{v}') AS {v}" for v in E.VERDICTS) + " FROM (SELECT unnest(['ALLOW', 'ADVISORY', 'REQUIRE_REVIEW', 'BLOCK']) AS v) LEFT JOIN r ON expected = v GROUP BY 1")
+def d33_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    return E.confusion(_records(spark, sf))
+
+
+@query(f"WITH r AS ({_SQL_RECORDS}), k AS (SELECT risk, count(*) FILTER (contains(truth, risk) AND contains(guess, risk)) AS tp, count(*) FILTER (NOT contains(truth, risk) AND contains(guess, risk)) AS fp, count(*) FILTER (contains(truth, risk) AND NOT contains(guess, risk)) AS fn FROM r, (SELECT unnest(['toxic', 'junk', 'never']) AS risk) GROUP BY 1) SELECT *, CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 1 END AS precision, CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 1 END AS recall FROM k")
+def d33_risk_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    r = _records(spark, sf).withColumn("truth", F.split("truth", r"\|")).withColumn("predicted", F.split("guess", r"\|"))
+    return E.risk_metrics(r, ["toxic", "junk", "never"])
+
+
 @query(with_views("SELECT family, severity, CASE WHEN family = 'click' OR (family = 'view' AND EXISTS (SELECT 1 FROM findings)) THEN true ELSE false END AS passed FROM (SELECT 'click' AS family, 's1' AS severity UNION ALL SELECT 'no_such', 's1')", "findings"))
 def d37_scenario_report(spark: SparkSession, sf: str) -> DataFrame:
     expected = spark.createDataFrame([("s1", "click"), ("s1", "no_such")], "scenario string, family string")
@@ -305,9 +365,38 @@ def g15_severity_and_risk(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("occurrence_id", risk.alias("risk"), E.finding_severity(F.col("severity"), F.col("business_severity"), F.col("replay_ran")).alias("severity"))
 
 
-@query(with_views("""SELECT occurrence_id, round(0.4 * CASE business_severity WHEN 'CUSTOMER_FACING' THEN 0.8 WHEN 'INTERNAL_HIGH' THEN 0.6 WHEN 'INTERNAL_LOW' THEN 0.35 WHEN 'UNKNOWN' THEN 0.3 ELSE 1.0 END * greatest(fidelity_score, 0.05) * CASE WHEN replay_status = 'drift_detected' THEN 1.0 WHEN replay_ran THEN 0.6 ELSE 0.35 END, 6) AS causality FROM findings""", "findings"))
+_SENSITIVE = "CASE c_custkey % 7 WHEN 0 THEN 'revenue_critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'EXPERIMENTAL' WHEN 5 THEN NULL ELSE 'CUSTOMER_FACING' END"
+_FAMILY = "CASE occurrence_id % 6 WHEN 0 THEN 'join_cardinality' WHEN 1 THEN 'enum_domain_closure' WHEN 2 THEN 'primary_key_changed' WHEN 3 THEN 'metric_formula_changed' WHEN 4 THEN 'freshness_changed' ELSE family END"
+_KINDS = {"sure": "CASE occurrence_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' END", "has_diff": "occurrence_id % 5 = 0", "triggered": "occurrence_id % 5 = 1", "excerpt": "occurrence_id % 5 = 2", "structural": "occurrence_id % 7 < 4", "blast_count": "CASE WHEN occurrence_id % 3 = 0 THEN 2 ELSE 0 END"}
+_UPPER = "CASE upper(coalesce({c}, 'UNKNOWN')) WHEN 'HIGH' THEN 'REVENUE_CRITICAL' WHEN 'MEDIUM' THEN 'OPERATIONAL' WHEN 'LOW' THEN 'ANALYTICAL' ELSE upper(coalesce({c}, 'UNKNOWN')) END"
+_WEIGHT = "CASE WHEN {c} IN ('REVENUE_CRITICAL', 'BOARD_CRITICAL', 'EXEC_CRITICAL') THEN 1.0 WHEN {c} = 'CUSTOMER_FACING' THEN 0.8 WHEN {c} IN ('OPERATIONAL', 'INTERNAL_HIGH') THEN 0.6 WHEN {c} IN ('ANALYTICAL', 'INTERNAL_LOW') THEN 0.35 WHEN {c} = 'EXPERIMENTAL' THEN 0.1 ELSE 0.3 END"
+_CAUSAL = f"""WITH RECURSIVE walk(root, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey < 25 UNION ALL SELECT walk.root, e.target, walk.depth + 1 FROM walk JOIN edges e ON e.source = walk.node WHERE walk.depth < 8),
+ hit AS (SELECT root, depth, c_custkey % 5 = 0 AS contract, {_UPPER.format(c=_SENSITIVE)} AS label FROM walk JOIN customer ON c_custkey = node WHERE depth > 0), rated AS (SELECT *, {_WEIGHT.format(c='label')} AS w FROM hit),
+ deps AS (SELECT root, false AS structural, arg_max(label, (w, -depth, label)) AS label, arg_max(depth, (w, -depth, label)) AS distance FROM rated WHERE w >= 0.3 GROUP BY 1 UNION ALL SELECT root, true, arg_max(label, (w, -depth, label)), arg_max(depth, (w, -depth, label)) FROM rated WHERE w >= 0.3 AND contract GROUP BY 1),
+ fp AS (SELECT split_part(stable_finding_id, '-', 2) AS family, count(*) FILTER (disposition = 'false_positive')::DOUBLE / count(*) AS rate FROM feedback GROUP BY 1),
+ f AS (SELECT occurrence_id, {_FAMILY} AS family, business_severity, replay_status, split_part(source_id, '_', 2)::INT AS root, {', '.join(f'{v} AS {k}' for k, v in _KINDS.items())} FROM findings),
+ g AS (SELECT *, family IN ('join_cardinality', 'join_grain_or_fanout', 'grain_change', 'primary_key_changed') AS structural_family FROM f),
+ c AS (SELECT *, CASE WHEN structural_family AND NOT structural THEN NULL WHEN has_diff THEN CASE sure WHEN 'high' THEN 0.85 WHEN 'low' THEN 0.65 ELSE 0.75 END WHEN triggered THEN CASE sure WHEN 'high' THEN 0.7 WHEN 'low' THEN 0.5 ELSE 0.6 END WHEN excerpt THEN CASE sure WHEN 'low' THEN 0.4 ELSE 0.55 END END AS change FROM g),
+ d AS (SELECT c.*, deps.label, deps.distance AS far, CASE WHEN deps.root IS NULL THEN NULL WHEN deps.structural THEN CASE WHEN deps.distance <= 1 THEN 0.6 ELSE 0.45 END ELSE CASE WHEN deps.distance <= 1 THEN 0.8 WHEN deps.distance = 2 THEN 0.65 ELSE 0.45 END END AS dep_sure, deps.root IS NOT NULL AS dep FROM c LEFT JOIN deps ON deps.root = c.root AND deps.structural = structural_family),
+ b AS (SELECT *, blast_count > 0 AND (NOT dep OR {_WEIGHT.format(c='business_severity')} >= {_WEIGHT.format(c='label')}) AS by_blast FROM d),
+ k AS (SELECT *, by_blast OR dep AS found, CASE WHEN by_blast THEN 1 ELSE far END AS distance, CASE WHEN by_blast THEN 0.85 ELSE dep_sure END AS known FROM b),
+ p AS (SELECT *, CASE WHEN found THEN CASE distance WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 WHEN 3 THEN 0.6 ELSE 0.35 END * CASE WHEN NOT by_blast AND NOT structural_family THEN 0.9 ELSE 1.0 END ELSE 0.2 END AS propagation,
+  CASE WHEN change IS NOT NULL AND found THEN least(0.85, greatest(0.65, (change + known) / 2)) WHEN change IS NOT NULL OR found THEN least(0.45, greatest(coalesce(change, 0), coalesce(known, 0), 0.25)) ELSE 0 END AS evidence,
+  CASE replay_status WHEN 'drift_detected' THEN 1.2 ELSE 0.85 END AS replay, CASE WHEN by_blast THEN {_WEIGHT.format(c='business_severity')} WHEN found THEN {_WEIGHT.format(c='label')} ELSE 0.3 END AS sensitive,
+  CASE family WHEN 'join_cardinality' THEN 0.75 WHEN 'enum_domain_closure' THEN 0.7 WHEN 'primary_key_changed' THEN 1.0 WHEN 'metric_formula_changed' THEN 0.85 WHEN 'freshness_changed' THEN 0.3 ELSE 0.35 END AS severe FROM k),
+ s AS (SELECT p.*, least(1.0, propagation::DOUBLE * severe * sensitive * evidence * replay) * (1 - least(0.95, coalesce(rate, 0))) AS causality FROM p LEFT JOIN fp ON fp.family = p.family)
+ SELECT occurrence_id, change IS NOT NULL AND found AS two_signal, propagation::DOUBLE AS propagation, evidence::DOUBLE AS evidence, round(causality, 9) AS causality, CASE WHEN causality < 0.05 THEN 'suppressed' WHEN causality < 0.15 THEN 'informational' WHEN causality < 0.4 THEN CASE WHEN change IS NOT NULL AND found AND causality >= 0.35 THEN 'must_review' ELSE 'advisory' END WHEN causality < 0.65 THEN 'must_review' ELSE 'must_review_escalated' END AS route FROM s"""
+
+
+@query(with_views(_CAUSAL.replace("WITH RECURSIVE ", "WITH ", 1), "findings", "feedback", "edges").replace("WITH ", "WITH RECURSIVE ", 1))
 def g16_causality(spark: SparkSession, sf: str) -> DataFrame:
-    return E.causality(findings(spark, sf)).select("occurrence_id", F.round("causality", 6).alias("causality"))
+    """Sources are the first 24 nodes of the customers' tree; what they reach within eight steps depends on them."""
+    f = findings(spark, sf).selectExpr("*", *[f"{v} AS {k}" for k, v in _KINDS.items()]).withColumn("family", F.expr(_FAMILY)).withColumn("source_id", F.split_part("source_id", F.lit("_"), F.lit(2)).cast("long"))
+    f = f.withColumn("change_confidence", E.change_confidence(*[F.col(c) for c in ("family", "sure", "has_diff", "triggered", "excerpt", "structural")]))
+    nodes = table(spark, sf, "customer").selectExpr("c_custkey AS node", f"{_SENSITIVE} AS sensitivity", "c_custkey % 5 = 0 AS contract")
+    hit = G.reach(view(spark, sf, "edges"), f.select(F.col("source_id").alias("root")).distinct()).join(nodes, "node").withColumnRenamed("root", "source_id")
+    fb = view(spark, sf, "feedback").groupBy(F.split_part("stable_finding_id", F.lit("-"), F.lit(2)).alias("family")).agg((F.count_if(F.col("disposition") == "false_positive") / F.count("*")).alias("false_positive_rate"))
+    return E.causality(f, E.dependency_signals(hit), fb).select("occurrence_id", "two_signal", "propagation", "evidence", F.round("causality", 9).alias("causality"), "route")
 
 
 _BLAST = "CASE WHEN blast <= 0 THEN 0.1::DOUBLE ELSE least(1.0::DOUBLE, log10(blast + 1) / log10(51.0::DOUBLE)) END"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import Any
 
@@ -140,12 +141,12 @@ def late_stream(df: DataFrame, rid: str, ts: str, arrival: str, key: str, minute
             if newest[-1] > first:
                 self.newest.update((int(newest[-1]),))
                 self.handle.registerTimer(int(newest[-1]) // 1000 + keep)
-            yield pd.DataFrame({"key": [k[0]] * int(late.sum()), "rid": rid[late], "arrival": at[late], "lag_minutes": lag[late] / 60e6})
+            yield pd.DataFrame({"key": pd.Series([k[0]] * int(late.sum()), dtype=object), "rid": rid[late], "arrival": at[late], "lag_minutes": lag[late] / 60e6})
 
         def handleExpiredTimer(self, k: tuple, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:
             if self.newest.exists() and self.newest.get()[0] // 1000 + keep <= expired.getExpiryTimeInMs():
                 self.newest.clear()
-            yield pd.DataFrame({"key": pd.Series([], dtype=str), "rid": pd.Series([], dtype="int64"), "arrival": pd.Series([], dtype="int64"), "lag_minutes": pd.Series([], dtype="float64")})
+            yield pd.DataFrame({"key": pd.Series([], dtype=object), "rid": pd.Series([], dtype="int64"), "arrival": pd.Series([], dtype="int64"), "lag_minutes": pd.Series([], dtype="float64")})
 
         def close(self) -> None:
             pass
@@ -168,28 +169,26 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, **options: Any)
 
     class Progress(StreamingQueryListener):
         def __init__(self) -> None:
-            self.dropped, self.of, self.ended = 0, None, threading.Event()
+            self.dropped: dict[str, int] = defaultdict(int)
+            self.ended: dict[str, threading.Event] = defaultdict(threading.Event)
 
         def onQueryStarted(self, event: Any) -> None: ...
 
         def onQueryProgress(self, event: Any) -> None:
-            if event.progress.runId == self.of:
-                self.dropped += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+            self.dropped[str(event.progress.runId)] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
 
         def onQueryIdle(self, event: Any) -> None: ...
 
         def onQueryTerminated(self, event: Any) -> None:
-            if event.runId == self.of:
-                self.ended.set()
+            self.ended[str(event.runId)].set()
 
     listener = Progress()
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True)
     stream.sparkSession.streams.addListener(listener)
     try:
         query = writer.start()
-        listener.of = query.runId
         query.awaitTermination()
-        listener.ended.wait(30)
+        listener.ended[str(query.runId)].wait(30)  # events come after the query's end
     finally:
         stream.sparkSession.streams.removeListener(listener)
-    return listener.dropped
+    return listener.dropped[str(query.runId)]
