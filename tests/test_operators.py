@@ -92,3 +92,43 @@ def test_review_priority_limits(spark):
     assert got[2] == (35, "advisory", 0, [], "revenue_high_confidence_floor_35")
     assert got[3][0] == 35 and got[4] == (35, "advisory", 1, [], "customer_high_confidence_blast_floor_35")
     assert got[5] == (1, "informational", 0, [], None)
+
+
+def _vectors(spark, n, name, noise, seed):
+    import numpy as np
+
+    rng, base = np.random.default_rng(seed), np.random.default_rng(1).normal(size=(n, 32))
+    vec = base + noise * rng.normal(size=(n, 32))
+    rows = [(f"{name}{i}" if i % 4 else f"shared_token{i}_{name}", "INTEGER", True, False, (i % 10) / 10, [f"t{i % 40}"] if i % 3 == 0 else None, [float(x) for x in v] if i % 9 else None) for i, v in enumerate(vec)]
+    return spark.createDataFrame(rows, "name string, family string, nullable boolean, is_key boolean, cardinality double, refs array<string>, vec array<double>")
+
+
+def test_candidates_by_planes_find_most_matches(spark):
+    """Recall of the candidates against all pairs, among matches that are kept."""
+    src, tgt = _vectors(spark, 300, "old", 0.0, 2), _vectors(spark, 300, "new", 0.25, 3)
+    every = {r.source: r for r in matching.match_columns(src, tgt).collect()}
+    some = {r.source: r for r in matching.match_columns(src, tgt, matching.Planes()).collect()}
+    mapped = [s for s, r in every.items() if r.decision != "unmapped"]
+    assert every.keys() == some.keys() and len(mapped) > 250
+    assert sum(some[s].target == every[s].target for s in mapped) >= 0.9 * len(mapped)
+    pairs = matching.match_candidates(src, tgt, matching.Planes()).count()
+    assert pairs < 0.3 * 300 * 300
+
+
+def test_blocks_of_sources_give_the_same(spark, monkeypatch):
+    src, tgt = _vectors(spark, 60, "old", 0.0, 2), _vectors(spark, 50, "new", 0.25, 3)
+    whole = {tuple(r) for r in matching.match_columns(src, tgt).collect()}
+    monkeypatch.setattr(matching, "BLOCK", 7)
+    assert {tuple(r) for r in matching.match_columns(src, tgt).collect()} == whole
+    left = {r.name for r in matching.unmapped_targets(matching.match_columns(src, tgt), tgt).collect()}
+    assert left == {r.name for r in tgt.collect()} - {t for _, t, _, d in whole if d != "unmapped"}
+
+
+def test_identity_needs_three_anchors(spark):
+    shape = "id string, vec array<double>, refs array<string>"
+    before = spark.createDataFrame([("a", [1.0, 0.0], ["b", "c", "d"]), ("b", [0.0, 1.0], []), ("c", [1.0, 1.0], ["b"]), ("d", [0.5, 0.1], None), ("e", [1.0, 2.0], ["x"])], shape)
+    after = spark.createDataFrame([("a", [1.0, 0.0], ["d", "c", "b"]), ("b", [0.0, 1.0], []), ("c", [1.0, 1.0], ["a"]), ("d", [0.5, 0.1], None)], shape)
+    got = {r.id: (round(r.score, 6) if r.score is not None else None, r.verdict) for r in matching.identity_check(before, after).collect()}
+    assert got == {"a": (1.0, "rename"), "b": (1.0, "rename"), "c": (0.98, "rename"), "d": (1.0, "rename"), "e": (None, "block")}
+    two = {r.id: r.anchor_delta for r in matching.identity_check(before, after.where("id <> 'd'")).collect()}
+    assert set(two.values()) == {None}
