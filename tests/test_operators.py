@@ -132,3 +132,33 @@ def test_identity_needs_three_anchors(spark):
     assert got == {"a": (1.0, "rename"), "b": (1.0, "rename"), "c": (0.98, "rename"), "d": (1.0, "rename"), "e": (None, "block")}
     two = {r.id: r.anchor_delta for r in matching.identity_check(before, after.where("id <> 'd'")).collect()}
     assert set(two.values()) == {None}
+
+
+def test_positions_of_a_hot_receipt(spark):
+    """A receipt with most rows, ties, null keys; equal to a window, and dealt to many tasks evenly."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    df = spark.range(6000).select("id", F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, F.concat(F.lit("r"), F.col("id") % 7)).alias("day"), (F.col("id") * 7919 % 101).alias("score"))
+    order = [F.desc("score"), F.col("id")]
+    want = {(r.id, r.pos) for r in df.withColumn("pos", F.row_number().over(Window.partitionBy("day").orderBy(*order))).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be joined
+    try:
+        out = evidence.positions(df, "day", order)
+        assert {(r.id, r.pos) for r in out.collect()} == want
+        dealt = [r["count"] for r in df.repartitionByRange("day", *order).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert len(dealt) == 8 and max(dealt) < 2 * 6000 / 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert evidence.positions(df.limit(0), "day", order).count() == 0
+
+
+def test_global_exceptions_meet_all_findings_without_one_key(spark):
+    from pyspark.sql import functions as F
+
+    f = spark.range(500).selectExpr("id AS occurrence_id", "cast(null AS string) AS stable_id", "'fam' AS family", "'s' AS source_id", "'d' AS receipt_day")
+    ex = spark.createDataFrame([(1, "global", None, "ok", "2025-01-01"), (2, "global", "x", "ok", "2023-01-01"), (3, "global", None, "", "2025-01-01")], "exception_id long, scope string, value string, reason string, expires_on string")
+    got = evidence.match_exceptions(f, ex, F.lit("2024-02-01")).groupBy("exception_id", "status").agg(F.count("*").alias("n")).collect()
+    assert {(r.exception_id, r.status, r.n) for r in got} == {(1, "active", 500), (2, "expired", 500)}

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .graph import lookup
 
 BUSINESS_RANK = {"UNKNOWN": 0, "INTERNAL_LOW": 1, "INTERNAL_HIGH": 2, "CUSTOMER_FACING": 3, "REVENUE_CRITICAL": 4, "EXEC_CRITICAL": 5, "BOARD_CRITICAL": 6}
@@ -58,11 +59,22 @@ def match_feedback(findings: DataFrame, feedback: DataFrame, keys: list[str]) ->
     return own.join(feedback.select("feedback_id", "disposition", F.col("stable_finding_id").alias("k")), "k").select("occurrence_id", "feedback_id", "disposition").distinct()
 
 
+#: Keys over which rows that meet everything are spread.
+SALTS = 64
+
+
 def match_exceptions(findings: DataFrame, exceptions: DataFrame, now: Column) -> DataFrame:
-    """occurrence_id, exception_id, status. A finding's scopes are spread to rows, so the match is an equi-join."""
-    scopes = F.array(*[F.struct(F.lit(s).alias("scope"), v.cast("string").alias("value")) for s, v in (("global", F.lit("*")), ("stable_id", F.col("stable_id")), ("family", F.col("family")), ("source", F.col("source_id")), ("receipt", F.col("receipt_day")))])
+    """occurrence_id, exception_id, status. A finding's scopes are spread to rows, so the match is an equi-join.
+
+    Exceptions of global scope meet all findings: each is copied to SALTS keys and each finding has one of them, so that no
+    key holds all findings.
+    """
+    salt = lambda i: F.concat(F.lit("*"), i.cast("string"))
+    scopes = F.array(*[F.struct(F.lit(s).alias("scope"), v.cast("string").alias("value")) for s, v in (("global", salt(F.pmod(F.xxhash64("occurrence_id"), F.lit(SALTS)))), ("stable_id", F.col("stable_id")), ("family", F.col("family")), ("source", F.col("source_id")), ("receipt", F.col("receipt_day")))])
     own = findings.select("occurrence_id", F.inline(scopes)).where("value is not null")
-    ex = exceptions.select("exception_id", "scope", F.when(F.col("scope") == "global", "*").otherwise(F.col("value")).alias("value"), exception_status(F.col("reason"), F.col("expires_on"), now).alias("status")).where("status <> 'invalid'")
+    everywhere = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), salt)
+    value = F.explode(F.when(F.col("scope") == "global", everywhere).otherwise(F.array("value")))
+    ex = exceptions.select("exception_id", "scope", value.alias("value"), exception_status(F.col("reason"), F.col("expires_on"), now).alias("status")).where("status <> 'invalid'")
     return own.join(ex, ["scope", "value"]).select("occurrence_id", "exception_id", "status").distinct()
 
 
@@ -90,8 +102,9 @@ def with_evidence(findings: DataFrame, feedback: DataFrame, exceptions: DataFram
     """
     out = findings.join(feedback_counts(feedback).withColumnRenamed("stable_finding_id", "stable_id"), "stable_id", "left")
     per = exception_counts(exceptions, now)
-    parts = []
-    for scope, value in (("global", F.lit("*")), ("stable_id", F.col("stable_id")), ("family", F.col("family")), ("source", F.col("source_id")), ("receipt", F.col("receipt_day"))):
+    everywhere = per.where("scope = 'global'").agg(F.coalesce(F.sum("active"), F.lit(0)).alias("__a_global"), F.coalesce(F.sum("expired"), F.lit(0)).alias("__e_global"), F.lit("*").alias("__v_global"))
+    out, parts = out.crossJoin(F.broadcast(everywhere)), ["global"]  # one row, since each of them counts for all findings
+    for scope, value in (("stable_id", F.col("stable_id")), ("family", F.col("family")), ("source", F.col("source_id")), ("receipt", F.col("receipt_day"))):
         own = per.where(F.col("scope") == scope).select(F.col("value").alias(f"__v_{scope}"), F.col("active").alias(f"__a_{scope}"), F.col("expired").alias(f"__e_{scope}"))
         out = out.join(own, value.cast("string") == F.col(f"__v_{scope}"), "left")
         parts.append(scope)
@@ -378,10 +391,21 @@ def compare_receipts(left: DataFrame, right: DataFrame, key: str, metrics: list[
     return rows(left, "before").join(rows(right, "after"), [key, "metric"]).where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def positions(df: DataFrame, by: str, order: list[Column | str], name: str = "pos") -> DataFrame:
+    """df with the place of each row within its key, from 1. Rows are dealt by ranges of key and order, so that a hot key
+    lies in many tasks; each range goes on from the rows of the key's earlier ranges. A null key is a key."""
+    # written once, since the ranges are read twice and must not be dealt anew
+    rows = cut(df.repartitionByRange(by, *order).withColumn("__p", F.spark_partition_id()).withColumn("__k", F.struct(by)))
+    counts = rows.groupBy("__k", "__p").agg(F.count("*").alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(W.partitionBy("__k").orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__k", "__p", earlier.alias("__start"))
+    within = F.row_number().over(W.partitionBy("__k", "__p").orderBy(*order))
+    return rows.join(starts, ["__k", "__p"]).withColumn(name, (F.col("__start") + within).cast("int")).drop("__k", "__p", "__start")
+
+
 def positional_compare(current: DataFrame, baseline: DataFrame, by: str, order: str, tolerance: int = 3) -> DataFrame:
     """Findings of a receipt compared by position: family must be equal, risk within the tolerance."""
-    at = F.row_number().over(W.partitionBy(by).orderBy(order))
-    rows = lambda d, p: d.select(by, at.alias("pos"), F.col("family").alias(f"{p}_family"), F.col("risk_score").alias(f"{p}_risk"))
+    rows = lambda d, p: positions(d.select(by, order, "family", "risk_score"), by, [order]).select(by, "pos", F.col("family").alias(f"{p}_family"), F.col("risk_score").alias(f"{p}_risk"))
     j = rows(current, "now").join(rows(baseline, "was"), [by, "pos"], "full_outer")
     same = (F.col("now_family") == F.col("was_family")) & (F.abs(F.col("now_risk") - F.col("was_risk")) <= tolerance)
     return j.withColumn("matches", F.coalesce(same, F.lit(False)))
@@ -400,8 +424,7 @@ def rank_hypotheses(scored: DataFrame, by: str, floor: float = 0.34) -> DataFram
     first = out.where(eligible).groupBy(by).agg(F.min(F.struct(-F.col("score"), F.col("occurrence_id").alias("id")))["id"].alias("__first"))
     out = out.join(first, by, "left")
     role = F.when(F.col("__first").isNull(), "suppressed").when(F.col("occurrence_id") == F.col("__first"), "primary").when(eligible, "secondary").when(F.col("score") >= 0.12, "advisory").otherwise("suppressed")
-    r = F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "occurrence_id"))
-    return out.withColumn("role", role).withColumn("rank", r).drop("__first")
+    return positions(out.withColumn("role", role).drop("__first"), by, [F.desc("score"), "occurrence_id"], "rank")
 
 
 def recent_n(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
