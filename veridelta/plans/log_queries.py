@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import assumptions as A
 from ..operators import checks as C
 from ..operators import contracts as K
 from ..operators import matching as M
@@ -99,9 +100,69 @@ def d36_finops_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return L.finops_rollup(L.sql_lint(q).join(q.select("query_id", "engine"), "query_id"), ["engine"])
 
 
-@query(with_views("SELECT 'join_cardinality' AS family, count(*) AS n FROM history WHERE run_id % 2 = 0", "history"))
+#: A model's text for each order, in twelve forms.
+_MODELS = """SELECT o_orderkey AS query_id, o_orderkey % 24 < 12 AS keyed, CASE o_orderkey % 12
+ WHEN 0 THEN concat('select date_trunc(''month'', o.created_at) as m, sum(x) from orders o join lines l on o.id = l.order_id where o.status in (''paid'', ''v', CAST(o_custkey % 5 AS VARCHAR(20)), ''') group by 1')
+ WHEN 1 THEN 'select cast(o.updated_at as date) as d, coalesce(o.amount, 0) as a from orders o where o.kind = ''web'' and o.note is not null'
+ WHEN 2 THEN 'select * from orders where is_incremental() and date(loaded_at) > current_date - interval 3 day or region is null'
+ WHEN 3 THEN 'merge into orders using (select id, status from raw where id > 3) on id = raw.id'
+ WHEN 4 THEN concat('create or replace table t', CAST(o_custkey % 9 AS VARCHAR(20)), ' as select case when o.status = ''x'' then 1 end as f, row_number() over (partition by id order by created_at) as r from orders o')
+ WHEN 5 THEN 'config(materialized=''table'') select nvl(amount, ''unknown'') as a, case when order_type = 1 then 2 else 3 end as k from orders'
+ WHEN 6 THEN 'config(materialized=''incremental'') select convert_timezone(''utc'', event_time) as e, cast(event_time as timestamp) as u from events where event_time > 5'
+ WHEN 7 THEN 'config(materialized=''view'') select ifnull(amount, other) as a from orders join lines on orders.id = lines.order_id'
+ WHEN 8 THEN 'select timestamp_trunc(created_at, week) as w, count(*) as n from orders group by 1'
+ WHEN 9 THEN 'select distinct o.id from orders o join lines l on o.id = l.order_id join parts p on l.part_id = p.id'
+ WHEN 10 THEN 'delete from orders where amount is null and to_date(event_date) < ''2020''' ELSE NULL END AS query_text FROM {orders}"""
+_TOKENS_OF = r"""regexp_extract_all(lower(coalesce(query_text, '')), '''[^'']*''|"[^"]*"|[a-z_][a-z0-9_.]*|[0-9]+(?:\.[0-9]+)?|[^\s\w]')"""
+_REST = "list_slice(tk, i + {k}, i + {k} - 1 + coalesce(nullif(list_position(list_transform(list_slice(tk, i + {k}, len(tk)), lambda x: list_contains({stops}, x)), true), 0) - 1, len(tk)))"
+_ARGS, _BLOCK, _CLAUSE = _REST.format(k=2, stops="[')']"), _REST.format(k=1, stops="['end']"), _REST.format(k=1, stops="['join', 'where', 'group', 'order', 'limit']")
+_BARE = "trim({x}, '''\"')"
+_DOMAIN = "regexp_matches({x}, '^[a-z_]') AND regexp_extract({x}, '([a-z]+)$', 1) IN ('category', 'code', 'kind', 'state', 'status', 'type')"
+_CUT = f"(w IN ('date_trunc', 'timestamp_trunc', 'date') OR list_contains({_ARGS}, 'date'))"
+_ASSUMED = f"""WITH q AS ({_MODELS.replace('{orders}', 'orders')}), t AS (SELECT query_id, keyed, {_TOKENS_OF} AS tk FROM q),
+ z AS (SELECT *, list_has_any(tk, ['convert_timezone', 'timezone']) AS zoned, list_has_any(tk, ['avg', 'count', 'sum']) AS summed, list_has_any(tk, ['distinct', 'qualify', 'row_number']) AS dedup, coalesce(list_position(tk, 'where'), 0) AS wh FROM t),
+ y AS (SELECT *, CASE WHEN wh > 0 THEN list_slice(tk, wh + 1, wh + coalesce(nullif(list_position(list_transform(list_slice(tk, wh + 1, len(tk)), lambda x: x IN ('group', 'order', 'limit')), true), 0) - 1, len(tk))) ELSE [] END AS pred FROM z),
+ p AS (SELECT *, tk[i] AS w, coalesce(tk[i + 1], '') AS w1, coalesce(tk[i + 2], '') AS w2, coalesce(tk[i + 3], '') AS w3, coalesce(tk[i + 4], '') AS w4, coalesce(tk[i + 5], '') AS w5 FROM y, range(1, len(tk) + 1) r(i)),
+ inc AS (SELECT query_id, arg_min(w, i) AS w, any_value(list_has_any(pred, ['cast', 'date', 'to_date', 'date_trunc', 'timestamp_trunc'])) AS wrapped, any_value(list_contains(pred, 'or')) AS widened FROM p WHERE (w = 'is_incremental' AND w1 = '(') OR (w = 'merge' AND w1 = 'into') OR (w = 'materialized' AND w1 = '=' AND {_BARE.format(x='w2')} = 'incremental') GROUP BY 1),
+ found AS (SELECT query_id, 'temporal_bucket' AS family, CASE WHEN w IN ('date_trunc', 'timestamp_trunc') THEN CASE WHEN {_BARE.format(x='w2')} IN ('day', 'hour', 'month', 'week') THEN {_BARE.format(x='w2')} WHEN {_BARE.format(x='w4')} IN ('day', 'hour', 'month', 'week') THEN {_BARE.format(x='w4')} ELSE w END WHEN {_CUT} THEN 'day' ELSE w END AS detail, CASE WHEN zoned OR {_CUT} THEN 'critical' ELSE 'high' END AS severity
+   FROM p WHERE w1 = '(' AND (w IN ('date_trunc', 'timestamp_trunc') OR w IN ('cast', 'date', 'to_date') AND len(list_filter({_ARGS}, lambda x: regexp_matches(x, '^[a-z_]') AND (x LIKE '%!_at' ESCAPE '!' OR x LIKE '%!_ts' ESCAPE '!' OR contains(x, 'time') OR contains(x, 'date')))) > 0)
+  UNION ALL SELECT query_id, 'incremental_filter', CASE WHEN wrapped THEN 'partition_column_wrapped' WHEN widened THEN 'or_expansion' ELSE w END, CASE WHEN wrapped OR widened THEN 'high' ELSE 'medium' END FROM inc
+  UNION ALL SELECT query_id, 'join_cardinality', CASE WHEN dedup THEN 'dedup_hint' WHEN summed THEN 'aggregate_after_join' ELSE 'equality_join' END, CASE WHEN keyed THEN 'medium' WHEN summed THEN 'critical' ELSE 'high' END FROM p WHERE w = 'join' AND list_contains({_CLAUSE}, 'on') AND list_contains({_CLAUSE}, '=')
+  UNION ALL SELECT query_id, 'enum_domain_closure', array_to_string(list_transform(list_filter(CASE WHEN w1 = 'in' THEN {_REST.format(k=3, stops="[')']")} ELSE [w2] END, lambda x: regexp_matches(x, '^[''\"]')), lambda x: {_BARE.format(x='x')}), ','), 'medium' FROM p WHERE {_DOMAIN.format(x='w')} AND ((w1 = 'in' AND w2 = '(') OR (w1 = '=' AND regexp_matches(w2, '^[''\"]')))
+  UNION ALL SELECT query_id, 'enum_domain_closure', 'case_without_else', 'medium' FROM p WHERE w = 'case' AND len(list_filter({_BLOCK}, lambda x: {_DOMAIN.format(x='x')})) > 0 AND NOT list_contains({_BLOCK}, 'else')
+  UNION ALL SELECT query_id, 'null_default_fallback', w4, CASE WHEN w5 = ')' AND w4 IN ('0', '0.0', 'false', '''''', '\"\"', '''none''', '''unknown''') THEN 'high' ELSE 'medium' END FROM p WHERE w IN ('coalesce', 'ifnull', 'nvl') AND w1 = '(' AND w3 = ','
+  UNION ALL SELECT query_id, 'null_default_fallback', 'null_test', 'medium' FROM p WHERE w1 = 'is' AND (w2 = 'null' OR w2 = 'not' AND w3 = 'null')
+  UNION ALL SELECT query_id, 'materialization_cost', CASE WHEN w = 'materialized' THEN {_BARE.format(x='w2')} ELSE 'rebuilt' END, CASE WHEN w <> 'materialized' OR {_BARE.format(x='w2')} = 'table' THEN 'critical' ELSE 'high' END FROM p WHERE (w = 'create' AND w1 = 'or' AND w2 = 'replace' AND w3 = 'table') OR w = 'full_refresh' OR (w = 'materialized' AND w1 IN ('=', ':') AND {_BARE.format(x='w2')} IN ('table', 'view', 'incremental')))"""
+
+
+def _models(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(_MODELS, orders=table(spark, sf, "orders"))
+
+
+@query(_ASSUMED + " SELECT query_id, family, detail, severity FROM found")
 def g14_assumption_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return L.assumption_scan(queries(spark, sf)).groupBy("family").agg(F.count("*").alias("n"))
+    return A.assumption_scan(_models(spark, sf), unique="keyed")
+
+
+_FIELDS = ["status", "created_at", "updated_at", "amount", "id", "order_id", "event_time", "event_date", "order_type", "region"]
+_NEAR = "list_slice(tk, greatest(1, i - 12), i + 12)"
+_KINDS = {
+    "GRAIN_OR_DEDUP": "CASE WHEN list_contains(s, 'row_number') THEN 0.9 WHEN list_has_any(s, ['group', 'distinct', 'qualify']) THEN 0.84 END",
+    "INCREMENTAL_STATE": "CASE WHEN list_has_any(s, ['backfill', 'delete', 'incremental', 'is_incremental', 'merge']) THEN 0.86 END",
+    "TEMPORAL_COMPLETENESS": "CASE WHEN list_has_any(s, ['business_date', 'event_date', 'event_time', 'freshness', 'late', 'watermark']) THEN 0.8 END",
+    "FRESHNESS_WINDOW": "CASE WHEN list_has_any(s, ['current_date', 'current_timestamp', 'date_sub', 'dateadd', 'interval', 'now']) THEN 0.82 END",
+    "STATUS_MAPPING": "CASE WHEN list_contains(s, 'case') AND list_contains(s, 'when') THEN 0.84 END",
+    "DOMAIN_FILTER": "CASE WHEN (w1 IN ('=', '<') AND (regexp_matches(w2, '^[''\"]') OR w2 = '>')) OR (w1 = 'in' AND w2 = '(') THEN 0.88 END",
+    "NULL_HANDLING": "CASE WHEN v2 IN ('coalesce', 'ifnull', 'nvl') AND v1 = '(' THEN 0.86 WHEN w1 = 'is' AND w2 IN ('null', 'not') THEN 0.78 END",
+    "TEMPORAL_BUCKETING": "CASE WHEN list_has_any(b4, ['date_trunc', 'timestamp_trunc', 'cast', 'date', 'to_date', 'extract']) THEN 0.91 WHEN list_contains(b8, 'over') THEN 0.79 END",
+    "JOIN_CARDINALITY": "CASE WHEN list_contains(b8, 'on') AND ((w1 = '=' AND regexp_matches(w2, '^[a-z_]')) OR (v1 = '=' AND regexp_matches(v2, '^[a-z_]'))) THEN 0.9 END",
+}
+
+
+@query(_ASSUMED + f""", o AS (SELECT query_id, split_part(w, '.', -1) AS name, w1, w2, CASE WHEN i > 1 THEN tk[i - 1] ELSE '' END AS v1, CASE WHEN i > 2 THEN tk[i - 2] ELSE '' END AS v2, {_NEAR} AS s, list_slice(tk, greatest(1, i - 4), i - 1) AS b4, list_slice(tk, greatest(1, i - 8), i - 1) AS b8 FROM p WHERE split_part(w, '.', -1) IN ({', '.join(f"'{f}'" for f in _FIELDS)}))
+ SELECT query_id, name, kind, max(confidence)::DOUBLE AS confidence FROM (""" + " UNION ALL ".join(f"SELECT query_id, name, '{k}' AS kind, {c} AS confidence FROM o" for k, c in _KINDS.items()) + ") WHERE confidence IS NOT NULL GROUP BY ALL")
+def g14_field_assumptions(spark: SparkSession, sf: str) -> DataFrame:
+    return A.field_assumptions(_models(spark, sf), spark.createDataFrame([(f,) for f in _FIELDS], "name string"))
 
 
 @query(with_views("SELECT run_id AS query_id, p AS priority FROM (SELECT run_id, (CASE WHEN query_text LIKE '%mart.model_7%' THEN 18 ELSE 0 END + 10 + CASE WHEN run_id % 2 = 0 THEN 6 + 5 ELSE 0 END + 10 + CASE WHEN run_id % 150 = 0 THEN 0 WHEN run_id % 150 > 100 THEN 12 WHEN run_id % 150 > 10 THEN 8 ELSE 4 END)::DOUBLE AS p FROM history) ORDER BY p DESC, query_id LIMIT 20", "history"))
