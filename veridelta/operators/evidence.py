@@ -391,6 +391,19 @@ def compare_receipts(left: DataFrame, right: DataFrame, key: str, metrics: list[
     return rows(left, "before").join(rows(right, "after"), [key, "metric"]).where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def receipt_changes(left: DataFrame, right: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+    """Per shared receipt: both verdicts, freshness states and confidences, whether verdict and freshness changed, and the
+    metrics that differ, as names and as a map to both values. Needs verdict, freshness and confidence beside the metrics."""
+    told = ["verdict", "freshness", "confidence"]
+    side = lambda d, p: d.select(key, *[F.col(c).alias(f"{p}_{c}") for c in told], *[F.col(m).cast("double").alias(f"__{p}_{m}") for m in metrics])
+    j = side(left, "left").join(side(right, "right"), key)
+    pair = lambda m: F.struct(F.lit(m).alias("metric"), F.struct(F.col(f"__left_{m}").alias("left"), F.col(f"__right_{m}").alias("right")).alias("values"))
+    other = lambda m: ~F.col(f"__left_{m}").eqNullSafe(F.col(f"__right_{m}"))
+    deltas = F.array_compact(F.array(*[F.when(other(m), pair(m)) for m in metrics]))
+    changed = {f"{c}_changed": ~F.col(f"left_{c}").eqNullSafe(F.col(f"right_{c}")) for c in ("verdict", "freshness")}
+    return j.withColumns(changed | {"changed_fields": deltas["metric"], "deltas": F.map_from_entries(deltas)}).drop(*[f"__{p}_{m}" for p in ("left", "right") for m in metrics])
+
+
 def positions(df: DataFrame, by: str, order: list[Column | str], name: str = "pos") -> DataFrame:
     """df with the place of each row within its key, from 1. Rows are dealt by ranges of key and order, so that a hot key
     lies in many tasks; each range goes on from the rows of the key's earlier ranges. A null key is a key."""

@@ -62,6 +62,18 @@ def c19_compare_receipts(spark: SparkSession, sf: str) -> DataFrame:
     return E.compare_receipts(side(2), side(3), "receipt_day", ["n", "risk"])
 
 
+_TOLD = "SELECT receipt_day, count(*) AS n, max(risk_score) AS risk, count(*) FILTER (WHERE replay_ran) AS replayed, CASE WHEN max(risk_score) >= 100 THEN 'BLOCK' WHEN max(risk_score) >= 99 THEN 'REVIEW' ELSE 'ALLOW' END AS verdict, CASE WHEN min(occurrence_id) % 3 = 0 THEN NULL WHEN receipt_day < DATE '2024-01-10' THEN 'stale' ELSE 'fresh' END AS freshness, CAST(count(*) % 10 AS DOUBLE) / 10 AS confidence FROM findings WHERE occurrence_id % {k} = 0 GROUP BY receipt_day"
+
+
+@query(with_views(f"""WITH a AS ({_TOLD.format(k=2)}), b AS ({_TOLD.format(k=3)}) SELECT receipt_day, a.verdict AS left_verdict, b.verdict AS right_verdict, a.freshness AS left_freshness, b.freshness AS right_freshness, a.confidence AS left_confidence, b.confidence AS right_confidence, a.verdict IS DISTINCT FROM b.verdict AS verdict_changed, a.freshness IS DISTINCT FROM b.freshness AS freshness_changed,
+ concat_ws(',', CASE WHEN a.n <> b.n THEN 'n' END, CASE WHEN a.risk <> b.risk THEN 'risk' END, CASE WHEN a.replayed <> b.replayed THEN 'replayed' END) AS changed_fields, CASE WHEN a.replayed <> b.replayed THEN b.replayed - a.replayed END::DOUBLE AS replayed_more FROM a JOIN b USING (receipt_day)""", "findings"))
+def c19_receipt_changes(spark: SparkSession, sf: str) -> DataFrame:
+    side = lambda k: spark.sql(_TOLD.format(k=k).replace("FROM findings", "FROM {findings}"), findings=findings(spark, sf))
+    out = E.receipt_changes(side(2), side(3), "receipt_day", ["n", "risk", "replayed"])
+    more = F.col("deltas")["replayed"]["right"] - F.col("deltas")["replayed"]["left"]
+    return out.withColumn("replayed_more", more).withColumn("changed_fields", F.array_join("changed_fields", ",")).drop("deltas")
+
+
 _DIMS = ["family", "severity", "business_severity", "replay_status", "exception_state", "freshness", "receipt_day"]
 _STATES = "SELECT *, CASE WHEN active > 0 THEN 'active_exception' WHEN expired > 0 THEN 'expired_exception' ELSE 'none' END AS exception_state, CASE WHEN DATE '2024-02-01' - receipt_day > 30 THEN 'stale' WHEN DATE '2024-02-01' - receipt_day > 14 THEN 'review_due' ELSE 'fresh' END AS freshness FROM ev"
 

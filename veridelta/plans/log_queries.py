@@ -51,17 +51,6 @@ def g17_query_assets(spark: SparkSession, sf: str) -> DataFrame:
     return L.query_assets(history(spark, sf)).select("run_id", F.array_join("tables", ",").alias("tables"), "join_count", "is_aggregate")
 
 
-@query(with_views("SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 18 ELSE 4 END AS complexity FROM history", "history"))
-def g12_query_complexity(spark: SparkSession, sf: str) -> DataFrame:
-    return history(spark, sf).select("run_id", L.query_complexity(F.col("query_text")).alias("complexity"))
-
-
-@query(with_views("SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 0.157 ELSE 0.081 END::DOUBLE AS run_cost FROM history", "history"))
-def g11_query_cost(spark: SparkSession, sf: str) -> DataFrame:
-    q = queries(spark, sf)
-    return q.select("run_id", L.query_cost(F.col("query_text"), L.query_complexity(F.col("query_text")), F.col("calls"), F.lit(True))["run_cost"].alias("run_cost"))
-
-
 #: A text for each remainder of the run, and the signals it shows with the cost of a run.
 _TEXTS = [
     ("select * from a", {"SELECT_STAR": 21.0}),
@@ -139,6 +128,29 @@ def _models(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(_MODELS, orders=table(spark, sf, "orders"))
 
 
+_LOW = "' ' || lower(trim(regexp_replace(query_text, '\\s+', ' ', 'g'))) || ' '"
+_N = "len(regexp_extract_all(low, '{p}'))"
+_COMPLEX = f"""WITH q AS ({_MODELS.replace('{orders}', 'orders')}), l AS (SELECT query_id, {_LOW} AS low FROM q),
+ c AS (SELECT *, {_N.format(p=' join ')} * 12 + {_N.format(p=' group by ')} * 6 + {_N.format(p=' order by ')} * 4 + CASE WHEN contains(low, ' distinct ') THEN 5 ELSE 0 END + {_N.format(p=' over [(]')} * 8 + CASE WHEN contains(low, ' union ') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(low, '(sum|avg|count|min|max)[(]') THEN 4 ELSE 0 END AS complexity FROM l)"""
+_HAS = {
+    "select[ ]+[*]": 0.03, "group by|order by": 0.015, "distinct ": 0.01, "over [(]": 0.015, "full_refresh|--full-refresh|create or replace table": 0.08, "cross join": 0.09,
+}
+_COSTED = _COMPLEX + f""", r AS (SELECT *, 0.02::DOUBLE + greatest(0, complexity) * 0.004::DOUBLE + {_N.format(p=' join ')} * 0.02::DOUBLE + {' + '.join(f"CASE WHEN regexp_matches(low, '{p}') THEN {v}::DOUBLE ELSE 0 END" for p, v in _HAS.items())} + CASE WHEN contains(low, 'merge into') AND NOT contains(low, 'where') THEN 0.05::DOUBLE ELSE 0 END
+  + CASE WHEN contains(low, 'join') AND contains(low, 'distinct') THEN 0.025::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(low, 'row_number[(][)]|qualify ') AND NOT contains(low, 'partition by') THEN 0.025::DOUBLE ELSE 0 END AS run, log10(greatest(1, query_id % 1000) + 1) AS logs FROM c)"""
+
+
+@query(_COMPLEX + " SELECT query_id, complexity FROM c")
+def g12_query_complexity(spark: SparkSession, sf: str) -> DataFrame:
+    return _models(spark, sf).select("query_id", L.query_complexity(F.col("query_text")).alias("complexity"))
+
+
+@query(_COSTED + " SELECT query_id, round(run, 4) AS run_cost, round(run * CASE WHEN query_id % 2 = 0 THEN least(80, logs * 16 + 1) ELSE least(8, logs * 4 + 1) END * 7, 2) AS weekly_cost FROM r")
+def g11_query_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second text's calls are known from history."""
+    cost = L.query_cost(F.col("query_text"), L.query_complexity(F.col("query_text")), F.col("query_id") % 1000, F.col("query_id") % 2 == 0)
+    return _models(spark, sf).select("query_id", cost.alias("c")).select("query_id", "c.run_cost", "c.weekly_cost")
+
+
 @query(_ASSUMED + " SELECT query_id, family, detail, severity FROM found")
 def g14_assumption_scan(spark: SparkSession, sf: str) -> DataFrame:
     return A.assumption_scan(_models(spark, sf), unique="keyed")
