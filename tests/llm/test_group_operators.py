@@ -300,3 +300,18 @@ def test_fences_follow_the_group(spark):
     at = {r.source: r for r in q.fences(q.sketch(q.measure(df), q.Rules(spread=1)), q.Rules(spread=1)).collect()}
     assert 0 < at["calm"].mark_rate_high < at["busy"].mark_rate_high
     assert 0 < at["calm"].dup_line_rate_high <= at["busy"].dup_line_rate_high
+
+
+@pytest.mark.parametrize("part", ["<a ", "<x y='", "<!", "</script ", "<!--", "<p class=\"", "<script>", "<x '>", "<b>x</i>"])
+def test_html_of_broken_markup_is_read_in_linear_time(part):
+    """A megabyte of it takes seconds; tags without an end are text, and comments without one hide the rest."""
+    import time
+
+    from veridelta.llm import html_text
+
+    began = time.time()
+    page = html_text.Page("<p>before</p>" + part * (1_000_000 // len(part)))
+    assert time.time() - began < 20 and page.runs[0][0].strip() == "before"
+    after = html_text.Page("<p>one</p> two <!-- three <b>four</b> five")
+    assert " ".join(x[0].strip() for x in after.runs) == "one two"
+    assert " ".join(x[0].strip() for x in html_text.Page("<p>one</p> two <!-- three").runs) == "one two"

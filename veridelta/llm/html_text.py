@@ -65,13 +65,17 @@ class Page:
         root = _Element("", 0, None, False, False, False, False)
         stack: list[_Element] = [root]
         at = block = 0
-        for m in MARKUP.finditer(html):
+        # no tag ends beyond the last ">"; up to it each search ends at one, so broken markup is read in linear time
+        last = html.rfind(">") + 1
+        for m in MARKUP.finditer(html, 0, last):
             if m.start() < at:
                 continue
             self._text(html[at : m.start()], stack[-1], block)
             at = m.end()
             name = (m[2] or m[5] or "").lower()
             if not name:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = len(html)
                 continue
             closing, attrs = (m[1] if m[2] else m[4]) == "/", (m[3] if m[2] else m[6]) or ""
             if name not in INLINE:
@@ -81,7 +85,7 @@ class Page:
                 if self.open[name]:
                     self._cut(stack, next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             elif name in RAW and not attrs.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at, last)
                 at = end.end() if end else len(html)
             elif name not in VOID and name not in INLINE:
                 if name in ENDS_P:
@@ -89,7 +93,7 @@ class Page:
                 if name in CLOSES:
                     self._drop(stack, CLOSES[name])
                 self._enter(name, " ".join(x.strip("\"'").lower() for x in ATTR.findall(attrs)), stack)
-        self._text(html[at:], stack[-1], block)
+        self._text(html[at:].split("<!--", 1)[0], stack[-1], block)
         self._end_block(block)
         self._cut(stack, 1)
 
