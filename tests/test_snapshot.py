@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from veridelta.operators import profile, snapshot
@@ -39,6 +40,23 @@ def test_renamed_tables_equal_comparing_all(spark):
     assert kinds == {(t, "TABLE_RENAMED") for t in want} | {(t, "TABLE_REMOVED") for t in before.keys() - after.keys() - want.keys()} | {(t, "TABLE_ADDED") for t in after.keys() - before.keys()}
 
 
+def test_usual_columns_are_narrowed_by_further_ones(spark, monkeypatch):
+    """Every column is shared by many tables, so keys of one column are too wide; the pairs are those of brute force."""
+    monkeypatch.setattr(snapshot, "SHARED_BY", 3)
+    monkeypatch.setattr(snapshot, "NARROWED", 3)
+    rng = random.Random(8)
+    pick = lambda n: sorted(rng.sample([(f"c{i}", "int") for i in range(20)], n))
+    before = {f"old{i}": pick(rng.randrange(5, 11)) for i in range(60)}
+    after = {f"new{i}": pick(rng.randrange(3, 13)) for i in range(150)} | {f"copy{i}": before[f"old{i}"] for i in range(0, 60, 7)}
+    want = {}
+    for t, cols in before.items():
+        fit = [(-len(set(cols) & set(c)), name) for name, c in after.items() if 100 * len(set(cols) & set(c)) >= 80 * len(cols)]
+        if fit:
+            want[t] = min(fit)[1]
+    got = {r.table_name: r.new_name for r in snapshot.table_renames(catalog(spark, before), catalog(spark, after)).collect()}
+    assert got == want and 20 < len(want) < 60, len(want)
+
+
 def test_small_and_empty_catalogs(spark):
     two = catalog(spark, {"a": [("x", "int"), ("y", "int")]})
     assert snapshot.table_renames(two, catalog(spark, {"b": [("x", "int"), ("y", "int")]})).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from .checks import crosses_time_zone, numeric_precision, varchar_length
 from .graph import lookup
 
@@ -63,26 +64,53 @@ def fingerprint_diff(before: DataFrame, after: DataFrame, fp: str = "structure_f
     return j.where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+#: A set of columns that more tables of `after` share is narrowed by a further column, up to so many columns.
+SHARED_BY, NARROWED = 100, 4
+
+
 def table_renames(before: DataFrame, after: DataFrame, least: int = 3, percent: int = 80) -> DataFrame:
     """table_name, new_name of tables that are gone and of whose columns (`least` at least) a table of `after` has `percent` or more.
 
-    Columns are the same if name, type and nullability are. The two sides are joined on columns through an inverted index:
-    of a table with n columns a similar one must have one of any n - ceil(n * percent / 100) + 1, so only its rarest ones
-    are looked up and usual columns such as ids don't bring all tables together. Of several the one with most
-    columns in common counts, then the first by name.
+    Columns are the same if name, type and nullability are. Tables with the same columns are one row on either side. A
+    similar table lacks at most d of an old one's n columns, so it has one of the old one's d + 1 rarest, two of its d + 2
+    rarest, and so on. Rows meet by one column; where more than SHARED_BY rows of `after` have it, by two that both
+    have, then by three, up to NARROWED or to the number that must be shared, so that usual columns don't bring all
+    tables together. Of several the one with most columns in common counts, then the first by name.
     """
-    columns = lambda df: fingerprints(df).select("table_name", F.col("structure_fp").alias("fp")).distinct()
+    columns = lambda df: fingerprints(df).select("table_name", F.xxhash64("structure_fp").alias("fp")).distinct()
     gone = before.select("table_name").distinct().join(after.select("table_name").distinct(), "table_name", "left_anti")
-    old = columns(before).join(gone, "table_name").withColumnRenamed("table_name", "old")
-    new = columns(after).withColumnRenamed("table_name", "new")
-    ranked = old.join(new.groupBy("fp").agg(F.count("*").alias("usual")), "fp", "left")
-    per = ranked.groupBy("old").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(F.coalesce("usual", F.lit(0)).alias("usual"), "fp"))).alias("fps")).where(F.col("n") >= least)
-    must = F.ceil(F.col("n") * percent / 100).cast("int")
-    rare = per.select("old", "n", F.explode(F.slice("fps", 1, F.col("n").cast("int") - must + 1)["fp"]).alias("fp"))
-    pairs = rare.join(new, "fp").select("old", "n", "new").distinct()
-    shared = pairs.join(old, "old").join(new, ["new", "fp"]).groupBy("old", "new", "n").agg(F.count("*").alias("shared"))
-    best = shared.where(100 * F.col("shared") >= percent * F.col("n")).groupBy("old").agg(F.min(F.struct((-F.col("shared")).alias("s"), "new"))["new"].alias("new_name"))
-    return best.select(F.col("old").alias("table_name"), "new_name")
+    sets = lambda df: df.groupBy("table_name").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    names = cut(sets(columns(before).join(gone, "table_name")).where(F.size("fps") >= least))
+    same = cut(sets(columns(after)).groupBy("fps").agg(F.min("table_name").alias("new")))
+    usual = same.select(F.explode("fps").alias("fp")).groupBy("fp").agg(F.count("*").alias("usual"))
+
+    def ranked(df: DataFrame, *keep: str) -> DataFrame:
+        """The columns of each row, rarest first, as pairs of how usual they are and what they are."""
+        each = df.select("fps", *keep, F.explode("fps").alias("fp")).join(usual, "fp", "left")
+        return each.groupBy("fps", *keep).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("usual", F.lit(0)).alias("usual"), "fp"))).alias("at"))
+
+    must = F.ceil(F.size("at") * percent / 100).cast("int")
+    start = F.lit(0).cast("long").alias("key"), F.lit(0).alias("pos")
+    old = ranked(names.select("fps").distinct()).select(F.col("fps").alias("old"), F.col("at")["fp"].alias("at"), must.alias("must"), *start)
+    new = ranked(same, "new").select("fps", "new", F.col("at")["fp"].alias("at"), *start)
+    found = None
+    for width in range(1, NARROWED + 1):
+        # keys of one more column, each after those before it in the common order
+        longer = lambda df, last: df.withColumn("next", F.explode(F.when(F.col("pos") < last, F.sequence(F.col("pos") + 1, last)))).withColumn("key", F.xxhash64("key", F.element_at("at", F.col("next")))).withColumn("pos", F.col("next")).drop("next")
+        old = cut(longer(old, F.least(F.size("at"), F.size("at") - F.col("must") + width)))
+        new = cut(longer(new, F.size("at")).join(old.select("key").distinct(), "key", "left_semi"))
+        heavy = new.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SHARED_BY).select("key", F.lit(True).alias("heavy"))
+        marked = cut(old.join(heavy, "key", "left").withColumn("heavy", F.col("heavy").isNotNull() & (F.col("must") > width) & (width < NARROWED)))
+        pairs = marked.where("not heavy").select("key", "old", "must").join(new.select("key", "fps", "new"), "key")
+        shared = F.size(F.array_intersect("old", "fps"))
+        best = cut(pairs.withColumn("shared", shared).where("shared >= must").groupBy("old").agg(F.min(F.struct((-F.col("shared")).alias("s"), "new")).alias("b")))
+        found = best if found is None else found.union(best)
+        old = marked.where("heavy").drop("heavy")
+        if old.isEmpty():
+            break
+        new = new.join(old.select("key").distinct(), "key", "left_semi")
+    best = found.groupBy("old").agg(F.min("b")["new"].alias("new_name"))
+    return names.join(best.withColumnRenamed("old", "fps"), "fps").select("table_name", "new_name")
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, stats_step: float = 0.15, rename_step: float = 0.05) -> DataFrame:
