@@ -155,20 +155,18 @@ def snapshot_diff(before: DataFrame, after: DataFrame, stats_step: float = 0.15,
     return out
 
 
+def renamed(c: Column, names: dict) -> Column:
+    """Another name where there is one. A map is looked up once, where a chain of cases would compute c for each of them."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[c], c)
+
+
 def normal_type(c: Column) -> Column:
     """The bare type name in upper case, common aliases resolved."""
-    bare = F.upper(F.trim(F.regexp_replace(c, r"\(.*$", "")))
-    out = bare
-    for k, v in ALIASES.items():
-        out = F.when(bare == k, F.lit(v)).otherwise(out)
-    return out
+    return renamed(F.upper(F.trim(F.regexp_replace(c, r"\(.*$", ""))), ALIASES)
 
 
 def type_group(c: Column) -> Column:
-    out = c
-    for k, v in GROUPS.items():
-        out = F.when(c == k, F.lit(v)).otherwise(out)
-    return out
+    return renamed(c, GROUPS)
 
 
 def is_shorter(before: Column, after: Column) -> Column:
@@ -235,16 +233,16 @@ def backfill_cost(events: DataFrame, blast: str = "blast_count") -> DataFrame:
     return events.withColumn("backfill_cost", (15 + 12.5 * F.col(blast)) * factor * (1 + F.least(F.lit(0.5), more)))
 
 
-def gate_verdict(assessments: DataFrame, by: str = "change_set") -> DataFrame:
-    """BLOCK if any class blocks, NEEDS_REVIEW if any needs review, else SAFE; per change set."""
+def gate_verdict(assessments: DataFrame, by: str = "change_set", *more: Column) -> DataFrame:
+    """BLOCK if any class blocks, NEEDS_REVIEW if any needs review, else SAFE; per change set, with more aggregates if given."""
     rank = F.when(F.col("compatibility").isin(BLOCKING), 2).when(F.col("compatibility").isin(REVIEW), 1).otherwise(0)
-    out = assessments.groupBy(by).agg(F.max(rank).alias("r"), F.count_if(rank == 2).alias("blocking"), F.count_if(rank == 1).alias("review"))
-    return out.select(by, F.when(F.col("r") == 2, "BLOCK").when(F.col("r") == 1, "NEEDS_REVIEW").otherwise("SAFE").alias("verdict"), "blocking", "review")
+    out = assessments.withColumn("__r", rank).groupBy(by).agg(F.max("__r").alias("__r"), F.count_if(F.col("__r") == 2).alias("blocking"), F.count_if(F.col("__r") == 1).alias("review"), *more)
+    return out.withColumn("verdict", F.when(F.col("__r") == 2, "BLOCK").when(F.col("__r") == 1, "NEEDS_REVIEW").otherwise("SAFE")).select(by, "verdict", *[c for c in out.columns if c not in (by, "__r")])
 
 
 def reliability_score(assessments: DataFrame, by: str = "change_set", blast: str = "blast_count", cost: str = "backfill_cost") -> DataFrame:
-    """0 to 100 per change set, with the on-call risk."""
-    v = gate_verdict(assessments, by).join(assessments.groupBy(by).agg(F.sum(blast).alias("blast"), F.sum(F.col(cost).cast("decimal(18,2)")).cast("double").alias("cost")), by)
+    """0 to 100 per change set, with the on-call risk. The classes are computed once, for one aggregate."""
+    v = gate_verdict(assessments, by, F.sum(blast).alias("blast"), F.sum(F.col(cost).cast("decimal(18,2)")).cast("double").alias("cost"))
     score = 100 - 28 * F.col("blocking") - 10 * F.col("review") - F.least(F.lit(20.0), 2.5 * F.col("blast")) - F.least(F.lit(18.0), F.col("cost") / 35) - F.when(F.col("verdict") == "BLOCK", 8).when(F.col("verdict") == "NEEDS_REVIEW", 4).otherwise(0)
     s = F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))
     return v.withColumn("score", s).withColumn("oncall_risk", F.when((F.col("blocking") > 0) | (s < 45), "high").when((F.col("review") > 0) | (s < 75), "medium").otherwise("low"))
