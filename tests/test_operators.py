@@ -1,5 +1,8 @@
 """Cases that the queries over the given tables don't reach."""
 
+import math
+import random
+
 from veridelta.operators import compare, evidence, matching, perturb, workload
 from veridelta.streaming import jobs
 
@@ -162,3 +165,27 @@ def test_global_exceptions_meet_all_findings_without_one_key(spark):
     ex = spark.createDataFrame([(1, "global", None, "ok", "2025-01-01"), (2, "global", "x", "ok", "2023-01-01"), (3, "global", None, "", "2025-01-01")], "exception_id long, scope string, value string, reason string, expires_on string")
     got = evidence.match_exceptions(f, ex, F.lit("2024-02-01")).groupBy("exception_id", "status").agg(F.count("*").alias("n")).collect()
     assert {(r.exception_id, r.status, r.n) for r in got} == {(1, "active", 500), (2, "expired", 500)}
+
+
+def test_softmax_over_blocks_and_odd_vectors(spark, monkeypatch):
+    """Null, zero, short and null-filled vectors, in several blocks and tiles; no pair is shuffled."""
+    monkeypatch.setattr(matching, "BLOCK", 4)
+    monkeypatch.setattr(matching, "TILE", 7)
+    rng = random.Random(2)
+    vecs = {i: [rng.uniform(-1, 1) for _ in range(3)] for i in range(30)} | {30: None, 31: [0.0, 0.0, 0.0], 32: [1.0, 2.0], 33: [1.0, None, 2.0], 34: []}
+    df = spark.createDataFrame(list(vecs.items()), "id int, vec array<double>").repartition(3)
+
+    def cosine(a, b):
+        norm = [math.sqrt(sum(x * x for x in v)) if v is not None and None not in v else 0 for v in (a, b)]
+        return 0.0 if not norm[0] * norm[1] else None if len(a) != len(b) else sum(x * y for x, y in zip(a, b)) / norm[0] / norm[1]
+
+    out = matching.embedding_softmax(df.where("id % 3 = 0"), df)
+    got = {(r.src_id, r.tgt_id): (r.cosine, r.share) for r in out.collect()}
+    assert len(got) == 12 * 35
+    for i in range(0, 35, 3):
+        want = {j: cosine(vecs[i], v) for j, v in vecs.items()}
+        total = sum(math.exp(c) for c in want.values() if c is not None)
+        for j, c in want.items():
+            assert (got[i, j] == (None, None)) if c is None else (abs(got[i, j][0] - c) < 1e-12 and abs(got[i, j][1] - math.exp(c) / total) < 1e-12)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
