@@ -38,3 +38,14 @@ def test_fields_by_what_stands_near(spark):
         (0, "status"): {"GRAIN_OR_DEDUP": 0.84}, (2, "status"): {"NULL_HANDLING": 0.86}, (3, "status"): {"NULL_HANDLING": 0.78}, (4, "id"): {"JOIN_CARDINALITY": 0.9}, (5, "id"): {"TEMPORAL_BUCKETING": 0.91},
         (6, "id"): {"GRAIN_OR_DEDUP": 0.9, "TEMPORAL_BUCKETING": 0.79}, (7, "status"): {"STATUS_MAPPING": 0.84}, (7, "id"): {"STATUS_MAPPING": 0.84, "DOMAIN_FILTER": 0.88}, (8, "id"): {"INCREMENTAL_STATE": 0.86, "FRESHNESS_WINDOW": 0.82}, (10, "id"): {"TEMPORAL_COMPLETENESS": 0.8},
     }
+
+
+def test_a_text_of_many_rows_is_looked_at_once(spark):
+    """Texts are made distinct before they are cut into tokens, and each row still gets its hits."""
+    rows = [(i, "select a from t where status = 'x'") for i in range(50)] + [(7, "select coalesce(status, 0) from t"), (99, None), (100, "")]
+    names = spark.createDataFrame([("status",)], "name string")
+    out = A.field_assumptions(spark.createDataFrame(rows, "query_id int, query_text string"), names)
+    got = sorted((r.query_id, r.kind) for r in out.collect())
+    assert got == sorted([(i, "DOMAIN_FILTER") for i in range(50)] + [(7, "NULL_HANDLING")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [__text" in plan[plan.index("Generate posexplode") :]

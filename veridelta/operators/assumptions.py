@@ -124,9 +124,10 @@ def field_assumptions(df: DataFrame, names: DataFrame, text: str = "query_text",
     """key, name, kind, confidence: what a text assumes about each of the given fields (name), by what stands near them.
 
     Names are found by an equi-join with the tokens' last parts, so that texts and names never meet otherwise; near are so many
-    tokens on both sides. Of several confidences of a kind the highest counts.
+    tokens on both sides. Of several confidences of a kind the highest counts. A text that stands in many rows is looked at once.
     """
-    places_ = df.select(key, tokens(F.col(text)).alias("t")).select(key, "t", F.posexplode("t").alias("i", "token"))
+    each = df.select(key, F.coalesce(text, F.lit("")).alias("__text"))
+    places_ = each.select("__text").distinct().select("__text", tokens(F.col("__text")).alias("t")).select("__text", "t", F.posexplode("t").alias("i", "token"))
     at = places_.withColumn("name", F.element_at(F.split("token", r"\."), -1)).join(names.select(F.lower("name").alias("name")).distinct(), "name")
     t, i = F.col("t"), F.col("i")
     w = lambda k: F.coalesce(F.get(t, i + k), F.lit(""))
@@ -146,4 +147,5 @@ def field_assumptions(df: DataFrame, names: DataFrame, text: str = "query_text",
         "JOIN_CARDINALITY": F.when(any_of(before(8), ("on",)) & ((w(1) == "=") & w(2).rlike("^[a-z_]") | (w(-1) == "=") & w(-2).rlike("^[a-z_]")), 0.9),
     }
     every = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("confidence")) for k, c in kinds.items()])
-    return at.select(key, "name", F.inline(every)).where("confidence is not null").groupBy(key, "name", "kind").agg(F.max("confidence").alias("confidence"))
+    found = at.select("__text", "name", F.inline(every)).where("confidence is not null").groupBy("__text", "name", "kind").agg(F.max("confidence").alias("confidence"))
+    return each.join(found, "__text").groupBy(key, "name", "kind").agg(F.max("confidence").alias("confidence"))
