@@ -189,3 +189,41 @@ def test_softmax_over_blocks_and_odd_vectors(spark, monkeypatch):
             assert (got[i, j] == (None, None)) if c is None else (abs(got[i, j][0] - c) < 1e-12 and abs(got[i, j][1] - math.exp(c) / total) < 1e-12)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def _catalog(rng, n, letters):
+    """Odd columns: nulls, repeated and null references, vectors of other lengths, with nulls, or zero, names of several scripts."""
+    def vec():
+        v = [rng.uniform(-1, 1) for _ in range(rng.choice([4, 4, 4, 3]))]
+        return rng.choice([v, v, v, None, [0.0] * 4, [1.0, None, 0.0, 1.0]])
+
+    names = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(n)}
+    refs = lambda: rng.choice([None, [], [rng.choice("uvw") for _ in range(rng.randint(1, 4))], ["u", None]])
+    return [(x, rng.choice(["A", "B", None]), rng.choice([True, False, None]), rng.choice([True, False]), rng.choice([0.0, 0.5, 1.0, None]), refs(), vec()) for x in sorted(names)]
+
+
+def test_best_matches_are_those_of_all_pairs(spark, monkeypatch):
+    """Against the confidence of every pair by SQL functions, over several groups; pairs aren't shuffled."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    shape = "name string, family string, nullable boolean, is_key boolean, cardinality double, refs array<string>, vec array<double>"
+    src, tgt = (spark.createDataFrame(_catalog(rng, n, "aB_-é𝔘1 x"), shape) for n in (60, 90))
+    monkeypatch.setattr(matching, "SOURCES", 25)
+    monkeypatch.setattr(matching, "TARGETS", 40)
+    monkeypatch.setattr(matching, "TILE", 300)
+    x, y = F.col("s"), F.col("t")
+    names = 0.5 * matching.rename_similarity(x["name"], y["name"]) + 0.5 * matching.edit_ratio(x["name"], y["name"])
+    refs = [F.array_distinct(F.coalesce(c["refs"], F.array().cast("array<string>"))) for c in (x, y)]
+    near = F.when((F.size(refs[0]) == 0) & (F.size(refs[1]) == 0), 0.5).otherwise(matching.jaccard(*refs))
+    vector = F.when(x["vec"].isNull() | y["vec"].isNull(), 0.5).otherwise(matching.cosine(x["vec"], y["vec"]))
+    weights = matching.WEIGHTS
+    confidence = weights["name"] * names + weights["structure"] * matching.structural_score("s", "t") + weights["neighbourhood"] * near + weights["vector"] * vector
+    pairs = src.select(F.struct("*").alias("s")).crossJoin(tgt.select(F.struct("*").alias("t"))).select(F.col("s.name").alias("source"), F.col("t.name").alias("target"), confidence.alias("c"))
+    best = lambda p: {r.source: (r.b.target, None if r.b.c is None else round(r.b.c, 9)) for r in p.groupBy("source").agg(F.min_by(F.struct("target", "c"), F.struct(F.col("c").isNull(), -F.round("c", 9), "target")).alias("b")).collect()}
+    got = lambda df: {r.source: (r.target, None if r.confidence is None else round(r.confidence, 9)) for r in df.where("target is not null").collect()}
+    assert got(matching.match_columns(src, tgt)) == best(pairs)
+    some = {k: v for k, v in best(pairs.join(matching.match_candidates(src, tgt, matching.Planes()), ["source", "target"])).items() if v[1] is not None}
+    assert {k: v for k, v in got(matching.match_columns(src, tgt, matching.Planes())).items() if v[1] is not None} == some
+    plan = matching.match_columns(src, tgt)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "FlatMapCoGroupsInArrow" in plan
