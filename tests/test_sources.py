@@ -131,3 +131,24 @@ def test_decay_known_answer(spark):
     now = F.lit("2024-01-05").cast("date")
     r = evidence.decay(evidence.with_evidence(f, fb, ex, now), now).first()
     assert (r.state, r.feedback) == ("decaying_high_confidence", 2)
+
+
+def test_artifacts_of_lines_are_those_of_files(spark, tmp_path):
+    """Two artifacts as lines of a file, beside each as a file."""
+    texts = [json.dumps({"nodes": {k: {"name": k, "depends_on": {"nodes": ["x"]}}}, "results": [{"unique_id": k, "status": "pass"}], "topics": {k: {"compatibility": "full"}}, "dags": [{"dag_id": k, "tasks": [{"task_id": "b", "upstream": ["a"]}]}]}) for k in ("m\n1", "m2")]
+    (tmp_path / "files").mkdir()
+    for i, x in enumerate(texts):
+        (tmp_path / "files" / f"{i}.json").write_text(x)
+    (tmp_path / "lines.json").write_text("\n".join(texts) + "\n")
+    reads = [lambda *a: readers.read_dbt_manifest(*a)[1], readers.read_dbt_run_results, readers.read_source_freshness, lambda s, p, lines: readers.read_orchestration(s, p, "airflow", lines), lambda *a: readers.read_topics(*a)[0], lambda s, p, lines: readers.read_registry(s, p, "struct<name:string>", lines)]
+    for read in reads:
+        files, lines = (sorted(map(tuple, read(spark, str(tmp_path / at), many).collect())) for at, many in (("files", False), ("lines.json", True)))
+        assert files == lines and len(files) == 2
+
+
+def test_written_artifacts_take_few_files(spark, tmp_path):
+    """Their number follows the partitions, not the rows."""
+    from veridelta.plans import file_queries
+
+    file_queries._files(spark.range(500).selectExpr("CAST(id AS STRING) AS value", "id AS part").coalesce(2), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").rglob("*.txt"))) <= 2

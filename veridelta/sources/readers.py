@@ -159,26 +159,31 @@ def read_openlineage(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return edges, fields.select(F.concat_ws(".", "x.name", "x.field").alias("source"), F.concat_ws(".", "t", "f").alias("target")).distinct()
 
 
-def read_dbt_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def _texts(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """value: an artifact a file, or, with `lines`, an artifact a line, so that many lie in few files that can be split."""
+    return spark.read.text(path, wholetext=not lines)
+
+
+def read_dbt_manifest(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, name, kind, materialized, path, text) and edges (source, target) of a manifest."""
-    text = spark.read.text(path, wholetext=True)
+    text = _texts(spark, path, lines)
     node = "struct<name:string,resource_type:string,original_file_path:string,raw_code:string,compiled_code:string,config:struct<materialized:string>,depends_on:struct<nodes:array<string>>>"
     n = text.select(F.explode(F.from_json(F.get_json_object("value", "$.nodes"), f"map<string,{node}>")).alias("node", "v"))
     nodes = n.select("node", F.col("v.name").alias("name"), F.col("v.resource_type").alias("kind"), F.col("v.config.materialized").alias("materialized"), F.col("v.original_file_path").alias("path"), F.coalesce("v.compiled_code", "v.raw_code").alias("text"))
     return nodes, n.select(F.explode("v.depends_on.nodes").alias("source"), F.col("node").alias("target")).distinct()
 
 
-def read_dbt_run_results(spark: SparkSession, path: str) -> DataFrame:
+def read_dbt_run_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """node, status, seconds, failing of executed nodes: failing are those with failures, or without a status of success."""
-    text = spark.read.text(path, wholetext=True)
+    text = _texts(spark, path, lines)
     rows = text.select(F.inline(F.from_json(F.get_json_object("value", "$.results"), "array<struct<unique_id:string,status:string,execution_time:double,failures:bigint>>"))).where("unique_id <> ''")
     bad = ~F.coalesce(F.lower("status").isin("success", "pass", "ok"), F.lit(False)) | (F.coalesce("failures", F.lit(0)) > 0)
     return rows.select(F.col("unique_id").alias("node"), "status", F.col("execution_time").alias("seconds"), bad.alias("failing"))
 
 
-def read_source_freshness(spark: SparkSession, path: str) -> DataFrame:
+def read_source_freshness(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """node and freshness of sources, the last entry of a node; unknown where it has none."""
-    text = spark.read.text(path, wholetext=True)
+    text = _texts(spark, path, lines)
     rows = text.select(F.posexplode(F.from_json(F.get_json_object("value", "$.results"), "array<struct<unique_id:string,node:string,status:string,freshness:string>>")).alias("at", "r"))
     named = rows.select("at", F.coalesce("r.unique_id", "r.node").alias("node"), F.coalesce("r.status", "r.freshness", F.lit("unknown")).alias("freshness"))
     return named.where("node <> ''").groupBy("node").agg(F.max_by("freshness", "at").alias("freshness"))
@@ -192,13 +197,13 @@ def hot_nodes(nodes: DataFrame, results: DataFrame) -> DataFrame:
     return j.withColumn("hot", F.when(F.col("any"), F.coalesce("failing", F.lit(False))).otherwise(F.col("failing").isNotNull())).drop("failing", "any")
 
 
-def read_orchestration(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def read_orchestration(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
     """Edges (source, target) between tasks for kind airflow; else asset, kind, status, severity, failing.
 
     Tasks are named by their DAG and id, by the id alone where a file holds one DAG without a name. Failing are checks
     that did not pass, or warn. Looker files are text: the tables and fields they name are their assets.
     """
-    text = spark.read.text(path, wholetext=True)
+    text = _texts(spark, path, lines)
 
     def listed(kind: str, *keys: str) -> Column:
         """The first list there is: the file itself, or one under a key."""
@@ -233,7 +238,7 @@ def read_orchestration(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return rows.where("asset <> ''").select("asset", F.lit(kind).alias("kind"), "status", "severity", "failing")
 
 
-def read_topics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_topics(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Topics and fields of a contract file; see contracts.topic_diff for the columns.
 
     Topics are a map by name or a list with names, under topics or streams; so are the fields of a topic. Lists of types
@@ -242,7 +247,7 @@ def read_topics(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     field = "struct<name:string,type:string,required:boolean,symbols:array<string>>"
     config, semantics = "struct<partition_key:string,retention_ms:bigint,idempotent:boolean>", "struct<event_time_field:string,lateness_tolerance_minutes:int>"
     topic = f"struct<name:string,topic:string,schema:struct<fields:string>,value_schema:struct<fields:string>,config:{config},topic_config:{config},semantics:{semantics},stream_semantics:{semantics},compatibility:string>"
-    raw = spark.read.text(path, wholetext=True).select(F.coalesce(F.get_json_object("value", "$.topics"), F.get_json_object("value", "$.streams")).alias("j"))
+    raw = _texts(spark, path, lines).select(F.coalesce(F.get_json_object("value", "$.topics"), F.get_json_object("value", "$.streams")).alias("j"))
     is_list = F.startswith(F.ltrim("j"), F.lit("["))
     named = raw.where(~is_list).select(F.explode(F.from_json("j", f"map<string,{topic}>")).alias("topic", "v"))
     listed = raw.where(is_list).select(F.posexplode(F.from_json("j", f"array<{topic}>")).alias("at", "v")).select(F.coalesce("v.name", "v.topic", F.concat(F.lit("topic_"), "at")).alias("topic"), "v")
@@ -264,10 +269,10 @@ def read_consumers(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.coalesce("consumer", "name").alias("consumer"), F.coalesce("topic", "source_topic").alias("topic"), "required_fields", "field_types", "partition_key", F.col("event_time_field").alias("event_time")).where("topic is not null")
 
 
-def read_registry(spark: SparkSession, path: str, value: T.StructType | str) -> DataFrame:
+def read_registry(spark: SparkSession, path: str, value: T.StructType | str, lines: bool = False) -> DataFrame:
     """key and its values, from an object by name, alone or under nodes or models."""
     kind = f"map<string,{value if isinstance(value, str) else value.simpleString()}>"
-    text = spark.read.text(path, wholetext=True)
+    text = _texts(spark, path, lines)
     m = F.coalesce(*[F.from_json(F.get_json_object("value", k), kind) for k in ("$.nodes", "$.models", "$")])
     return text.select(F.explode(m).alias("key", "v")).select("key", "v.*")
 
