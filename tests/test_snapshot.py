@@ -123,3 +123,17 @@ def test_chains_of_keys(spark):
 def test_score_is_capped_by_kind(spark):
     f = spark.createDataFrame([("wide_table", str(i), "") for i in range(9)] + [("deep_fk_chain", "a", "3"), ("isolated_table", "b", "")], "finding string, table_name string, detail string")
     assert profile.audit_score(f, 4).first().score == 30 + 5 + 2 and profile.audit_score(f.limit(0), 0).first().score == 0
+
+
+def test_chains_write_each_table_once(spark, monkeypatch):
+    """Rows written between rounds follow the keys, not keys times rounds; so with shuffled frontiers and joined parts."""
+    written, cut = [], profile.cut
+    monkeypatch.setattr(profile, "cut", lambda df: (written.append(df.count()), cut(df))[1])
+    fks = spark.createDataFrame([(f"t{i}", f"t{i - 1}") for i in range(1, 8)] + [("t7", "t2"), ("x", "x"), ("y", "x"), ("y", "t1")], "child string, parent string")
+    want = {f"t{i}": (i, False) for i in range(8)} | {"x": (None, True), "y": (None, True)}
+    for frontier, parts, most in ((10, 32, 55), (0, 3, 100)):
+        monkeypatch.setattr(profile, "FRONTIER", frontier)
+        monkeypatch.setattr(profile, "PARTS", parts)
+        written.clear()
+        assert {r.table_name: (r.depth, r.cyclic) for r in profile.key_chains(fks).collect()} == want
+        assert sum(written) < most

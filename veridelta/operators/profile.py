@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,47 +99,56 @@ def check_contracts(df: DataFrame, not_null: list[str], unique: list[str]) -> Da
     return nulls
 
 
+#: A frontier of so many tables is broadcast; so many rounds are kept as parts before they become one.
+FRONTIER, PARTS = 50_000, 32
+
+
 def key_chains(fks: DataFrame) -> DataFrame:
     """table_name, depth, cyclic of each table in fks (child, parent): the longest chain of foreign keys from it.
 
-    Tables without keys have depth 0. A round settles the tables all of whose parents are settled: each keeps how many of
-    its parents are open, and only those settled last are joined with the keys, so there is one row a table and as
-    many rounds as the longest chain has keys. Tables that are never settled lie on a cycle or lead into one: cyclic,
-    without depth. Repeated keys count once.
+    Tables without keys have depth 0. A round settles the tables all of whose parents are settled: keys of those settled
+    last are counted for their children, and a key carries how many its child has. Between rounds only tables are kept
+    of which some parents are settled, and each settled one is written once; there are as many rounds as the longest
+    chain has keys. Tables that are never settled lie on a cycle or lead into one: cyclic, without depth. Repeated keys
+    count once.
     """
-    e = cut(fks.select("child", "parent").where("child is not null and parent is not null").distinct())
-    open_ = e.groupBy("child").agg(F.count("*").alias("open"))
-    all_ = e.select("child").union(e.select("parent")).distinct().join(open_, "child", "left")
-    state = cut(all_.select(F.col("child").alias("table_name"), F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("depth"), F.lit(True).alias("last")))
-    while True:
-        settled = state.where("last and open = 0").select(F.col("table_name").alias("parent"), F.col("depth").alias("d"))
-        news = e.join(settled, "parent").groupBy(F.col("child").alias("table_name")).agg(F.count("*").alias("n"), F.max("d").alias("d"))
-        if news.isEmpty():
-            break
-        left = F.col("open") - F.coalesce("n", F.lit(0))
-        state = cut(state.join(news, "table_name", "left").select("table_name", left.alias("open"), F.greatest("depth", F.col("d") + 1).alias("depth"), ((F.col("open") > 0) & (left == 0)).alias("last")))
-    cyclic = F.col("open") > 0
-    return state.select("table_name", F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"))
+    pairs = cut(fks.select("child", "parent").where("child is not null and parent is not null").distinct())
+    every = pairs.select("child").union(pairs.select("parent")).distinct()
+    e = cut(pairs.join(pairs.groupBy("child").agg(F.count("*").alias("open")), "child"))
+    last = cut(every.join(pairs.select("child"), "child", "left_anti").select(F.col("child").alias("table_name"), F.lit(0).alias("depth")))
+    done, waiting = [last], None
+    while n := last.count():
+        ends = last.select(F.col("table_name").alias("parent"), F.col("depth"))
+        news = e.join(F.broadcast(ends) if n <= FRONTIER else ends, "parent").select("child", "open", F.lit(1).alias("seen"), "depth")
+        news = news if waiting is None else news.union(waiting)
+        state = cut(news.groupBy("child", "open").agg(F.sum("seen").alias("seen"), F.max("depth").alias("depth")))
+        last = state.where("seen = open").select(F.col("child").alias("table_name"), (F.col("depth") + 1).alias("depth"))
+        waiting = state.where("seen < open")
+        done.append(last)
+        if len(done) > PARTS:
+            done = [cut(reduce(DataFrame.union, done))]
+    settled = reduce(DataFrame.union, done)
+    rest = every.join(settled.withColumnRenamed("table_name", "child"), "child", "left")
+    return rest.select(F.col("child").alias("table_name"), "depth", F.col("depth").isNull().alias("cyclic"))
 
 
 def catalog_audit(columns: DataFrame, fks: DataFrame, wide: int = 30, max_fk_nulls: float = 0.05, hops: int = 3) -> DataFrame:
     """Findings (finding, table_name, detail) about a catalog: wide tables, nullable foreign keys, their null rates, chains and
     cycles of keys, isolated tables.
 
-    columns: table_name, column_name, nullable, null_rate, and optionally is_key; fks: child, fk, parent.
+    columns: table_name, column_name, nullable, null_rate, and optionally is_key; fks: child, fk, parent. Each of them is
+    read once for all findings about it.
     """
-    tables = columns.groupBy("table_name").agg(F.count("*").alias("n"))
-    linked = fks.select(F.col("child").alias("table_name")).union(fks.select("parent")).distinct()
-    on_fk = columns.join(fks.select(F.col("child").alias("table_name"), F.col("fk").alias("column_name")).distinct(), ["table_name", "column_name"])
+    fks = cut(fks.select("child", "fk", "parent"))
     key = F.coalesce("is_key", F.lit(False)) if "is_key" in columns.columns else F.lit(False)
-    chains = key_chains(fks)
-    item = lambda kind, detail: (F.lit(kind).alias("finding"), "table_name", detail.alias("detail"))
-    out = tables.where(F.col("n") > wide).select(*item("wide_table", F.col("n").cast("string")))
-    out = out.union(on_fk.where(F.coalesce("nullable", F.lit(True)) & ~key).select(*item("nullable_fk", F.col("column_name"))))
-    out = out.union(on_fk.where(F.col("null_rate") > max_fk_nulls).select(*item("fk_null_rate", F.col("column_name"))))
-    out = out.union(chains.where(F.col("depth") >= hops).select(*item("deep_fk_chain", F.col("depth").cast("string"))))
-    out = out.union(chains.where("cyclic").select(*item("cyclic_fks", F.lit(""))))
-    return out.union(tables.where("n > 2").join(linked, "table_name", "left_anti").select(*item("isolated_table", F.lit(""))))
+    item = lambda cond, kind, detail: F.when(cond, F.struct(F.lit(kind).alias("finding"), detail.cast("string").alias("detail")))
+    found = lambda df, *items: df.select("table_name", F.inline(F.array_compact(F.array(*items)))).select("finding", "table_name", "detail")
+    linked = fks.select(F.col("child").alias("table_name")).union(fks.select("parent")).distinct().withColumn("linked", F.lit(True))
+    tables = columns.groupBy("table_name").agg(F.count("*").alias("n")).join(linked, "table_name", "left")
+    on_fk = columns.join(fks.select(F.col("child").alias("table_name"), F.col("fk").alias("column_name")).distinct(), ["table_name", "column_name"])
+    out = found(tables, item(F.col("n") > wide, "wide_table", F.col("n")), item((F.col("n") > 2) & F.col("linked").isNull(), "isolated_table", F.lit("")))
+    out = out.union(found(on_fk, item(F.coalesce("nullable", F.lit(True)) & ~key, "nullable_fk", F.col("column_name")), item(F.col("null_rate") > max_fk_nulls, "fk_null_rate", F.col("column_name"))))
+    return out.union(found(key_chains(fks), item(F.col("depth") >= hops, "deep_fk_chain", F.col("depth")), item(F.col("cyclic"), "cyclic_fks", F.lit(""))))
 
 
 def audit_score(findings: DataFrame, tables: int, central: int = 0) -> DataFrame:
