@@ -315,3 +315,14 @@ def test_html_of_broken_markup_is_read_in_linear_time(part):
     after = html_text.Page("<p>one</p> two <!-- three <b>four</b> five")
     assert " ".join(x[0].strip() for x in after.runs) == "one two"
     assert " ".join(x[0].strip() for x in html_text.Page("<p>one</p> two <!-- three").runs) == "one two"
+
+
+def test_near_groups_are_the_same_without_broadcasts(spark, monkeypatch):
+    """Tables of keys are no larger in the driver than other broadcast ones; beyond that they are shuffled."""
+    from veridelta.llm import common, near_dedup
+
+    assert near_dedup.BROADCAST_KEYS <= common.BROADCAST_ROWS
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 4}_{k}" for k in range(60 + i % 3))) for i in range(24)], "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", 0)
+    groups = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
+    assert groups == {i: i % 4 for i in range(24)}
