@@ -326,3 +326,30 @@ def test_near_groups_are_the_same_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BROADCAST_KEYS", 0)
     groups = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs).collect()}
     assert groups == {i: i % 4 for i in range(24)}
+
+
+def test_near_rounds_broadcast_nothing(spark, monkeypatch):
+    """The driver collects no table of a round, however small."""
+    import sys
+
+    from veridelta.llm import near_dedup
+
+    plans, real = [], near_dedup.cut
+
+    def cut(df):
+        out = real(df)
+        plans.append((sys._getframe(1).f_code.co_name, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", cut)
+    near = near_dedup.Near(small=2, pivots=1, late=2)
+    texts = {i: " ".join(f"w{k}" if k < 60 or k >= 60 + i % 8 * 4 else f"v{i}_{k}" for k in range(120)) for i in range(40)}
+    groups = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), near).collect()}
+    sets, want = {i: set(near_dedup.shingles(t, near.words).tolist()) for i, t in texts.items()}, {i: i for i in texts}
+    for _ in texts:
+        want = {a: min(want[b] for b in texts if 100 * len(sets[a] & sets[b]) >= near.percent * len(sets[a] | sets[b])) for a in texts}
+    assert groups == want and 1 < len(set(want.values())) < len(want)
+
+    rounds = [(at, p) for at, p in plans if at in {"apart", "live_buckets", "merged", "components", "chosen", "candidates"}]
+    assert {"apart", "live_buckets", "components"} <= {at for at, _ in rounds}
+    assert not [at for at, p in rounds if "Broadcast" in p]
