@@ -353,3 +353,30 @@ def test_near_rounds_broadcast_nothing(spark, monkeypatch):
     rounds = [(at, p) for at, p in plans if at in {"apart", "live_buckets", "merged", "components", "chosen", "candidates"}]
     assert {"apart", "live_buckets", "components"} <= {at for at, _ in rounds}
     assert not [at for at, p in rounds if "Broadcast" in p]
+
+
+def test_near_rounds_do_not_multiply_rows(spark, monkeypatch):
+    """Classes of a star share many shingles beyond its hub. A row isn't multiplied by them in each round."""
+    import random
+
+    from veridelta.llm import near_dedup
+
+    rows = []
+
+    def live(buckets, comp, real=near_dedup.live_buckets):
+        out = real(buckets, comp)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "live_buckets", live)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(160)]
+    texts = {i: " ".join(f"v{i}_{j}" if j in hit else w for j, w in enumerate(base)) for i in range(90) for hit in [set(rnd.sample(range(160), rnd.randint(1, 14)))]}
+    near = near_dedup.Near(words=3, percent=85, small=4, pivots=1, late=16)
+    groups = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), near).collect()}
+    sets, want = {i: set(near_dedup.shingles(t, near.words).tolist()) for i, t in texts.items()}, {i: i for i in texts}
+    links = {a: [b for b in texts if 100 * len(sets[a] & sets[b]) >= near.percent * len(sets[a] | sets[b])] for a in texts}
+    for _ in texts:
+        want = {a: min(want[b] for b in links[a]) for a in texts}
+    assert groups == want and 1 < len(set(want.values())) < len(want)
+    assert sum(rows) <= 10 * len(texts)
