@@ -227,3 +227,39 @@ def test_best_matches_are_those_of_all_pairs(spark, monkeypatch):
     assert {k: v for k, v in got(matching.match_columns(src, tgt, matching.Planes())).items() if v[1] is not None} == some
     plan = matching.match_columns(src, tgt)._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_targets_alike_are_bounded_together(monkeypatch):
+    """Sources meet classes of targets, not each of them."""
+    import pyarrow as pa
+
+    shape = pa.schema([("name", pa.string()), ("low", pa.string()), ("chars", pa.int32()), ("tokens", pa.list_(pa.string())), ("family", pa.string()), ("nullable", pa.int32()), ("is_key", pa.int32()), ("cardinality", pa.float64()), ("refs", pa.list_(pa.string())), ("vec", pa.list_(pa.float64()))])
+
+    def catalog(n, word):
+        names = [f"{word}{i % 7}_{i}" for i in range(n)]
+        return pa.Table.from_pylist([{"name": x, "low": x, "chars": len(x), "tokens": x.split("_"), "family": f"f{i % 5}", "nullable": i % 2, "is_key": 0, "cardinality": i % 50 / 50, "refs": [f"r{i % 9}"], "vec": None} for i, x in enumerate(names)], schema=shape)
+
+    seen, jaccard = [], matching._Sets.jaccard
+    monkeypatch.setattr(matching._Sets, "jaccard", lambda self, shared, *more: (seen.append(shared.size), jaccard(self, shared, *more))[1])
+    s, t = catalog(100, "item"), catalog(20_000, "item")
+    got = matching._best_of(s, t)
+    assert got.column("source").to_pylist() == got.column("target").to_pylist() and min(got.column("confidence").to_pylist()) > 0.82
+    assert sum(seen) < 0.2 * 2 * 100 * 20_000
+
+
+def test_edit_distances_of_short_and_long_texts():
+    import numpy as np
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for x, p in enumerate(a):
+            last, row = row, [x + 1]
+            for y, q in enumerate(b):
+                row.append(min(row[y] + 1, last[y + 1] + 1, last[y] + (p != q)))
+        return row[-1]
+
+    rng = random.Random(3)
+    for most in (12, 64, 65, 90):  # numbers of 64 bits hold the first two
+        a, b = (["", "a" * most] + ["".join(rng.choice("ab𝔘é_") for _ in range(rng.randint(0, most))) for _ in range(12)] + ([] if k else ["b"]) for k in range(2))
+        i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+        assert list(matching._edits(a, b + ["zü"])(i, j)) == [plain(a[x], b[y]) for x, y in zip(i, j)]
