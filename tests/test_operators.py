@@ -263,3 +263,19 @@ def test_edit_distances_of_short_and_long_texts():
         a, b = (["", "a" * most] + ["".join(rng.choice("ab𝔘é_") for _ in range(rng.randint(0, most))) for _ in range(12)] + ([] if k else ["b"]) for k in range(2))
         i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
         assert list(matching._edits(a, b + ["zü"])(i, j)) == [plain(a[x], b[y]) for x, y in zip(i, j)]
+
+
+def test_bands_in_groups_are_those_of_sql(spark):
+    """Vectors are told apart by the same hyperplanes; SQL's lambda functions aren't run for each match."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng, p = random.Random(4), matching.Planes(bands=5, bits=3)
+    vecs = [[rng.uniform(-1, 1) for _ in range(rng.choice([6, 9]))] for _ in range(60)] + [None, [], [0.0] * 6, [1.0, None], [float("nan"), 1.0]]
+    df = spark.createDataFrame(list(enumerate(vecs)), "id int, vec array<double>")
+    sql = [r.b for r in df.orderBy("id").select(matching.plane_bands(F.col("vec"), p).alias("b")).collect()]
+    got = matching._bands(pa.chunked_array([pa.array(vecs, pa.list_(pa.float64()))]), pa.chunked_array([pa.array([True] * len(vecs))]), p).to_pylist()
+    pairs = {(x, y) for a, b in zip(got, sql) for x, y in zip(a, b)}
+    assert len(pairs) == len({x for x, _ in pairs}) == len({y for _, y in pairs}) > 30
+    src, tgt = _vectors(spark, 5, "old", 0.0, 2), _vectors(spark, 5, "new", 0.25, 3)
+    assert "band" not in matching.match_columns(src, tgt, p)._jdf.queryExecution().optimizedPlan().toString().replace("banded", "")
